@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, quality_rules, url_reputation
+from . import fingerprints, quality_classifier, quality_rules, url_reputation
 from .common import staged, table
 
 URL_RULES = [url_reputation.Rule("block", "com", "en/"), url_reputation.Rule("allow", "example.com", "en/7"), url_reputation.Rule("allow", "net", "de/"), url_reputation.Rule("block", "example.net", "de/8"), url_reputation.Rule("block", "org", "es/")]
@@ -23,3 +23,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"), min(buckets, 20000))
+
+
+def held_out(of: int, at: int):
+    """Whether a document's id leaves the remainder ``at`` of its crc32 by ``of``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of == at
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"), "quality", ~held_out(5, 0))
+    scored = quality_classifier.score(docs, model)
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
