@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, quality_classifier, quality_rules, url_reputation
+from . import bpe, fingerprints, packing, quality_classifier, quality_rules, url_reputation
 from .common import staged, table
 
 URL_RULES = [url_reputation.Rule("block", "com", "en/"), url_reputation.Rule("allow", "example.com", "en/7"), url_reputation.Rule("allow", "net", "de/"), url_reputation.Rule("block", "example.net", "de/8"), url_reputation.Rule("block", "org", "es/")]
@@ -35,3 +35,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_classifier.train(docs, table(spark, sf_dir, "labels"), "quality", ~held_out(5, 0))
     scored = quality_classifier.score(docs, model)
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
