@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, packing, quality_classifier, quality_rules, url_reputation, warc
+from . import bpe, fingerprints, packing, pii, quality_classifier, quality_rules, url_reputation, warc
 from .common import staged, table
 
 URL_RULES = [url_reputation.Rule("block", "com", "en/"), url_reputation.Rule("allow", "example.com", "en/7"), url_reputation.Rule("allow", "net", "de/"), url_reputation.Rule("block", "example.net", "de/8"), url_reputation.Rule("block", "org", "es/")]
@@ -48,3 +48,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
+#: The surrogates' key. A deployment passes a secret of its own.
+PII_KEY = b"a key for tests, not a secret one"
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
