@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, lattice, packing, pii, quality_classifier, quality_rules, url_reputation, warc
+from . import bpe, fingerprints, lattice, near_dups, packing, pii, quality_classifier, quality_rules, url_reputation, warc
 from .common import staged, table
 
 URL_RULES = [url_reputation.Rule("block", "com", "en/"), url_reputation.Rule("allow", "example.com", "en/7"), url_reputation.Rule("allow", "net", "de/"), url_reputation.Rule("block", "example.net", "de/8"), url_reputation.Rule("block", "org", "es/")]
@@ -61,3 +61,7 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lattice.score(table(spark, sf_dir, "documents"), ~held_out(7, 2))
     return scored.withColumn("held_out", held_out(7, 2)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.group(table(spark, sf_dir, "documents"), k=4)
