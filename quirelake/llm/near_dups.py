@@ -108,26 +108,30 @@ def _texts(batches, k: int):
 
 
 def classify(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, class, n, bands, sketch) of every document; class null for empty sets."""
+    """(doc_id, mark, class, n, bands, sketch) of every document; class null for empty sets.
+
+    ``mark`` is a hash of the text as it is, which tells rows of one doc_id apart.
+    """
 
     def made(batches):
         for b, first, hs in _texts(batches, k):
             seen: dict[int, tuple] = {}
             rows = []
-            for doc, h in zip(b["doc_id"].to_pylist()[first : first + len(hs)], hs, strict=True):
+            own = slice(first, first + len(hs))
+            for doc, mark, h in zip(b["doc_id"].to_pylist()[own], b["mark"].to_pylist()[own], hs, strict=True):
                 if not len(h):
-                    rows.append((doc, None, 0, None, None))
+                    rows.append((doc, mark, None, 0, None, None))
                     continue
                 c = sequence_hash(h)
                 if c not in seen:
                     s = shingles(h, k)
                     keys, sketch = signature(s)
                     seen[c] = (c, len(s), keys.view(np.int64), sketch.view(np.int64))
-                rows.append((doc, *seen[c]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "class", "n", "bands", "sketch"])
+                rows.append((doc, mark, *seen[c]))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "mark", "class", "n", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, class long, n long, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark")).mapInArrow(made, "doc_id long, mark long, class long, n long, bands array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -247,7 +251,7 @@ def across(members: DataFrame, cut: float, best_only: bool) -> DataFrame:
 
 
 def group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row per document."""
+    """(doc_id, n_shingles, component_id, kept, mark), a row per document."""
     rows = staged(classify(docs, k), "signatures")
     full = rows.where("class is not null")
     classes = staged(full.groupBy("class").agg(F.min("doc_id").alias("lead"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
@@ -274,11 +278,23 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     named = classes.select("class", "lead").join(label, "class", "left").select("class", "lead", F.coalesce("label", "class").alias("label"))
     lowest = named.groupBy("label").agg(F.min("lead").alias("component_id"))
     ids = staged(named.join(lowest, "label").select("class", "component_id"), "components")
-    out = rows.select("doc_id", "class", F.col("n").alias("n_shingles")).join(ids, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = rows.select("doc_id", "mark", "class", F.col("n").alias("n_shingles")).join(ids, "class", "left")
+    own = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "mark")
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, the one with the least doc_id, with the columns it came with."""
-    gone = group(docs, k, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One document of each group, the one with the least doc_id, with the columns it came with.
+
+    Where several rows of a group have that doc_id, one of them stays.
+    """
+    found = group(docs, k, percent)
+    found = staged(found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "component_id", "kept", "n_shingles"), "groups")
+    gone = staged(found.where(~F.col("kept")).select("_id", "_mark").distinct(), "gone")
+    same = (F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))) & (F.xxhash64("text") == F.col("_mark"))
+    left = docs.join(gone, same, "left_anti")
+    twice = staged(found.where("kept and n_shingles > 0").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id"), "twice")
+    if twice.isEmpty():
+        return left
+    told = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    return left.join(twice, told, "left_anti").unionByName(left.join(twice, told, "left_semi").dropDuplicates(["doc_id"]))

@@ -111,5 +111,5 @@ def filter_documents(docs: DataFrame, **settings) -> DataFrame:
     The verdicts meet the documents again by ``doc_id``; rows that share one are kept if any is.
     """
     measured = staged(measures(docs, ["doc_id", "lang", "source"]), "measures")
-    gone = judge(measured, **settings).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).select("doc_id")
+    gone = staged(judge(measured, **settings).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).select("doc_id"), "gone")
     return docs.join(gone, "doc_id", "left_anti")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import queries
 
 QUERIES = {k: f for k, f in vars(queries).items() if k.startswith("op") and callable(f)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {}
