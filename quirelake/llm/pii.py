@@ -64,8 +64,9 @@ PATTERNS = [
     ("name", r"(?<!\w)(?P<address>" + "|".join(sorted((a for names in ADDRESS.values() for a in names), key=len, reverse=True)) + rf")\.? (?P<parts>{_CAP}(?: {_CAP}){{0,2}})"),
 ]
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
-#: What a text must hold for any of the patterns to match: two digits with up to one more character between, or one of these.
-HINT = r"@|[0-9][^\n]?[0-9]|(?:[0-9a-fA-F]{8}){4}|(?:AKIA|gh[pousr]_|sk-)|(?:" + "|".join(a for names in ADDRESS.values() for a in names) + r")\.? \p{Lu}"
+#: What a text must hold for any of the patterns to match. It is scanned for in every text, so each
+#: alternative fails at its first character nearly everywhere.
+HINT = r"[@0-9]|AKIA|sk-|gh[pousr]_|(?=[" + "".join(sorted({a[0] for names in ADDRESS.values() for a in names})) + r"])(?:" + "|".join(a for names in ADDRESS.values() for a in names) + r")\.? \p{L}"
 
 
 def script_of(text: str) -> str:
