@@ -43,7 +43,7 @@ SKETCH_BITS = 1024
 #: How far below the threshold an estimate may lie and be compared in full: over four deviations.
 MARGIN = 0.12
 #: Most members of a block.
-BLOCK = 256
+BLOCK = 1024
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(0, 2**32, SAMPLES, np.uint32) | np.uint32(1)
