@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 #: Distinct words whose ids are kept between runs of texts.
 KEPT_WORDS = 400_000
 
@@ -191,4 +193,4 @@ def digests(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", run_bytes: i
         if ids:
             yield flush(ids, texts)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encoded, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), encoded, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

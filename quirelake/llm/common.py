@@ -60,6 +60,16 @@ def drop_staged(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Bytes of a batch that Python gets at once; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def arrow_map(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded bytes, so that long texts do not fill a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def bind(value: Column, body) -> Column:
     """``body`` of ``value`` with the value computed once per row.
 

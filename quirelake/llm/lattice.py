@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import staged
+from .common import arrow_map, staged
 
 #: Most words that are sent to every executor (24 bytes each).
 FREQUENT = 300_000
@@ -198,7 +198,7 @@ def word_table(docs: DataFrame, learn: Column) -> DataFrame:
                 words = [raw[i:j] for i, j in zip(s[at].tolist(), e[at].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(words, pa.binary()), pa.array(c), pa.array(seen)], ["hash", "word", "c", "seen"])
 
-    parts = docs.select("text", F.coalesce(learn, F.lit(False)).alias("learn")).mapInArrow(counted, "hash long, word binary, c long, seen long")
+    parts = arrow_map(docs.select("text", F.coalesce(learn, F.lit(False)).alias("learn")), counted, "hash long, word binary, c long, seen long")
     return staged(parts.groupBy("hash").agg(F.min("word").alias("word"), F.sum("c").alias("c"), F.sum("seen").alias("seen")), "words")
 
 
@@ -220,7 +220,7 @@ def estimate(words: DataFrame, texts: int, name: str, rounds: int = 2) -> np.nda
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["piece", "uses"])
 
         # at most one number per piece of the vocabulary comes back
-        got = words.where("c > 0").select("word", "c").mapInArrow(expected, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
+        got = arrow_map(words.where("c > 0").select("word", "c"), expected, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
         total = prior.copy()
         total[got["piece"].to_numpy(dtype=np.int64)] += got["uses"].to_numpy(dtype=float)
         total[-1] += texts
@@ -250,7 +250,7 @@ def score(docs: DataFrame, learn: Column, name: str = "piece_bpe_32k.model", fre
                 out[g] = marginals(own[g], pieces, sent.value)[0]
             yield pa.RecordBatch.from_arrays([b["hash"], b["c"], b["seen"], pa.array(out / LOG10)], ["hash", "c", "seen", "lat"])
 
-    weights = staged(words.select("hash", "word", "c", "seen").mapInArrow(weighed, "hash long, c long, seen long, lat double"), "weights")
+    weights = staged(arrow_map(words.select("hash", "word", "c", "seen"), weighed, "hash long, c long, seen long, lat double"), "weights")
 
     # the least count that leaves at most ``frequent`` words: counts beyond the last step fall together
     steps = weights.groupBy(F.least(F.col("seen"), F.lit(100_000)).alias("s")).count().orderBy(F.desc("s")).collect()
@@ -288,7 +288,7 @@ def score(docs: DataFrame, learn: Column, name: str = "piece_bpe_32k.model", fre
                 at += m
 
     schema = "row long, doc_id long, learn boolean, hash long, times long, n_tokens long, n_known long, base double, lat double"
-    parts = staged(docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(summed, schema), "scored")
+    parts = staged(arrow_map(docs.withColumn("doc_id", F.col("doc_id").cast("long")), summed, schema), "scored")
     rare = weights.where(F.col("seen") < least).select("hash", "c", F.col("lat").alias("w"))
     rest = parts.where("hash is not null").select("row", "hash", "times").join(rare, "hash")
     rest = rest.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("b"), F.sum(F.col("times") * F.col("w")).alias("l"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import staged
+from .common import arrow_map, staged
 
 U = np.uint64
 #: MinHash samples, of which the bands take the first ones.
@@ -131,7 +131,7 @@ def classify(docs: DataFrame, k: int) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "mark", "class", "n", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark")).mapInArrow(made, "doc_id long, mark long, class long, n long, bands array<long>, sketch array<long>")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark")), made, "doc_id long, mark long, class long, n long, bands array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -146,7 +146,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(s, pa.list_(pa.int64()))], ["class", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("lead"), "text").join(wanted.select("lead", F.col("class").alias("want")), "lead")
-    return texts.mapInArrow(made, "class long, shingles array<long>").dropDuplicates(["class"])
+    return arrow_map(texts, made, "class long, shingles array<long>").dropDuplicates(["class"])
 
 
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -247,7 +247,7 @@ def across(members: DataFrame, cut: float, best_only: bool) -> DataFrame:
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = _blocks(members).repartition(n, "block").sortWithinPartitions("block")
-    return dealt.mapInArrow(searched, "a long, b long").distinct()
+    return arrow_map(dealt, searched, "a long, b long").distinct()
 
 
 def group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import staged
+from .common import arrow_map, staged
 
 CAPACITY = 2048
 #: Parts that the pieces of a length are ranked in, so that one length can hold most pieces.
@@ -160,7 +160,7 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", end_id: i
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tokenized, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), tokenized, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -190,7 +190,7 @@ def pack(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             seq, off = p.places(n, starts[n, s] + r) if len(n) else (n, n)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(seq, pa.int64()), pa.array(off, pa.int64())], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(placed, StructType([*cut_up.schema.fields]).add("sequence_id", LongType()).add("offset", LongType()))
+    return arrow_map(ranked, placed, StructType([*cut_up.schema.fields]).add("sequence_id", LongType()).add("offset", LongType()))
 
 
 def pack_documents(docs: DataFrame, **settings) -> DataFrame:

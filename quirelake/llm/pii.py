@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import staged
+from .common import arrow_map, staged
 
 #: Rounds of drawing after which clashes are an error; each leaves a vanishing share.
 ROUNDS = 12
@@ -161,7 +161,7 @@ def entities(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "kind", "canon"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(found, "doc_id long, kind string, canon string")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), found, "doc_id long, kind string, canon string")
 
 
 def assign(found: DataFrame, key: bytes, drawer: Callable[[bytes, str, str, int], str] = draw) -> DataFrame:
@@ -180,7 +180,7 @@ def assign(found: DataFrame, key: bytes, drawer: Callable[[bytes, str, str, int]
                 got = [drawer(key, k, c, attempt) for k, c in zip(b["kind"].to_pylist(), b["canon"].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b["kind"], b["canon"], pa.array(got, pa.string())], ["kind", "canon", "surrogate"])
 
-        tried = left.mapInArrow(drawn, "kind string, canon string, surrogate string").withColumn("space", space("kind"))
+        tried = arrow_map(left, drawn, "kind string, canon string, surrogate string").withColumn("space", space("kind"))
         first = F.row_number().over(Window.partitionBy("space", "surrogate").orderBy("kind", "canon"))
         free = tried.join(taken, ["space", "surrogate"], "left_anti").withColumn("_n", first).where("_n = 1").select("kind", "canon", "surrogate", "space")
         free = staged(free, "surrogates")
@@ -222,4 +222,4 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
 
     schema = StructType([*docs.schema.fields]).add("n_replaced", LongType())
     changed = docs.where(held).join(told, F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left").drop("_of")
-    return docs.where(~held).withColumn("n_replaced", F.lit(0).cast("long")).unionByName(changed.mapInArrow(rewritten, schema))
+    return docs.where(~held).withColumn("n_replaced", F.lit(0).cast("long")).unionByName(arrow_map(changed, rewritten, schema))

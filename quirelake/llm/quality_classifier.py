@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from . import textnum as tn
+from .common import arrow_map
 
 BITS, DIM = 18, 16
 ORDERS = (3, 4, 5)
@@ -133,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", learn:
                 cs.append(c.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(us, pa.binary()), pa.array(cs, pa.binary())], ["doc_id", "y", "u", "c"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(told), "doc_id").select("doc_id", "_y", F.col("text").cast("string")).mapInArrow(hashed, "doc_id long, y int, u binary, c binary").collect()
+    rows = arrow_map(docs.select("doc_id", "text").join(F.broadcast(told), "doc_id").select("doc_id", "_y", F.col("text").cast("string")), hashed, "doc_id long, y int, u binary, c binary").collect()
     rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
     return fit([(np.frombuffer(r["u"], "<u4").astype(np.int64), np.frombuffer(r["c"], "<u4"), r["y"]) for r in rows])
 
@@ -147,4 +148,4 @@ def score(docs: DataFrame, model: Model, out_col: str = "score") -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(b.column("text"), sent.value), pa.float64())], [*names, out_col])
 
-    return docs.mapInArrow(scored, StructType([*docs.schema.fields]).add(out_col, DoubleType()))
+    return arrow_map(docs, scored, StructType([*docs.schema.fields]).add(out_col, DoubleType()))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import arrow_map, shared_path
 
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
@@ -127,7 +127,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", least: int = 100
                 n += 1
                 yield pa.RecordBatch.from_arrays([pa.array(records_of(page, f"{task}:{n}", url, body.as_py(), to, segment), pa.binary())], ["value"])
 
-    made = rows.select("id", "url", "payload", "refers_to").mapInArrow(built, "value binary")
+    made = arrow_map(rows.select("id", "url", "payload", "refers_to"), built, "value binary")
     made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
@@ -165,7 +165,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    records = files.mapInArrow(parsed, READ_SCHEMA)
+    records = arrow_map(files, parsed, READ_SCHEMA)
 
     # one origin's segments are one record, so a group is no larger than a page
     joined = records.where("segment is not null").groupBy("origin").agg(
@@ -186,7 +186,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()], strict=True)], ["page_id", "url", "declared", "payload_bytes", "payload_digest"])
 
     whole = records.where("segment is null and type = 'response'").select("page_id", "url", "declared", "payload_bytes", "payload_digest")
-    responses = whole.unionByName(joined.mapInArrow(reassembled, "page_id long, url string, declared string, payload_bytes long, payload_digest string"))
+    responses = whole.unionByName(arrow_map(joined, reassembled, "page_id long, url string, declared string, payload_bytes long, payload_digest string"))
     responses = responses.select("page_id", "url", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "payload_bytes", "payload_digest", F.coalesce(F.col("payload_digest") == F.col("declared"), F.lit(False)).alias("verified"))
     revisits = records.where("type = 'revisit'").select("page_id", "url", "refers_to", "declared")
     known = responses.groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("declared")).agg(F.max("payload_bytes").alias("payload_bytes"))
