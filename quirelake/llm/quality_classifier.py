@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from . import textnum as tn
-from .common import arrow_map
+from .common import arrow_map, staged
 
 BITS, DIM = 18, 16
 ORDERS = (3, 4, 5)
@@ -85,11 +85,11 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, ra
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((1 << BITS, DIM), np.float32) - 0.5) / DIM).astype(np.float32)
     out, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    shares = [(u, (c / c.sum()).astype(np.float32), y) if len(u) else (u, c.astype(np.float32), y) for u, c, y in examples]
-    steps, done = epochs * len(shares), 0
+    steps, done = epochs * len(examples), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(shares)):
-            u, c, y = shares[i]
+        for i in rng.permutation(len(examples)):
+            u, c, y = examples[i]
+            c = c.astype(np.float32) / np.float32(max(1, c.sum()))
             lr = rate * (1 - done / steps)
             done += 1
             rows = vectors[u]
@@ -134,9 +134,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", learn:
                 cs.append(c.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(us, pa.binary()), pa.array(cs, pa.binary())], ["doc_id", "y", "u", "c"])
 
-    rows = arrow_map(docs.select("doc_id", "text").join(F.broadcast(told), "doc_id").select("doc_id", "_y", F.col("text").cast("string")), hashed, "doc_id long, y int, u binary, c binary").collect()
-    rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
-    return fit([(np.frombuffer(r["u"], "<u4").astype(np.int64), np.frombuffer(r["c"], "<u4"), r["y"]) for r in rows])
+    rows = arrow_map(docs.select("doc_id", "text").join(F.broadcast(told), "doc_id").select("doc_id", "_y", F.col("text").cast("string")), hashed, "doc_id long, y int, u binary, c binary")
+    examples: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+    for r in staged(rows, "examples").toLocalIterator():  # at most ``sample`` rows, a partition at a time
+        examples[r["doc_id"]] = (np.frombuffer(r["u"], "<u4").view(np.int32), np.frombuffer(r["c"], "<u4"), r["y"])
+    return fit([examples[i] for i in sorted(examples)])
 
 
 def score(docs: DataFrame, model: Model, out_col: str = "score") -> DataFrame:
