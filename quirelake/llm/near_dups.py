@@ -10,10 +10,11 @@ similarity of their sets reaches a threshold, and the links' connected component
 3. In every bucket the members are paired with its first member only; each class keeps the leader that
    it shares most bands with, and the full sets of the two are compared. The links make components.
 4. Buckets that still hold more than one component are searched for pairs across components, in
-   blocks of bounded size, by the odd sketches; pairs that may reach the threshold are compared on
-   the full sets. First only the likeliest pair of each two components, and, when those have been
-   merged, every pair. So after the last step each pair of the bands has either been compared in full,
-   lies inside one component, or is further below the threshold than the sketch can err.
+   blocks of bounded size. Pairs whose odd sketches may reach the threshold are compared there on their
+   sets, as bitmaps over the block's shingles, each pair in the first band that it shares only; one
+   link of each two components leaves the block, and is confirmed on the full sets. So after this step
+   each pair of the bands has either been compared in full, lies inside one component, or is further
+   below the threshold than the sketch can err.
 
 A large component's members stand in blocks of their own, which are not held against one another, so
 a group of any size costs in proportion to its members and to what in its buckets is not part of it;
@@ -42,8 +43,11 @@ SAMPLES, BANDS, ROWS = 256, 28, 4
 SKETCH_BITS = 1024
 #: How far below the threshold an estimate may lie and be compared in full: over four deviations.
 MARGIN = 0.12
-#: Most members of a block.
+#: Most members of a chunk, of which a block has two at most; one with many shingles counts as several.
 BLOCK = 1024
+SHINGLES_A_MEMBER = 2000
+#: Bytes of the bitmaps of a block, beyond which its pairs are compared one by one.
+BITMAP_BYTES = 64 << 20
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(0, 2**32, SAMPLES, np.uint32) | np.uint32(1)
@@ -182,18 +186,19 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """members(band, class, label, sketch) of buckets with several labels, dealt into blocks.
+    """members(band, class, label, n) of buckets with several labels, dealt into blocks.
 
-    A label with over BLOCK members in a bucket fills chunks of its own; the others share chunks.
-    Chunks meet in pairs, a shared one also itself, never two of one label. Rows get ``block`` and
-    ``side``: 0 in the first chunk of the pair, 1 in the second, 2 where the block is one chunk.
+    A label that fills a chunk in a bucket has chunks of its own; the others share chunks. Chunks meet
+    in pairs, a shared one also itself, never two of one label. Rows get ``block`` and ``side``: 0 in
+    the first chunk of the pair, 1 in the second, 2 where the block is one chunk.
     """
-    sized = members.groupBy("band", "label").agg(F.count("*").alias("m"))
+    weight = F.sum(1 + F.col("n") / SHINGLES_A_MEMBER)
+    sized = members.groupBy("band", "label").agg(weight.alias("m"))
     big = sized.where(F.col("m") > BLOCK).select("band", "label", F.ceil(F.col("m") / BLOCK).cast("long").alias("own"))
     rest = sized.where(F.col("m") <= BLOCK).groupBy("band").agg(F.ceil(F.sum("m") / BLOCK).cast("long").alias("shared"))
     sized = staged(sized.join(big, ["band", "label"], "left").join(rest, "band", "left").select("band", "label", "own", "shared"), "chunks")
     at = F.when(F.col("own").isNotNull(), F.concat(F.lit("o"), "label", F.lit(":"), F.pmod(F.xxhash64("class"), "own"))).otherwise(F.concat(F.lit("s"), F.pmod(F.xxhash64("label"), "shared")))
-    placed = members.join(sized, ["band", "label"]).select("band", "class", "label", "sketch", at.alias("chunk"))
+    placed = members.join(sized, ["band", "label"]).select("band", "class", "label", at.alias("chunk"))
     own = big.select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("i"), F.col("label").alias("pure")).select("band", F.concat(F.lit("o"), "pure", F.lit(":"), "i").alias("chunk"), "pure")
     shared = rest.select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shared") - 1)).alias("i")).select("band", F.concat(F.lit("s"), "i").alias("chunk"), F.lit(None).cast("long").alias("pure"))
     chunks = staged(own.unionByName(shared), "chunks")
@@ -201,25 +206,65 @@ def _blocks(members: DataFrame) -> DataFrame:
     met = x.join(y, "band").where(((F.col("x") < F.col("y")) & ~F.coalesce(F.col("px") == F.col("py"), F.lit(False))) | ((F.col("x") == F.col("y")) & F.col("px").isNull()))
     met = met.withColumn("block", F.xxhash64("band", "x", "y"))
     sides = met.where("x = y").select("band", F.col("x").alias("chunk"), "block", F.lit(2).alias("side")).unionByName(met.where("x != y").select("band", F.explode(F.array(F.struct(F.col("x").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("y").alias("chunk"), F.lit(1).alias("side")))).alias("c"), "block").select("band", "c.chunk", "block", "c.side"))
-    return placed.join(sides, ["band", "chunk"]).select("block", "side", "class", "label", "sketch")
-
-
-def across(members: DataFrame, cut: float, best_only: bool) -> DataFrame:
-    """Pairs (a, b) of classes with different labels whose sketches are alike by ``cut`` or more."""
+    return placed.join(sides, ["band", "chunk"]).select("block", "side", "band", "class", "label")
+
+
+def common(i: np.ndarray, j: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many shingles the members i and j of a block have in common, for pairs of members."""
+    sizes = np.diff(ends)
+    used = np.unique(np.concatenate([i, j]))
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    keep = np.isin(rows, used)
+    values, inverse, times = np.unique(flat[keep], return_inverse=True, return_counts=True)
+    rows = np.searchsorted(used, rows[keep])
+    twice = times > 1  # a shingle of one member is common to none
+    column = np.cumsum(twice) - 1
+    hit = twice[inverse]
+    rows, inverse = rows[hit], column[inverse[hit]]
+    words = int(twice.sum()) // 64 + 1
+    if len(used) * words * 8 > BITMAP_BYTES:
+        return np.array([len(np.intersect1d(flat[ends[a] : ends[a + 1]], flat[ends[b] : ends[b + 1]], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
+    bits = np.zeros((len(used), words), U)
+    np.bitwise_or.at(bits, (rows, inverse >> 6), U(1) << (inverse & 63).astype(U))
+    a, b = np.searchsorted(used, i), np.searchsorted(used, j)
+    step = max(1, (1 << 20) // words)
+    return np.concatenate([np.bitwise_count(bits[a[k : k + step]] & bits[b[k : k + step]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), step)])
+
+
+def across(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, one_each: bool) -> DataFrame:
+    """Pairs (a, b) of classes with different labels whose sets are alike enough.
+
+    Sets are compared by 32 bits of their shingles' hashes, so a pair may be too many but none is
+    missing; ``one_each`` gives one pair of each two labels in a block.
+    """
+    cut = percent / 100 - MARGIN
 
-    def search(sides, ids, labels, sketches):
+    def search(band, sides, ids, labels, sketches, bands, flat, ends):
         if sides[0] == 2:
-            est = estimates(sketches, sketches)
-            i, j = np.nonzero(np.triu(est >= cut, 1) & (labels[:, None] != labels[None, :]))
-            e = est[i, j]
+            left = right = np.arange(len(ids))
+            est = np.triu(estimates(sketches, sketches), 1)
         else:
             left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
             est = estimates(sketches[left], sketches[right])
-            i, j = np.nonzero((est >= cut) & (labels[left][:, None] != labels[right][None, :]))
-            e, i, j = est[i, j], left[i], right[j]
-        if best_only and len(i) > 1:
+        i, j = np.nonzero((est >= cut) & (labels[left][:, None] != labels[right][None, :]))
+        i, j = left[i], right[j]
+        if len(i):
+            # only in the first band that the two share
+            at = int(np.flatnonzero(bands[i[0]] == band)[0])
+            first = ~np.any([bands[i, k] == bands[j, k] for k in range(at)], axis=0) if at else np.ones(len(i), bool)
+            i, j = i[first], j[first]
+        if not len(i):
+            return i, j
+        sizes = np.diff(ends)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        twice = np.bincount(owner[1:][(flat[1:] == flat[:-1]) & (owner[1:] == owner[:-1])], minlength=len(sizes))
+        # two shingles of equal 32 bits count as one, which must not cost a pair its link
+        both = common(i, j, flat, ends) + np.minimum(twice[i], twice[j])
+        alike = 100 * both >= percent * (sizes[i] + sizes[j] - both)
+        i, j = i[alike], j[alike]
+        if one_each and len(i) > 1:
             low, high = np.minimum(labels[i], labels[j]), np.maximum(labels[i], labels[j])
-            order = np.lexsort((-e, high, low))
+            order = np.lexsort((high, low))
             i, j, low, high = i[order], j[order], low[order], high[order]
             first = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
             i, j = i[first], j[first]
@@ -233,20 +278,26 @@ def across(members: DataFrame, cut: float, best_only: bool) -> DataFrame:
             block = t["block"].to_numpy()
             edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
             if len(edges) > 1:
-                yield from one(t.slice(0, edges[-1]), edges)
+                yield from found(t.slice(0, edges[-1]), edges)
             held = t.slice(edges[-1])
         if held is not None and held.num_rows:
-            yield from one(held, np.array([0, held.num_rows]))
-
-    def one(t, edges):
-        sides, ids, labels = t["side"].to_numpy(), t["class"].to_numpy(), t["label"].to_numpy()
-        flat = t["sketch"].combine_chunks().flatten().to_numpy().view(U).reshape(len(ids), -1)
-        got = [search(sides[s:e], ids[s:e], labels[s:e], flat[s:e]) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+            yield from found(held, np.array([0, held.num_rows]))
+
+    def found(t, edges):
+        t = t.combine_chunks()
+        band, sides, ids, labels = (t[c].to_numpy() for c in ("band", "side", "class", "label"))
+        sketches, bands = (t[c].chunk(0).flatten().to_numpy().reshape(len(ids), -1) for c in ("sketch", "bands"))
+        lists = t["short"].chunk(0)
+        flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+        ends = ends - ends[0]
+        got = [search(band[s], sides[s:e], ids[s:e], labels[s:e], sketches[s:e].view(U), bands[s:e], flat[ends[s] : ends[e]], ends[s : e + 1] - ends[s]) for s, e in zip(edges[:-1], edges[1:], strict=True)]
         a, b = (np.concatenate(x) for x in zip(*got, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _blocks(members).repartition(n, "block").sortWithinPartitions("block")
+    short = F.array_sort(F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")))
+    told = classes.select("class", "sketch", "bands").join(sets.select("class", short.alias("short")), "class")
+    dealt = _blocks(members).join(told, "class").repartition(n, "block").sortWithinPartitions("block")
     return arrow_map(dealt, searched, "a long, b long").distinct()
 
 
@@ -264,16 +315,19 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     wanted = members.select("class").distinct().join(classes.select("class", "lead"), "class")
     sets = staged(full_sets(docs, wanted, k), "sets")
     found = staged(links(star, sets, percent), "links")
-    sketches = classes.select("class", "sketch")
-    for best_only in (True, False):
-        label = components(found)
-        named = members.select("band", "class").join(label.withColumnRenamed("node", "class"), "class", "left").select("band", "class", F.coalesce("label", "class").alias("label"))
-        open_ = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band")
-        todo = staged(named.join(open_, "band").join(sketches, "class"), "open")
+    label = components(found)
+    named = members.select("band", "class").join(label.withColumnRenamed("node", "class"), "class", "left").select("band", "class", F.coalesce("label", "class").alias("label"))
+    several = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band")
+    todo = staged(named.join(several, "band").join(sets.select("class", F.size("shingles").alias("n")), "class"), "open")
+    for one_each in (True, False):
         if todo.isEmpty():
             break
-        new = staged(links(across(todo, percent / 100 - MARGIN, best_only), sets, percent), "links")
+        met = staged(across(todo, classes, sets, percent, one_each), "met")
+        new = staged(links(met, sets, percent), "links")
         found = found.unionByName(new)
+        # a pair that is only alike by 32 bits could stand in for one that is: then all are asked for
+        if met.count() == new.count():
+            break
     label = components(found).withColumnRenamed("node", "class")
     named = classes.select("class", "lead").join(label, "class", "left").select("class", "lead", F.coalesce("label", "class").alias("label"))
     lowest = named.groupBy("label").agg(F.min("lead").alias("component_id"))
