@@ -11,8 +11,8 @@ similarity of their sets reaches a threshold, and the links' connected component
    it shares most bands with, and the full sets of the two are compared. The links make components.
 4. Buckets that still hold more than one component are searched for pairs across components, in
    blocks of bounded size. Pairs whose odd sketches may reach the threshold are compared there on their
-   sets, as bitmaps over the block's shingles, each pair in the first band that it shares only; one
-   link of each two components leaves the block, and is confirmed on the full sets. So after this step
+   sets, as bitmaps over the block's shingles, each pair in the first band that it shares only; of the
+   links a spanning forest over the components leaves the block, and is confirmed on the full sets. So after this step
    each pair of the bands has either been compared in full, lies inside one component, or is further
    below the threshold than the sketch can err.
 
@@ -231,11 +231,29 @@ def common(i: np.ndarray, j: np.ndarray, flat: np.ndarray, ends: np.ndarray) ->
     return np.concatenate([np.bitwise_count(bits[a[k : k + step]] & bits[b[k : k + step]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), step)])
 
 
-def across(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, one_each: bool) -> DataFrame:
+def spanning(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The places of the pairs (x, y) that join what the pairs before them leave apart."""
+    up: dict[int, int] = {}
+
+    def root(a: int) -> int:
+        while (b := up.setdefault(a, a)) != a:
+            up[a] = a = up[b]
+        return a
+
+    kept = []
+    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        a, b = root(a), root(b)
+        if a != b:
+            up[a] = b
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
+def across(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs (a, b) of classes with different labels whose sets are alike enough.
 
     Sets are compared by 32 bits of their shingles' hashes, so a pair may be too many but none is
-    missing; ``one_each`` gives one pair of each two labels in a block.
+    missing; with ``forest`` a block gives only pairs that join labels not joined by its others.
     """
     cut = percent / 100 - MARGIN
 
@@ -262,12 +280,9 @@ def across(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
         both = common(i, j, flat, ends) + np.minimum(twice[i], twice[j])
         alike = 100 * both >= percent * (sizes[i] + sizes[j] - both)
         i, j = i[alike], j[alike]
-        if one_each and len(i) > 1:
-            low, high = np.minimum(labels[i], labels[j]), np.maximum(labels[i], labels[j])
-            order = np.lexsort((high, low))
-            i, j, low, high = i[order], j[order], low[order], high[order]
-            first = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
-            i, j = i[first], j[first]
+        if forest and len(i) > 1:
+            tree = spanning(labels[i], labels[j])
+            i, j = i[tree], j[tree]
         return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
 
     def searched(batches):
@@ -319,10 +334,10 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     named = members.select("band", "class").join(label.withColumnRenamed("node", "class"), "class", "left").select("band", "class", F.coalesce("label", "class").alias("label"))
     several = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band")
     todo = staged(named.join(several, "band").join(sets.select("class", F.size("shingles").alias("n")), "class"), "open")
-    for one_each in (True, False):
+    for forest in (True, False):
         if todo.isEmpty():
             break
-        met = staged(across(todo, classes, sets, percent, one_each), "met")
+        met = staged(across(todo, classes, sets, percent, forest), "met")
         new = staged(links(met, sets, percent), "links")
         found = found.unionByName(new)
         # a pair that is only alike by 32 bits could stand in for one that is: then all are asked for
