@@ -65,9 +65,31 @@ BATCH_BYTES = 8 << 20
 
 
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow`` in batches of bounded bytes, so that long texts do not fill a worker."""
+    """``df.mapInArrow`` in batches of bounded bytes, so that long texts do not fill a worker.
+
+    A worker serves many tasks; what one has freed goes back to the system before the next.
+    """
+
+    def mapped(batches):
+        yield from function(batches)
+        give_back()
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(mapped, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where its allocators can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+    if trim is not None:
+        trim(0)
 
 
 def bind(value: Column, body) -> Column:

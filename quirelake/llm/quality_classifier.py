@@ -30,6 +30,8 @@ BITS, DIM = 18, 16
 ORDERS = (3, 4, 5)
 #: Most labelled documents that are learned from: those with the least hash of their id.
 SAMPLE = 4000
+#: Bytes of texts whose features are in memory at once, about 150 bytes for each.
+RUN_BYTES = 256 << 10
 U = np.uint64
 
 
@@ -107,7 +109,7 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, ra
 
 def scores(texts: pa.Array, model: Model) -> np.ndarray:
     found = np.zeros(len(texts))
-    for first, run in tn.pieces(texts):
+    for first, run in tn.pieces(texts, RUN_BYTES):
         slots, owners = features(run)
         n = np.bincount(owners, minlength=len(run))
         total = np.bincount(owners, model.weights[slots], minlength=len(run))

@@ -35,7 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-def pieces(column: pa.Array, most: int = 1 << 20):
+def pieces(column: pa.Array, most: int = 512 << 10):
     """(first row, texts as bytes) of runs of rows with about ``most`` bytes, or one longer text."""
     run, first, size = [], 0, 0
     for i, x in enumerate(column):
