@@ -64,17 +64,18 @@ def with_next(docs: DataFrame, columns: list[str], tie: Column, buckets: int) ->
     the ids' quantiles; each range also gets a guest copy of the row that follows its last, so that
     no partition holds more than its range and one row.
     """
-    ids = docs.select("doc_id")
-    edges = ids.agg(F.percentile_approx("doc_id", [(i + 1) / buckets for i in range(buckets - 1)], 20 * buckets)).first()[0] if buckets > 1 else None
+    docs = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))  # rows without an id come last
+    ids = docs.select("_key")
+    edges = ids.agg(F.percentile_approx("_key", [(i + 1) / buckets for i in range(buckets - 1)], 20 * buckets)).first()[0] if buckets > 1 else None
     edges = sorted(set(edges or []))
     steps = [2**i for i in range(len(edges).bit_length() - 1, -1, -1)] if edges else []
     at = F.lit(0)
     if edges:
         lit_edges = F.lit(edges)
-        at = F.aggregate(F.lit(steps), F.lit(0), lambda p, s: F.when((p + s <= len(edges)) & (F.get(lit_edges, p + s - 1) < F.col("doc_id")), p + s).otherwise(p))
-    heads = {r["b"]: r["m"] for r in ids.where("doc_id is not null").groupBy(at.alias("b")).agg(F.max("doc_id").alias("m")).collect()}
+        at = F.aggregate(F.lit(steps), F.lit(0), lambda p, s: F.when((p + s <= len(edges)) & (F.get(lit_edges, p + s - 1) < F.col("_key")), p + s).otherwise(p))
+    heads = {r["b"]: r["m"] for r in ids.groupBy(at.alias("b")).agg(F.max("_key").alias("m")).collect()}
     if not heads:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns]).where("false")
+        return docs.drop("_key").select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     full = sorted(heads, reverse=True)
     before = {b: full[i - 1] for i, b in enumerate(full)}  # whose last row b's first follows
     n = len(edges) + 1
@@ -82,10 +83,10 @@ def with_next(docs: DataFrame, columns: list[str], tie: Column, buckets: int) ->
     own = F.struct(F.col("_b").alias("b"), F.lit(0).alias("guest"))
     guest = F.struct(F.get(guest_of, F.col("_b")).alias("b"), F.lit(1).alias("guest"))
     dealt = docs.withColumns({"_b": at, "_tie": tie})
-    dealt = dealt.select("*", F.explode(F.when(F.col("doc_id") == F.get(head_of, F.col("_b")), F.array(own, guest)).otherwise(F.array(own))).alias("_at"))
-    order = Window.partitionBy("_at.b").orderBy("_at.guest", F.desc("doc_id"), "_tie")
+    dealt = dealt.select("*", F.explode(F.when(F.col("_key") == F.get(head_of, F.col("_b")), F.array(own, guest)).otherwise(F.array(own))).alias("_at"))
+    order = Window.partitionBy("_at.b").orderBy("_at.guest", F.desc("_key"), "_tie")
     led = dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return led.where("_at.guest = 0").drop("_b", "_tie", "_at")
+    return led.where("_at.guest = 0").drop("_key", "_b", "_tie", "_at")
 
 
 def fingerprints(docs: DataFrame, buckets: int = 64) -> DataFrame:

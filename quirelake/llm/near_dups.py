@@ -317,7 +317,10 @@ def across(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
 
 
 def group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, mark), a row per document."""
+    """(doc_id, n_shingles, component_id, kept, mark, group_key), a row per document.
+
+    Groups whose least doc_ids are equal, as ids can be repeated, still differ in ``group_key``.
+    """
     rows = staged(classify(docs, k), "signatures")
     full = rows.where("class is not null")
     classes = staged(full.groupBy("class").agg(F.min("doc_id").alias("lead"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
@@ -346,10 +349,10 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     label = components(found).withColumnRenamed("node", "class")
     named = classes.select("class", "lead").join(label, "class", "left").select("class", "lead", F.coalesce("label", "class").alias("label"))
     lowest = named.groupBy("label").agg(F.min("lead").alias("component_id"))
-    ids = staged(named.join(lowest, "label").select("class", "component_id"), "components")
+    ids = staged(named.join(lowest, "label").select("class", "component_id", F.col("label").alias("group_key")), "components")
     out = rows.select("doc_id", "mark", "class", F.col("n").alias("n_shingles")).join(ids, "class", "left")
     own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "mark")
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "mark", "group_key")
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -358,12 +361,15 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Where several rows of a group have that doc_id, one of them stays.
     """
     found = group(docs, k, percent)
-    found = staged(found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "component_id", "kept", "n_shingles"), "groups")
-    gone = staged(found.where(~F.col("kept")).select("_id", "_mark").distinct(), "gone")
-    same = (F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))) & (F.xxhash64("text") == F.col("_mark"))
-    left = docs.join(gone, same, "left_anti")
-    twice = staged(found.where("kept and n_shingles > 0").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id"), "twice")
-    if twice.isEmpty():
+    found = staged(found.select(F.col("doc_id").alias("_ql_id"), F.col("mark").alias("_ql_mark"), "kept", "group_key"), "groups")
+    # several rows of a group can have its least doc_id
+    several = staged(found.where("kept and group_key is not null").groupBy("group_key").agg(F.count("*").alias("n"), F.min("_ql_mark").alias("stays"), F.min("_ql_id").alias("_ql_id")).where("n > 1"), "several")
+    other = found.where("kept").join(several.select("group_key", "stays"), "group_key").where("_ql_mark != stays")
+    gone = staged(found.where(~F.col("kept")).select("_ql_id", "_ql_mark").unionByName(other.select("_ql_id", "_ql_mark")).distinct(), "gone")
+    same = lambda mark: F.col("doc_id").cast("long").eqNullSafe(F.col("_ql_id")) & (F.xxhash64("text") == F.col(mark))
+    left = docs.join(gone, same("_ql_mark"), "left_anti")
+    if several.isEmpty():
         return left
-    told = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    return left.join(twice, told, "left_anti").unionByName(left.join(twice, told, "left_semi").dropDuplicates(["doc_id"]))
+    twice = several.select("_ql_id", "stays").distinct()
+    one = left.join(twice, same("stays"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, same("stays"), "left_anti").unionByName(one)

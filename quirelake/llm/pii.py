@@ -14,7 +14,7 @@ that hold a detectable entity pass through Python or a shuffle.
 Defined results: null text stays null and texts without an entity stay byte for byte as they are.
 Names are mapped by part, so that a surname alone and a full name keep their coreference. Repeated
 rows are rewritten each. Rows with a null ``doc_id`` are rewritten too. An empty table gives an empty
-result. Other columns are kept, whatever their names.
+result. Other columns are kept; one named ``n_replaced`` is replaced.
 """
 
 from __future__ import annotations
@@ -204,16 +204,17 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with surrogates in ``text``, and ``n_replaced``."""
     if len(key) < 16:
         raise ValueError("the key must have 16 bytes at least")
+    docs = docs.drop("n_replaced")
     held = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
     found = staged(entities(docs.where(held).select("doc_id", "text")), "mentions")
     table = assign(found, key)
-    told = found.join(table, ["kind", "canon"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "canon", "surrogate")).alias("_told")).withColumnRenamed("doc_id", "_of")
+    told = found.join(table, ["kind", "canon"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "canon", "surrogate")).alias("_ql_told")).withColumnRenamed("doc_id", "_ql_of")
     names = docs.columns
 
     def rewritten(batches):
         for b in batches:
             texts, counts = [], []
-            for text, told in zip(b["text"], b["_told"], strict=True):
+            for text, told in zip(b["text"], b["_ql_told"], strict=True):
                 t, n = rewrite(text.as_py(), {(x["kind"], x["canon"]): x["surrogate"] for x in told.as_py() or ()})
                 texts.append(t)
                 counts.append(n)
@@ -221,5 +222,5 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], [*names, "n_replaced"])
 
     schema = StructType([*docs.schema.fields]).add("n_replaced", LongType())
-    changed = docs.where(held).join(told, F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left").drop("_of")
+    changed = docs.where(held).join(told, F.col("doc_id").cast("long").eqNullSafe(F.col("_ql_of")), "left").drop("_ql_of")
     return docs.where(~held).withColumn("n_replaced", F.lit(0).cast("long")).unionByName(arrow_map(changed, rewritten, schema))

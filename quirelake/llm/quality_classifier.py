@@ -144,7 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", learn:
 
 
 def score(docs: DataFrame, model: Model, out_col: str = "score") -> DataFrame:
-    """``docs`` with the score of their texts."""
+    """``docs`` with the score of their texts; a column that has the score's name is replaced."""
+    docs = docs.drop(out_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 

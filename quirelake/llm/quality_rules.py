@@ -9,7 +9,8 @@ joined to the documents. Everything is DataFrame expressions: no Python runs on
 Defined results: null text has no words and fails the base rule; null languages and sources are
 groups of their own; repeated rows count and are judged each; a text of any length is measured
 whole, in arrays of its own words; an empty table gives an empty result. Only ``doc_id``, ``text``,
-``lang`` and ``source`` are read for the verdict; other columns can have any name.
+``lang`` and ``source`` are read for the verdict; other columns
+can have any name, and ``filter_documents`` keeps them.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def fences(measured: DataFrame, least_group: int = 100, width: float = 5.0) -> D
     found = found.join(by_lang, F.col("lang").eqNullSafe(F.col("_of")), "left")
     found = found.join(F.broadcast(whole))  # one row
     q = lambda m, p: F.kll_sketch_get_quantile_double(F.col(f"_{m}"), F.lit(p))
-    found = found.withColumns({f"_{m}": F.when(F.col("n") >= least_group, F.col(m)).when(F.col("n_l") >= least_group, F.col(f"{m}_l")).otherwise(F.col(f"{m}_w")) for m in names})
+    found = found.withColumns({f"_{m}": F.when(F.col("n") >= least_group, F.col(m)).when(F.col("n_l") >= least_group, F.col(f"{m}_l")).when(F.col("n_w") > 0, F.col(f"{m}_w")) for m in names})
     out = []
     for m, least in LEAST_SPREAD.items():
         reach = width * F.greatest(q(m, 0.75) - q(m, 0.25), F.lit(least))
@@ -111,5 +112,5 @@ def filter_documents(docs: DataFrame, **settings) -> DataFrame:
     The verdicts meet the documents again by ``doc_id``; rows that share one are kept if any is.
     """
     measured = staged(measures(docs, ["doc_id", "lang", "source"]), "measures")
-    gone = staged(judge(measured, **settings).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).select("doc_id"), "gone")
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = staged(judge(measured, **settings).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).select(F.col("doc_id").alias("_ql_id")), "gone")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_ql_id")), "left_anti")

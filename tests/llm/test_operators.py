@@ -1,0 +1,461 @@
+"""The training-data operators against brute force on small tables, and on odd ones."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quirelake.llm import bpe, fingerprints, lattice, near_dups, packing, pii, quality_classifier, quality_rules, textnum, url_reputation, warc
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def ascii_lower(t):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), t)
+
+
+def words(t):
+    return WORD.findall(ascii_lower(t or ""))
+
+
+def prose(rng, n, pool=None):
+    pool = pool or [f"{a}{b}" for a in "bdfgklmnprst" for b in ("a", "en", "ou", "ist", "é", "ung")]
+    out = []
+    for i in range(n):
+        out.append(rng.choice(pool) + rng.choice(["", "", "s", "la", "ti"]))
+        out.append("\n" if i % 17 == 16 else " ")
+    return "".join(out).strip()
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    base = [prose(rng, rng.choice([3, 12, 40, 150, 400])) for _ in range(40)]
+    near = []
+    for t in base[:12]:
+        w = t.split(" ")
+        for _ in range(4):
+            v = list(w)
+            for _ in range(max(1, len(v) // 60)):
+                v[rng.randrange(len(v))] = "changed"
+            near.append(" ".join(v))
+    odd = ["", None, " \n\t ", "one", "A B", "x " * 3000, "é" * 500, "Ünï çödé “quotes” — ß", "the same line\nthe same line\nthe same line\nother", base[3], base[3], base[5].upper(), "a\x0bb\x0cc\rd e", "\u00a0no\u2003break", "<|endoftext|> in <|startoftext|> text"]
+    return base + near + odd
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i * 3, t, ["en", "de", None][i % 3], f"s{i % 2}", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, repeated rows, rows of one id, clashing names."""
+    rows = [(None, "no id at all", "en", "s", 1), (None, None, None, None, None), (1, "twice " * 30, "en", "s", 5), (1, "twice " * 30, "en", "s", 5), (2, "x", None, "s", 1), (2, "other text of the same id", "en", None, 1), (3, "", "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    names = ["score", "kept", "class", "label", "band", "hash", "row", "n", "_id", "sk", "salt", "rule"]
+    return df.withColumns({c: F.lit("extra") for c in names})
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+# op2
+
+
+def repeats(w, k=8):
+    wins = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    n = Counter(wins)
+    return len({j for i, x in enumerate(wins) if n[x] > 1 for j in range(i, i + k)})
+
+
+def test_quality_measures(docs, texts):
+    got = by_id(quality_rules.measures(docs, ["doc_id", "lang", "source"]))
+    for i, t in enumerate(texts):
+        t, r = t or "", got[i * 3]
+        w = WORD.findall(t)
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        want = (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), repeats(w))
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want, (i, t[:40])
+        assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+
+
+def test_quality_fences_follow_the_group(spark):
+    rng = random.Random(1)
+    rows = [(i, prose(rng, 60), "en", "plain", 0) for i in range(150)] + [(i, " ".join(x + "##" for x in prose(rng, 60).split()), "en", "marked", 0) for i in range(150, 300)]
+    rows += [(300, " ".join(x + "##" for x in prose(rng, 60).split()), "en", "plain", 0), (301, prose(rng, 60), "en", "rare", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = by_id(quality_rules.judge(quality_rules.measures(df, ["doc_id", "lang", "source"])))
+    assert not got[300]["kept"] and got[301]["kept"]
+    assert sum(got[i]["kept"] for i in range(300)) > 290
+    assert quality_rules.filter_documents(df).columns == df.columns
+
+
+# op9
+
+
+def test_next_document_and_edit(docs, texts):
+    ids = sorted((i * 3 for i in range(len(texts))), reverse=True)
+    text = {i * 3: t or "" for i, t in enumerate(texts)}
+    for buckets in (1, 2, 16):
+        got = by_id(fingerprints.fingerprints(docs, buckets))
+        assert len(got) == len(texts)
+        for k, i in enumerate(ids):
+            t, nxt = text[i], text[ids[(k + 1) % len(ids)]]
+            cut = len(t) // 3
+            edited = t[: len(t) - cut] + nxt[:cut]
+            assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+            assert 0 <= got[i]["near_edited"] <= 1
+    same = defaultdict(set)
+    for i, t in text.items():
+        same[t].add(got[i]["fingerprint"])
+    assert all(len(v) == 1 for v in same.values())
+
+
+def test_fingerprint_keeps_hashes_below_the_fraction(spark):
+    rng = random.Random(2)
+    long, short = prose(rng, 4000), prose(rng, 300)
+    df = spark.createDataFrame([(1, long), (2, long + " " + short), (3, short), (4, "")], "doc_id long, text string")
+    all_ = {r[0]: r[1] for r in df.select("doc_id", fingerprints.shingle_hashes(F.col("text"))).collect()}
+    kept = {r[0]: r[1] for r in df.select("doc_id", fingerprints.sketch(F.col("text"))).collect()}
+    most = -(2**63) + 2**64 // fingerprints.SCALE
+    assert kept[1] == sorted({h for h in all_[1] if h < most}) and kept[4] == []
+    r = df.select("doc_id", fingerprints.sketch(F.col("text")).alias("s")).groupBy().pivot("doc_id", [1, 2, 3]).agg(F.first("s")).select(fingerprints.likeness(F.col("3"), F.col("2")), F.size(fingerprints.merge(F.col("1"), F.col("3")))).first()
+    assert r[0] > 0.9 and r[1] == len(set(kept[1]) | set(kept[3]))
+
+
+# op4
+
+
+def test_url_parts_rules_and_bounds(spark):
+    urls = ["HTTP://Shop.Example.COM/en/7?x#y", "https://example.com/en/9", "http://a.b.net/de/8", "http://example.net/de/8/x", "http://c.net/de/", "http://x.org/es/1", "mailto:me", None, "http://", "x://h?q://z", "http://notexample.com/en/7", "http://com/en/"]
+    rules = [url_reputation.Rule("block", "com", "en/"), url_reputation.Rule("allow", "example.com", "en/7"), url_reputation.Rule("allow", "net", "de/"), url_reputation.Rule("block", "example.net", "de/8"), url_reputation.Rule("block", "org", "es/")]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r["page_id"]: r for r in url_reputation.judge(df, rules).collect()}
+    assert [(got[i]["host"], got[i]["path"]) for i in (0, 6, 7, 8, 9)] == [("shop.example.com", "/en/7"), ("", ""), ("", ""), ("", ""), ("h", "")]
+    assert [got[i]["rule"] for i in range(len(urls))] == ["example.com/en/7", "com/en/", "net/de/", "example.net/de/8", "net/de/", "org/es/", None, None, None, None, "com/en/", "com/en/"]
+    assert [got[i]["verdict"] for i in range(6)] == ["allow", "block", "allow", "block", "allow", "block"]
+    assert all(r["verdict"] in ("allow", "block") for r in got.values())
+
+
+def test_reputation_shrinks_to_parents(spark):
+    rows = [("a.bad.com", 100, 100), ("b.bad.com", 50, 50), ("new.bad.com", 0, 0), ("x.good.org", 80, 0), ("y.good.org", 1, 1), ("lone.net", 1, 1)]
+    got = {r["host"]: r for r in url_reputation.host_reputation(spark.createDataFrame(rows, "host string, n long, bad long")).collect()}
+    assert got["new.bad.com"]["rate"] > 0.8 and got["y.good.org"]["rate"] < 0.5
+    assert got["a.bad.com"]["deviation"] < got["new.bad.com"]["deviation"]
+    assert url_reputation.judge(spark.createDataFrame([], "page_id long, url string"), []).count() == 0
+
+
+# op6
+
+
+def test_classifier_learns_and_scores_every_text(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 50) if i % 2 else " ".join(x + "$$" for x in prose(rng, 50).split()), "en", "s", 0) for i in range(400)]
+    df = spark.createDataFrame([*rows, (400, "", "en", "s", 0), (401, None, "en", "s", 0)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 400, 2 if False else 1) if i % 5], "doc_id long, quality int, toxic int")
+    model = quality_classifier.train(df, labels)
+    got = by_id(quality_classifier.score(df, model))
+    assert all((got[i]["score"] > 0.5) == bool(i % 2) for i in range(0, 400, 5))
+    assert 0 <= got[400]["score"] <= 1 and got[400]["score"] == got[401]["score"]
+    none = quality_classifier.train(df, labels.where("false"))
+    assert by_id(quality_classifier.score(df, none))[1]["score"] == pytest.approx(0.5)
+
+
+# op7
+
+
+def brute_groups(texts, k, percent=80):
+    by = defaultdict(list)
+    for i, t in texts:
+        by[tuple(words(t))].append(i)
+    seqs = [w for w in by if w]
+    sets = [{w[i : i + k] for i in range(len(w) - k + 1)} if len(w) >= k else {w} for w in seqs]
+    up = list(range(len(sets)))
+
+    def root(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a in range(len(sets)):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+                up[root(a)] = root(b)
+    groups = defaultdict(list)
+    for a, w in enumerate(seqs):
+        groups[root(a)] += by[w]
+    want = {i: min(g) for g in groups.values() for i in g}
+    return want | {i: i for i in by.get((), [])}, {i: len(sets[a]) for a, w in enumerate(seqs) for i in by[w]}
+
+
+def test_near_duplicate_groups(docs, texts):
+    for k in (4, 5):
+        want, sizes = brute_groups([(i * 3, t) for i, t in enumerate(texts)], k)
+        got = by_id(near_dups.group(docs, k))
+        assert {i: r["component_id"] for i, r in got.items()} == want
+        assert all(r["n_shingles"] == sizes.get(i, 0) and r["kept"] == (i == want[i]) for i, r in got.items())
+
+
+def test_one_large_group_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "BLOCK", 8)
+    rng = random.Random(9)
+    base = prose(rng, 120).split(" ")
+    rows = []
+    for i in range(150):
+        v = list(base)
+        for _ in range(rng.choice([1, 2, 3, 5, 8])):
+            v[rng.randrange(len(v))] = f"w{i}"
+        rows.append((i, " ".join(v)))
+    want, _ = brute_groups(rows, 4)
+    got = near_dups.group(spark.createDataFrame(rows, "doc_id long, text string"), 4)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
+    label = {r["node"]: r["label"] for r in near_dups.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len({label[i] for i in range(61)}) == 1 and len({label[i] for i in range(100, 140)}) == 1 and len(set(label.values())) == 2
+
+
+def test_odd_sketches_estimate_similarity():
+    rng = np.random.default_rng(4)
+    for share in (0.75, 0.85, 0.95):
+        n = 1000
+        common = rng.integers(0, 2**63, int(2 * n * share / (1 + share))).astype(np.uint64)
+        a, b = (np.unique(np.concatenate([common, rng.integers(0, 2**63, n - len(common)).astype(np.uint64)])) for _ in range(2))
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        sa, sb = (near_dups.signature(x)[1][None, :] for x in (a, b))
+        assert abs(near_dups.estimates(sa, sb)[0, 0] - true) < near_dups.MARGIN
+
+
+def test_deduplicate_keeps_one_of_each_group(spark, docs, texts, odd):
+    want, _ = brute_groups([(i * 3, t) for i, t in enumerate(texts)], 5)
+    assert {r["doc_id"] for r in near_dups.deduplicate(docs).collect()} == set(want.values())
+    left = near_dups.deduplicate(odd)
+    assert left.columns == odd.columns
+    assert sorted((r["doc_id"] or -1, (r["text"] or "")[:5]) for r in left.collect()) == [(-1, ""), (-1, "no id"), (1, "twice"), (2, "other"), (2, "x"), (3, "")]
+
+
+# op3
+
+
+def test_surrogates_keep_layout_and_distinctness(spark):
+    text = 'Write to Ann.Lee@mail1.example.com or ANN.LEE@MAIL1.EXAMPLE.COM, call +1 (212) 555-0134, card 4111 1111 1111 1111, host 10.20.30.40, token = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e". Mrs. Anna Schmidt met Mr Schmidt and Herr Иван Петров; version 2.0 of 1999 stays.'
+    df = spark.createDataFrame([(1, text, "x"), (2, "call +1 (212) 555-0134 or +1 (212) 555-0135", "x"), (3, "nothing here", "x"), (4, None, "x"), (5, "", "x")], "doc_id long, text string, n_replaced string")
+    got = by_id(pii.replace(df, b"0123456789abcdef"))
+    new = got[1]["text"]
+    for secret in ("Ann.Lee", "ANN.LEE", "555-0134", "4111", "10.20.30.40", "4d44c79e", "Anna", "Schmidt", "Петров"):
+        assert secret not in new
+    m = re.search(r"Write to (\S+) or (\S+), call (\+\d \(\d{3}\) \d{3}-\d{4}), card (\d{4} \d{4} \d{4} \d{4}), host (\S+), token = \"([0-9a-f]{40})\"\. Mrs\. (\w+) (\w+) met Mr (\w+) and Herr ([а-яА-Я]+) ([а-яА-Я]+); version 2\.0 of 1999 stays\.", new)
+    assert m and m[1].upper() == m[2] and m[8] == m[9] and m[7].endswith("a")
+    a, b = re.findall(r"\+1? ?\S+ \(\d+\) \d+-\d+|\+\d \(\d{3}\) \d{3}-\d{4}", got[2]["text"])
+    assert a == m[3] and a != b
+    assert got[3]["text"] == "nothing here" and got[4]["text"] is None and got[5]["n_replaced"] == 0
+
+
+def test_clashing_surrogates_are_drawn_again(spark):
+    found = spark.createDataFrame([("card", str(i)) for i in range(10)], "kind string, canon string")
+    crowded = lambda key, kind, canon, attempt: str(10 + int(canon) % 3 + 10 * attempt) if attempt < 9 else f"free{canon}"
+    got = [r["surrogate"] for r in pii.assign(found, b"k" * 16, crowded).collect()]
+    assert len(got) == len(set(got)) == 10 and not set(got) & {str(i) for i in range(10)}
+
+
+# op1
+
+
+def test_packing_is_whole_and_tight(docs, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = packing.pack_documents(docs).orderBy("doc_id", "piece").collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["doc_id"]].append(r)
+    for i, t in enumerate(texts):
+        ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for k, r in enumerate(by[i * 3]):
+            part = ids[at : at + r["length"]]
+            assert (r["piece"], r["start"], r["ids_crc32"]) == (k, at, zlib.crc32(part.tobytes())) and len(part) == r["length"]
+            assert k == 0 or r["length"] == packing.CAPACITY
+            at += r["length"]
+        assert at == len(ids)
+    seq = defaultdict(list)
+    for r in rows:
+        seq[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in seq.values():
+        end = 0
+        for o, n in sorted(parts):
+            assert o == end
+            end += n
+        assert end <= packing.CAPACITY
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_places_every_piece_once(seed):
+    rng = random.Random(seed)
+    counts = Counter(rng.choice([rng.randint(1, 100), rng.randint(30, 60), 50, 34]) for _ in range(rng.choice([1, 40, 3000])))
+    p = packing.plan(counts, 100)
+    length = np.repeat(list(counts), list(counts.values()))
+    rank = np.concatenate([np.arange(c) for c in counts.values()])
+    seq, off = p.places(length, rank)
+    room = defaultdict(list)
+    for s, o, n in zip(seq, off, length, strict=True):
+        room[s].append((o, n))
+    for parts in room.values():
+        end = 0
+        for o, n in sorted(parts):
+            assert o == end
+            end += n
+        assert end <= 100
+    assert len(room) == p.sequences
+    least = max(-(-int(length.sum()) // 100), sum(c for n, c in counts.items() if n > 50))
+    assert p.sequences <= least * 1.23 + 1
+
+
+# op5
+
+
+def test_warc_round_trip(spark):
+    rng = random.Random(6)
+    big = "é" + prose(rng, 9000)
+    html = [big, "<p>" + "a" * 200, "<p>" + "a" * 200, "<p>" + "a" * 200, "small", "small", None, "", "x\r\n\r\nWARC/1.1\r\n" * 40, big]
+    df = spark.createDataFrame([(i + 1, f"http://h/{i}\r\nX: y" if i == 1 else f"http://h/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in warc.archive(df).collect()}
+    for i, h in enumerate(html):
+        raw, r = (h or "").encode(), got[i + 1]
+        same = [j + 1 for j, x in enumerate(html) if x == h and len(raw) >= 100]
+        first = min(same, default=i + 1)
+        assert (r["payload_bytes"], r["payload_digest"], r["verified"]) == (len(raw), hashlib.sha256(raw).hexdigest(), True)
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if first == i + 1 else ("revisit", first))
+    assert warc.archive(df.where("false")).count() == 0
+    assert warc.archive(df.unionByName(df)).count() == 2 * len(html)
+
+
+def test_broken_segments_and_chunks_are_told(spark, tmp_path):
+    payload = b"z" * 50_000
+    parts = list(warc.records_of(1, "1:1", "http://h", payload, None))
+    assert len(parts) == 4 and warc.unchunked(warc.chunked(payload)) == payload
+    assert warc.unchunked(b"5\r\nab") is None and warc.unchunked(b"x\r\n") is None and warc.unchunked(b"3\r\nabc\r\n0\r\n\r\n") == b"abc"
+    for name, kept in (("missing", parts[:2] + parts[3:]), ("twice", [*parts, parts[1]]), ("shuffled", parts[::-1])):
+        spark.createDataFrame([(bytearray(p),) for p in kept], "value binary").coalesce(1).select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(str(tmp_path / name))
+        r = warc.read(spark, str(tmp_path / name)).collect()
+        assert [x["verified"] for x in r] == [name == "shuffled"]
+
+
+# op8
+
+
+def test_lattice_scores(spark, docs, texts):
+    learn = F.col("doc_id") % 2 == 0
+    for frequent in (5, 100_000):
+        got = by_id(lattice.score(docs, learn, frequent=frequent))
+        count = Counter()
+        for i, t in enumerate(texts):
+            if i * 3 % 2 == 0:
+                count.update([*words(t), None])
+        n, v = sum(count.values()), len(count)
+        for i, t in enumerate(texts):
+            w, r = [*words(t), None], got[i * 3]
+            base = sum(np.log10((count[x] + 1) / (n + v + 1)) for x in w)
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(count[x] > 0 for x in w), n)
+            assert r["base_score"] == pytest.approx(base) and r["score"] < 0
+    some = {i * 3: r for i, r in ((i, got[i * 3]["score"]) for i in range(len(texts)))}
+    assert some[0] != some[3]
+
+
+def test_marginal_sums_all_segmentations():
+    pieces = lattice.vocabulary("piece_bpe_32k.model")
+    logp, found = pieces.start, {}
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    known = {}
+    j = 0
+    for i in range(model.get_piece_size()):
+        if model.is_control(i) or model.is_unknown(i):
+            continue
+        raw = bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).encode()
+        if raw not in known:
+            known[raw] = j
+            j += 1
+
+    def brute(b):
+        total = 1.0 if not b else 0.0
+        for k in range(1, len(b) + 1):
+            if b[:k] in known:
+                total += np.exp(logp[known[b[:k]]]) * (found[b[k:]] if b[k:] in found else brute(b[k:]))
+        found[b] = total
+        return total
+
+    ws = ["then", "é", "zzq", "of"]
+    own = lattice.marginals([w.encode() for w in ws], pieces, logp, np.ones(len(ws)))
+    assert own[0] == pytest.approx([np.log(brute("▁".encode() + w.encode())) for w in ws])
+    assert own[1].sum() > len(ws) - 1e-9
+    assert np.exp(logp).sum() == pytest.approx(1.0)
+
+
+# op10
+
+
+def test_bpe_equals_the_library(docs, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = by_id(bpe.digests(docs))
+    own = bpe.tokenizer("word_bpe_49k.json")
+    extra = ["aaaaaaaaaaaaab" * 50, "don't WE'LL 'S", "ΣΑΣ İstanbul ǅ ﬁ", "日本語 123 ４５", "e\u0301 \u212b", "\ud7ff\u200d\U0001f600!!"]
+    for t in extra:
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert own.encode(t) == ids and own.decode(ids) == lib.decode(ids, skip_special_tokens=False), t
+    for i, t in enumerate(texts):
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        r = got[i * 3]
+        assert r["n_tokens"] == len(ids), t
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+# all
+
+
+def test_odd_tables(spark, odd):
+    n = odd.count()
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 1, 0), (None, 0, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
+    ops = {
+        "packing": packing.pack_documents, "bpe": bpe.digests, "fingerprints": fingerprints.fingerprints, "groups": lambda d: near_dups.group(d, 4),
+        "rules": lambda d: quality_rules.judge(quality_rules.measures(d, ["doc_id", "lang", "source"])), "lattice": lambda d: lattice.score(d, F.col("doc_id") == 1),
+        "pii": lambda d: pii.replace(d, b"k" * 16), "scores": lambda d: quality_classifier.score(d, quality_classifier.train(d, labels)),
+    }
+    for name, op in ops.items():
+        assert op(odd).count() == n, name
+        assert op(odd.where("false")).count() == 0, name
+
+
+def test_words_of_bytes_match_the_pattern(texts):
+    raw = [(t or "").encode() for t in texts]
+    data, at = textnum.padded(raw, lower=True)
+    s, e = textnum.word_bounds(data)
+    of = textnum.text_of_word(s, at)
+    got = defaultdict(list)
+    for a, b, o in zip(s, e, of, strict=True):
+        got[o].append(data[a:b].tobytes().decode())
+    assert [got[i] for i in range(len(texts))] == [words(t) for t in texts]
+    h = textnum.word_hashes(data, s, e)
+    seen = {}
+    for a, b, x in zip(s, e, h, strict=True):
+        assert seen.setdefault(data[a:b].tobytes(), x) == x
+    assert len(set(h.tolist())) == len(seen)
