@@ -83,7 +83,8 @@ def _present(values: Column) -> Column:
 
 def _title(f: Column) -> Column:
     """Subfields a, then b, then c, whatever their order in the field."""
-    parts = F.concat(*[F.filter(f["sub"], lambda s, c=c: s["_code"] == c) for c in "abc"])
+    of = lambda code: F.filter(f["sub"], lambda s: s["_code"] == code)
+    parts = F.concat(of("a"), of("b"), of("c"))
     text = F.trim(F.array_join(F.transform(parts, lambda s: s["_VALUE"]), " "))
     return F.when(F.size(parts) > 0, F.struct(text.alias("value"), F.array_distinct(F.transform(parts, lambda s: F.concat(f["tag"], F.lit("$"), s["_code"]))).alias("source")))
 
@@ -150,7 +151,7 @@ def report(raw: DataFrame, records: DataFrame) -> DataFrame:
     """One row: records read, kept, unreadable, and how many have each part."""
     has = lambda c: F.count_if(F.size(c) > 0).alias(f"with_{c}")
     kept = records.agg(F.count("*").alias("records"), F.count("title").alias("with_title"), *[has(c) for c in ("imprints", "languages", "subjects", "agents", "notes")])
-    read = raw.agg(F.count("*").alias("read"), F.count("_corrupt").alias("unreadable"))
+    read = raw.agg(F.count("*").alias("read"), F.count("_corrupt").alias("unreadable"), F.count("controlfield").alias("identified"))
     return read.crossJoin(F.broadcast(kept))  # one row each
 
 
