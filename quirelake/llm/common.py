@@ -48,16 +48,16 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing will read any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for parent in parents:
-        if root.split(":")[-1].lstrip("/") in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
+#: Rows of a staged side, of a few numbers each, that may go to every executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged table of a few numbers a row, marked for broadcast where it has at most ``most`` rows.
+
+    Beyond that it is joined by a shuffle, as any other.
+    """
+    return F.broadcast(df) if df.count() <= most else df
 
 
 #: Bytes of a batch that Python gets at once; a longer row is a batch of its own.

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import arrow_map, staged
+from .common import arrow_map, sized, staged
 
 U = np.uint64
 #: MinHash samples, of which the bands take the first ones.
@@ -149,7 +149,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 c, s = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(s, pa.list_(pa.int64()))], ["class", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("lead"), "text").join(wanted.select("lead", F.col("class").alias("want")), "lead")
+    texts = docs.select(F.col("doc_id").cast("long").alias("lead"), "text").join(sized(wanted.select("lead", F.col("class").alias("want"))), "lead")
     return arrow_map(texts, made, "class long, shingles array<long>").dropDuplicates(["class"])
 
 
@@ -330,7 +330,7 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     paired = members.where("class != first").groupBy("class", "first").agg(F.count("*").alias("shared"))
     star = paired.groupBy("class").agg(F.max(F.struct("shared", "first")).alias("s")).select(F.col("class").alias("a"), F.col("s.first").alias("b"))
-    wanted = members.select("class").distinct().join(classes.select("class", "lead"), "class")
+    wanted = staged(members.select("class").distinct().join(classes.select("class", "lead"), "class"), "wanted")
     sets = staged(full_sets(docs, wanted, k), "sets")
     found = staged(links(star, sets, percent), "links")
     label = components(found)
@@ -367,7 +367,7 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     other = found.where("kept").join(several.select("group_key", "stays"), "group_key").where("_ql_mark != stays")
     gone = staged(found.where(~F.col("kept")).select("_ql_id", "_ql_mark").unionByName(other.select("_ql_id", "_ql_mark")).distinct(), "gone")
     same = lambda mark: F.col("doc_id").cast("long").eqNullSafe(F.col("_ql_id")) & (F.xxhash64("text") == F.col(mark))
-    left = docs.join(gone, same("_ql_mark"), "left_anti")
+    left = docs.join(sized(gone), same("_ql_mark"), "left_anti")
     if several.isEmpty():
         return left
     twice = several.select("_ql_id", "stays").distinct()

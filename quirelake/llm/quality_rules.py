@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, bind, fold, staged, words
+from .common import BLANKS, bind, fold, sized, staged, words
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -113,4 +113,4 @@ def filter_documents(docs: DataFrame, **settings) -> DataFrame:
     """
     measured = staged(measures(docs, ["doc_id", "lang", "source"]), "measures")
     gone = staged(judge(measured, **settings).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).select(F.col("doc_id").alias("_ql_id")), "gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_ql_id")), "left_anti")
+    return docs.join(sized(gone), F.col("doc_id").eqNullSafe(F.col("_ql_id")), "left_anti")
