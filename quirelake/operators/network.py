@@ -90,9 +90,9 @@ def same_place_period(cat: Catalog, least: int = 10) -> DataFrame:
     b = dealt.select("place", "decade", F.col("agent_norm").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
     s, e = F.greatest("la", "lb"), F.least("ha", "hb")
     pairs = a.join(b, ["place", "decade"]).where((F.col("a") < F.col("b")) & (e - s >= least) & (F.col("decade") == F.floor(s / 10)))
-    pairs = pairs.select("a", "b", "place", s.alias("s"), e.alias("e"))
-    out = _edge(pairs, "same_place_period", F.col("a"), F.col("b"), F.lit(0.70), F.concat(F.lit("both active in "), "place"), F.lit(True), F.concat("place", F.lit(": "), F.col("s").cast("string"), F.lit("-"), F.col("e").cast("string")))
-    return first_wins(out, ["source", "target", "type"], ["evidence"])
+    # of several places the first by name
+    pairs = pairs.groupBy("a", "b").agg(F.min(F.struct("place", s.alias("s"), e.alias("e"))).alias("p")).select("a", "b", "p.*")
+    return _edge(pairs, "same_place_period", F.col("a"), F.col("b"), F.lit(0.70), F.concat(F.lit("both active in "), "place"), F.lit(True), F.concat("place", F.lit(": "), F.col("s").cast("string"), F.lit("-"), F.col("e").cast("string")))
 
 
 def resolve_names(cat: Catalog, names: DataFrame) -> DataFrame:

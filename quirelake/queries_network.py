@@ -23,7 +23,7 @@ def edges_same_record(spark, d):
 _ACT = with_sql("agents", "imprints") + ", act as (select agent_norm, place_norm as place, min(date_start) as lo, max(date_start) as hi from agents join imprints using (record_id) where date_start is not null and agent_norm like 'supplier%' group by 1, 2)"
 
 
-@query("edges_same_place_period", _ACT + " select a.agent_norm as source, b.agent_norm as target, min(concat(a.place, ': ', cast(greatest(a.lo, b.lo) as varchar), '-', cast(least(a.hi, b.hi) as varchar))) as evidence from act a join act b on a.place = b.place and a.agent_norm < b.agent_norm where least(a.hi, b.hi) - greatest(a.lo, b.lo) >= 6 group by 1, 2")
+@query("edges_same_place_period", _ACT + " select a.agent_norm as source, b.agent_norm as target, arg_min(concat(a.place, ': ', cast(greatest(a.lo, b.lo) as varchar), '-', cast(least(a.hi, b.hi) as varchar)), a.place) as evidence from act a join act b on a.place = b.place and a.agent_norm < b.agent_norm where least(a.hi, b.hi) - greatest(a.lo, b.lo) >= 6 group by 1, 2")
 def edges_same_place_period(spark, d):
     cat = catalog(spark, d)
     cat.agents = cat.agents.where("agent_norm like 'supplier%'")
