@@ -12,7 +12,8 @@ URL_RULES = [url_reputation.Rule("block", "com", "en/"), url_reputation.Rule("al
 
 
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_reputation.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    judged = url_reputation.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "labelled")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
