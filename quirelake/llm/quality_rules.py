@@ -23,7 +23,7 @@ from .common import BLANKS, bind, fold, sized, staged, words
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 #: Measures that are judged, each with the least distance between quartiles that counts.
-LEAST_SPREAD = {"mean_word": 0.75, "symbol_rate": 0.02, "dup_line_rate": 0.08, "repeat_rate": 0.05}
+LEAST_SPREAD = {"mean_word": 0.75, "symbol_rate": 0.02, "dup_line_rate": 0.08, "repeat_rate": 0.06}
 #: Measures whose low side is judged too.
 BOTH_SIDES = ("mean_word",)
 
