@@ -147,3 +147,20 @@ def active_years(text: Column) -> Column:
     first, second = F.get(found, F.lit(0)), F.get(found, F.lit(1))
     open_end = text.rlike(r"[-–]\s*$")
     return F.struct(first.alias("start"), F.coalesce(second, F.when(~open_end, first)).alias("end"))
+
+
+def wikidata_year(text: Column) -> Column:
+    """The year of a time such as ``+1488-00-00T00:00:00Z``, negative before our era."""
+    found = F.regexp_extract(text, r"^([+-]?\d{1,6})-\d{2}-\d{2}", 1)
+    return F.when(found != "", F.regexp_replace(found, r"^\+", "").cast("int"))
+
+
+def wikidata_point(text: Column) -> Column:
+    """struct<lat, lon> of ``Point(lon lat)``."""
+    lon, lat = (F.regexp_extract(text, r"(?i)^Point\(\s*(-?[\d.]+)\s+(-?[\d.]+)\s*\)$", g) for g in (1, 2))
+    return F.when(lon != "", F.struct(lat.cast("double").alias("lat"), lon.cast("double").alias("lon")))
+
+
+def wikidata_id(uri: Column) -> Column:
+    found = F.regexp_extract(uri, r"(?:^|/)(Q\d+)$", 1)
+    return F.when(found != "", found)

@@ -47,6 +47,16 @@ def first_aliases(aliases: DataFrame) -> DataFrame:
     return first_wins(a, ["alias_form_lower"], ["rank", "authority_id"]).drop("rank").withColumn("script", text.script(F.col("alias_form")))
 
 
+def put(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+    """The table with rows added, or put in the place of those with their key."""
+    return table.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows, allowMissingColumns=True)
+
+
+def remove(table: DataFrame, variants: DataFrame, ids: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(table, variants) without the authorities of these ids, nor their forms."""
+    return table.where(~F.col("id").isin(ids)), variants.where(~F.col("authority_id").isin(ids))
+
+
 def by_form(variants: DataFrame, form: str, column: str = "variant_form_lower") -> DataFrame:
     """The authority ids that a form belongs to."""
     return variants.where(F.col(column) == form.strip().lower()).select("authority_id").distinct()

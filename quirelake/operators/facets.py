@@ -173,6 +173,11 @@ def all_ids(cat: Catalog, filters: list[dict]) -> DataFrame:
     return scope
 
 
+def subject_hints(cat: Catalog, limit: int = 100) -> DataFrame:
+    """(value, count): the headings that occur most often, each occurrence counted."""
+    return cat.subjects.where("value is not null").groupBy("value").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "value").limit(limit)
+
+
 def methods(df: DataFrame, method: str) -> DataFrame:
     """(method, count, percentage) with the missing method as NULL."""
     total = df.agg(F.count("*").alias("_t"))

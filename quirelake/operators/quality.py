@@ -260,6 +260,12 @@ def worst_queries(labels: DataFrame, query: str, label: str, limit: int = 10) ->
     return out.orderBy(F.desc("bad"), "query").limit(limit)
 
 
+def export_gold(labels: DataFrame, query: str, record: str, label: str) -> DataFrame:
+    """(query, includes, excludes): the records that labels of 1 and 0 name, sorted."""
+    of = lambda v: F.array_sort(F.collect_set(F.when(F.col(label) == v, F.col(record))))
+    return labels.groupBy(F.col(query).alias("query")).agg(of(1).alias("includes"), of(0).alias("excludes"))
+
+
 def renormalized(imprints: DataFrame) -> DataFrame:
     """Raw dates that are normalized again to something else than the table holds."""
     d = dates.normalize_date(F.col("date_raw"))

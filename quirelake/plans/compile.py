@@ -118,9 +118,11 @@ def joined(cat: Catalog, filters: list[Filter]) -> tuple[DataFrame, list[str]]:
     return df, tables
 
 
-def ids(cat: Catalog, plan: QueryPlan) -> DataFrame:
-    """The matching records' mms_id, each once."""
+def ids(cat: Catalog, plan: QueryPlan, least_confidence: dict[str, float] | None = None) -> DataFrame:
+    """The matching records' mms_id, each once; confidence columns of the joined rows can have a least value."""
     df, _ = joined(cat, plan.filters)
+    for column, least in (least_confidence or {}).items():
+        df = df.where(F.col(column) >= least)
     df = df.select("mms_id").distinct()
     return df.orderBy("mms_id").limit(plan.limit) if plan.limit else df
 

@@ -69,8 +69,14 @@ def order(steps: list[Step]) -> list[int]:
 
 
 class Executor:
-    def __init__(self, cat: Catalog, concepts: dict[str, list[str]] | None = None, previous: DataFrame | None = None):
-        self.cat, self.concepts, self.previous = cat, concepts or {}, previous
+    """Runs plans on a catalogue.
+
+    ``concepts`` widens topics by name; ``previous`` is what ``$previous_results`` means; ``hints`` is
+    asked once for other filters where a retrieval on subjects finds nothing, with the commonest headings.
+    """
+
+    def __init__(self, cat: Catalog, concepts: dict[str, list[str]] | None = None, previous: DataFrame | None = None, hints: Callable[[list[Filter], DataFrame], list[Filter] | None] | None = None):
+        self.cat, self.concepts, self.previous, self.hints = cat, concepts or {}, previous, hints
         self.handlers: dict[str, Callable[[dict, dict[int, Result]], Result]] = {a: getattr(self, a) for a in ACTIONS}
 
     def run(self, steps: list[Step]) -> dict[int, Result]:
@@ -85,6 +91,19 @@ class Executor:
                 done[i] = Result("none", None, "error", message=str(e))
         return done
 
+    def connect(self, done: dict[int, Result], most: int = 5) -> Result | None:
+        """How the agents of the records retrieved are connected, where no step asked for it.
+
+        The ``most`` agents with most of the records, if there are at least two.
+        """
+        found = [r for r in done.values() if r.kind == "records" and r.table is not None]
+        if not found or any(r.kind == "connections" for r in done.values()):
+            return None
+        scope = reduce(DataFrame.unionByName, [self._records(r) for r in found]).distinct()
+        top = facets.within(self.cat.agents.where("agent_norm is not null"), scope).groupBy("agent_norm").agg(F.count_distinct("record_id").alias("n")).orderBy(F.desc("n"), "agent_norm").limit(most)
+        names = [r["agent_norm"] for r in top.collect()]
+        return Result("connections", network.connections(self.cat, names)) if len(names) > 1 else None
+
     # scopes and references
 
     def scope(self, text: str | None, done: dict[int, Result]) -> DataFrame | None:
@@ -146,6 +165,10 @@ class Executor:
             found, notes = self.ids(filters, scope), []
             if filters and found.isEmpty():
                 found, notes = self._relax(filters, scope)
+            if self.hints and any(f.field == "subject" for f in filters) and found.isEmpty():
+                other = self.hints(filters, facets.subject_hints(self.cat))
+                if other:
+                    found, notes = self.ids(other, scope), [*notes, "subjects by hint"]
         return Result("records", found, "empty" if found.isEmpty() else "ok", notes)
 
     def _relax(self, filters: list[Filter], scope: DataFrame | None) -> tuple[DataFrame, list[str]]:

@@ -237,3 +237,24 @@ def plan_dag_scope_union(spark, d):
         Step("retrieve", {"filters": [{"field": "publisher", "op": "IN", "value": "$step_2"}]}),
     ]
     return Executor(catalog(spark, d)).run(steps)[0].table
+
+
+query("subject_hints", with_sql("subjects") + "select value, count(*) as count from subjects group by 1 order by count desc, value limit 100")(lambda spark, d: facets.subject_hints(catalog(spark, d)))
+query("filter_min_confidence", with_sql("records", "imprints") + f"{R} where country_name = 'asia' and publisher_confidence >= 0.8")(lambda spark, d: compiler.ids(catalog(spark, d), QueryPlan([Filter("country", "EQUALS", "asia")]), {"publisher_confidence": 0.8}))
+
+
+@query("hint_retry", with_sql("records", "subjects") + "select distinct mms_id from records join subjects on record_id = id where lower(value) = (select lower(value) from subjects group by value order by count(*) desc, value limit 1)")
+def hint_retry(spark, d):
+    """A subject that no record has, asked again with the commonest heading."""
+    commonest = lambda filters, hints: [Filter("subject", "EQUALS", hints.first()["value"])]
+    steps = [Step("retrieve", {"filters": [{"field": "subject", "op": "CONTAINS", "value": "quantum physics"}]})]
+    return Executor(catalog(spark, d), hints=commonest).run(steps)[0].table
+
+
+@query("auto_connections", with_sql("agents") + """, s as (select distinct record_id from agents where agent_norm = 'customer#000000000'),
+    t as (select agent_norm from agents where record_id in (select record_id from s) group by 1 order by count(distinct record_id) desc, agent_norm limit 5)
+    select a.agent_norm as a, b.agent_norm as b from agents a join agents b on a.record_id = b.record_id and a.agent_norm < b.agent_norm where a.agent_norm in (select * from t) and b.agent_norm in (select * from t) and a.role_norm is distinct from b.role_norm group by 1, 2 having count(distinct a.record_id) >= 2""")
+def auto_connections(spark, d):
+    executor = Executor(catalog(spark, d))
+    done = executor.run([Step("retrieve", {"filters": [{"field": "agent_norm", "op": "EQUALS", "value": "customer#000000000"}]})])
+    return executor.connect(done).table.select("a", "b")

@@ -133,6 +133,22 @@ def fuzzy_linkage(spark, d):
     return authority.fuzzy_links(left, p.select(F.col("p_name").alias("match")).distinct())
 
 
+@query("wikidata_values", "select c_custkey, cast(1400 + c_custkey % 300 as integer) as year, cast(c_custkey % 90 as double) as lat, cast(-(c_custkey % 180) as double) as lon, concat('Q', cast(c_custkey + 1 as varchar)) as qid from customer")
+def wikidata_values(spark, d):
+    k = F.col("c_custkey")
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    point = dates.wikidata_point(F.concat(F.lit("Point("), (-(k % 180)).cast("string"), F.lit(" "), (k % 90).cast("string"), F.lit(")")))
+    c = c.select("c_custkey", dates.wikidata_year(F.concat(F.lit("+"), (1400 + k % 300).cast("string"), F.lit("-00-00T00:00:00Z"))).alias("year"), point.alias("p"), dates.wikidata_id(F.concat(F.lit("http://www.wikidata.org/entity/Q"), (k + 1).cast("string"))).alias("qid"))
+    return c.select("c_custkey", "year", "p.lat", "p.lon", "qid")
+
+
+@query("name_forms", "select c_custkey, concat('Anna Maria Lee', cast(c_custkey as varchar)) as turned, concat('Lee', cast(c_custkey as varchar), ', Anna Maria') as back, 1500 as \"start\", cast(1500 + c_custkey % 60 as integer) as \"end\" from customer")
+def name_forms(spark, d):
+    k = F.col("c_custkey").cast("string")
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.concat(F.lit("Lee"), k, F.lit(", Anna Maria")).alias("n"), dates.active_years(F.concat(F.lit("fl. 1500-"), (1500 + F.col("c_custkey") % 60).cast("string"))).alias("y"))
+    return c.select("c_custkey", text.reorder_name(F.col("n")).alias("turned"), text.reorder_name(text.reorder_name(F.col("n"))).alias("back"), "y.start", "y.end")
+
+
 MARC = """<collection xmlns="http://www.loc.gov/MARC21/slim"><record><leader>00000nam a2200000</leader><controlfield tag="001">0099</controlfield><controlfield tag="008">850101s1565    it            000 0 heb d</controlfield><datafield tag="041" ind1=" " ind2=" "><subfield code="a">heb</subfield><subfield code="a">lat</subfield></datafield><datafield tag="100" ind1="1" ind2=" "><subfield code="a">Karo, Joseph,</subfield><subfield code="d">1488-1575</subfield></datafield><datafield tag="245" ind1="1" ind2="0"><subfield code="c">by J. Karo.</subfield><subfield code="a">Shulchan Aruch /</subfield></datafield><datafield tag="260" ind1=" " ind2=" "><subfield code="a">[Venice] :</subfield><subfield code="b">Bragadin,</subfield><subfield code="c">[1565]</subfield></datafield><datafield tag="650" ind1=" " ind2="0"><subfield code="a">Jewish law</subfield><subfield code="x">History</subfield><subfield code="2">lcsh</subfield></datafield><datafield tag="700" ind1="1" ind2=" "><subfield code="a">Bomberg, Daniel</subfield><subfield code="4">prt</subfield></datafield></record><record><leader/><datafield tag="245" ind1="0" ind2="0"><subfield code="a">Without an identifier</subfield></datafield></record></collection>"""
 
 

@@ -77,9 +77,12 @@ query("works_of_agent", with_sql("records", "agents", "imprints") + "select mms_
 query("printed_by", with_sql("agents", "imprints", "publisher_authorities", "publisher_variants") + ", l as (select distinct id, canonical_name, record_id from (select id, canonical_name, canonical_name_lower as k from publisher_authorities union select authority_id, canonical_name, variant_form_lower from publisher_variants join publisher_authorities on id = authority_id) x join imprints on publisher_norm = k) select agent_norm as source, concat('pub:', canonical_name) as target, round(least(0.7 + 0.1 * count(distinct l.record_id), 1.0), 9) as confidence from l join agents using (record_id) where role_norm = 'author' group by 1, 2")(lambda spark, d: network.printed_by(catalog(spark, d)).select("source", "target", F.round("confidence", 9).alias("confidence")))
 
 
-@query("find_connections", with_sql("agents") + f"select a, b, 'co_publication' as relationship, 0.85 as confidence from ({_PAIRS}) where a in ('supplier#000000001', 'supplier#000000002', 'supplier#000000003') and b like 'supplier%' and b in ('supplier#000000002', 'supplier#000000003') and ra is distinct from rb group by 1, 2 having count(distinct record_id) >= 2 union all select a, b, 'co_publication', 0.85 from ({_PAIRS}) where a = 'customer#000000007' and b in ('supplier#000000001', 'supplier#000000002', 'supplier#000000003') and ra is distinct from rb group by 1, 2 having count(distinct record_id) >= 2")
+_ASKED = "('supplier#000000013', 'supplier#000000065', 'supplier#000000053', 'customer#000000000', 'customer#000000001')"
+
+
+@query("find_connections", with_sql("agents") + f"select a, b, 'co_publication' as relationship, 0.85 as confidence from ({_PAIRS}) where a in {_ASKED} and b in {_ASKED} and ra is distinct from rb group by 1, 2 having count(distinct record_id) >= 2")
 def find_connections(spark, d):
-    return network.connections(catalog(spark, d), ["Press, No 1", "supplier#000000002", "Supplier#000000003", "customer#000000007"])
+    return network.connections(catalog(spark, d), ["Press, No 13", "supplier#000000065", "Supplier#000000053", "customer#000000000", "Customer#000000001"])
 
 
 @query("merge_duplicate_nodes", with_sql("agents") + ", n as (select agent_norm, substr(agent_norm, length(agent_norm) - 1) as w, count(distinct record_id) as c from agents group by 1) select w as wikidata_id, agent_norm from n qualify row_number() over (partition by w order by c desc, agent_norm) = 1")

@@ -126,3 +126,18 @@ def cache_live(spark, d):
     return live.select(F.col("key").cast("long").alias("user_id"), "value")
 
 
+
+
+@query("gold_export", "select doc_id % 40 as query, coalesce(string_agg(distinct case when quality = 1 then cast(doc_id as varchar) end, ',' order by case when quality = 1 then cast(doc_id as varchar) end), '') as includes, count(distinct case when quality = 0 then doc_id end) as n_excludes from labels group by 1")
+def gold_export(spark, d):
+    labels = spark.read.parquet(f"{d}/labels.parquet").select((F.col("doc_id") % 40).alias("q"), F.col("doc_id").cast("string").alias("r"), "quality")
+    g = quality.export_gold(labels, "q", "r", "quality")
+    return g.select("query", F.array_join("includes", ",").alias("includes"), F.size("excludes").cast("long").alias("n_excludes"))
+
+
+@query("authority_put_remove", "select s_suppkey as id, case when s_suppkey % 2 = 0 then concat('new ', s_name) else s_name end as canonical_name from supplier where s_suppkey % 3 <> 0 and s_suppkey not in (1, 2)")
+def authority_put_remove(spark, d):
+    cat = catalog(spark, d)
+    table = cat.publisher_authorities.select("id", "canonical_name")
+    new = table.where("id % 2 = 0").withColumn("canonical_name", F.concat(F.lit("new "), "canonical_name"))
+    return authority.remove(authority.put(table, new), cat.publisher_variants, [1, 2])[0]
