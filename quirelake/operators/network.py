@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..shared import shared_dir
 from ..sources.catalog import PERSON, Catalog, first_wins
 
 #: Sources of edges in the order in which the first to name a pair and type is kept.
@@ -312,16 +313,9 @@ def neighbourhood(edges: DataFrame, agent: str, hops: int) -> DataFrame:
 
 def _cut(df: DataFrame) -> DataFrame:
     """Lineage ends here: at a checkpoint in the shared folder where one is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="quirelake-")
-        spark.sparkContext.setCheckpointDir(folder)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from .functions import dates, names, text
 from .operators import authority
 from .registry import query
+from .shared import shared_dir
 from .sources import marc
 
 _RAW = """with raw as (select distinct l_partkey, l_linenumber, cast(year(l_shipdate) - 400 as integer) as y from lineitem),
@@ -154,9 +155,8 @@ MARC = """<collection xmlns="http://www.loc.gov/MARC21/slim"><record><leader>000
 
 @query("marc_ingest")
 def marc_ingest(spark, d):
-    """A MARC file, written to the shared folder where there is one, into the catalogue's imprints."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quirelake-")
-    path = f"{folder}/marc-{abs(hash(MARC))}"
+    """A MARC file, written to the shared folder, into the catalogue's imprints."""
+    path = f"{shared_dir(spark)}/marc-{uuid.uuid4().hex}"
     spark.createDataFrame([(MARC,)], "value string").coalesce(1).write.mode("overwrite").text(path)
     records = marc.canonical(marc.read_xml(spark, path))
     t = marc.flatten(marc.normalized(records), {"it": "italy"})
