@@ -84,17 +84,13 @@ def shorten(c: Column, most: int) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
 
 
-def _count(c: Column, kind: str) -> Column:
-    return F.length(F.regexp_replace(c, f"[^{kind}]", ""))
-
-
 HEBREW, ARABIC = r"\x{0590}-\x{05FF}", r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}"
 
 
 def script(c: Column) -> Column:
     """The script of most letters: hebrew, arabic or latin; ties go to the script that is not Latin."""
-    h, a = _count(c, HEBREW), _count(c, ARABIC)
-    n = F.length(F.regexp_replace(c, r"[^\p{L}]", "")) - F.length(F.regexp_replace(c, rf"[^\p{{L}}&&[{HEBREW}{ARABIC}]]", ""))
+    h, a = F.regexp_count(c, F.lit(f"[{HEBREW}]")), F.regexp_count(c, F.lit(f"[{ARABIC}]"))
+    n = F.regexp_count(c, F.lit(rf"[\p{{L}}&&[^{HEBREW}{ARABIC}]]"))
     return (
         F.when(c.isNull() | (h + a + n == 0), "empty")
         .when((h > a) & (h > n), "hebrew").when((a > h) & (a > n), "arabic").when((n > h) & (n > a), "latin")
