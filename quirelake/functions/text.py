@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..shared import workers_import
+
 #: Python's ``\s``, ``\w`` and ``\d`` cover Unicode; Java's do with this flag.
 UNICODE = "(?U)"
 
@@ -26,7 +28,10 @@ def _strip_marks(s: pd.Series) -> pd.Series:
 
 def nfkc(c: Column, exact: bool = True) -> Column:
     """Unicode compatibility composition; ``exact=False`` keeps the expression inside the JVM."""
-    return _nfkc(c) if exact else c
+    if exact:
+        workers_import()
+        return _nfkc(c)
+    return c
 
 
 #: Latin letters with a mark, beside the letter alone.
@@ -36,7 +41,10 @@ PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnooooooooorrrssssttuuuuuuu
 
 def fold(c: Column, exact: bool = False) -> Column:
     """Lower case without diacritics: the Latin letters by a table, with ``exact`` all by Unicode."""
-    return _strip_marks(F.lower(c)) if exact else F.translate(F.lower(c), MARKED, PLAIN)
+    if exact:
+        workers_import()
+        return _strip_marks(F.lower(c))
+    return F.translate(F.lower(c), MARKED, PLAIN)
 
 
 def tokens(c: Column) -> Column:

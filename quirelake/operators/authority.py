@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text
+from ..shared import workers_import
 from ..sources.catalog import PERSON, Catalog, first_wins
 
 
@@ -110,6 +111,8 @@ def fuzzy_links(left: DataFrame, right: DataFrame, least: float = 0.80, common:
     have block only together with the next word, so that no block grows with the tables.
     """
 
+    workers_import()
+
     @F.pandas_udf(DoubleType())
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])

@@ -198,13 +198,13 @@ def full_record(spark, d):
     return r.select("mms_id", n("imprints").alias("n_imprints"), n("agents").alias("n_agents"))
 
 
-@query("resolve_agent_ladder", with_sql("agents", "agent_authorities", "agent_aliases") + "select distinct agent_norm, 'alias_exact' as method, 0.95 as confidence from agent_aliases al join agent_authorities aa on aa.id = al.authority_id join agents a on a.authority_uri = aa.authority_uri where alias_form_lower = 'press, no 4' union all select distinct agent_norm, 'canonical_exact', 0.90 from agent_authorities aa join agents a on a.authority_uri = aa.authority_uri where canonical_name_lower = 'supplier#000000006' union all select distinct agent_norm, 'alias_parts', 0.70 from agent_aliases al join agent_authorities aa on aa.id = al.authority_id join agents a on a.authority_uri = aa.authority_uri where alias_form_lower like '%house%' and alias_form_lower like '%nation%'")
+@query("resolve_agent_ladder", with_sql("agents", "agent_authorities", "agent_aliases") + "select distinct agent_norm, 'alias_exact' as method, cast(0.95 as double) as confidence from agent_aliases al join agent_authorities aa on aa.id = al.authority_id join agents a on a.authority_uri = aa.authority_uri where alias_form_lower = 'press, no 4' union all select distinct agent_norm, 'canonical_exact', 0.90 from agent_authorities aa join agents a on a.authority_uri = aa.authority_uri where canonical_name_lower = 'supplier#000000006' union all select distinct agent_norm, 'alias_parts', 0.70 from agent_aliases al join agent_authorities aa on aa.id = al.authority_id join agents a on a.authority_uri = aa.authority_uri where alias_form_lower like '%house%' and alias_form_lower like '%nation%'")
 def resolve_agent_ladder(spark, d):
     cat = catalog(spark, d)
     return resolve.agent(cat, "Press, No 4").unionByName(resolve.agent(cat, "SUPPLIER#000000006")).unionByName(resolve.agent(cat, "nation house"))
 
 
-@query("resolve_publisher", with_sql("imprints", "publisher_authorities", "publisher_variants") + "select distinct publisher_norm, 'variant_exact' as method, 0.95 as confidence from imprints join publisher_authorities on canonical_name_lower = publisher_norm join publisher_variants on authority_id = id where variant_form_lower = 'officina 4' union all select * from (select distinct publisher_norm, 'imprint_substring', 0.6 from imprints where publisher_norm like '%00000006%' order by 1 limit 12)")
+@query("resolve_publisher", with_sql("imprints", "publisher_authorities", "publisher_variants") + "select distinct publisher_norm, 'variant_exact' as method, cast(0.95 as double) as confidence from imprints join publisher_authorities on canonical_name_lower = publisher_norm join publisher_variants on authority_id = id where variant_form_lower = 'officina 4' union all select * from (select distinct publisher_norm, 'imprint_substring', 0.6 from imprints where publisher_norm like '%00000006%' order by 1 limit 12)")
 def resolve_publisher(spark, d):
     cat = catalog(spark, d)
     return resolve.publisher(cat, "Officina 4").unionByName(resolve.publisher(cat, "00000006"))

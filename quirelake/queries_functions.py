@@ -14,7 +14,7 @@ from .sources import marc
 
 _RAW = """with raw as (select distinct l_partkey, l_linenumber, cast(year(l_shipdate) - 400 as integer) as y from lineitem),
 dates as (select y, l_linenumber as n, {} as raw from raw)
-select raw, {} as "start", {} as "end", {} as label, {} as confidence, '{}' as method from dates group by all"""
+select raw, {} as "start", {} as "end", {} as label, cast({} as double) as confidence, '{}' as method from dates group by all"""
 
 
 def _lines(spark, d):
@@ -46,7 +46,7 @@ _date("truncated", lambda y, n: _c(F.substring(y, 1, 3), F.lit(" -"), (F.substri
 
 
 @query("normalize_date_ocr", """with raw as (select distinct cast(year(l_shipdate) - 400 as integer) as y from lineitem)
-select translate(cast(y as varchar), '0', 'O') as raw, y as "start", y as "end", cast(y as varchar) as label, case when cast(y as varchar) like '%0%' then 0.95 else 0.99 end as confidence, case when cast(y as varchar) like '%0%' then 'ocr_typo_fix' else 'year_exact' end as method from raw""")
+select translate(cast(y as varchar), '0', 'O') as raw, y as "start", y as "end", cast(y as varchar) as label, cast(case when cast(y as varchar) like '%0%' then 0.95 else 0.99 end as double) as confidence, case when cast(y as varchar) like '%0%' then 'ocr_typo_fix' else 'year_exact' end as method from raw""")
 def normalize_date_ocr(spark, d):
     df = _lines(spark, d).select(F.translate(F.col("y").cast("string"), "0", "O").alias("raw")).distinct()
     df = df.select("raw", dates.normalize_date(F.col("raw")).alias("d"))
@@ -71,7 +71,7 @@ def normalize_gematria(spark, d):
     return df.select("raw", "d.start", "d.method")
 
 
-@query("normalize_place", "with x as (select concat(' [', n_name, '] : ') as raw, lower(n_name) as k, n_nationkey from nation) select raw, case when n_nationkey % 2 = 0 then concat('canon ', k) else k end as value, upper(k) as display, case when n_nationkey % 2 = 0 then 0.95 else 0.8 end as confidence, case when n_nationkey % 2 = 0 then 'place_alias_map' else 'place_casefold_strip' end as method from x union all select '', null, '', 0.0, 'missing' union all select ' : ', null, '', 0.0, 'empty_after_cleaning'")
+@query("normalize_place", "with x as (select concat(' [', n_name, '] : ') as raw, lower(n_name) as k, n_nationkey from nation) select raw, case when n_nationkey % 2 = 0 then concat('canon ', k) else k end as value, upper(k) as display, cast(case when n_nationkey % 2 = 0 then 0.95 else 0.8 end as double) as confidence, case when n_nationkey % 2 = 0 then 'place_alias_map' else 'place_casefold_strip' end as method from x union all select '', null, '', 0.0, 'missing' union all select ' : ', null, '', 0.0, 'empty_after_cleaning'")
 def normalize_place(spark, d):
     n = spark.read.parquet(f"{d}/nation.parquet")
     raw = n.select(F.concat(F.lit(" ["), "n_name", F.lit("] : ")).alias("raw")).unionByName(spark.createDataFrame([("",), (" : ",)], "raw string"))
@@ -80,13 +80,13 @@ def normalize_place(spark, d):
     return df.select("raw", names.normalize_imprint_name(F.col("raw"), "place", F.col("canonical"), False).alias("v")).select("raw", "v.*")
 
 
-@query("normalize_publisher", "select concat(s_name, ' ;') as raw, lower(s_name) as value, s_name as display, 0.8 as confidence, 'publisher_casefold_strip' as method from supplier")
+@query("normalize_publisher", "select concat(s_name, ' ;') as raw, lower(s_name) as value, s_name as display, cast(0.8 as double) as confidence, 'publisher_casefold_strip' as method from supplier")
 def normalize_publisher(spark, d):
     s = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat("s_name", F.lit(" ;")).alias("raw"))
     return s.select("raw", names.normalize_imprint_name(F.col("raw"), "publisher").alias("v")).select("raw", "v.*")
 
 
-@query("normalize_agent", "select concat('[', c_name, '  Junior., ]') as raw, case when c_custkey % 3 = 0 then 'mapped' when c_custkey % 3 = 1 then 'ambiguous' else concat(lower(c_name), ' junior') end as value, case when c_custkey % 3 = 0 then 0.95 when c_custkey % 3 = 1 then 0.5 else 0.8 end as confidence, case when c_custkey % 3 = 0 then 'alias_map' when c_custkey % 3 = 1 then 'ambiguous' else 'base_clean' end as method from customer")
+@query("normalize_agent", "select concat('[', c_name, '  Junior., ]') as raw, case when c_custkey % 3 = 0 then 'mapped' when c_custkey % 3 = 1 then 'ambiguous' else concat(lower(c_name), ' junior') end as value, cast(case when c_custkey % 3 = 0 then 0.95 when c_custkey % 3 = 1 then 0.5 else 0.8 end as double) as confidence, case when c_custkey % 3 = 0 then 'alias_map' when c_custkey % 3 = 1 then 'ambiguous' else 'base_clean' end as method from customer")
 def normalize_agent(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet")
     raw = F.concat(F.lit("["), "c_name", F.lit("  Junior., ]"))
@@ -96,7 +96,7 @@ def normalize_agent(spark, d):
     return df.select("raw", v.alias("v")).select("raw", "v.value", "v.confidence", "v.method")
 
 
-@query("role_map", "select raw, value, confidence, method from (values ('prt', 'printer', 0.99, 'relator_code'), (' Printer of plates ', 'printer_of_plates', 0.95, 'relator_term'), ('impr.', 'printer', 0.95, 'relator_term'), ('', 'other', 0.5, 'missing_role'), ('dancer', 'other', 0.6, 'unmapped'), ('AUT', 'author', 0.99, 'relator_code')) x(raw, value, confidence, method)")
+@query("role_map", "select raw, value, cast(confidence as double) as confidence, method from (values ('prt', 'printer', 0.99, 'relator_code'), (' Printer of plates ', 'printer_of_plates', 0.95, 'relator_term'), ('impr.', 'printer', 0.95, 'relator_term'), ('', 'other', 0.5, 'missing_role'), ('dancer', 'other', 0.6, 'unmapped'), ('AUT', 'author', 0.99, 'relator_code')) x(raw, value, confidence, method)")
 def role_map(spark, d):
     raw = spark.createDataFrame([(x,) for x in ("prt", " Printer of plates ", "impr.", "", "dancer", "AUT")], "raw string")
     return raw.select("raw", names.normalize_role(F.col("raw")).alias("v")).select("raw", "v.value", "v.confidence", "v.method")

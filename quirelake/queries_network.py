@@ -15,7 +15,7 @@ _BOTH = _CO + ", ways as (select source, target from co union select target, sou
 query("edges_co_publication", _CO + " select source, target, type, confidence from co")(lambda spark, d: network.co_publication(catalog(spark, d)).select("source", "target", "type", "confidence"))
 
 
-@query("edges_same_record", with_sql("agents") + f"select a as source, b as target, least(0.7 + 0.1 * count(distinct record_id), 1.0) as confidence, case when (max(case when ra = 'printer' or rb = 'printer' then 1 else 0 end)) = 1 and max(case when ra = 'author' or rb = 'author' then 1 else 0 end) = 1 then 'printed for' else 'appeared together' end as relationship from ({_PAIRS}) group by 1, 2")
+@query("edges_same_record", with_sql("agents") + f"select a as source, b as target, cast(least(0.7 + 0.1 * count(distinct record_id), 1.0) as double) as confidence, case when (max(case when ra = 'printer' or rb = 'printer' then 1 else 0 end)) = 1 and max(case when ra = 'author' or rb = 'author' then 1 else 0 end) = 1 then 'printed for' else 'appeared together' end as relationship from ({_PAIRS}) group by 1, 2")
 def edges_same_record(spark, d):
     return network.same_record(catalog(spark, d)).select("source", "target", F.round("confidence", 9).alias("confidence"), "relationship")
 
@@ -74,13 +74,13 @@ def topic_details(spark, d):
 
 
 query("works_of_agent", with_sql("records", "agents", "imprints") + "select mms_id, y as year from records left join (select record_id, min(date_start) as y from imprints group by 1) i on i.record_id = id where id in (select record_id from agents where agent_norm = 'customer#000000007') order by y asc nulls last, mms_id limit 20")(lambda spark, d: network.works(catalog(spark, d), "customer#000000007").select("mms_id", "year"))
-query("printed_by", with_sql("agents", "imprints", "publisher_authorities", "publisher_variants") + ", l as (select distinct id, canonical_name, record_id from (select id, canonical_name, canonical_name_lower as k from publisher_authorities union select authority_id, canonical_name, variant_form_lower from publisher_variants join publisher_authorities on id = authority_id) x join imprints on publisher_norm = k) select agent_norm as source, concat('pub:', canonical_name) as target, round(least(0.7 + 0.1 * count(distinct l.record_id), 1.0), 9) as confidence from l join agents using (record_id) where role_norm = 'author' group by 1, 2")(lambda spark, d: network.printed_by(catalog(spark, d)).select("source", "target", F.round("confidence", 9).alias("confidence")))
+query("printed_by", with_sql("agents", "imprints", "publisher_authorities", "publisher_variants") + ", l as (select distinct id, canonical_name, record_id from (select id, canonical_name, canonical_name_lower as k from publisher_authorities union select authority_id, canonical_name, variant_form_lower from publisher_variants join publisher_authorities on id = authority_id) x join imprints on publisher_norm = k) select agent_norm as source, concat('pub:', canonical_name) as target, cast(least(0.7 + 0.1 * count(distinct l.record_id), 1.0) as double) as confidence from l join agents using (record_id) where role_norm = 'author' group by 1, 2")(lambda spark, d: network.printed_by(catalog(spark, d)).select("source", "target", F.round("confidence", 9).alias("confidence")))
 
 
 _ASKED = "('supplier#000000013', 'supplier#000000065', 'supplier#000000053', 'customer#000000000', 'customer#000000001')"
 
 
-@query("find_connections", with_sql("agents") + f"select a, b, 'co_publication' as relationship, 0.85 as confidence from ({_PAIRS}) where a in {_ASKED} and b in {_ASKED} and ra is distinct from rb group by 1, 2 having count(distinct record_id) >= 2")
+@query("find_connections", with_sql("agents") + f"select a, b, 'co_publication' as relationship, cast(0.85 as double) as confidence from ({_PAIRS}) where a in {_ASKED} and b in {_ASKED} and ra is distinct from rb group by 1, 2 having count(distinct record_id) >= 2")
 def find_connections(spark, d):
     return network.connections(catalog(spark, d), ["Press, No 13", "supplier#000000065", "Supplier#000000053", "customer#000000000", "Customer#000000001"])
 

@@ -1,9 +1,12 @@
-"""The folder that the driver and all executors see."""
+"""What the driver and all executors have in common: a folder, and this package."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="quirelake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def workers_import() -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    A worker's search path is the environment's, which need not hold what the driver put on its own.
+    """
+    context, root = SparkContext._active_spark_context, str(Path(__file__).resolve().parents[1])
+    paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        context.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
