@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import shared_dir
+from ..shared import shared_dir, workers_import
 
 #: The blanks that separate words: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -60,6 +60,7 @@ def arrow_map(df: DataFrame, function, schema) -> DataFrame:
         yield from function(batches)
         give_back()
 
+    workers_import()
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(mapped, schema)
 
