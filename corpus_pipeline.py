@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm import near_dups, packing, pii, quality_classifier, quality_rules
-from quirelake.llm.common import staged, table
+from quirelake.llm.common import release, staged, table
 from quirelake.llm.queries import PII_KEY
 
 #: Documents that score less are rejected.
@@ -57,7 +57,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the table ``documents``; what a stage has staged goes once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

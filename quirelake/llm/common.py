@@ -23,6 +23,19 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: The staged tables' folders, in the order in which they were written.
+_paths: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what has been staged before the last table, once nothing reads it any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    for old in _paths[:-1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(old)
+        path.getFileSystem(conf).delete(path, True)
+    del _paths[:-1]
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again.
 
@@ -30,6 +43,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     paid twice, and gives the planner true sizes, so that small sides are broadcast by size.
     """
     path = shared_path(df.sparkSession, tag)
+    _paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -20,6 +20,15 @@ def test_stages_keep_columns_and_their_decisions_hold(spark):
     assert [name for name, _ in cp.STAGES] == ["quality_classifier", "quality_rules", "near_duplicates", "personal_data", "best_fit_packing"]
 
 
+def test_run_leaves_one_table_of_each_run_staged(spark):
+    import corpus_pipeline as cp
+    from quirelake.llm import common
+
+    packed = cp.run(spark, DIR)
+    assert packed.count() > 0 and packed.columns[:2] == ["doc_id", "piece"]
+    assert len(common._paths) <= 2  # the last stage's documents and their pieces
+
+
 def test_empty_table(spark):
     import corpus_pipeline as cp
 
