@@ -23,6 +23,7 @@ import hashlib
 import hmac
 import re
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,7 +32,8 @@ from pyspark.sql.types import LongType, StructType
 
 from .common import arrow_map, staged
 
-#: Rounds of drawing after which clashes are an error; each leaves a vanishing share.
+#: Rounds of drawing in which numbers keep their length; from then on each round adds a digit. Names
+#: grow by a syllable with every round, so the space outgrows any number of entities.
 ROUNDS = 12
 
 #: Forms of address that come before a name, by the gender they tell.
@@ -107,6 +109,8 @@ def _stream(key: bytes, *parts: str) -> Iterator[int]:
 
 def draw(key: bytes, kind: str, canon: str, attempt: int) -> str:
     """The canonical form of a candidate surrogate."""
+    if kind in ("card", "phone", "ssn"):
+        canon += "0" * max(0, attempt - ROUNDS + 1)
     s = _stream(key, kind, canon, str(attempt))
     digits = lambda text: "".join(str((next(s) << 8 | next(s)) % 10) if c.isdigit() else c for c in text)
     if kind == "ip":
@@ -127,7 +131,7 @@ def draw(key: bytes, kind: str, canon: str, attempt: int) -> str:
         host = "".join("abcdefghijklmnopqrstuvwxyz"[(next(s) << 8 | next(s)) % 26] for _ in range(8))
         return f"{local}@{host}.invalid"
     syllables, ends = SYLLABLES[script_of(canon)]
-    n = 2 + next(s) % 2 + attempt // 4
+    n = 2 + next(s) % 2 + attempt
     return "".join(syllables[(next(s) << 8 | next(s)) % len(syllables)] for _ in range(n)) + ends[kind.removeprefix("given-") if kind.startswith("given-") else "s"]
 
 
@@ -135,7 +139,7 @@ def render(kind: str, mention: str, surrogate: str) -> str:
     """The surrogate in the layout of the mention."""
     if kind in ("phone", "card", "ssn"):
         left = iter(surrogate)
-        return "".join(next(left) if c.isdigit() else c for c in mention)
+        return "".join([*(next(left) if c.isdigit() else c for c in mention), *left])
     if kind == "iban":
         left = iter(surrogate)
         return "".join(c if c.isspace() else next(left).upper() for c in mention)
@@ -167,13 +171,15 @@ def entities(docs: DataFrame) -> DataFrame:
 def assign(found: DataFrame, key: bytes, drawer: Callable[[bytes, str, str, int], str] = draw) -> DataFrame:
     """(kind, canon, surrogate) for each distinct entity of found(kind, canon), without clashes.
 
-    Names share one space of surrogates with real names of any part, other types one each.
+    Names share one space of surrogates with real names of any part, other types one each. It draws
+    until no clash is left. IPv4 addresses alone have a space that cannot grow: where the real ones
+    leave less room than they need, that is an error.
     """
     real = staged(found.select("kind", "canon").distinct(), "entities")
     space = lambda c: F.when(F.col(c).startswith("given-") | (F.col(c) == "surname"), "name").otherwise(F.col(c))
     taken = real.select(space("kind").alias("space"), F.col("canon").alias("surrogate")).distinct()
     accepted, left = None, real
-    for attempt in range(ROUNDS):
+    for attempt in count():
 
         def drawn(batches, attempt=attempt):
             for b in batches:
@@ -185,11 +191,12 @@ def assign(found: DataFrame, key: bytes, drawer: Callable[[bytes, str, str, int]
         free = tried.join(taken, ["space", "surrogate"], "left_anti").withColumn("_n", first).where("_n = 1").select("kind", "canon", "surrogate", "space")
         free = staged(free, "surrogates")
         accepted = free if accepted is None else accepted.unionByName(free)
-        left = staged(real.join(accepted, ["kind", "canon"], "left_anti"), "clashes")
+        left = staged(left.join(free, ["kind", "canon"], "left_anti"), "clashes")
         if left.isEmpty():
             return accepted.select("kind", "canon", "surrogate")
         taken = taken.unionByName(free.select("space", "surrogate"))
-    raise RuntimeError(f"surrogates still clash after {ROUNDS} rounds")
+        if attempt == ROUNDS and real.where("kind = 'ip'").count() > 254**4 // 2:
+            raise RuntimeError("more IPv4 addresses than surrogates for them")
 
 
 def rewrite(text: str, surrogates: dict[tuple[str, str], str]) -> tuple[str, int]:

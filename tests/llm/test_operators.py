@@ -270,6 +270,15 @@ def test_clashing_surrogates_are_drawn_again(spark):
     assert len(got) == len(set(got)) == 10 and not set(got) & {str(i) for i in range(10)}
 
 
+def test_surrogates_do_not_run_out(spark):
+    names = [f"name{i}" for i in range(100_000)] + [f"שם{i}" for i in range(20_000)]
+    short = [f"1{i:02}" for i in range(100)]  # all phones of this length that begin with a 1
+    found = spark.createDataFrame([("surname", n) for n in names] + [("phone", p) for p in short], "kind string, canon string")
+    got = [r["surrogate"] for r in pii.assign(found, b"k" * 16).collect()]
+    assert len(got) == len(set(got)) == len(names) + len(short) and not set(got) & {*names, *short}
+    assert pii.render("phone", "+1 2-3", "45678") == "+4 5-678"
+
+
 # op1
 
 
