@@ -107,8 +107,9 @@ def infer_roles(occupations: DataFrame, direct: DataFrame, priority: list[str])
 def fuzzy_links(left: DataFrame, right: DataFrame, least: float = 0.80, common: int = 500) -> DataFrame:
     """(name, match, ratio): for left(name) the most alike in right(match), over ``least`` by difflib.
 
-    Names meet over a word of three letters or more that both have; words that over ``common`` names
-    have block only together with the next word, so that no block grows with the tables.
+    Names meet over every word of three letters or more that both have, whatever the tables' size. A
+    word's names are dealt into cells of about ``common``, and every cell of the left meets every one
+    of the right. Only pairs whose lengths let the ratio reach ``least`` are compared, each once.
     """
 
     workers_import()
@@ -117,15 +118,22 @@ def fuzzy_links(left: DataFrame, right: DataFrame, least: float = 0.80, common:
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
-    def blocks(df: DataFrame, c: str) -> DataFrame:
+    def blocks(df: DataFrame, c: str, side: str) -> DataFrame:
         w = F.filter(F.split(F.trim(F.regexp_replace(text.fold(F.col(c)), r"[^\p{L}\p{N}]+", " ")), " "), lambda x: F.length(x) >= 3)
-        return df.select(c, F.explode(F.array_distinct(w)).alias("word"), F.array_sort(F.array_distinct(w)).alias("all"))
-
-    a, b = blocks(left.select("name").distinct(), "name"), blocks(right.select("match").distinct(), "match")
-    wide = a.select("word").unionByName(b.select("word")).groupBy("word").count().where(F.col("count") > common).select("word").withColumn("wide", F.lit(True))
-    key = F.when(F.col("wide"), F.concat_ws(" ", "all")).otherwise(F.col("word"))
-    a = a.join(wide, "word", "left").select("name", key.alias("key")).distinct()
-    b = b.join(wide, "word", "left").select("match", key.alias("key")).distinct()
-    pairs = a.join(b, "key").select("name", "match").distinct()
-    scored = pairs.withColumn("ratio", ratio(text.fold(F.col("name")), text.fold(F.col("match")))).where(F.col("ratio") >= least)
+        df = df.select(F.col(c), text.fold(F.col(c)).alias(f"text_{side}"), F.array_sort(F.array_distinct(w)).alias(f"all_{side}"))
+        return df.select("*", F.explode(f"all_{side}").alias("word"))
+
+    def cells(df: DataFrame, side: str) -> DataFrame:
+        return df.groupBy("word").agg(F.ceil(F.count("*") / common).alias(f"n_{side}"))
+
+    def dealt(df: DataFrame, c: str, side: str, other: str) -> DataFrame:
+        met = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{other}") - 1)).alias(f"cell_{other}")
+        return df.join(sizes, "word").withColumn(f"cell_{side}", F.pmod(F.xxhash64(c), f"n_{side}")).select(*df.columns, f"cell_{side}", met)
+
+    a, b = blocks(left.select("name").distinct(), "name", "a"), blocks(right.select("match").distinct(), "match", "b")
+    sizes = cells(a, "a").join(cells(b, "b"), "word")
+    la, lb = F.length("text_a"), F.length("text_b")
+    once = F.col("word") == F.array_min(F.array_intersect("all_a", "all_b"))
+    pairs = dealt(a, "name", "a", "b").join(dealt(b, "match", "b", "a"), ["word", "cell_a", "cell_b"]).where((2.0 * F.least(la, lb) / (la + lb) >= least) & once)
+    scored = pairs.select("name", "match", ratio("text_a", "text_b").alias("ratio")).where(F.col("ratio") >= least)
     return first_wins(scored.withColumn("_r", -F.col("ratio")), ["name"], ["_r", "match"]).drop("_r")

@@ -1,9 +1,11 @@
 """Filters, plans, facets, display and resolution on a small catalogue of seven records."""
 
+import difflib
+
 import pytest
 from pyspark.sql import functions as F
 
-from quirelake.operators import display, enrichment, facets, network, quality, resolve
+from quirelake.operators import authority, display, enrichment, facets, network, quality, resolve
 from quirelake.plans import compile as compiler
 from quirelake.plans.filters import FIELDS, OPS, Filter, PlanError, QueryPlan, coerce, normal_value, warnings
 from quirelake.plans.steps import Executor, Step, order
@@ -228,3 +230,18 @@ def test_save_and_load(cat, spark, tmp_path):
     cat.save(str(tmp_path / "c"))
     back = Catalog.load(spark, str(tmp_path / "c"))
     assert set(back.tables()) == set(cat.tables()) and ids(back, Filter("publisher", "EQUALS", "bragadin")) == [A]
+
+
+def test_fuzzy_links_are_the_same_at_every_size(spark):
+    names = [f"{a} smith london" for a in ("john", "mary", "peter", "aurelia")] + ["of", "smith"]
+    matches = [f"{a} smith london" for a in ("jon", "marie", "petre", "johnny", "bartholomew")] + ["jo smith", "london", ""]
+    words = lambda t: {w for w in t.split() if len(w) >= 3}
+    want = {}
+    for n in names:
+        alike = [(-difflib.SequenceMatcher(None, n, m).ratio(), m) for m in matches if words(n) & words(m)]
+        if alike and min(alike)[0] <= -0.8:
+            want[n] = min(alike)[::-1]
+    left, right = spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(m,) for m in matches], "match string")
+    for common in (1, 2, 500):
+        got = {r["name"]: (r["match"], -r["ratio"]) for r in authority.fuzzy_links(left, right, common=common).collect()}
+        assert got == want and want["john smith london"][0] == "jon smith london", common
