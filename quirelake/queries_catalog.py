@@ -8,7 +8,7 @@ from .operators import display, enrichment, facets, resolve
 from .plans import compile as compiler
 from .plans.filters import Filter, QueryPlan
 from .plans.steps import Executor, Step
-from .registry import query
+from .registry import ORACLES, query
 from .sources.driver_tables import catalog, with_sql
 
 PRINTER = "supplier 000000003"
@@ -71,8 +71,13 @@ _ids("filter_triple_and", [Filter("publisher", "CONTAINS", "supplier 0"), Filter
     concat('publisher_norm=''', publisher_norm, ''' AND year_range=', cast(date_start as varchar), '-', cast(date_end as varchar), ' overlaps 1597-1598') as rationale
     from records join imprints i on i.record_id = records.id where publisher_norm like '%supplier%' and date_end >= 1597 and date_start <= 1598 and mms_id < '0000002000'""")
 def rows_with_evidence(spark, d):
+    return rows_with_evidence_whole(spark, d).where("mms_id < '0000002000'")
+
+
+@query("rows_with_evidence_whole", ORACLES["rows_with_evidence"].removesuffix(" and mms_id < '0000002000'"))
+def rows_with_evidence_whole(spark, d):
     plan = QueryPlan([Filter("publisher", "CONTAINS", "Supplier"), Filter("year", "RANGE", start=1597, end=1598)])
-    df = compiler.rows(catalog(spark, d), plan).where("mms_id < '0000002000'")
+    df = compiler.rows(catalog(spark, d), plan)
     return df.select("mms_id", "date_start", "date_end", "publisher_norm", F.col("evidence")[0]["confidence"].alias("confidence"), F.col("evidence")[1]["field"].alias("field"), F.col("evidence")[1]["value"].alias("value"), "rationale").distinct()
 
 

@@ -23,6 +23,12 @@ def edges_same_record(spark, d):
 _ACT = with_sql("agents", "imprints") + ", act as (select agent_norm, place_norm as place, min(date_start) as lo, max(date_start) as hi from agents join imprints using (record_id) where date_start is not null and agent_norm like 'supplier%' group by 1, 2)"
 
 
+@query("edges_same_place_period_whole")
+def edges_same_place_period_whole(spark, d):
+    """All agents: SQL would meet all of a place's pairs; the test holds it against brute force."""
+    return network.same_place_period(catalog(spark, d), 6).select("source", "target", "evidence")
+
+
 @query("edges_same_place_period", _ACT + " select a.agent_norm as source, b.agent_norm as target, arg_min(concat(a.place, ': ', cast(greatest(a.lo, b.lo) as varchar), '-', cast(least(a.hi, b.hi) as varchar)), a.place) as evidence from act a join act b on a.place = b.place and a.agent_norm < b.agent_norm where least(a.hi, b.hi) - greatest(a.lo, b.lo) >= 6 group by 1, 2")
 def edges_same_place_period(spark, d):
     cat = catalog(spark, d)
@@ -41,8 +47,17 @@ query("orphan_cleanup", _CO + " select source, target from co where source < 'su
 
 @query("node_mode_place", with_sql("agents", "imprints") + "select agent_norm, place from (select agent_norm, place_norm as place, row_number() over (partition by agent_norm order by count(*) desc, min(date_start) asc nulls last, place_norm) as n from (select distinct record_id, agent_norm from agents) a join imprints using (record_id) where agent_norm like 'customer%' group by 1, 2) where n <= 10 and place not in ('nation_0', 'nation_5') qualify row_number() over (partition by agent_norm order by n) = 1")
 def node_mode_place(spark, d):
+    return _node_mode_place(spark, d, "agent_norm like 'customer%'")
+
+
+@query("node_mode_place_whole", with_sql("agents", "imprints") + "select agent_norm, place from (select agent_norm, place_norm as place, row_number() over (partition by agent_norm order by count(*) desc, min(date_start) asc nulls last, place_norm) as n from (select distinct record_id, agent_norm from agents) a join imprints using (record_id) group by 1, 2) where n <= 10 and place not in ('nation_0', 'nation_5') qualify row_number() over (partition by agent_norm order by n) = 1")
+def node_mode_place_whole(spark, d):
+    return _node_mode_place(spark, d, "true")
+
+
+def _node_mode_place(spark, d, who):
     cat = catalog(spark, d)
-    cat.agents = cat.agents.where("agent_norm like 'customer%'")
+    cat.agents = cat.agents.where(who)
     geo = spark.read.parquet(f"{d}/nation.parquet").select(F.lower("n_name").alias("place"), F.col("n_nationkey").cast("double").alias("lat"), F.lit(0.0).alias("lon")).where("lat not in (0, 5)")
     return network.place_mode(cat, geo).select("agent_norm", "place")
 
@@ -94,7 +109,16 @@ def merge_duplicate_nodes(spark, d):
 
 @query("community_facet", with_sql("agents") + ", c as (select distinct agent_norm, concat('cat ', cast(record_id % 40 as varchar)) as category from agents where agent_norm like 'supplier%'), p as (select category, count(*) as n from c group by 1 having count(*) >= 8 order by n desc, category limit 20) select agent_norm, arg_min(category, n * 1000 + cast(substr(category, 5) as integer) * 0 + 0) as community from (select agent_norm, category, n from c join p using (category) qualify row_number() over (partition by agent_norm order by n, category) = 1) group by 1")
 def community_facet(spark, d):
+    return _community_facet(spark, d, "agent_norm like 'supplier%'")
+
+
+@query("community_facet_whole", with_sql("agents") + ", c as (select distinct agent_norm, concat('cat ', cast(record_id % 40 as varchar)) as category from agents), p as (select category, count(*) as n from c group by 1 having count(*) >= 8 order by n desc, category limit 20) select agent_norm, category as community from c join p using (category) qualify row_number() over (partition by agent_norm order by n, category) = 1")
+def community_facet_whole(spark, d):
+    return _community_facet(spark, d, "true")
+
+
+def _community_facet(spark, d, who):
     cat = catalog(spark, d)
-    own = cat.agents.where("agent_norm like 'supplier%'")
+    own = cat.agents.where(who)
     cat.wikipedia_cache = own.select(F.col("agent_norm").alias("wikidata_id"), F.concat(F.lit("cat "), (F.col("record_id") % 40).cast("string")).alias("c")).distinct().groupBy("wikidata_id").agg(F.collect_list("c").alias("categories"))
     return network.communities(cat, own.select("agent_norm", F.col("agent_norm").alias("wikidata_id")).distinct())

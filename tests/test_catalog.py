@@ -1,6 +1,9 @@
 """Filters, plans, facets, display and resolution on a small catalogue of seven records."""
 
+import decimal
 import difflib
+import itertools
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from quirelake.plans import compile as compiler
 from quirelake.plans.filters import FIELDS, OPS, Filter, PlanError, QueryPlan, coerce, normal_value, warnings
 from quirelake.plans.steps import Executor, Step, order
 from quirelake.sources.catalog import Catalog, differences
+from quirelake.sources.driver_tables import with_sql
 
 KARO = "קארו, יוסף"
 
@@ -245,3 +249,29 @@ def test_fuzzy_links_are_the_same_at_every_size(spark):
     for common in (1, 2, 500):
         got = {r["name"]: (r["match"], -r["ratio"]) for r in authority.fuzzy_links(left, right, common=common).collect()}
         assert got == want and want["john smith london"][0] == "jon smith london", common
+
+
+def test_queries_over_the_whole_table(spark):
+    import duckdb
+
+    from quirelake.registry import ORACLES, QUERIES
+
+    d, db = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        db.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    plain = lambda rows: sorted(repr(tuple(float(v) if isinstance(v, decimal.Decimal) else v for v in r)) for r in rows)
+    for name in ("rows_with_evidence", "node_mode_place", "community_facet", "goldset_regression"):
+        got = QUERIES[f"{name}_whole"](spark, d)
+        assert plain(got.collect()) == plain(db.execute(f"select {', '.join(got.columns)} from ({ORACLES[f'{name}_whole']})").fetchall()), name
+
+    act = defaultdict(dict)
+    for agent, place, lo, hi in db.execute(with_sql("agents", "imprints") + "select agent_norm, place_norm, min(date_start), max(date_start) from agents join imprints using (record_id) where date_start is not null group by 1, 2").fetchall():
+        act[place][agent] = lo, hi
+    want = {}
+    for place in sorted(act):
+        for a, b in itertools.combinations(sorted(act[place]), 2):
+            (la, ha), (lb, hb) = act[place][a], act[place][b]
+            if min(ha, hb) - max(la, lb) >= 6:
+                want.setdefault((a, b), f"{place}: {max(la, lb)}-{min(ha, hb)}")
+    got = {(r["source"], r["target"]): r["evidence"] for r in QUERIES["edges_same_place_period_whole"](spark, d).collect()}
+    assert got == want and len({(a[:4], b[:4]) for a, b in got}) > 1
