@@ -27,10 +27,17 @@ def parsed(cat: Catalog) -> DataFrame:
     return cat.authority_enrichment.withColumn("person", F.from_json("person_info", PERSON))
 
 
-def profiles(cat: Catalog, names: list[str]) -> DataFrame:
-    """(agent_norm, label, description, birth_year, death_year, occupations, aliases, links, records)."""
+def profiles(cat: Catalog, names: list[str], among: DataFrame | None = None) -> DataFrame:
+    """(agent_norm, label, description, birth_year, death_year, occupations, aliases, links, records).
+
+    Of the agents named, and of those in among(agent_norm).
+    """
     wanted = [n.lower() for n in names]
-    own = cat.agents.where(F.col("agent_norm").isin(wanted)).groupBy("agent_norm").agg(F.min("authority_uri").alias("authority_uri"), F.count_distinct("record_id").alias("records"))
+    asked = cat.agents.where(F.col("agent_norm").isin(wanted))
+    if among is not None:
+        told = among.select(F.lower("agent_norm").alias("agent_norm")).where(~F.col("agent_norm").isin(wanted)).distinct()
+        asked = asked.unionByName(cat.agents.join(told, "agent_norm", "left_semi"))
+    own = asked.groupBy("agent_norm").agg(F.min("authority_uri").alias("authority_uri"), F.count_distinct("record_id").alias("records"))
     if cat.authority_enrichment is None:
         return own.select("agent_norm", text.title_case(F.col("agent_norm")).alias("label"), "records")
     ae = parsed(cat).select("authority_uri", "label", "description", "wikidata_id", "wikipedia_url", "person.*")

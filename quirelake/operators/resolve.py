@@ -90,9 +90,13 @@ def ceiling(n_records: int) -> int:
     return max(20, round(n_records / 100))
 
 
+#: The fields of which one value can tell several names.
+SEVERAL = ("imprint_place", "country", "publisher")
+
+
 def split_values(f: Filter) -> Filter:
     """A filter on several names at once as one IN, each name whole and in its parts."""
-    if f.field not in ("imprint_place", "country", "publisher") or f.op not in ("IN", "EQUALS"):
+    if f.field not in SEVERAL or f.op not in ("IN", "EQUALS"):
         return f
     if f.op == "EQUALS" and "," not in f.value:
         return f

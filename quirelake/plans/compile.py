@@ -10,10 +10,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StringType
+
 from ..functions import text
+from ..shared import workers_import
 from ..sources.catalog import Catalog
 from .filters import Filter, QueryPlan, clean_phrase, normal_value
 
@@ -50,12 +54,25 @@ def _compare(column: Column, f: Filter) -> Column:
     return column.isin(*values)
 
 
+def normal_values(values: DataFrame, name: str) -> DataFrame:
+    """(_v) of values(value): the distinct forms that the field's column holds."""
+    workers_import()
+
+    @F.pandas_udf(StringType())
+    def normal(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: normal_value(name, x))
+
+    return values.select(normal("value").alias("_v")).distinct()
+
+
 def is_existence(f: Filter) -> bool:
     return f.field == "physical_desc" or (f.field in ("title", "subject") and f.op == "CONTAINS")
 
 
-def existence(cat: Catalog, f: Filter) -> DataFrame:
+def existence(cat: Catalog, f: Filter, values: DataFrame | None = None) -> DataFrame:
     """The record ids (one column) that have a row which the filter matches."""
+    if f.field == "physical_desc" and values is not None:
+        return cat.physical_descriptions.join(normal_values(values, f.field), F.lower("value").contains(F.col("_v")), "left_semi").select("record_id").distinct()
     if f.field == "physical_desc":
         hit = reduce(lambda a, b: a | b, [F.lower("value").contains(v.strip().lower()) for v in f.values])
         return cat.physical_descriptions.where(hit).select("record_id").distinct()
@@ -66,10 +83,11 @@ def existence(cat: Catalog, f: Filter) -> DataFrame:
     return cat.subjects.where(text.matches(both, phrase)).select("record_id").distinct()
 
 
-def alias_hits(cat: Catalog, f: Filter) -> DataFrame:
+def alias_hits(cat: Catalog, f: Filter, values: DataFrame | None = None) -> DataFrame:
     """The record ids with an agent whose authority has an alias that the filter matches."""
     alias = F.replace(F.col("alias_form_lower"), F.lit(","), F.lit(""))
-    named = cat.agent_aliases.where(_compare(alias, f)).select(F.col("authority_id").alias("_a")).distinct()
+    matched = cat.agent_aliases.where(_compare(alias, f)) if values is None else cat.agent_aliases.join(normal_values(values, f.field), alias == F.col("_v"), "left_semi")
+    named = matched.select(F.col("authority_id").alias("_a")).distinct()
     uris = cat.agent_authorities.join(named, F.col("id") == F.col("_a")).select("authority_uri").where("authority_uri is not null").distinct()
     return cat.agents.join(uris, "authority_uri", "left_semi").select("record_id").distinct()
 
@@ -81,24 +99,29 @@ def predicate(f: Filter) -> Column:
         if f.op == "RANGE":
             return overlap(f.start, f.end)
         return reduce(lambda a, b: a | b, [overlap(int(v), int(v)) for v in f.values])
+    return _compare(compared(f), f)
+
+
+def compared(f: Filter) -> Column:
+    """What a string filter compares its values with."""
     column = F.col(STRING_COLUMNS[f.field][1])
     column = column if f.field == "language" else F.lower(column)
-    if f.field in ("agent_norm",):
-        column = F.replace(column, F.lit(","), F.lit(""))
-    return _compare(column, f)
+    return F.replace(column, F.lit(","), F.lit("")) if f.field == "agent_norm" else column
 
 
-def joined(cat: Catalog, filters: list[Filter]) -> tuple[DataFrame, list[str]]:
+def joined(cat: Catalog, filters: list[Filter], values: dict[tuple[str, str], DataFrame] | None = None) -> tuple[DataFrame, list[str]]:
     """Records with the child tables that the filters need, filtered; and the tables' names.
 
     Existence is joined as a flag under negation and as a semi join without; the alias way of an
-    agent filter is a flag beside the direct comparison.
+    agent filter is a flag beside the direct comparison. ``values`` has a table (value) for each
+    ``$step_N`` and field of a filter that names one as its value; it is joined, of whatever size.
     """
+    told = lambda f: (values or {}).get((f.value, f.field)) if isinstance(f.value, str) and f.op == "IN" else None
     df = cat.records.select(F.col("id").alias("record_id"), "mms_id")
     tables: list[str] = []
     for i, f in enumerate(filters):
         if is_existence(f):
-            df = df.join(existence(cat, f), "record_id", "left_anti" if f.negate else "left_semi")
+            df = df.join(existence(cat, f, told(f)), "record_id", "left_anti" if f.negate else "left_semi")
             continue
         table = "imprints" if f.field == "year" else STRING_COLUMNS[f.field][0]
         if table not in tables:
@@ -108,19 +131,23 @@ def joined(cat: Catalog, filters: list[Filter]) -> tuple[DataFrame, list[str]]:
     for i, f in enumerate(filters):
         if is_existence(f):
             continue
-        keep = predicate(f)
+        if (t := told(f)) is None:
+            keep = predicate(f)
+        else:
+            df = df.join(normal_values(t, f.field).withColumn(f"_told_{i}", F.lit(True)), compared(f) == F.col("_v"), "left").drop("_v")
+            keep = F.when(compared(f).isNotNull(), F.coalesce(F.col(f"_told_{i}"), F.lit(False)))
         if f.field == "agent_norm" and cat.has_aliases:
             flag = f"_alias_{i}"
-            df = df.join(alias_hits(cat, f).withColumn(flag, F.lit(True)), "record_id", "left")
+            df = df.join(alias_hits(cat, f, t).withColumn(flag, F.lit(True)), "record_id", "left")
             keep = keep | F.coalesce(F.col(flag), F.lit(False))
         df = df.where(~keep if f.negate else keep)
-        df = df.drop(f"_alias_{i}")
+        df = df.drop(f"_alias_{i}", f"_told_{i}")
     return df, tables
 
 
-def ids(cat: Catalog, plan: QueryPlan, least_confidence: dict[str, float] | None = None) -> DataFrame:
+def ids(cat: Catalog, plan: QueryPlan, least_confidence: dict[str, float] | None = None, values: dict[tuple[str, str], DataFrame] | None = None) -> DataFrame:
     """The matching records' mms_id, each once; confidence columns of the joined rows can have a least value."""
-    df, _ = joined(cat, plan.filters)
+    df, _ = joined(cat, plan.filters, values)
     for column, least in (least_confidence or {}).items():
         df = df.where(F.col(column) >= least)
     df = df.select("mms_id").distinct()

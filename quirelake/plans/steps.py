@@ -77,10 +77,12 @@ class Executor:
 
     def __init__(self, cat: Catalog, concepts: dict[str, list[str]] | None = None, previous: DataFrame | None = None, hints: Callable[[list[Filter], DataFrame], list[Filter] | None] | None = None):
         self.cat, self.concepts, self.previous, self.hints = cat, concepts or {}, previous, hints
+        self.values: dict[tuple[str, str], DataFrame] = {}  # of each $step_N that a filter on a field names
         self.handlers: dict[str, Callable[[dict, dict[int, Result]], Result]] = {a: getattr(self, a) for a in ACTIONS}
 
     def run(self, steps: list[Step]) -> dict[int, Result]:
         done: dict[int, Result] = {}
+        self.values = {}
         for i in order(steps):
             step = steps[i]
             try:
@@ -124,15 +126,21 @@ class Executor:
         return self.cat.records.where("false").select(F.col("id").alias("record_id"))
 
     def _filter(self, raw: dict, done: dict[int, Result]) -> tuple[Filter | None, str | None]:
-        """The filter, with references replaced by the values resolved; and a name left unresolved."""
+        """The filter, with the values resolved as a table beside a reference; and a name left unresolved."""
         value = raw.get("value")
         if isinstance(value, str) and (m := re.fullmatch(REF, value)):
             r = done[int(m[1])]
             column = r.table.columns[0] if r.table is not None else None
-            values = [x[0] for x in r.table.select(column).distinct().orderBy(column).limit(200).collect()] if column else []
-            if not values:
+            values = r.table.select(F.col(column).cast("string").alias("value")).where(F.trim("value") != "").distinct() if column else None
+            if values is None or values.isEmpty():
                 return None, r.message or value
-            return coerce(raw | {"op": "IN", "value": values}), None
+            if raw.get("field") == "year":  # integers, of which there are few
+                return coerce(raw | {"op": "IN", "value": [x[0] for x in values.orderBy("value").collect()]}), None
+            if raw.get("field") in resolve.SEVERAL:  # a name can tell several, as in resolve.split_values
+                parts = F.explode(F.concat(F.array("value"), F.split("value", ",")))
+                values = values.select(parts.alias("value")).where(F.trim("value") != "")
+            self.values[value, raw.get("field")] = values
+            return coerce(raw | {"op": "IN"}), None
         return coerce(raw), None
 
     # actions
@@ -152,7 +160,8 @@ class Executor:
         cat = self.cat
         if scope is not None:
             cat = Catalog(**{**cat.__dict__, "records": facets.within(cat.records, scope, "id")})
-        return compiler.ids(cat, QueryPlan([resolve.split_values(f) for f in filters]))
+        plan = QueryPlan([f if isinstance(f.value, str) and (f.value, f.field) in self.values else resolve.split_values(f) for f in filters])
+        return compiler.ids(cat, plan, values=self.values)
 
     def retrieve(self, params: dict, done: dict[int, Result]) -> Result:
         scope = self.scope(params.get("scope"), done)
@@ -246,5 +255,5 @@ class Executor:
 
         names = params.get("agents") or params.get("targets") or []
         names = [names] if isinstance(names, str) else names
-        norms = [r[0] for n in names for i in references(n) for r in done[i].table.select("agent_norm").limit(50).collect()]
-        return Result("profiles", enrichment.profiles(self.cat, [*norms, *(n for n in names if not references(n))]))
+        norms = [done[i].table.select("agent_norm") for n in names for i in references(n)]
+        return Result("profiles", enrichment.profiles(self.cat, [n for n in names if not references(n)], reduce(DataFrame.unionByName, norms) if norms else None))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quirelake.operators import authority, display, enrichment, facets, network, quality, resolve
 from quirelake.plans import compile as compiler
 from quirelake.plans.filters import FIELDS, OPS, Filter, PlanError, QueryPlan, coerce, normal_value, warnings
-from quirelake.plans.steps import Executor, Step, order
+from quirelake.plans.steps import Executor, Result, Step, order
 from quirelake.sources.catalog import Catalog, differences
 from quirelake.sources.driver_tables import with_sql
 
@@ -275,3 +275,18 @@ def test_queries_over_the_whole_table(spark):
                 want.setdefault((a, b), f"{place}: {max(la, lb)}-{min(ha, hb)}")
     got = {(r["source"], r["target"]): r["evidence"] for r in QUERIES["edges_same_place_period_whole"](spark, d).collect()}
     assert got == want and len({(a[:4], b[:4]) for a, b in got}) > 1
+
+
+def test_steps_pass_on_all_they_resolved(spark, cat):
+    n = 260
+    made = Catalog(**cat.__dict__)
+    made.records = spark.range(1, n + 1).select("id", F.concat(F.lit("99"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("mms_id"), F.lit(None).cast("string").alias("created_at"))
+    agents = [(i, f"[Agent {i:04}]", f"agent, {i:04}", "u" + str(i), "author", "personal") for i in range(1, n)] + [(n, None, None, None, None, None)]
+    made.agents = spark.createDataFrame(agents, "record_id long, agent_raw string, agent_norm string, authority_uri string, role_norm string, agent_type string")
+    table = made.agents.where("agent_norm is not null and record_id > 5").select("agent_norm")
+    run = Executor(made)
+    run.handlers["resolve_agent"] = lambda params, done: Result("agents", table)
+    found = lambda **k: [int(r["mms_id"][2:]) for r in run.run([Step("resolve_agent", {}), Step("retrieve", {"filters": [{"field": "agent_norm", "op": "IN", "value": "$step_0", **k}]})])[1].table.orderBy("mms_id").collect()]
+    assert found() == list(range(6, n)) and found(negate=True) == list(range(1, 6))
+    done = run.run([Step("resolve_agent", {}), Step("enrich", {"agents": ["$step_0", "agent, 0001", "agent, 0009"]})])
+    assert sorted(int(r["agent_norm"][-4:]) for r in done[1].table.collect()) == [1, *range(6, n)] and {r["records"] for r in done[1].table.collect()} == {1}
