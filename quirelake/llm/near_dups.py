@@ -23,7 +23,8 @@ the pairs inside a group are never listed. Links, components and sketches stay d
 Defined results: A-Z are lower-cased; a document of fewer words than a shingle has its whole sequence
 as its only one; null texts and texts without words have empty sets and are linked with nothing.
 Classes are told apart by 64-bit hashes of the word sequences and shingles by 64-bit hashes. Rows that
-share a doc_id belong to the group of their own text, and component ids are least doc_ids. An empty
+share a doc_id belong to the group of their own text, and component ids are least doc_ids. A text none of whose
+rows has a doc_id is linked with no near copy, and all rows without one stay. An empty
 table gives an empty result. Extra columns are ignored.
 """
 
