@@ -21,7 +21,7 @@ from .common import ascii_lower, bind, words
 
 SHINGLE = 5
 #: One shingle hash in so many is kept.
-SCALE = 8
+SCALE = 2
 
 
 def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
@@ -37,20 +37,24 @@ def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
 
 def sketch(text: Column, k: int = SHINGLE, scale: int = SCALE) -> Column:
     """The sorted distinct shingle hashes in the lowest ``1/scale`` of the signed 64-bit range."""
-    most = -(2**63) + 2**64 // scale
-    kept = bind(shingle_hashes(text, k), lambda s: bind(F.filter(s, lambda x: x < most), lambda f: F.when(F.size(f) > 0, f).otherwise(F.filter(F.array(F.array_min(s)), lambda x: x.isNotNull()))))
+    kept = bind(shingle_hashes(text, k), lambda s: _kept(s, scale))
     return F.array_sort(F.array_distinct(kept))
 
 
+def _kept(s: Column, scale: int) -> Column:
+    most = -(2**63) + 2**64 // scale
+    return bind(F.filter(s, lambda x: x < most), lambda f: F.when(F.size(f) > 0, f).otherwise(F.filter(F.array(F.array_min(s)), lambda x: x.isNotNull())))
+
+
 def likeness(a: Column, b: Column) -> Column:
     least = F.least(F.size(a), F.size(b))
     both = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(least == 0, 0.0).otherwise(both / least)
 
 
-def merge(a: Column, b: Column) -> Column:
-    """The fingerprint of two texts' shingles together."""
-    return F.array_sort(F.array_union(a, b))
+def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The fingerprint of two texts' shingles together: a hash that stood in gives way to those below the fraction."""
+    return bind(F.array_union(a, b), lambda u: F.array_sort(_kept(u, scale)))
 
 
 def as_string(sk: Column) -> Column:

@@ -132,6 +132,26 @@ def test_fingerprint_keeps_hashes_below_the_fraction(spark):
     assert r[0] > 0.9 and r[1] == len(set(kept[1]) | set(kept[3]))
 
 
+def test_fingerprints_of_short_texts(spark):
+    rng = random.Random(4)
+    short = [prose(rng, rng.randrange(20, 40)) for _ in range(200)]
+    rows = [(i, t, " ".join(t.split()[: len(t.split()) * 2 // 3]) + " " + prose(rng, len(t.split()) // 3)) for i, t in enumerate(short)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, edited string")
+    both = lambda of: fingerprints.likeness(of(F.col("text")), of(F.col("edited")))
+    got = df.select(both(fingerprints.sketch).alias("got"), both(lambda c: F.array_distinct(fingerprints.shingle_hashes(c))).alias("full")).where("full >= 0.4").collect()
+    assert sum(r["got"] == 0 for r in got) == 0 and sum(abs(r["got"] - r["full"]) > 0.3 for r in got) < len(got) // 20
+
+
+def test_merged_fingerprints_are_those_of_the_union(spark):
+    hashes = [[], [2**62], [2**62, 2**61], [2**63 - 1], [-(2**63) + 5], [-(2**63) + 7, -(2**63) + 5]]
+    rows = [(a, b) for a in hashes for b in hashes]
+    own = lambda c: fingerprints._kept(F.col(c), 8)
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    for r in df.select("a", "b", fingerprints.merge(own("a"), own("b"), 8).alias("m")).collect():
+        every = {*r["a"], *r["b"]}
+        assert r["m"] == (sorted(x for x in every if x < -(2**63) + 2**61) or sorted(every)[:1])
+
+
 # op4
 
 
