@@ -10,13 +10,15 @@ kept for the next runs of the partition, up to a number of words after which mem
 Defined results: null text is empty; an empty text has no ids, and its digests are those of the empty
 string. Strings of special tokens in a text become their ids, as in the library. Texts and words of
 any length are processed whole. Decoding joins the ids' tokens by one space, as files without a
-decoder do. An empty table gives an empty result.
+decoder do. Repeated rows and rows that share a doc_id, or have none, are encoded each. Extra columns
+are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable
 from heapq import heapify, heappop, heappush
@@ -31,6 +33,12 @@ from .common import arrow_map
 KEPT_WORDS = 400_000
 
 
+#: A character outside of the blocks that no version of Unicode classifies otherwise: Latin with its
+#: extensions A and B, dashes, quotes and the euro sign. Texts without one take the fast path, which
+#: gives what the library's normalizer and pre-tokenizer give; the others go through these.
+UNSETTLED = re.compile(r"[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
+
+
 def byte_characters() -> list[str]:
     """The character that stands for each byte: itself where printable, else one from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -43,6 +51,8 @@ class Tokenizer:
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import Regex, pre_tokenizers
+        from tokenizers import Tokenizer as Library
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -55,24 +65,30 @@ class Tokenizer:
         #: A pair of ids as one number: (rank, id of the merged symbol).
         self.pairs = {self.vocab[a] << 32 | self.vocab[b]: (r, self.vocab[a + b]) for r, (a, b) in reversed([*enumerate(merges)])}
         kinds = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self.find = regex.compile(kinds[0]["pattern"]["Regex"]).findall
+        pattern = kinds[0]["pattern"]["Regex"]
+        self.find = regex.compile(pattern).findall
+        self.library = Library.from_file(path).normalizer.normalize_str
+        self.pretokenize = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split
         self.byte = byte_characters()
         self.inner = [self.vocab[c] for c in self.byte]
         self.last = [self.vocab[c + self.end] for c in self.byte]
         self.known: dict[str, tuple[str, str, int]] = {}
 
-    @staticmethod
-    def normalize(text: str) -> str:
+    def words(self, text: str) -> list[str]:
+        """The words of a text without special tokens."""
         if text.isascii():
-            return text.lower()
-        text = unicodedata.normalize("NFC", text)
-        return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+            return self.find(text.lower())
+        if UNSETTLED.search(text) is None:
+            return self.find(unicodedata.normalize("NFC", text).lower())
+        return [w for w, _ in self.pretokenize(self.library(text))]
 
-    def merged(self, new: Iterable[str]) -> list[list[int]]:
+    def merged(self, new: list[str]) -> list[list[int]]:
         """The ids of each distinct word, by one index of pair positions over all of them."""
         ids: list[int] = []
         starts: list[int] = []
+        if not new:
+            return []
         for w in new:
             starts.append(len(ids))
             raw = w.encode("utf-8")
@@ -129,10 +145,10 @@ class Tokenizer:
     def split(self, text: str) -> list[str]:
         """The words and special tokens of a text, in order."""
         if "<|" not in text:
-            return self.find(self.normalize(text))
+            return self.words(text)
         out: list[str] = []
         for part in self.cut(text):
-            out += [part] if part in self.special else self.find(self.normalize(part))
+            out += [part] if part in self.special else self.words(part)
         return out
 
     def learn(self, texts: list[list[str]]) -> None:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,21 +21,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folders of the staging scope that is open.
+_scope: ContextVar[list[str] | None] = ContextVar("quirelake_staging", default=None)
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which belongs to the staging scope that is open, if any."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if (paths := _scope.get()) is not None:
+        paths.append(path)
+    return path
 
 
-#: The staged tables' folders, in the order in which they were written.
-_paths: list[str] = []
+@contextmanager
+def staging(spark: SparkSession):
+    """Delete at the end, also after a failure, what the block stages itself.
+
+    Scopes nest, and each owns only what is staged directly in it. What is staged outside of any scope
+    stays until the shared folder is cleaned, as a lazy result may still read it: a caller that has
+    written such a result puts both into a scope. Yields the paths, for an owner who lets go earlier.
+    """
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield paths
+    finally:
+        _scope.reset(token)
+        release(spark, paths)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what has been staged before the last table, once nothing reads it any more."""
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these staged tables, which nothing reads any more."""
     conf = spark._jsc.hadoopConfiguration()
-    for old in _paths[:-1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(old)
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
-    del _paths[:-1]
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
@@ -43,7 +65,6 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     paid twice, and gives the planner true sizes, so that small sides are broadcast by size.
     """
     path = shared_path(df.sparkSession, tag)
-    _paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -75,7 +96,9 @@ def arrow_map(df: DataFrame, function, schema) -> DataFrame:
         give_back()
 
     workers_import()
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) in ("67108864b", "-1"):  # Spark's defaults; a bound that the session has set stands
+        conf.set(key, str(BATCH_BYTES))
     return df.mapInArrow(mapped, schema)
 
 

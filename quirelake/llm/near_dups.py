@@ -63,9 +63,7 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def sequence_hash(h: np.ndarray) -> int:
-    up, _ = tn._power_tables(len(h) + 1)
-    with np.errstate(over="ignore"):
-        return int(tn.mix(np.array([np.sum(h * up[1 : len(h) + 1], dtype=U) + U(len(h))], U)).view(np.int64)[0])
+    return int(tn.sum_of_parts(h, np.array([len(h)])).view(np.int64)[0])
 
 
 def samples(s: np.ndarray) -> np.ndarray:

@@ -2,19 +2,22 @@
 
 Personal data and secrets are detected in whole texts, and every distinct entity of the corpus gets a
 surrogate of its own: drawn by a keyed hash (HMAC-SHA256) from its type and canonical form, in the
-layout of what it replaces - digits for digits, letter case for letter case, given names of the
-gender that the form of address tells, in the script of the name. Surrogates are checked against all
-real entities of the corpus and against one another; of those that clash all but one are drawn again,
-until none is left. So different entities stay different, mentions of one entity stay one, and no
-surrogate is somebody's real datum.
+layout of what it replaces - digits for digits of the same script, letter case for letter case, given
+names of the gender that the form of address tells, in the script of the name. Phone numbers keep
+their country code, IBANs their country, and check digits of IBANs, and of cards that had valid ones,
+are computed. Surrogates are checked against all real entities of the corpus and against one another;
+of those that clash all but one are drawn again, a little longer each time, until none is left. So
+different entities stay different, mentions of one entity stay one, and no surrogate is somebody's
+real datum.
 
 The entity table is distributed: it is drawn, checked and joined back as DataFrames, and only texts
 that hold a detectable entity pass through Python or a shuffle.
 
 Defined results: null text stays null and texts without an entity stay byte for byte as they are.
-Names are mapped by part, so that a surname alone and a full name keep their coreference. Repeated
-rows are rewritten each. Rows with a null ``doc_id`` are rewritten too. An empty table gives an empty
-result. Other columns are kept; one named ``n_replaced`` is replaced.
+Names are mapped by part, so that a surname alone and a full name keep their coreference, and mail
+addresses by mailbox and domain, so that addresses of one domain keep one. Repeated rows are rewritten
+each, as are rows with a null or a repeated ``doc_id``. An empty table gives an empty result. Other
+columns are kept; one named ``n_replaced`` is replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from itertools import count
 
@@ -32,8 +36,8 @@ from pyspark.sql.types import LongType, StructType
 
 from .common import arrow_map, staged
 
-#: Rounds of drawing in which numbers keep their length; from then on each round adds a digit. Names
-#: grow by a syllable with every round, so the space outgrows any number of entities.
+#: Rounds of drawing in which numbers keep their length; from then on each round adds a digit. Names,
+#: mailboxes and domains grow with every round, so the space outgrows any number of entities.
 ROUNDS = 12
 
 #: Forms of address that come before a name, by the gender they tell.
@@ -53,22 +57,28 @@ SYLLABLES = {
 }
 SCRIPTS = (("cyrillic", 0x400, 0x52F), ("greek", 0x370, 0x3FF), ("hebrew", 0x590, 0x5FF))
 
+#: The country calling codes of one and two digits; all others have three.
+SHORT_CODES = (
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
+
 _CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 #: Every type's pattern; earlier ones win where they overlap.
 PATTERNS = [
-    ("email", r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}"),
+    ("mail", r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}"),
     ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z])"),
-    ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
-    ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)"),
+    ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
+    ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?\w)"),
     ("card", r"(?<![\w.,-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("phone", r"(?<![\w(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])"),
     ("name", r"(?<!\w)(?P<address>" + "|".join(sorted((a for names in ADDRESS.values() for a in names), key=len, reverse=True)) + rf")\.? (?P<parts>{_CAP}(?: {_CAP}){{0,2}})"),
 ]
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
-#: What a text must hold for any of the patterns to match. It is scanned for in every text, so each
-#: alternative fails at its first character nearly everywhere.
-HINT = r"[@0-9]|AKIA|sk-|gh[pousr]_|(?=[" + "".join(sorted({a[0] for names in ADDRESS.values() for a in names})) + r"])(?:" + "|".join(a for names in ADDRESS.values() for a in names) + r")\.? \p{L}"
+#: What a text must hold for any of the patterns to match: all but names hold an @ or a decimal digit
+#: (the two ranges are digits that the JVM's tables need not know yet). It is scanned for in every
+#: text, so each alternative fails at its first character nearly everywhere.
+HINT = r"[@\p{Nd}\x{11F50}-\x{11F59}\x{1E4F0}-\x{1E4F9}]|(?=[" + "".join(sorted({a[0] for names in ADDRESS.values() for a in names})) + r"])(?:" + "|".join(a for names in ADDRESS.values() for a in names) + r")\.? \S"
 
 
 def script_of(text: str) -> str:
@@ -78,26 +88,29 @@ def script_of(text: str) -> str:
 def canonical(kind: str, text: str) -> str:
     """What mentions of one entity have in common."""
     if kind in ("phone", "card", "ssn"):
-        return re.sub(r"\D", "", text)
+        digits = "".join(str(unicodedata.decimal(c)) for c in text if c.isdecimal())
+        return f"+{digits}" if kind == "phone" and text[0] == "+" else digits
     return re.sub(r"\s", "", text).lower()
 
 
 def find(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(begin, end, type, canonical form) of the entities of a text, names part by part."""
+    """(begin, end, type, canonical form) of the entities of a text; names and addresses part by part."""
     for m in FINDER.finditer(text):
         kind = m.lastgroup if m.lastgroup not in ("address", "parts") else "name"
-        if kind == "secret" and not (re.search(r"\d", m[0]) and re.search(r"[A-Za-z]", m[0])):
-            if len(m[0]) > 19 or not m[0].isdigit():
-                continue
-            kind = "card"
-        if kind != "name":
-            yield m.start(), m.end(), kind, canonical(kind, m[0])
+        if kind == "secret" and not (re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0])):
             continue
-        gender, parts = GENDER[m["address"].lower()], list(re.finditer(r"\S+", m["parts"]))
-        for i, p in enumerate(parts):
-            begin = m.start("parts") + p.start()
-            role = "surname" if i == len(parts) - 1 else f"given-{gender}"
-            yield begin, begin + len(p[0]), role, p[0].lower()
+        if kind == "mail":
+            at = m.start() + m[0].index("@")
+            yield m.start(), at, "mailbox", canonical(kind, m[0])
+            yield at + 1, m.end(), "domain", canonical(kind, text[at + 1 : m.end()])
+        elif kind == "name":
+            gender, parts = GENDER[m["address"].lower()], list(re.finditer(r"\S+", m["parts"]))
+            for i, p in enumerate(parts):
+                begin = m.start("parts") + p.start()
+                role = "surname" if i == len(parts) - 1 else f"given-{gender}"
+                yield begin, begin + len(p[0]), role, p[0].lower()
+        else:
+            yield m.start(), m.end(), kind, canonical(kind, m[0])
 
 
 def _stream(key: bytes, *parts: str) -> Iterator[int]:
@@ -107,65 +120,90 @@ def _stream(key: bytes, *parts: str) -> Iterator[int]:
         k += 1
 
 
+def luhn(digits: str) -> int:
+    """The check digit that goes after these digits of a card."""
+    twice = [int(c) * 2 for c in digits[::-2]]
+    return -(sum(x - 9 if x > 9 else x for x in twice) + sum(int(c) for c in digits[-2::-2])) % 10
+
+
+def iban_check(country: str, account: str) -> str:
+    number = "".join(str(int(c, 36)) for c in f"{account}{country}00")
+    return f"{98 - int(number) % 97:02}"
+
+
 def draw(key: bytes, kind: str, canon: str, attempt: int) -> str:
     """The canonical form of a candidate surrogate."""
-    if kind in ("card", "phone", "ssn"):
-        canon += "0" * max(0, attempt - ROUNDS + 1)
     s = _stream(key, kind, canon, str(attempt))
-    digits = lambda text: "".join(str((next(s) << 8 | next(s)) % 10) if c.isdigit() else c for c in text)
+    below = lambda n: (next(s) << 8 | next(s)) % n
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    digit = lambda c: str(1 + below(9)) if c != "0" else "0"  # noqa: E731  a first digit stays zero or not
+    digits = lambda text: "".join(str(below(10)) for _ in text)
+    longer = "0" * max(0, attempt - ROUNDS + 1)
     if kind == "ip":
-        return ".".join(str(1 + (next(s) << 8 | next(s)) % 254) for _ in range(4))
+        return ".".join(str(1 + below(254)) for _ in range(4))
     if kind == "card":
-        return str(1 + next(s) % 9) + digits(canon[1:])
+        body = canon[0] + digits(canon[1:-1] + longer)
+        return body + (str(luhn(body)) if luhn(canon[:-1]) == int(canon[-1]) else digits(" "))
     if kind == "phone":
-        return canon[:1] + digits(canon[1:])
+        keep = 0
+        if canon[0] == "+":
+            keep = next((n + 1 for n in (1, 2) if canon[1 : 1 + n] in SHORT_CODES), 4)
+        rest = canon[keep:] + longer
+        return canon[:keep] + (digit(rest[0]) + digits(rest[1:]) if rest else "")
     if kind == "ssn":
-        return digits(canon)
-    if kind in ("secret", "iban"):
-        low = "0123456789abcdef" if re.fullmatch(r"[0-9a-f]+", canon) else "0123456789abcdefghijklmnopqrstuvwxyz"
-        keep = 4 if kind == "iban" else len(canon) - len(canon.split("_")[-1].split("-")[-1].removeprefix("akia"))
-        body = "".join(low[(next(s) << 8 | next(s)) % 10] if c.isdigit() else low[10 + (next(s) << 8 | next(s)) % (len(low) - 10)] if c.isalpha() else c for c in canon[keep:])
-        return (canon[:2] + digits(canon[2:4]) if kind == "iban" else canon[:keep]) + body
-    if kind == "email":
-        local = "".join("abcdefghijklmnopqrstuvwxyz"[(next(s) << 8 | next(s)) % 26] if c.isalpha() else str(next(s) % 10) if c.isdigit() else c for c in canon.split("@")[0])
-        host = "".join("abcdefghijklmnopqrstuvwxyz"[(next(s) << 8 | next(s)) % 26] for _ in range(8))
-        return f"{local}@{host}.invalid"
+        return digit(canon[0]) + digits(canon[1:] + longer)
+    same = lambda text, low: "".join(low[below(10)] if c.isdigit() else low[10 + below(len(low) - 10)] if c.isalpha() else c for c in text)
+    if kind == "iban":
+        account = same(canon[4:], "0123456789" + letters)
+        return canon[:2] + iban_check(canon[:2], account) + account
+    if kind == "secret":
+        keep = len(canon) - len(canon.split("_")[-1].split("-")[-1].removeprefix("akia"))
+        return canon[:keep] + same(canon[keep:], "0123456789abcdef" if re.fullmatch(r"[0-9a-f]+", canon) else "0123456789" + letters)
+    if kind == "mailbox":
+        return "".join(letters[below(26)] if c.isalpha() else str(below(10)) if c.isdigit() else c for c in canon.split("@")[0] + "a" * attempt)
+    if kind == "domain":
+        labels = [len(x) for x in canon.split(".")[:-1]]
+        labels[-1] = max(labels[-1], 6) + attempt
+        return ".".join("".join(letters[below(26)] for _ in range(n)) for n in labels) + ".invalid"
     syllables, ends = SYLLABLES[script_of(canon)]
-    n = 2 + next(s) % 2 + attempt
-    return "".join(syllables[(next(s) << 8 | next(s)) % len(syllables)] for _ in range(n)) + ends[kind.removeprefix("given-") if kind.startswith("given-") else "s"]
+    return "".join(syllables[below(len(syllables))] for _ in range(2 + below(2) + attempt)) + ends[kind.removeprefix("given-") if kind.startswith("given-") else "s"]
 
 
 def render(kind: str, mention: str, surrogate: str) -> str:
     """The surrogate in the layout of the mention."""
     if kind in ("phone", "card", "ssn"):
-        left = iter(surrogate)
-        return "".join([*(next(left) if c.isdigit() else c for c in mention), *left])
+        left, zero = iter(surrogate.removeprefix("+")), 48
+        out = []
+        for c in mention:
+            if c.isdecimal():
+                zero = ord(c) - unicodedata.decimal(c)
+                c = chr(zero + int(next(left)))
+            out.append(c)
+        return "".join([*out, *(chr(zero + int(x)) for x in left)])
     if kind == "iban":
         left = iter(surrogate)
         return "".join(c if c.isspace() else next(left).upper() for c in mention)
-    if kind in ("email", "secret"):
-        if not re.search(r"[a-z]", mention):
-            return surrogate.upper()
-        if kind == "secret":
-            return "".join(x.upper() if c.isupper() else x for c, x in zip(mention, surrogate, strict=True))
-        return surrogate
+    if kind in ("mailbox", "domain"):
+        return surrogate.upper() if mention.isupper() else surrogate
+    if kind == "secret":
+        return "".join(x.upper() if c.isupper() else x for c, x in zip(mention, surrogate, strict=True))
     if kind == "ip":
         return surrogate
     return surrogate.upper() if mention.isupper() and len(mention) > 1 else surrogate[:1].upper() + surrogate[1:]
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, canon), once for each entity that a text of docs(doc_id, text) holds."""
+    """(row, kind, canon), once for each entity that a text of docs(row, text) holds."""
 
     def found(batches):
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows += [(doc, kind, canon) for kind, canon in dict.fromkeys((k, c) for _, _, k, c in find(text.as_py() or ""))]
+            for row, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows += [(row, kind, canon) for kind, canon in dict.fromkeys((k, c) for _, _, k, c in find(text.as_py() or ""))]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "kind", "canon"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["row", "kind", "canon"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), found, "doc_id long, kind string, canon string")
+    return arrow_map(docs.select("row", "text"), found, "row long, kind string, canon string")
 
 
 def assign(found: DataFrame, key: bytes, drawer: Callable[[bytes, str, str, int], str] = draw) -> DataFrame:
@@ -213,9 +251,11 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
         raise ValueError("the key must have 16 bytes at least")
     docs = docs.drop("n_replaced")
     held = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
-    found = staged(entities(docs.where(held).select("doc_id", "text")), "mentions")
+    # rows that agree in this hash share their surrogates, which is all the same to each
+    row = F.xxhash64("doc_id", "text")
+    found = staged(entities(docs.where(held).select(row.alias("row"), "text")), "mentions")
     table = assign(found, key)
-    told = found.join(table, ["kind", "canon"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "canon", "surrogate")).alias("_ql_told")).withColumnRenamed("doc_id", "_ql_of")
+    told = found.join(table, ["kind", "canon"]).groupBy("row").agg(F.collect_set(F.struct("kind", "canon", "surrogate")).alias("_ql_told")).withColumnRenamed("row", "_ql_row")
     names = docs.columns
 
     def rewritten(batches):
@@ -229,5 +269,5 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], [*names, "n_replaced"])
 
     schema = StructType([*docs.schema.fields]).add("n_replaced", LongType())
-    changed = docs.where(held).join(told, F.col("doc_id").cast("long").eqNullSafe(F.col("_ql_of")), "left").drop("_ql_of")
+    changed = docs.where(held).join(told, row == F.col("_ql_row"), "left").drop("_ql_row")
     return docs.where(~held).withColumn("n_replaced", F.lit(0).cast("long")).unionByName(arrow_map(changed, rewritten, schema))

@@ -1,29 +1,37 @@
 """Quality rules with adaptive thresholds.
 
-Each document's measures are gathered into mergeable quantile (KLL) sketches per language and
-source. A group's fences are its quartiles widened by a multiple of their distance, so that what is
-usual for a source passes there and only what stands far outside goes; groups with few documents use
-their language's merged sketch, and languages with few documents the whole table's. The fences are
-joined to the documents. Everything is DataFrame expressions: no Python runs on the executors.
+Each document's measures are gathered into mergeable quantile sketches per language and source. The
+sketch is a log-linear histogram: a value in ten-thousandths is cut to its seven leading bits, so
+that quantiles have a relative error below 1/64 whatever their size, sketches merge by adding counts,
+and the same rows give the same sketch in any order. A group's upper fence is its ninth decile and
+four times that decile's distance from the median; the mean length of words has a lower fence as
+well. So what a tenth of a source's documents have is usual there, and what few have is not. A
+document is let off one unit of its own resolution: one symbol, one repeated line, or the words of
+one line and its repeat. Groups with few documents use their language's merged sketch, and languages
+with few documents the whole table's. The fences are joined to the documents. Everything is
+DataFrame expressions: no Python runs on the executors.
 
 Defined results: null text has no words and fails the base rule; null languages and sources are
-groups of their own; repeated rows count and are judged each; a text of any length is measured
-whole, in arrays of its own words; an empty table gives an empty result. Only ``doc_id``, ``text``,
-``lang`` and ``source`` are read for the verdict; other columns
-can have any name, and ``filter_documents`` keeps them.
+groups of their own; repeated rows count and are judged each; values at a fence are within it; a text
+of any length is measured whole, in arrays of its own words; an empty table gives an empty result.
+Only ``doc_id``, ``text``, ``lang`` and ``source`` are read for the verdict; other columns can have
+any name, and ``filter_documents`` keeps them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLANKS, bind, fold, sized, staged, words
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-#: Measures that are judged, each with the least distance between quartiles that counts.
-LEAST_SPREAD = {"mean_word": 0.75, "symbol_rate": 0.02, "dup_line_rate": 0.08, "repeat_rate": 0.06}
+#: Sketched values are in so many parts of one, and keep so many leading bits.
+PARTS, BITS = 10_000, 7
+#: The fence lies beyond the decile by so many times its distance from the median.
+WIDTH = 4
+MEASURES = ("mean_word", "symbol_rate", "dup_line_rate", "repeat_rate")
 #: Measures whose low side is judged too.
 BOTH_SIDES = ("mean_word",)
 
@@ -66,43 +74,67 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
     return counted.select(*keep, n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", r.alias("n_repeat_words"), ((n < 20) | (100 * r > 30 * n)).alias("base_failed"), (F.col("_breaks") + 1).alias("n_lines"))
 
 
-def rates() -> dict[str, Column]:
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    return {"mean_word": F.col("word_chars") / n, "symbol_rate": F.col("n_symbols") / n, "dup_line_rate": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), "repeat_rate": F.col("n_repeat_words") / n}
+def ratios(spared: bool = False) -> dict[str, Column]:
+    """Each measure in sketch units; ``spared`` leaves one unit of the document's resolution out of it."""
+    n, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
+    in_line = F.call_function("div", 2 * F.col("n_words"), lines)
+    told = {
+        "mean_word": (F.col("word_chars"), n, F.lit(0)), "symbol_rate": (F.col("n_symbols"), n, F.lit(1)),
+        "dup_line_rate": (F.col("n_dup_lines"), lines, F.lit(1)), "repeat_rate": (F.col("n_repeat_words"), n, in_line),
+    }
+    return {m: cut(F.call_function("div", PARTS * F.greatest(a - unit if spared else a, F.lit(0)), of)) for m, (a, of, unit) in told.items()}
 
 
-def fences(measured: DataFrame, least_group: int = 100, width: float = 5.0) -> DataFrame:
-    """(lang, source, lo_m, hi_m for each measure m), a row per group, from merged sketches.
+def cut(value: Column) -> Column:
+    """A whole number with all but its leading bits at zero."""
+    low = F.greatest(F.length(F.bin(value)) - BITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", value, low), low)
+
+
+def sketches(measured: DataFrame) -> DataFrame:
+    """(lang, source, m, value, c): how many documents that pass the base rule have each cut value."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), x.alias("value")) for m, x in ratios().items()]))
+    return measured.where(~F.col("base_failed")).select("lang", "source", each.alias("_x")).groupBy("lang", "source", "_x.m", "_x.value").agg(F.count("*").alias("c"))
+
+
+def merge(sketched: DataFrame, by: list[str]) -> DataFrame:
+    """The sketches merged over all groups that are alike in ``by``."""
+    return sketched.groupBy(*by, "m", "value").agg(F.sum("c").alias("c"))
+
+
+def bounds(sketched: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, lo_m, hi_m for each measure m) from sketches, a row per group."""
+    group = Window.partitionBy(*by, "m")
+    up_to = F.sum("c").over(group.orderBy("value"))
+    ranked = sketched.select(*by, "m", "value", up_to.alias("_at"), F.sum("c").over(group).alias("n"))
+    quantile = lambda m, tenths: F.min(F.when((F.col("m") == m) & (10 * F.col("_at") >= tenths * F.col("n")), F.col("value"))).alias(f"q{tenths}_{m}")
+    found = ranked.groupBy(*by).agg(F.max("n").alias("n"), *[quantile(m, t) for m in MEASURES for t in (1, 5, 9)])
+    hi = lambda m: F.col(f"q9_{m}") + WIDTH * (F.col(f"q9_{m}") - F.col(f"q5_{m}"))
+    lo = lambda m: F.col(f"q1_{m}") - WIDTH * (F.col(f"q5_{m}") - F.col(f"q1_{m}")) if m in BOTH_SIDES else F.lit(0).cast("long")
+    return found.select(*by, "n", *[x for m in MEASURES for x in (lo(m).alias(f"lo_{m}"), hi(m).alias(f"hi_{m}"))])
+
+
+def fences(measured: DataFrame, least_group: int = 100) -> DataFrame:
+    """(lang, source, lo_m, hi_m for each measure m), a row per group; nulls where nothing is sketched.
 
     Documents that fail the base rule are left out of the sketches.
     """
-    names = list(LEAST_SPREAD)
-    sound = measured.where(~F.col("base_failed"))
-    own = sound.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(m).alias(m) for m in names])
-    own = staged(own, "sketches")
-    by_lang = own.groupBy("lang").agg(F.sum("n").alias("n_l"), *[F.kll_merge_agg_double(m).alias(f"{m}_l") for m in names])
-    whole = own.agg(F.sum("n").alias("n_w"), *[F.kll_merge_agg_double(m).alias(f"{m}_w") for m in names])
-    groups = measured.select("lang", "source").distinct()
-    own = own.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    by_lang = by_lang.withColumnRenamed("lang", "_of")
-    found = groups.join(own, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    found = found.join(by_lang, F.col("lang").eqNullSafe(F.col("_of")), "left")
-    found = found.join(F.broadcast(whole))  # one row
-    q = lambda m, p: F.kll_sketch_get_quantile_double(F.col(f"_{m}"), F.lit(p))
-    found = found.withColumns({f"_{m}": F.when(F.col("n") >= least_group, F.col(m)).when(F.col("n_l") >= least_group, F.col(f"{m}_l")).when(F.col("n_w") > 0, F.col(f"{m}_w")) for m in names})
-    out = []
-    for m, least in LEAST_SPREAD.items():
-        reach = width * F.greatest(q(m, 0.75) - q(m, 0.25), F.lit(least))
-        out += [(q(m, 0.25) - reach if m in BOTH_SIDES else F.lit(0.0)).alias(f"lo_{m}"), (q(m, 0.75) + reach).alias(f"hi_{m}")]
-    return found.select("lang", "source", *out)
-
-
-def judge(measured: DataFrame, least_group: int = 100, width: float = 5.0) -> DataFrame:
+    own = staged(sketches(measured), "sketches")
+    ends = [f"{side}_{m}" for m in MEASURES for side in ("lo", "hi")]
+    level = lambda by, tag: bounds(merge(own, by), by).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("n").alias(f"n_{tag}"), F.struct(*ends).alias(tag))
+    found = measured.select("lang", "source").distinct()
+    found = found.join(level(["lang", "source"], "group"), F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
+    found = found.join(level(["lang"], "of_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    found = found.join(F.broadcast(level([], "whole")))  # one row
+    chosen = F.when(F.col("n_group") >= least_group, F.col("group")).when(F.col("n_of_lang") >= least_group, F.col("of_lang")).otherwise(F.col("whole"))
+    return found.select("lang", "source", chosen.alias("_f")).select("lang", "source", "_f.*")
+
+
+def judge(measured: DataFrame, least_group: int = 100) -> DataFrame:
     """``measured`` (with lang, source and the measures) with ``kept``, joined to its group's fences."""
-    told = staged(fences(measured.withColumns(rates()), least_group, width), "fences")
-    within = fold([F.col(m).between(F.col(f"lo_{m}"), F.col(f"hi_{m}")) for m in LEAST_SPREAD], lambda a, b: a & b)
-    left, right = measured.withColumns(rates()).alias("d"), told.alias("f")
-    joined = left.join(right, F.col("d.lang").eqNullSafe(F.col("f.lang")) & F.col("d.source").eqNullSafe(F.col("f.source")), "left")
+    told = staged(fences(measured, least_group), "fences")
+    within = fold([x.between(F.col(f"lo_{m}"), F.col(f"hi_{m}")) for m, x in ratios(spared=True).items()], lambda a, b: a & b)
+    joined = measured.alias("d").join(told.alias("f"), F.col("d.lang").eqNullSafe(F.col("f.lang")) & F.col("d.source").eqNullSafe(F.col("f.source")), "left")
     return joined.select("d.*", (~F.col("base_failed") & F.coalesce(within, F.lit(True))).alias("kept"))
 
 

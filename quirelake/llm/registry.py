@@ -2,19 +2,51 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import queries
+from . import pipeline, queries
 from .url_reputation import TWO_LABEL_SUFFIXES
 
 QUERIES = {k: f for k, f in vars(queries).items() if k.startswith("op") and callable(f)}
-QUERIES["pipeline"] = corpus_pipeline.run
+QUERIES["pipeline"] = pipeline.run
 
 _TWO = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
 _MOMENTS = "sum(bad) as bad, sum(n) as n, count(*) filter (n > 0) as kids, sum(case when n > 0 then bad * bad / n end) as sq, sum(case when n > 0 then bad / n * (1 - bad / n) end) as within"
 _STRENGTH = "case when n > 0 and kids > 1 then greatest(2.0, least(200.0, case when sq / n - (bad / n) * (bad / n) - within / n > 1e-9 then bad / n * (1 - bad / n) / (sq / n - (bad / n) * (bad / n) - within / n) - 1 else 200.0 end)) else 2.0 end"
 
+
+
+def _cut(value: str) -> str:
+    return f"(({value}) >> greatest(length(bin({value})) - 7, 0)) << greatest(length(bin({value})) - 7, 0)"
+
+
+def _quality() -> str:
+    """The measures, the sketches' quantiles by group, language and whole, and the verdicts."""
+    ratio = {"mean_word": ("word_chars", "0", "greatest(n_words, 1)"), "symbol_rate": ("n_symbols", "1", "greatest(n_words, 1)"), "dup_line_rate": ("n_dup_lines", "1", "n_lines"), "repeat_rate": ("n_repeat_words", "2 * n_words // n_lines", "greatest(n_words, 1)")}
+    each = " union all ".join(f"select lang, source, '{m}' as m, {_cut(f'10000 * {a} // {of}')} as v from base where not base_failed" for m, (a, _, of) in ratio.items())
+    quantiles = ", ".join(f"min(case when m = '{m}' and 10 * upto >= {t} * n then v end) as q{t}_{m}" for m in ratio for t in (1, 5, 9))
+    level = lambda name, by: f"""{name} as (select {by} max(n) as n, {quantiles} from (select {by} m, v, sum(c) over (partition by {by} m order by v) as upto, sum(c) over (partition by {by} m) as n
+        from (select {by} m, v, count(*) as c from vals group by {by} m, v)) {"group by " + by.rstrip(", ") if by else ""})"""
+    pick = lambda q: f"case when g.n >= 100 then g.{q} when l.n >= 100 then l.{q} else w.{q} end"
+    within = []
+    for m, (a, unit, of) in ratio.items():
+        v, hi = _cut(f"10000 * greatest({a} - {unit}, 0) // {of}"), f"5 * {pick(f'q9_{m}')} - 4 * {pick(f'q5_{m}')}"
+        lo = f"5 * {pick(f'q1_{m}')} - 4 * {pick(f'q5_{m}')}" if m == "mean_word" else "0"
+        within.append(f"({v} between {lo} and {hi})")
+    return rf"""with t as (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') as w from documents),
+        wins as (select rid, i, list_aggregate(w[i : i + 7], 'string_agg', ' ') as x from t, unnest(range(1, len(w) - 6)) as u(i) where len(w) >= 8),
+        again as (select rid, i from wins qualify count(*) over (partition by rid, x) > 1),
+        covered as (select rid, count(distinct i + k) as n from again, range(8) as r(k) group by rid),
+        dups as (select rid, count(*) - count(distinct x) as n from (select rid, unnest(string_split(text, chr(10))) as x from t) where regexp_matches(x, '[^ 	-]') group by rid),
+        base as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from (
+            select doc_id, lang, source, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+            cast(coalesce(dups.n, 0) as bigint) as n_dup_lines, cast(coalesce(covered.n, 0) as bigint) as n_repeat_words, cast(len(string_split(text, chr(10))) as bigint) as n_lines from t left join covered using (rid) left join dups using (rid))),
+        vals as ({each}),
+        {level("own", "lang, source, ")}, {level("by_lang", "lang, ")}, {level("whole", "")}
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce({" and ".join(within)}, true) as kept
+        from base d left join own g on d.lang is not distinct from g.lang and d.source is not distinct from g.source left join by_lang l on d.lang is not distinct from l.lang cross join whole w"""
+
+
 ORACLES: dict[str, str] = {
+    "op2_quality_rules": _quality(),
     "op5_warc": """with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as digest from pages),
         q as (select *, min(page_id) over (partition by digest) as first from p)
         select page_id, n as payload_bytes, digest as payload_digest, case when n >= 100 and first <> page_id then 'revisit' else 'response' end as record_type,

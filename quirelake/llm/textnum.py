@@ -1,8 +1,8 @@
 """Words of many texts at once, as numpy arrays over their UTF-8 bytes.
 
 The six blanks and A-Z are single bytes in UTF-8 that no other character contains, so splitting into
-words and lower-casing A-Z work on bytes. A word's hash is a polynomial over its bytes modulo 2**64,
-taken from prefix sums, then mixed.
+words and lower-casing A-Z work on bytes. A sequence's hash is the sum of its parts' mixed values, each
+mixed with its place; a word's parts are eight bytes each.
 """
 
 from __future__ import annotations
@@ -11,22 +11,6 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C15 | 1)
-_powers = [np.ones(1, U), np.ones(1, U)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        inverse = U(pow(int(_BASE), -1, 2**64))
-        with np.errstate(over="ignore"):
-            for k, base in ((0, _BASE), (1, inverse)):
-                steps = np.full(size, base, U)
-                steps[0] = 1
-                _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (splitmix64's finalizer)."""
     with np.errstate(over="ignore"):
@@ -70,11 +54,28 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def sum_of_parts(parts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash of each run of ``counts`` parts, one after another in ``parts``; no run is empty."""
+    first = np.cumsum(counts) - counts
+    with np.errstate(over="ignore"):
+        place = (np.arange(len(parts)) - np.repeat(first, counts) + 1).astype(U)
+        return mix(np.add.reduceat(mix(mix(parts) + place * U(0x9E3779B97F4A7C15)), first) + counts.astype(U))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _power_tables(len(data) + 1)
+    if not len(starts):
+        return np.zeros(0, U)
+    held = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(data), "<u8", held, strides=(1,))  # the eight bytes from each place on
+    sizes = ends - starts
+    counts = (sizes + 7) >> 3
+    first = np.cumsum(counts) - counts
+    offset = (np.arange(int(counts.sum())) - np.repeat(first, counts)) << 3
+    left = np.minimum(np.repeat(sizes, counts) - offset, 8)
+    mask = np.append(U(0), U(2**64 - 1) >> (U(8) * (U(8) - np.arange(1, 9, dtype=U))))
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, U), np.cumsum((data.astype(U) + U(1)) * up[: len(data)], dtype=U)])
-        return mix((sums[ends] - sums[starts]) * down[starts])
+        # the size goes in, since a word can end with zero bytes
+        return mix(sum_of_parts(eight[np.repeat(starts, counts) + offset] & mask[left], counts) + sizes.astype(U))
 
 
 def text_of_word(starts: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -1,39 +1,47 @@
 """WARC archives: written with segmented and chunked records, and reassembled when read.
 
 Writing: payloads of at least a least size that occur more than once are stored by the record with
-the smallest page id; the others become revisit records that refer to it. A response's HTTP message
-carries its body in chunked transfer framing. A record whose block is larger than a segment is split:
-the first segment keeps the record's type, the rest are continuation records that name it as their
-origin, number themselves, and the last tells the total length. Spark's text writer puts the records
-into gzipped files of a bounded number of records, in the shared folder, with its commit protocol.
+the smallest page id; the others become revisit records that refer to its record id. A response's HTTP
+message carries its body in chunked transfer framing. A record whose block is larger than a segment is
+split: the first segment keeps the record's type, the rest are continuation records that name it as
+their origin, number themselves, and the last tells the total length. Every record is a gzip member of
+its own, so that one can be read from its offset alone. Spark's text writer puts the members into
+files of a bounded number of records, in the shared folder, with its commit protocol: a member's last
+byte, the highest of its size and so zero, is left to the writer as line separator.
 
 Reading: each file is parsed by its records' content lengths. Segments are grouped by the identifier
 of their origin, ordered by number, checked against the total length, and joined; then the HTTP
 message is parsed and its chunks are decoded. A revisit takes its payload's length from the record
 that it refers to.
 
-Defined results: a null payload is empty; rows that share a page id and a payload are each a response
-or each a revisit. A segmented record with a segment missing or repeated, a wrong total, or broken
-chunk framing has a null payload and ``verified`` false, as has one whose digest differs from the
-declared one. An empty table writes no record and gives an empty result. Extra columns are ignored.
+Defined results: a null payload is empty; a null url is an empty target. A row without a page id is a
+response of its own, which no other refers to, and has none when read. Rows that share a page id and a
+payload are each a response or each a revisit. A segmented record with a segment missing or repeated, a
+wrong total, or broken chunk framing has a null payload and ``verified`` false, as has one whose digest
+differs from the declared one; a revisit whose record is not there has no payload bytes. An empty table
+writes no record and gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, shared_path
+from .common import arrow_map, shared_path, sized, staged
 
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
 RECORDS_A_FILE = 2000
+#: Records and bytes of a batch that Python hands on at once.
+BATCH_RECORDS, BATCH_BYTES = 500, 4 << 20
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -73,19 +81,30 @@ def payload_of(message: bytes) -> bytes | None:
 
 
 def record(fields: dict[str, str], block: bytes) -> bytes:
-    """One record without its last line end, which the archive's line separator adds."""
     head = "".join(f"{k}: {v}\r\n" for k, v in {**fields, "Content-Length": str(len(block))}.items())
-    return b"WARC/1.1\r\n" + head.encode() + CRLF + block + CRLF
+    return b"WARC/1.1\r\n" + head.encode() + CRLF + block + CRLF + CRLF
 
 
-def records_of(page_id: int, row: str, url: str | None, payload: bytes, refers_to: int | None, segment: int = SEGMENT_BYTES) -> Iterator[bytes]:
-    own = f"<urn:quirelake:{row}>"
+def member(data: bytes) -> bytes:
+    """A gzip member without its last byte where that is zero; a zero byte more is padding to readers."""
+    z = zlib.compressobj(wbits=31)
+    whole = z.compress(data) + z.flush()
+    return whole[:-1] if whole[-1] == 0 else whole
+
+
+def record_id(page_id: int, digest: str, copy: int = 0) -> str:
+    return f"<urn:quirelake:page:{page_id}:{digest}:{copy}>"
+
+
+def records_of(page_id: int | None, own: str, url: str | None, payload: bytes, refers_to: str | None, date: str, segment: int = SEGMENT_BYTES) -> Iterator[bytes]:
+    """The records of a page, whose first has the id ``own``."""
     digest = hashlib.sha256(payload).hexdigest()
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    fields = {"WARC-Type": "response", "WARC-Record-ID": own, "WARC-Page-ID": str(page_id), "WARC-Target-URI": target, "WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": "application/http;msgtype=response"}
+    page = {} if page_id is None else {"WARC-Page-ID": str(page_id)}
+    fields = {"WARC-Type": "response", "WARC-Record-ID": own, "WARC-Date": date, **page, "WARC-Target-URI": target, "WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": "application/http;msgtype=response"}
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if refers_to is not None:
-        yield record(fields | {"WARC-Type": "revisit", "WARC-Profile": PROFILE, "WARC-Refers-To": f"<urn:quirelake:page:{refers_to}>"}, head + CRLF)
+        yield record(fields | {"WARC-Type": "revisit", "WARC-Profile": PROFILE, "WARC-Refers-To": refers_to}, head + CRLF)
         return
     block = head + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(block) <= segment:
@@ -93,7 +112,7 @@ def records_of(page_id: int, row: str, url: str | None, payload: bytes, refers_t
         return
     yield record(fields | {"WARC-Segment-Number": "1"}, block[:segment])
     for k, at in enumerate(range(segment, len(block), segment), 2):
-        part = {"WARC-Type": "continuation", "WARC-Record-ID": f"<urn:quirelake:{row}:{k}>", "WARC-Segment-Origin-ID": own, "WARC-Segment-Number": str(k)}
+        part = {"WARC-Type": "continuation", "WARC-Record-ID": f"{own[:-1]}:segment:{k}>", "WARC-Date": date, "WARC-Segment-Origin-ID": own, "WARC-Segment-Number": str(k)}
         if at + segment >= len(block):
             part["WARC-Segment-Total-Length"] = str(len(block))
         yield record(part, block[at : at + segment])
@@ -112,30 +131,43 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += n + 4
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", least: int = 100, segment: int = SEGMENT_BYTES) -> None:
-    """Write a record per row of pages(id_col, url, html) into archives under ``path``."""
+def write(pages: DataFrame, path: str, id_col: str = "page_id", least: int = 100, segment: int = SEGMENT_BYTES, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Write a record per row of pages(id_col, url, html) into archives under ``path``.
+
+    ``date`` is the WARC-Date of all records, as pages do not tell when they were fetched.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    digests = pages.select(F.col(id_col).cast("long").alias("id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= least)
-    firsts = digests.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    revisits = digests.join(firsts, "digest").where("id != refers_to").select("id", "digest", "refers_to").distinct()
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest")).join(revisits, ["id", "digest"], "left")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
+    known = staged(rows.where("id is not null").select("id", "digest", (F.octet_length("payload") >= least).alias("large")), "digests")
+    firsts = known.where("large").groupBy("digest").agg(F.min("id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1")
+    revisits = known.join(firsts, "digest").where("id != refers_to").select("id", "digest", "refers_to", F.lit(False).alias("again"))
+    repeated = known.groupBy("id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("id", "digest", F.lit(None).cast("long").alias("refers_to"), F.lit(True).alias("again"))
+    marks = staged(revisits.unionByName(repeated).groupBy("id", "digest").agg(F.max("refers_to").alias("refers_to"), F.max("again").alias("again")), "revisits")
+    marked = rows.join(sized(marks), ["id", "digest"], "left").withColumn("copy", F.lit(0))
+    if not marks.where("again").isEmpty():  # rows that share page id and payload are told apart by number
+        number = F.row_number().over(Window.partitionBy("id", "digest").orderBy("url")) - 1
+        marked = marked.where("again is null or not again").unionByName(marked.where("again").withColumn("copy", number))
 
     def built(batches):
-        task, n = TaskContext.get().partitionId(), 0
+        task, n, out, size = TaskContext.get().partitionId(), 0, [], 0
         for b in batches:
-            for page, url, body, to in zip(b["id"].to_pylist(), b["url"].to_pylist(), b["payload"], b["refers_to"].to_pylist(), strict=True):
+            for page, digest, copy, url, body, to in zip(*(b[c].to_pylist() for c in ("id", "digest", "copy", "url")), b["payload"], b["refers_to"].to_pylist(), strict=True):
                 n += 1
-                yield pa.RecordBatch.from_arrays([pa.array(records_of(page, f"{task}:{n}", url, body.as_py(), to, segment), pa.binary())], ["value"])
-
-    made = arrow_map(rows.select("id", "url", "payload", "refers_to"), built, "value binary")
-    made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+                own = f"<urn:quirelake:task:{task}:{n}>" if page is None else record_id(page, digest, copy)
+                for r in records_of(page, own, url, body.as_py(), None if to is None else record_id(to, digest), date, segment):
+                    out.append(member(r))
+                    size += len(out[-1])
+                    if len(out) == BATCH_RECORDS or size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                        out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
+    made = arrow_map(marked.select("id", "digest", "copy", "url", "payload", "refers_to"), built, "value binary")
+    made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
-READ_SCHEMA = "page_id long, type string, url string, declared string, refers_to long, origin string, segment int, total long, block binary, payload_bytes long, payload_digest string"
 
-
-def _page(reference: str | None) -> int | None:
-    return int(reference.rpartition(":")[2].rstrip(">")) if reference else None
+READ_SCHEMA = "page_id long, type string, url string, declared string, refers string, origin string, segment int, total long, block binary, payload_bytes long, payload_digest string"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -145,14 +177,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for content in b["content"]:
                 rows = []
-                for f, block in parse(gzip.decompress(content.as_py())):
+                for f, block in parse(gzip.GzipFile(fileobj=io.BytesIO(content.as_py())).read()):
                     kind, part, n, sha = f["warc-type"], f.get("warc-segment-number"), None, None
                     whole = part is None and kind == "response"
                     if whole and (body := payload_of(block)) is not None:
                         n, sha = len(body), hashlib.sha256(body).hexdigest()
                     page = f.get("warc-page-id")
                     declared = f.get("warc-payload-digest", "").removeprefix("sha256:") or None
-                    rows.append((page and int(page), kind, f.get("warc-target-uri"), declared, _page(f.get("warc-refers-to")), f.get("warc-segment-origin-id") or f["warc-record-id"], part and int(part), (t := f.get("warc-segment-total-length")) and int(t), block if part else None, n, sha))
+                    rows.append((page and int(page), kind, f.get("warc-target-uri"), declared, f.get("warc-refers-to"), f.get("warc-segment-origin-id") or f["warc-record-id"], part and int(part), (t := f.get("warc-segment-total-length")) and int(t), block if part else None, n, sha))
                     if len(rows) == 200:
                         yield batch(rows)
                         rows = []
@@ -160,12 +192,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     yield batch(rows)
 
     def batch(rows):
-        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
+        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
         names = [x.split(" ")[0] for x in READ_SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    records = arrow_map(files, parsed, READ_SCHEMA)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,gz}").load(path).select("content")
+    records = staged(arrow_map(files, parsed, READ_SCHEMA), "records")
+
+    told = ["page_id", "url", "declared", "payload_bytes", "payload_digest"]
 
     # one origin's segments are one record, so a group is no larger than a page
     joined = records.where("segment is not null").groupBy("origin").agg(
@@ -176,22 +210,23 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def reassembled(batches):
         for b in batches:
             rows = []
-            for page, url, declared, total, parts in zip(*(b[c] for c in ("page_id", "url", "declared", "total", "parts")), strict=True):
+            for origin, page, url, declared, total, parts in zip(*(b[c] for c in ("origin", "page_id", "url", "declared", "total", "parts")), strict=True):
                 parts, n, sha = parts.as_py(), None, None
                 block = b"".join(p["block"] for p in parts)
                 if [p["segment"] for p in parts] == list(range(1, len(parts) + 1)) and len(block) == total.as_py() and (body := payload_of(block)) is not None:
                     n, sha = len(body), hashlib.sha256(body).hexdigest()
-                rows.append((page.as_py(), url.as_py(), declared.as_py(), n, sha))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()], strict=True)], ["page_id", "url", "declared", "payload_bytes", "payload_digest"])
-
-    whole = records.where("segment is null and type = 'response'").select("page_id", "url", "declared", "payload_bytes", "payload_digest")
-    responses = whole.unionByName(arrow_map(joined, reassembled, "page_id long, url string, declared string, payload_bytes long, payload_digest string"))
-    responses = responses.select("page_id", "url", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "payload_bytes", "payload_digest", F.coalesce(F.col("payload_digest") == F.col("declared"), F.lit(False)).alias("verified"))
-    revisits = records.where("type = 'revisit'").select("page_id", "url", "refers_to", "declared")
-    known = responses.groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("declared")).agg(F.max("payload_bytes").alias("payload_bytes"))
-    revisits = revisits.join(known, ["refers_to", "declared"], "left").select("page_id", "url", F.lit("revisit").alias("record_type"), "refers_to", "payload_bytes", F.col("declared").alias("payload_digest"), F.col("payload_bytes").isNotNull().alias("verified"))
-    return responses.unionByName(revisits)
+                rows.append((origin.as_py(), page.as_py(), url.as_py(), declared.as_py(), n, sha))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["origin", *told])
+
+    responses = records.where("segment is null and type = 'response'").select("origin", *told)
+    responses = responses.unionByName(arrow_map(joined, reassembled, "origin string, page_id long, url string, declared string, payload_bytes long, payload_digest string"))
+    responses = responses.withColumn("verified", F.coalesce(F.col("payload_digest") == F.col("declared"), F.lit(False)))
+    revisits = records.where("type = 'revisit'").select("page_id", "url", "refers", "declared")
+    known = responses.where("verified").select(F.col("origin").alias("refers"), F.col("page_id").alias("refers_to"), "declared", "payload_bytes")
+    revisits = revisits.join(known, ["refers", "declared"], "left").select("page_id", "url", F.lit("revisit").alias("record_type"), "refers_to", "payload_bytes", F.col("declared").alias("payload_digest"), F.col("payload_bytes").isNotNull().alias("verified"))
+    return responses.select("page_id", "url", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "payload_bytes", "payload_digest", "verified").unionByName(revisits)
 
 
 def archive(pages: DataFrame, **settings) -> DataFrame:

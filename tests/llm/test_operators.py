@@ -370,15 +370,46 @@ def test_warc_round_trip(spark):
         assert (r["record_type"], r["refers_to"]) == (("response", None) if first == i + 1 else ("revisit", first))
     assert warc.archive(df.where("false")).count() == 0
     assert warc.archive(df.unionByName(df)).count() == 2 * len(html)
+    rows = [(None, None, "n" * 200), (None, "u", "n" * 200), (7, "u", "n" * 200), (7, "v", "n" * 200), (9, None, "n" * 200), (9, None, None)]
+    odd_pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("id", "digest", "copy", "value", "refers_to")})
+    got = [(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["verified"]) for r in warc.archive(odd_pages).collect()]
+    assert sorted(got, key=str) == sorted([(None, "response", None, 200, True)] * 2 + [(7, "response", None, 200, True)] * 2 + [(9, "revisit", 7, 200, True), (9, "response", None, 0, True)], key=str)
+
+
+def test_archives_by_an_independent_reader(spark, tmp_path):
+    """Members one by one from their offsets, by zlib and the mail parser: ids, dates and references."""
+    import zlib as z
+    from email.parser import BytesParser
+
+    html = ["<p>" + "a" * 200, "<p>" + "a" * 200, "b" * 40_000, "c"]
+    df = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    warc.write(df, str(tmp_path / "w"))
+    ids, refers, n = set(), set(), 0
+    for file in (tmp_path / "w").glob("part-*"):
+        data, at = file.read_bytes(), 0
+        while at < len(data):
+            d = z.decompressobj(wbits=31)
+            raw = d.decompress(data[at:])
+            at = len(data) - len(d.unused_data)
+            line, _, rest = raw.partition(b"\r\n")
+            head = BytesParser().parsebytes(rest.partition(b"\r\n\r\n")[0] + b"\r\n\r\n")
+            block = rest.partition(b"\r\n\r\n")[2]
+            assert line == b"WARC/1.1" and d.eof and len(block) == int(head["Content-Length"]) + 4
+            assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", head["WARC-Date"])
+            ids.add(head["WARC-Record-ID"])
+            refers |= {head[k] for k in ("WARC-Refers-To", "WARC-Segment-Origin-ID") if head[k]}
+            n += 1
+    assert len(ids) == n == 6 and len(refers) == 2 and refers <= ids
 
 
 def test_broken_segments_and_chunks_are_told(spark, tmp_path):
     payload = b"z" * 50_000
-    parts = list(warc.records_of(1, "1:1", "http://h", payload, None))
+    parts = list(warc.records_of(1, "<urn:x:1>", "http://h", payload, None, "2020-01-01T00:00:00Z"))
     assert len(parts) == 4 and warc.unchunked(warc.chunked(payload)) == payload
     assert warc.unchunked(b"5\r\nab") is None and warc.unchunked(b"x\r\n") is None and warc.unchunked(b"3\r\nabc\r\n0\r\n\r\n") == b"abc"
     for name, kept in (("missing", parts[:2] + parts[3:]), ("twice", [*parts, parts[1]]), ("shuffled", parts[::-1])):
-        spark.createDataFrame([(bytearray(p),) for p in kept], "value binary").coalesce(1).select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(str(tmp_path / name))
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc.gz").write_bytes(b"".join(warc.member(p) + b"\0" for p in kept))
         r = warc.read(spark, str(tmp_path / name)).collect()
         assert [x["verified"] for x in r] == [name == "shuffled"]
 
