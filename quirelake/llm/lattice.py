@@ -5,8 +5,8 @@ probability sums over all ways to segment it. No piece goes over the begin of a
 product over words, and each distinct word is summed once: a forward recursion in log space over its
 bytes, for many words at a time. The pieces' weights start from the vocabulary's own scores, by rank,
 and are re-estimated on the training words of the corpus by expectation maximization: the forward and
-backward sums give the expected number of times that each piece is used, with the vocabulary's
-weights as a prior.
+backward sums give the expected number of times that each piece is used. The vocabulary's weights keep
+a fixed share of the probability whatever the corpus' size; the corpus has the rest.
 
 What is gathered from the corpus is a table of its words with their training counts, built and kept
 distributed. Words above a count that bounds their number go to the executors as arrays; the rest of
@@ -33,8 +33,8 @@ from .common import arrow_map, staged
 
 #: Most words that are sent to every executor (24 bytes each).
 FREQUENT = 300_000
-#: Weight of the vocabulary's own scores in the re-estimate, in pieces.
-PRIOR = 1000.0
+#: The share of the probability that the vocabulary's own scores keep in the re-estimate.
+OWN_SHARE = 0.1
 MARK = "▁".encode()
 LOG10 = np.log(10.0)
 U = np.uint64
@@ -205,7 +205,7 @@ def word_table(docs: DataFrame, learn: Column) -> DataFrame:
 def estimate(words: DataFrame, texts: int, name: str, rounds: int = 2) -> np.ndarray:
     """The pieces' log probabilities after EM on the training words; the last is the end's."""
     logp = vocabulary(name).start
-    prior = PRIOR * np.exp(logp)
+    own = np.exp(logp)
     spark = words.sparkSession
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(logp)
@@ -213,18 +213,19 @@ def estimate(words: DataFrame, texts: int, name: str, rounds: int = 2) -> np.nda
         def expected(batches, sent=sent):
             pieces, total = vocabulary(name), np.zeros(len(sent.value))
             for b in batches:
-                own, counts = b["word"].to_pylist(), b["c"].to_numpy().astype(float)
-                for g in groups(own):
-                    total += marginals(own[g], pieces, sent.value, counts[g])[1]
+                words_, counts = b["word"].to_pylist(), b["c"].to_numpy().astype(float)
+                for g in groups(words_):
+                    total += marginals(words_[g], pieces, sent.value, counts[g])[1]
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["piece", "uses"])
 
         # at most one number per piece of the vocabulary comes back
         got = arrow_map(words.where("c > 0").select("word", "c"), expected, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
-        total = prior.copy()
-        total[got["piece"].to_numpy(dtype=np.int64)] += got["uses"].to_numpy(dtype=float)
-        total[-1] += texts
-        logp = np.log(total / total.sum())
+        used = np.zeros(len(own))
+        used[got["piece"].to_numpy(dtype=np.int64)] = got["uses"].to_numpy(dtype=float)
+        used[-1] = texts
+        if used.sum() > 0:
+            logp = np.log(OWN_SHARE * own + (1 - OWN_SHARE) * used / used.sum())
     return logp
 
 

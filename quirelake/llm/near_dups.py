@@ -9,11 +9,15 @@ similarity of their sets reaches a threshold, and the links' connected component
    that two bitmaps' exclusive-or counts the samples that differ, and with that the similarity.
 3. In every bucket the members are paired with its first member only; each class keeps the leader that
    it shares most bands with, and the full sets of the two are compared. The links make components.
-4. Buckets that still hold more than one component are searched for pairs across components, in
-   blocks of bounded size. Pairs whose odd sketches may reach the threshold are compared there on their
+4. Buckets that still hold more than one component are searched for pairs across components. Of large
+   ones, all members' shingles are counted, and pairs are sought by prefixes: of two alike sets the
+   smaller one's rarest shingles meet the larger one's (``by_rare_shingles``). That takes in whoever
+   shares a band, or a template of common shingles, and is not alike enough, at no cost by pairs; what
+   is left of a large bucket are members whose prefix itself holds a common shingle. These with all
+   others, and the members of small buckets, are held against one another in blocks of bounded size. Pairs whose odd sketches may reach the threshold are compared there on their
    sets, as bitmaps over the block's shingles, each pair in the first band that it shares only; of the
-   links a spanning forest over the components leaves the block, and is confirmed on the full sets. So after this step
-   each pair of the bands has either been compared in full, lies inside one component, or is further
+   links a spanning forest over the components leaves the block, and is confirmed on the full sets. So
+   after this step each pair of the bands has either been compared in full, lies inside one component, or is further
    below the threshold than the sketch can err.
 
 A large component's members stand in blocks of their own, which are not held against one another, so
@@ -47,6 +51,8 @@ MARGIN = 0.12
 #: Most members of a chunk, of which a block has two at most; one with many shingles counts as several.
 BLOCK = 1024
 SHINGLES_A_MEMBER = 2000
+#: Most sets that hold a shingle which pairs are sought by.
+RARE = 256
 #: Bytes of the bitmaps of a block, beyond which its pairs are compared one by one.
 BITMAP_BYTES = 64 << 20
 
@@ -184,26 +190,56 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return label
 
 
+def by_rare_shingles(members: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of members(class, label, n) with different labels that may be alike, and the members they leave.
+
+    With shingles ordered from the rarest on, two sets of which at least ``c`` shingles are common share
+    one among the first |x| - c + 1 of each. Alike sets have in common at least 2t/(1+t) of the smaller and
+    t of the larger, with the threshold t. So a smaller set whose own prefix is rare is found with all
+    its partners by these shingles alone; the classes whose prefix is not are returned as second.
+    """
+    t = percent / 100
+    ex = members.join(sets, "class").select("class", "label", "n", F.explode("shingles").alias("s"))
+    held = staged(ex.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "held")
+    shared = ex.join(sized(held), "s").groupBy("class", "label", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("x"))
+    # shingles that no other set holds come first in every order
+    lone = F.col("n") - F.size("x")
+    head = lambda share: F.greatest(F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1 - lone, F.lit(0)).cast("int")
+    both = shared.select("class", "label", "n", F.slice("x", 1, head(2 * t / (1 + t))).alias("own"), F.slice("x", 1, head(t)).alias("other"))
+    both = staged(both.withColumn("common", F.coalesce(F.try_element_at("own.c", F.lit(-1)) > RARE, F.lit(False))), "prefixes")
+    left = both.where(~F.col("common")).select(F.col("class").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.explode("own.s").alias("s"))
+    right = both.select(F.col("class").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.explode(F.filter("other", lambda x: x["c"] <= RARE)).alias("x")).withColumn("s", F.col("x.s"))
+    met = left.join(right, "s").where((F.col("na") <= F.col("nb")) & (F.col("na") >= F.col("nb") * t - 1e-9) & (F.col("la") != F.col("lb")))
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sketch = lambda c: classes.select(F.col("class").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    most = SKETCH_BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - t + MARGIN) / SKETCH_BITS))
+    return met.join(sketch("a"), "a").join(sketch("b"), "b").where(differ <= float(most)).select("a", "b"), both.where("common").select("class")
+
+
 def _blocks(members: DataFrame) -> DataFrame:
-    """members(band, class, label, n) of buckets with several labels, dealt into blocks.
+    """members(band, class, label, n, found) of buckets with several labels, dealt into blocks.
 
     A label that fills a chunk in a bucket has chunks of its own; the others share chunks. Chunks meet
-    in pairs, a shared one also itself, never two of one label. Rows get ``block`` and ``side``: 0 in
-    the first chunk of the pair, 1 in the second, 2 where the block is one chunk.
+    in pairs, a shared one also itself, never two of one label, nor two of members that are ``found``,
+    whose pairs are known. Rows get ``block`` and ``side``: 0 in the first chunk of the pair, 1 in the
+    second, 2 where the block is one chunk.
     """
     weight = F.sum(1 + F.col("n") / SHINGLES_A_MEMBER)
-    sized = members.groupBy("band", "label").agg(weight.alias("m"))
-    big = sized.where(F.col("m") > BLOCK).select("band", "label", F.ceil(F.col("m") / BLOCK).cast("long").alias("own"))
-    rest = sized.where(F.col("m") <= BLOCK).groupBy("band").agg(F.ceil(F.sum("m") / BLOCK).cast("long").alias("shared"))
-    sized = staged(sized.join(big, ["band", "label"], "left").join(rest, "band", "left").select("band", "label", "own", "shared"), "chunks")
-    at = F.when(F.col("own").isNotNull(), F.concat(F.lit("o"), "label", F.lit(":"), F.pmod(F.xxhash64("class"), "own"))).otherwise(F.concat(F.lit("s"), F.pmod(F.xxhash64("label"), "shared")))
-    placed = members.join(sized, ["band", "label"]).select("band", "class", "label", at.alias("chunk"))
-    own = big.select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("i"), F.col("label").alias("pure")).select("band", F.concat(F.lit("o"), "pure", F.lit(":"), "i").alias("chunk"), "pure")
-    shared = rest.select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shared") - 1)).alias("i")).select("band", F.concat(F.lit("s"), "i").alias("chunk"), F.lit(None).cast("long").alias("pure"))
-    chunks = staged(own.unionByName(shared), "chunks")
-    x, y = chunks.select("band", F.col("chunk").alias("x"), F.col("pure").alias("px")), chunks.select("band", F.col("chunk").alias("y"), F.col("pure").alias("py"))
+    sized = members.groupBy("band", "label", "found").agg(weight.alias("m"))
+    big = sized.where(F.col("m") > BLOCK).select("band", "label", "found", F.ceil(F.col("m") / BLOCK).cast("long").alias("own"))
+    rest = sized.where(F.col("m") <= BLOCK).groupBy("band", "found").agg(F.ceil(F.sum("m") / BLOCK).cast("long").alias("shared"))
+    sized = staged(sized.join(big, ["band", "label", "found"], "left").join(rest, ["band", "found"], "left").select("band", "label", "found", "own", "shared"), "chunks")
+    name = lambda pure, i: F.concat(F.when(F.col("found"), "f").otherwise("n"), F.coalesce(pure.cast("string"), F.lit("")), F.lit(":"), i)
+    at = F.when(F.col("own").isNotNull(), name(F.col("label"), F.pmod(F.xxhash64("class"), "own"))).otherwise(name(F.lit(None), F.pmod(F.xxhash64("label"), "shared")))
+    placed = members.join(sized, ["band", "label", "found"]).select("band", "class", "label", at.alias("chunk"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("i")
+    own = big.select("band", "found", each("own"), F.col("label").alias("pure"))
+    shared = rest.select("band", "found", each("shared"), F.lit(None).cast("long").alias("pure"))
+    chunks = staged(own.unionByName(shared).select("band", "found", "pure", name(F.col("pure"), F.col("i")).alias("chunk")), "chunks")
+    x, y = (chunks.select("band", F.col("chunk").alias(c), F.col("pure").alias(f"p{c}"), F.col("found").alias(f"f{c}")) for c in "xy")
     met = x.join(y, "band").where(((F.col("x") < F.col("y")) & ~F.coalesce(F.col("px") == F.col("py"), F.lit(False))) | ((F.col("x") == F.col("y")) & F.col("px").isNull()))
-    met = met.withColumn("block", F.xxhash64("band", "x", "y"))
+    met = met.where(~(F.col("fx") & F.col("fy"))).withColumn("block", F.xxhash64("band", "x", "y"))
     sides = met.where("x = y").select("band", F.col("x").alias("chunk"), "block", F.lit(2).alias("side")).unionByName(met.where("x != y").select("band", F.explode(F.array(F.struct(F.col("x").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("y").alias("chunk"), F.lit(1).alias("side")))).alias("c"), "block").select("band", "c.chunk", "block", "c.side"))
     return placed.join(sides, ["band", "chunk"]).select("block", "side", "band", "class", "label")
 
@@ -336,8 +372,16 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     named = members.select("band", "class").join(label.withColumnRenamed("node", "class"), "class", "left").select("band", "class", F.coalesce("label", "class").alias("label"))
     several = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band")
     todo = staged(named.join(several, "band").join(sets.select("class", F.size("shingles").alias("n")), "class"), "open")
+    crowd = staged(todo.groupBy("band").agg(F.sum(1 + F.col("n") / SHINGLES_A_MEMBER).alias("w")).where(F.col("w") > 2 * BLOCK).select("band", F.lit(True).alias("crowd")), "crowded")
+    todo = todo.withColumn("found", F.lit(False))
+    if not crowd.isEmpty():
+        inside = todo.join(crowd, "band").select("class", "label", "n").distinct()
+        near, common_ = by_rare_shingles(inside, sets, classes, percent)
+        found = found.unionByName(staged(links(staged(near, "near"), sets, percent), "links"))
+        open_ = common_.withColumn("open", F.lit(True))
+        todo = staged(todo.drop("found").join(crowd, "band", "left").join(open_, "class", "left").withColumn("found", F.col("crowd").isNotNull() & F.col("open").isNull()).drop("crowd", "open"), "open")
     for forest in (True, False):
-        if todo.isEmpty():
+        if todo.where("not found").isEmpty():
             break
         met = staged(across(todo, classes, sets, percent, forest), "met")
         new = staged(links(met, sets, percent), "links")

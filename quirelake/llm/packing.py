@@ -11,7 +11,9 @@ log2(capacity) times, and each length splits at most one run, so the list has a
 go to every executor. Each piece finds its place from its rank among the pieces of its length.
 
 Defined results: null text is empty, and an empty document is one piece that holds the end id alone.
-Repeated rows are packed each. An empty table gives an empty result.
+Repeated rows, rows that share a doc_id, and rows without one are packed each; pieces that tie in
+length are ranked by a hash of the piece, then by id. Texts of any length are tokenized whole. Extra
+columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql.types import LongType, StructType
 from .common import arrow_map, staged
 
 CAPACITY = 2048
-#: Parts that the pieces of a length are ranked in, so that one length can hold most pieces.
-SALTS = 128
+#: Pieces of a length that are ranked together; a length with more is dealt into parts of this size.
+RANKED = 1_000_000
 
 
 @dataclass
@@ -166,19 +168,20 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", end_id: i
 def pack(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut_up`` (materialized pieces) with sequence_id and offset.
 
-    The pieces of a length are ranked by salt, then within the salt; the plan and the salts' counts
-    (at most capacity and SALTS * capacity numbers) are all that the driver sees.
+    The pieces of a length are ranked by salt, then within the salt. A length has a salt for every
+    RANKED of its pieces; the driver sees a count per length and per salt, so a number for every million
+    pieces beside the capacity.
     """
-    dealt = cut_up.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(SALTS)).cast("int"))
+    counts = {r["length"]: r["count"] for r in cut_up.groupBy("length").count().collect()}
+    salts = [-(-counts.get(n, 0) // RANKED) or 1 for n in range(capacity + 1)]
+    own = F.get(F.split(F.lit(",".join(map(str, salts))), ",").cast("array<long>"), F.col("length").cast("int"))
+    dealt = cut_up.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), own).cast("int"))
     rows = dealt.groupBy("length", "salt").count().toPandas().sort_values(["length", "salt"])
-    counts: dict[int, int] = {}
-    base: dict[tuple[int, int], int] = {}
+    table = np.zeros((capacity + 1, max(salts)), np.int64)  # how many pieces of a length go before a salt's
+    before: dict[int, int] = {}
     for n, s, c in rows.itertuples(index=False):
-        base[n, s] = counts.get(n, 0)
-        counts[n] = base[n, s] + c
-    table = np.zeros((capacity + 1, SALTS), np.int64)
-    for (n, s), c in base.items():
-        table[n, s] = c
+        table[n, s] = before.get(n, 0)
+        before[n] = table[n, s] + c
     sent = cut_up.sparkSession.sparkContext.broadcast((plan(counts, capacity), table))
     ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")).cast("long") - 1)
     names = cut_up.columns

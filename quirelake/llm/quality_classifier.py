@@ -1,16 +1,19 @@
 """A supervised subword classifier of document quality.
 
 A document is the mean of learned vectors of its features: every word, every pair of neighbouring
-words, and every n-gram of 3 to 5 UTF-8 bytes inside a word with its boundaries, each hashed into a
+words, and every n-gram of 3 to 5 characters inside a word with its boundaries, each hashed into a
 table of vectors; a softmax over two classes follows. It is trained by stochastic gradient descent in
-numpy on the driver, over a bounded sample of labelled documents whose features the executors hash.
+numpy on the driver, over a sample of labelled documents whose features the executors hash, bounded in
+documents and in features.
 As the softmax of two classes depends on one difference that is linear in the mean, scoring needs
 one number per feature; texts are scored whole, a run of texts at a time.
 
 Defined results: a null or empty text has no feature and scores by the bias alone; without any
 labelled row, or with labels of one class only, every score is that class's share, or one half.
-Repeated label rows of a document count once, by the highest label. Repeated documents get equal
-scores, since only the text is an input. An empty table gives an empty result.
+Repeated label rows of a document count once, by the highest label; of several texts with a labelled
+id the one with the least hash is learned from. Labels without an id or a label are not. Repeated
+documents get equal scores, since only the text is an input. Other columns are kept, and one that has
+the score's name is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
@@ -30,6 +33,8 @@ BITS, DIM = 18, 16
 ORDERS = (3, 4, 5)
 #: Most labelled documents that are learned from: those with the least hash of their id.
 SAMPLE = 4000
+#: Most distinct features of them all, a document's counted each: what is over it is not learned from.
+SAMPLE_FEATURES = 20_000_000
 #: Bytes of texts whose features are in memory at once, about 150 bytes for each.
 RUN_BYTES = 256 << 10
 U = np.uint64
@@ -59,12 +64,18 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
         pair = np.where(h[1:] == h[:-1], U(12345), tn.mix(h[:-1] * U(3) + h[1:]))
         slots.append(_slots(tn.mix(pair + U(7)))[same_text])
         owners.append(of[1:][same_text])
-        blank = (data == 32) | ((data >= 9) & (data <= 13))
+        first = np.flatnonzero((data & 0xC0) != 0x80)  # where characters begin
+        size = np.diff(np.append(first, len(data)))
+        codes = data[first].astype(U)
+        for j in range(1, int(size.max())):
+            longer = size > j
+            codes[longer] = codes[longer] * U(64) + (data[first[longer] + j] & 0x3F)
+        blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
         gaps = np.concatenate([[0], np.cumsum(blank)])
-        codes = np.where(blank, U(1), data.astype(U) + U(2))
-        owner = np.repeat(np.arange(len(at)), np.diff(np.append(at - 1, len(data) - 1)))
+        codes = np.where(blank, U(1), codes + U(2))
+        owner = np.searchsorted(at - 1, first[:-1], "right") - 1  # the last character is the closing blank
         for n in ORDERS:
-            m = len(data) - n + 1
+            m = len(codes) - n + 1
             if m <= 0:
                 continue
             # no blank inside, at most at either end
@@ -118,9 +129,9 @@ def scores(texts: pa.Array, model: Model) -> np.ndarray:
     return found
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", learn: Column | None = None, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents among those where ``learn`` holds."""
-    told = labels.where(F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("_y"))
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", learn: Column | None = None, sample: int = SAMPLE, most_features: int = SAMPLE_FEATURES) -> Model:
+    """Fit on at most ``sample`` labelled documents, with ``most_features``, among those where ``learn`` holds."""
+    told = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("_y"))
     if learn is not None:
         told = told.where(learn)
     told = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -134,11 +145,16 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", learn:
                 ys.append(y)
                 us.append(u.astype("<u4").tobytes())
                 cs.append(c.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(us, pa.binary()), pa.array(cs, pa.binary())], ["doc_id", "y", "u", "c"])
-
-    rows = arrow_map(docs.select("doc_id", "text").join(F.broadcast(told), "doc_id").select("doc_id", "_y", F.col("text").cast("string")), hashed, "doc_id long, y int, u binary, c binary")
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), b["mark"], pa.array(us, pa.binary()), pa.array(cs, pa.binary())], ["doc_id", "y", "mark", "u", "c"])
+
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(told), "doc_id").select("doc_id", "_y", F.xxhash64("text").alias("mark"), "text")
+    rows = staged(arrow_map(texts, hashed, "doc_id long, y int, mark long, u binary, c binary"), "examples")
+    # of at most ``sample`` documents one text each, as many as the features allow
+    sizes = rows.groupBy("doc_id").agg(F.min(F.struct("mark", F.octet_length("u").alias("n"))).alias("m")).select("doc_id", "m.*")
+    up_to = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = sizes.withColumn("up_to", up_to).where(F.col("up_to") <= 4 * most_features).select("doc_id", "mark")
     examples: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
-    for r in staged(rows, "examples").toLocalIterator():  # at most ``sample`` rows, a partition at a time
+    for r in rows.join(F.broadcast(chosen), ["doc_id", "mark"]).toLocalIterator():  # a partition at a time
         examples[r["doc_id"]] = (np.frombuffer(r["u"], "<u4").view(np.int32), np.frombuffer(r["c"], "<u4"), r["y"])
     return fit([examples[i] for i in sorted(examples)])
 

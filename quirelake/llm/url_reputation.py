@@ -1,15 +1,18 @@
 """URL filters: curated rules first, then an empirical-Bayes reputation of the host.
 
-Labelled page outcomes (block or allow) are counted per host. A host's block rate is shrunk towards
-its registered domain's, that towards its public suffix's, and that towards the whole table's, each
-by a beta-binomial prior whose strength is fitted by moments to how much the children of the parent
-differ. A page that no rule decides is blocked where the lower posterior bound of its host's block
-rate reaches a threshold. Everything is DataFrame expressions.
+Labelled page outcomes (block or allow) are counted per host, without its port, user and last dot. A
+host's block rate is shrunk towards its registered domain's, that towards its public suffix's, and
+that towards the whole table's, each by a beta-binomial prior whose strength is fitted by moments
+(between and within the children of the parent, as in an analysis of variance). An IPv4 address is its
+own domain, and all of them share a suffix. A page that no rule decides is blocked where the lower
+posterior bound of its host's block rate reaches a threshold. Everything is DataFrame expressions.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; no rule fits it and
 the method judges the empty host (with no labelled page, by the table's own rate). Without any
-labelled page every undecided page is allowed. Repeated rows are judged each. Extra columns of the
-input are ignored. An empty table gives an empty result.
+labelled page every undecided page is allowed. Where the children of a parent have a page each, or it
+has one child, nothing tells how much they differ and the prior has its least strength. Repeated rows
+count and are judged each, as are rows without an id. Extra columns of the input are ignored, whatever
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, staged
 
-#: Public suffixes of two labels.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "co.jp", "or.jp", "ne.jp", "com.au", "net.au", "org.au", "com.br", "com.cn", "co.in", "co.nz", "co.za", "com.mx", "com.tr")
+#: What registries under a country's code of two letters sell names below.
+SECOND_LEVELS = ("ac", "co", "com", "edu", "gob", "go", "gouv", "gov", "id", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+IPV4 = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
 
 
 @dataclass(frozen=True)
@@ -60,39 +64,48 @@ def rule_columns(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return rule, verdict
 
 
+def bare_host(host: Column) -> Column:
+    """A host as it counts for its reputation: without user, port and last dot."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"\.?(:[0-9]*)?$", "")
+
+
+def _two_labels(host: Column) -> Column:
+    """Whether the public suffix has two labels: a second level that registries sell names below."""
+    return F.regexp_like(host, F.lit(rf"(^|\.)({'|'.join(SECOND_LEVELS)})\.[a-z]{{2}}$"))
+
+
 def registered_domain(host: Column) -> Column:
-    labels = F.split(host, r"\.")
-    two = F.element_at(labels, -2)
-    return F.when(F.substring_index(host, ".", -2).isin(*TWO_LABEL_SUFFIXES) & (F.size(labels) > 2), F.substring_index(host, ".", -3)).when((F.size(labels) > 1) & (two != ""), F.substring_index(host, ".", -2)).otherwise(host)
+    labels = F.size(F.split(host, r"\."))
+    return F.when(F.regexp_like(host, F.lit(IPV4)), host).when(_two_labels(host) & (labels > 2), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def public_suffix(host: Column) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
+    return F.when(F.regexp_like(host, F.lit(IPV4)), "ipv4").when(_two_labels(host), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
 
 
 def _moments() -> list[Column]:
     """Aggregates of one level for its parent: bad, n, and the moments of the children's rates."""
-    n = F.col("n")
-    rate = F.when(n > 0, F.col("bad") / n)
-    return [F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.count_if(n > 0).alias("kids"), F.sum(F.when(n > 0, rate * rate * n)).alias("sq"), F.sum(F.when(n > 0, rate * (1 - rate))).alias("within")]
+    n, bad = F.col("n"), F.col("bad")
+    return [F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.count_if(n > 0).alias("kids"), F.sum(F.when(n > 0, bad * bad / n)).alias("sq"), F.sum(n * n).alias("nn")]
 
 
 def _prior_strength(low: float, high: float) -> Column:
-    """The prior's pseudo-count from the moments: m(1-m)/between - 1, within bounds.
+    """The prior's pseudo-count 1/rho - 1, within bounds; rho is the correlation within children.
 
-    between is the weighted variance of the children's rates less what binomial noise explains.
+    With mean squares between and within the children, rho = (b - w) / (b + (m - 1) w), where m is their
+    mean size, less what its variance takes off.
     """
-    m = F.col("bad") / F.col("n")
-    spread = F.col("sq") / F.col("n") - m * m
-    noise = F.col("within") / F.col("n")
-    between = spread - noise
-    fitted = F.when(between > 1e-9, m * (1 - m) / between - 1).otherwise(F.lit(high))
-    return F.when((F.col("n") > 0) & (F.col("kids") > 1), F.greatest(F.lit(low), F.least(F.lit(high), fitted))).otherwise(F.lit(low))
+    n, bad, sq, kids = F.col("n").cast("double"), F.col("bad").cast("double"), F.col("sq"), F.col("kids").cast("double")
+    between = (sq - bad * bad / n) / (kids - 1)
+    within = (bad - sq) / (n - kids)
+    m = (n - F.col("nn") / n) / (kids - 1)
+    fitted = F.when(between - within > 1e-9, (between + (m - 1) * within) / (between - within) - 1).otherwise(F.lit(high))
+    return F.when((kids > 1) & (n > kids), F.greatest(F.lit(low), F.least(F.lit(high), fitted))).otherwise(F.lit(low))
 
 
 def host_reputation(outcomes: DataFrame, low: float = 2.0, high: float = 200.0) -> DataFrame:
-    """(host, labelled, blocked, rate, deviation) from outcomes(host, n, bad), a row per host or more."""
-    hosts = outcomes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    """(host, labelled, blocked, rate, deviation) from outcomes(host, n, bad), a row per bare host or more."""
+    hosts = outcomes.groupBy("host").agg(F.sum("n").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
     hosts = staged(hosts.withColumns({"domain": registered_domain(F.col("host")), "suffix": public_suffix(F.col("host"))}), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(*_moments()).withColumn("k", _prior_strength(low, high))
     domains = staged(domains, "domains")
@@ -104,7 +117,7 @@ def host_reputation(outcomes: DataFrame, low: float = 2.0, high: float = 200.0)
     suffixes = suffixes.select("suffix", shrunk(F.lit(base), F.lit(k0)).alias("m1"), F.col("k").alias("k1"))
     domains = domains.join(suffixes, "suffix").select("domain", "suffix", shrunk(F.col("m1"), F.col("k1")).alias("m2"), F.col("k").alias("k2"))
     a, b = F.col("bad") + F.col("m2") * F.col("k2"), F.col("n") - F.col("bad") + (1 - F.col("m2")) * F.col("k2")
-    return hosts.join(domains, ["domain", "suffix"]).select("host", F.col("n").alias("labelled"), F.col("bad").alias("blocked"), (a / (a + b)).alias("rate"), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("deviation"))
+    return hosts.join(domains, ["domain", "suffix"]).select("host", F.col("n").cast("long").alias("labelled"), F.col("bad").cast("long").alias("blocked"), (a / (a + b)).alias("rate"), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("deviation"))
 
 
 def judge(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", bound: float = 1.64, threshold: float = 0.5) -> DataFrame:
@@ -116,14 +129,14 @@ def judge(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None,
     host, path = host_and_path(F.col(url_col))
     parsed = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    parsed = parsed.withColumns({"rule": rule, "ruled": verdict})
+    parsed = parsed.withColumns({"rule": rule, "ruled": verdict, "bare": bare_host(F.col("host"))})
     if labels is None:
-        outcome = parsed.select("host", F.col("ruled").isNotNull().cast("long").alias("n"), F.coalesce((F.col("ruled") == "block").cast("long"), F.lit(0)).alias("bad"))
+        outcome = parsed.select("bare", F.col("ruled").isNotNull().cast("long").alias("n"), F.coalesce((F.col("ruled") == "block").cast("long"), F.lit(0)).alias("bad"))
     else:
         told = labels.groupBy(id_col).agg(F.max("blocked").alias("told"))
-        outcome = parsed.join(told, id_col, "left").select("host", F.col("told").isNotNull().cast("long").alias("n"), F.coalesce(F.col("told").cast("long"), F.lit(0)).alias("bad"))
-    counts = outcome.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    known = staged(host_reputation(counts), "reputation")
+        outcome = parsed.join(told, id_col, "left").select("bare", F.col("told").isNotNull().cast("long").alias("n"), F.coalesce(F.col("told").cast("long"), F.lit(0)).alias("bad"))
+    counts = outcome.groupBy(F.col("bare").alias("host")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    known = staged(host_reputation(counts).withColumnRenamed("host", "bare"), "reputation")
     lower = F.col("rate") - bound * F.col("deviation")
     judged = F.when(lower >= threshold, "block").otherwise("allow")
-    return parsed.join(known, "host", "left").select(id_col, "host", "path", "rule", F.coalesce("ruled", judged).alias("verdict"), F.coalesce("labelled", F.lit(0)).alias("labelled"), F.col("rate").alias("block_rate"), lower.alias("block_bound"))
+    return parsed.join(known, "bare", "left").select(id_col, "host", "path", "rule", F.coalesce("ruled", judged).alias("verdict"), F.coalesce("labelled", F.lit(0)).alias("labelled"), F.col("rate").alias("block_rate"), lower.alias("block_bound"))
