@@ -76,9 +76,9 @@ PATTERNS = [
 ]
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
 #: What a text must hold for any of the patterns to match: all but names hold an @ or a decimal digit
-#: (the two ranges are digits that the JVM's tables need not know yet). It is scanned for in every
+#: (the ranges are digits that the JVM's tables need not know yet). It is scanned for in every
 #: text, so each alternative fails at its first character nearly everywhere.
-HINT = r"[@\p{Nd}\x{11F50}-\x{11F59}\x{1E4F0}-\x{1E4F9}]|(?=[" + "".join(sorted({a[0] for names in ADDRESS.values() for a in names})) + r"])(?:" + "|".join(a for names in ADDRESS.values() for a in names) + r")\.? \S"
+HINT = r"[@\p{Nd}\x{11F50}-\x{11F59}\x{16AC0}-\x{16AC9}\x{1E4F0}-\x{1E4F9}]|(?=[" + "".join(sorted({a[0] for names in ADDRESS.values() for a in names})) + r"])(?:" + "|".join(a for names in ADDRESS.values() for a in names) + r")\.? \S"
 
 
 def script_of(text: str) -> str:

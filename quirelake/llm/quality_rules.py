@@ -7,7 +7,7 @@ and the same rows give the same sketch in any order. A group's upper fence is it
 four times that decile's distance from the median; the mean length of words has a lower fence as
 well. So what a tenth of a source's documents have is usual there, and what few have is not. A
 document is let off one unit of its own resolution: one symbol, one repeated line, or the words of
-one line and its repeat. Groups with few documents use their language's merged sketch, and languages
+one line, of LINE at most, and its repeat. Groups with few documents use their language's merged sketch, and languages
 with few documents the whole table's. The fences are joined to the documents. Everything is
 DataFrame expressions: no Python runs on the executors.
 
@@ -29,6 +29,8 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 #: Sketched values are in so many parts of one, and keep so many leading bits.
 PARTS, BITS = 10_000, 7
+#: Most words of a line that may be repeated once.
+LINE = 24
 #: The fence lies beyond the decile by so many times its distance from the median.
 WIDTH = 4
 MEASURES = ("mean_word", "symbol_rate", "dup_line_rate", "repeat_rate")
@@ -77,7 +79,7 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
 def ratios(spared: bool = False) -> dict[str, Column]:
     """Each measure in sketch units; ``spared`` leaves one unit of the document's resolution out of it."""
     n, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
-    in_line = F.call_function("div", 2 * F.col("n_words"), lines)
+    in_line = 2 * F.least(F.call_function("div", F.col("n_words"), lines), F.lit(LINE))
     told = {
         "mean_word": (F.col("word_chars"), n, F.lit(0)), "symbol_rate": (F.col("n_symbols"), n, F.lit(1)),
         "dup_line_rate": (F.col("n_dup_lines"), lines, F.lit(1)), "repeat_rate": (F.col("n_repeat_words"), n, in_line),

@@ -22,7 +22,7 @@ def _cut(value: str) -> str:
 
 def _quality() -> str:
     """The measures, the sketches' quantiles by group, language and whole, and the verdicts."""
-    ratio = {"mean_word": ("word_chars", "0", "greatest(n_words, 1)"), "symbol_rate": ("n_symbols", "1", "greatest(n_words, 1)"), "dup_line_rate": ("n_dup_lines", "1", "n_lines"), "repeat_rate": ("n_repeat_words", "2 * n_words // n_lines", "greatest(n_words, 1)")}
+    ratio = {"mean_word": ("word_chars", "0", "greatest(n_words, 1)"), "symbol_rate": ("n_symbols", "1", "greatest(n_words, 1)"), "dup_line_rate": ("n_dup_lines", "1", "n_lines"), "repeat_rate": ("n_repeat_words", "2 * least(n_words // n_lines, 24)", "greatest(n_words, 1)")}
     each = " union all ".join(f"select lang, source, '{m}' as m, {_cut(f'10000 * {a} // {of}')} as v from base where not base_failed" for m, (a, _, of) in ratio.items())
     quantiles = ", ".join(f"min(case when m = '{m}' and 10 * upto >= {t} * n then v end) as q{t}_{m}" for m in ratio for t in (1, 5, 9))
     level = lambda name, by: f"""{name} as (select {by} max(n) as n, {quantiles} from (select {by} m, v, sum(c) over (partition by {by} m order by v) as upto, sum(c) over (partition by {by} m) as n
