@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import title_case
+
 #: The weights of the parts.
 WEIGHTS = {"temporal": 0.25, "enrichment": 0.20, "diversity": 0.20, "subject_richness": 0.15, "visual": 0.20}
 
 
+# fixed values: the steps and slopes of the four parts
+
+
 def temporal(y: Column) -> Column:
     """1 before 1500, then less with every year, down to 0.15; 0.3 without a date."""
     late = F.greatest(F.lit(0.15), 0.4 - 0.1 * (y - 1800) / 100)
@@ -25,9 +30,13 @@ def subject_richness(n: Column) -> Column:
     return F.when(n >= 4, 1.0).when(n == 3, 0.8).when(n == 2, 0.6).when(n == 1, 0.3).otherwise(0.0)
 
 
+#: What an extent says of pictures.
+PICTURES, ILLUSTRATED = r"(?i)map|plate|facsim|port\.", r"(?i)\bill|engrav|woodcut|diagr"
+
+
 def visual(extent: Column) -> Column:
     text = F.coalesce(extent, F.lit(""))
-    return F.when(text.rlike(r"(?i)map|plate|facsim|port\."), 1.0).when(text.rlike(r"(?i)\bill|engrav|woodcut|diagr"), 0.6).otherwise(0.0)
+    return F.when(text.rlike(PICTURES), 1.0).when(text.rlike(ILLUSTRATED), 0.6).otherwise(0.0)
 
 
 def base_score(parts: dict[str, Column], weights: dict[str, float] = WEIGHTS) -> Column:
@@ -38,6 +47,13 @@ def base_score(parts: dict[str, Column], weights: dict[str, float] = WEIGHTS) ->
     return F.round(total, 6)
 
 
-def significance(date_start: Column, n_subjects: Column, extent: Column) -> Column:
-    """A line that tells why a record was chosen."""
-    return F.concat_ws("; ", F.when(date_start < 1500, "incunabulum").when(date_start < 1600, "16th-century imprint").when(date_start < 1800, "early imprint"), F.when(n_subjects >= 3, "richly described"), F.when(visual(extent) == 1.0, "maps, plates or portraits").when(visual(extent) > 0, "illustrated"))
+def significance(date_start: Column, place: Column, subjects: Column, author: Column, extent: Column) -> Column:
+    """A line that tells why a record was chosen, in fixed phrases."""
+    year = date_start.cast("string")
+    when = F.when(date_start < 1500, F.concat(F.lit("Incunabulum ("), year, F.lit(") -- exceptionally rare early printed work"))).when(date_start < 1600, F.concat(F.lit("Early modern imprint ("), year, F.lit(")"))).when(date_start.isNotNull(), F.concat(F.lit("Published "), year))
+    some = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
+    about = F.when(F.size(subjects) > 0, F.concat(F.lit("subjects: "), F.array_join(F.slice(subjects, 1, 3), ", ")))
+    look = F.coalesce(extent, F.lit(""))
+    shown = F.when(look.rlike(PICTURES), "with maps/plates — strong visual teaching material").when(look.rlike(ILLUSTRATED), "illustrated")
+    line = F.concat_ws("; ", when, F.concat(F.lit("printed in "), title_case(some(place))), about, F.concat(F.lit("by "), some(author)), shown)
+    return F.when(line == "", "Selected for collection diversity").otherwise(line)

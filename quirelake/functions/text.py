@@ -20,31 +20,41 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def _strip_marks(s: pd.Series) -> pd.Series:
-    plain = lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c))
-    return s.map(plain, na_action="ignore")
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
 
 
 def nfkc(c: Column, exact: bool = True) -> Column:
-    """Unicode compatibility composition; ``exact=False`` keeps the expression inside the JVM."""
-    if exact:
-        workers_import()
-        return _nfkc(c)
-    return c
+    """Unicode compatibility composition, which ASCII values do not need: Python sees nulls for these.
+
+    ``exact=False`` keeps the expression inside the JVM.
+    """
+    if not exact:
+        return c
+    workers_import()
+    return F.when(is_ascii(c), c).otherwise(_nfkc(F.when(~is_ascii(c), c)))
+
+
+def _base(c: str) -> str:
+    """The letter that is left of a character without its marks; a final sigma is a sigma."""
+    plain = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+    return "σ" if plain == "ς" else plain
 
 
-#: Latin letters with a mark, beside the letter alone.
-MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnooooooooorrrssssttuuuuuuuuuuwyyyzzz"
+#: Every lower-case or caseless letter that is one letter with marks, and that letter, by Unicode.
+_LETTERS = [(chr(i), _base(chr(i))) for i in range(0x80, 0x2000) if unicodedata.category(chr(i)) in ("Ll", "Lo") and not 0xD800 <= i < 0xE000]
+MARKED, PLAIN = ("".join(x) for x in zip(*[(c, b) for c, b in _LETTERS if c != b and len(b) == 1], strict=True))
 
 
-def fold(c: Column, exact: bool = False) -> Column:
-    """Lower case without diacritics: the Latin letters by a table, with ``exact`` all by Unicode."""
-    if exact:
-        workers_import()
-        return _strip_marks(F.lower(c))
-    return F.translate(F.lower(c), MARKED, PLAIN)
+def fold(c: Column) -> Column:
+    """Lower case without marks, whether they are parts of letters or follow them; in the JVM."""
+    return F.translate(F.regexp_replace(F.lower(c), r"\p{Mn}+", ""), MARKED, PLAIN)
+
+
+def fold_text(text: str) -> str:
+    """``fold`` of one string."""
+    bare = "".join(x for x in text.lower() if unicodedata.category(x) != "Mn")
+    return bare.translate(str.maketrans(MARKED, PLAIN))
 
 
 def tokens(c: Column) -> Column:
@@ -53,8 +63,7 @@ def tokens(c: Column) -> Column:
 
 
 def fold_literal(text: str) -> str:
-    plain = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-    return " ".join("".join(c if c.isalnum() or c == "*" else " " for c in plain).split())
+    return " ".join("".join(c if unicodedata.category(c)[0] in "LN" or c == "*" else " " for c in fold_text(text)).split())
 
 
 def matches(c: Column, query: str, phrase: bool = True) -> Column:
@@ -96,11 +105,15 @@ HEBREW, ARABIC = r"\x{0590}-\x{05FF}", r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08
 
 
 def script(c: Column) -> Column:
-    """The script of most letters: hebrew, arabic or latin; ties go to the script that is not Latin."""
+    """The script of most letters: hebrew, arabic or latin; ties go to the script that is not Latin.
+
+    Letters are only counted where there is one that is not Latin.
+    """
+    other = rf"[{HEBREW}{ARABIC}]"
     h, a = F.regexp_count(c, F.lit(f"[{HEBREW}]")), F.regexp_count(c, F.lit(f"[{ARABIC}]"))
-    n = F.regexp_count(c, F.lit(rf"[\p{{L}}&&[^{HEBREW}{ARABIC}]]"))
+    n = F.length(F.regexp_replace(c, rf"[^\p{{L}}]|{other}", ""))
     return (
-        F.when(c.isNull() | (h + a + n == 0), "empty")
+        F.when(c.isNull(), "empty").when(~F.regexp_like(c, F.lit(other)), F.when(F.regexp_like(c, F.lit(r"\p{L}")), "latin").otherwise("empty"))
         .when((h > a) & (h > n), "hebrew").when((a > h) & (a > n), "arabic").when((n > h) & (n > a), "latin")
         .when((h > 0) & (h >= a), "hebrew").when(a > 0, "arabic").otherwise("latin")
     )
@@ -133,6 +146,36 @@ def reorder_name(c: Column) -> Column:
     return F.when(comma, F.concat_ws(" ", F.regexp_extract(c, r"^\s*([^,]+?)\s*,\s*([^,]+?)\s*$", 2), F.regexp_extract(c, r"^\s*([^,]+?)\s*,\s*([^,]+?)\s*$", 1))).when(~c.contains(",") & (F.size(words) > 1), F.concat(F.element_at(words, -1), F.lit(", "), F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " ")))
 
 
+def comparable(c: Column, exact: bool = True) -> Column:
+    """A name without case and punctuation, composed, as names are compared."""
+    return collapse(F.regexp_replace(F.lower(nfkc(c, exact)), UNICODE + r"[^\w\s]", " "))
+
+
+def in_order(c: Column, exact: bool = True) -> Column:
+    """A comparable name with what stands before its first comma at the end."""
+    at = F.instr(c, ",")
+    last, first = comparable(F.substring(c, F.lit(1), at - 1), exact), comparable(F.substring(c, at + 1, F.length(c)), exact)
+    turned = F.when((first != "") & (last != ""), F.concat_ws(" ", first, last)).otherwise(F.concat(last, first))
+    return F.when(at > 0, turned).otherwise(comparable(c, exact))
+
+
+def names_match(a: Column, b: Column, exact: bool = True) -> Column:
+    """Whether two names are one, as they stand or with the surname moved to the end."""
+    x, y, u, v = comparable(a, exact), comparable(b, exact), in_order(a, exact), in_order(b, exact)
+    empty = (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "")
+    return F.when(empty, False).otherwise((x == y) | (u == v) | (x == v) | (u == y))
+
+
+def name_forms(c: Column) -> Column:
+    """The forms that a title is sought in: as it is, and a name of two or three words with its last or first word in front."""
+    t = strip(c)
+    w = F.split(t, UNICODE + r"\s+")
+    two = F.concat(F.get(w, F.lit(1)), F.lit(", "), w[0])
+    three = F.concat(F.get(w, F.lit(2)), F.lit(", "), w[0], F.lit(" "), F.get(w, F.lit(1)))
+    turned = F.concat(w[0], F.lit(", "), F.get(w, F.lit(1)), F.lit(" "), F.get(w, F.lit(2)))
+    return F.when(F.size(w) == 2, F.array(t, two)).when(F.size(w) == 3, F.array(t, three, turned)).otherwise(F.array(t))
+
+
 def record_url(base: str, c: Column) -> Column:
     return F.concat(F.lit(base), F.url_encode(c))
 

@@ -9,11 +9,11 @@ import difflib
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions import text
+from ..functions import names, text
 from ..shared import workers_import
 from ..sources.catalog import PERSON, Catalog, first_wins
 
@@ -85,6 +85,43 @@ def corrections(imprints: DataFrame, field: str, table: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in put.items()}).drop("_to").select(imprints.columns)
 
 
+def trim_roles(agents: DataFrame) -> DataFrame:
+    """The agents with roles that no map knew read again without their final stops."""
+    lost = (F.col("role_method") == "unmapped") & F.col("role_raw").endswith(".")
+    new = names.normalize_role(F.rtrim("role_raw", F.lit(". ")))
+    found = lost & (new["method"] != "unmapped")
+    put = {"role_norm": new["value"], "role_confidence": new["confidence"], "role_method": new["method"]}
+    return agents.withColumns({c: F.when(found, v).otherwise(F.col(c)) for c, v in put.items() if c in agents.columns})
+
+
+def lower_schemes(subjects: DataFrame, scheme: str) -> DataFrame:
+    """The subjects with every spelling of a scheme's name in lower case."""
+    return subjects.withColumn("scheme", F.when(F.lower("scheme") == scheme.lower(), scheme.lower()).otherwise(F.col("scheme")))
+
+
+def replace_by_code(imprints: DataFrame, table: DataFrame) -> DataFrame:
+    """The imprints after table(place_norm, country_code, canonical): places that mean another in a country."""
+    t = table.select("place_norm", "country_code", F.col("canonical").alias("_to")).dropDuplicates(["place_norm", "country_code"])
+    df = imprints.join(t, ["place_norm", "country_code"], "left")
+    put = {"place_norm": F.col("_to"), "place_confidence": F.lit(0.95), "place_method": F.lit("place_country_correction")}
+    return df.withColumns({c: F.when(F.col("_to").isNotNull(), v).otherwise(F.col(c)) for c, v in put.items()}).select(imprints.columns)
+
+
+def merge_norms(agents: DataFrame) -> DataFrame:
+    """The agents of one authority under one norm: the one with most records, by name where equal."""
+    w = Window.partitionBy("authority_uri").orderBy(F.desc("_n"), "agent_norm")
+    n = agents.where("authority_uri is not null and agent_norm is not null").groupBy("authority_uri", "agent_norm").agg(F.count_distinct("record_id").alias("_n"))
+    best = n.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("authority_uri", F.col("agent_norm").alias("_to"))
+    return agents.join(best, "authority_uri", "left").withColumn("agent_norm", F.coalesce("_to", "agent_norm")).select(agents.columns)
+
+
+def fill_countries(imprints: DataFrame, codes: DataFrame) -> DataFrame:
+    """The imprints with the names of their country codes from codes(key, value) where they lack one."""
+    t = codes.select(names.country_key(F.col("key")).alias("_k"), F.col("value").alias("_name")).dropDuplicates(["_k"])
+    df = imprints.withColumn("_k", names.country_key(F.col("country_code"))).join(t, "_k", "left")
+    return df.withColumn("country_name", F.coalesce("country_name", "_name")).select(imprints.columns)
+
+
 def scope_flags(cat: Catalog) -> DataFrame:
     """(record_id, flag): records outside the collection's time."""
     y = F.col("date_start")
@@ -107,7 +144,8 @@ def infer_roles(occupations: DataFrame, direct: DataFrame, priority: list[str])
 def fuzzy_links(left: DataFrame, right: DataFrame, least: float = 0.80, common: int = 500) -> DataFrame:
     """(name, match, ratio): for left(name) the most alike in right(match), over ``least`` by difflib.
 
-    Names meet over every word of three letters or more that both have, whatever the tables' size. A
+    Names meet over every word of three letters or more that both have, whatever the tables' size;
+    a match is compared in all its forms (``text.name_forms``), and the best ratio counts. A
     word's names are dealt into cells of about ``common``, and every cell of the left meets every one
     of the right. Only pairs whose lengths let the ratio reach ``least`` are compared, each once.
     """
@@ -120,7 +158,7 @@ def fuzzy_links(left: DataFrame, right: DataFrame, least: float = 0.80, common:
 
     def blocks(df: DataFrame, c: str, side: str) -> DataFrame:
         w = F.filter(F.split(F.trim(F.regexp_replace(text.fold(F.col(c)), r"[^\p{L}\p{N}]+", " ")), " "), lambda x: F.length(x) >= 3)
-        df = df.select(F.col(c), text.fold(F.col(c)).alias(f"text_{side}"), F.array_sort(F.array_distinct(w)).alias(f"all_{side}"))
+        df = df.select("*", text.fold(F.col(c)).alias(f"text_{side}"), F.array_sort(F.array_distinct(w)).alias(f"all_{side}"))
         return df.select("*", F.explode(f"all_{side}").alias("word"))
 
     def cells(df: DataFrame, side: str) -> DataFrame:
@@ -130,10 +168,12 @@ def fuzzy_links(left: DataFrame, right: DataFrame, least: float = 0.80, common:
         met = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{other}") - 1)).alias(f"cell_{other}")
         return df.join(sizes, "word").withColumn(f"cell_{side}", F.pmod(F.xxhash64(c), f"n_{side}")).select(*df.columns, f"cell_{side}", met)
 
-    a, b = blocks(left.select("name").distinct(), "name", "a"), blocks(right.select("match").distinct(), "match", "b")
+    # the forms of a match hold the same words, so every form meets every name that the match does
+    forms = right.select("match").distinct().select("match", F.explode(text.name_forms(F.col("match"))).alias("form"))
+    a, b = blocks(left.select("name").distinct(), "name", "a"), blocks(forms, "form", "b")
     sizes = cells(a, "a").join(cells(b, "b"), "word")
     la, lb = F.length("text_a"), F.length("text_b")
     once = F.col("word") == F.array_min(F.array_intersect("all_a", "all_b"))
-    pairs = dealt(a, "name", "a", "b").join(dealt(b, "match", "b", "a"), ["word", "cell_a", "cell_b"]).where((2.0 * F.least(la, lb) / (la + lb) >= least) & once)
+    pairs = dealt(a, "name", "a", "b").join(dealt(b, "form", "b", "a"), ["word", "cell_a", "cell_b"]).where((2.0 * F.least(la, lb) / (la + lb) >= least) & once)
     scored = pairs.select("name", "match", ratio("text_a", "text_b").alias("ratio")).where(F.col("ratio") >= least)
     return first_wins(scored.withColumn("_r", -F.col("ratio")), ["name"], ["_r", "match"]).drop("_r")

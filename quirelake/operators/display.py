@@ -102,9 +102,12 @@ def notable(cat: Catalog, scope: DataFrame | None, n: int, weights: dict[str, fl
     """The n best records by score and by what they add to those chosen before, as rows.
 
     The bonus depends only on (decade, place, language), so of those that share these only the n
-    best can be chosen: a window leaves them, and the choice goes through them in order of score.
+    best can be chosen: a window leaves them, and the choice goes through them in order of score. A
+    record that scores less than the n-th best by more than the greatest bonus cannot be chosen either.
     """
     scored = curation_scores(cat, scope).withColumn("decade", text.decade(F.col("date_start")))
+    least = scored.select("score").orderBy(F.desc("score")).limit(n).agg(F.min("score")).first()[0]
+    scored = scored.where(F.col("score") >= F.lit(least) - weights["diversity"] - 1e-9)
     w = Window.partitionBy("decade", "place_norm", "language").orderBy(F.desc("score"), "mms_id")
     pool = scored.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).select("mms_id", "decade", "place_norm", "language", "score", "title")
     chosen: list[dict] = []
@@ -125,6 +128,31 @@ def notable(cat: Catalog, scope: DataFrame | None, n: int, weights: dict[str, fl
     return chosen
 
 
+#: Words in a question that ask for agents by what they did.
+ROLE_WORDS = ("printer", "publisher", "bookseller", "author", "editor", "translator", "compiler")
+
+
+def chosen_profiles(profiles: DataFrame, mentions: DataFrame, question: str, resolved: DataFrame | None = None, most: int = 3) -> DataFrame:
+    """At most ``most`` of profiles(label, occupations, records, ...) that an answer should tell of.
+
+    Those that a step resolved or enriched, resolved(name); those in three records or more of
+    mentions(mms_id, name); and where the question names what agents did, those who did it or whom it
+    names. In this order, then by name. Without any of these none.
+    """
+    asked = question.lower()
+    key = F.lower("label")
+    often = mentions.groupBy(F.lower("name").alias("_k")).agg(F.count("*").alias("_n")).where("_n >= 3").select("_k", F.lit(1).alias("_rank"))
+    ways = [often]
+    if resolved is not None:
+        ways.append(resolved.select(F.lower("name").alias("_k"), F.lit(0).alias("_rank")))
+    told = reduce(DataFrame.unionByName, ways).groupBy("_k").agg(F.min("_rank").alias("_rank"))
+    out = profiles.join(told, key == F.col("_k"), "left")
+    if any(w in asked for w in ROLE_WORDS):
+        did = F.exists(F.coalesce("occupations", F.array().cast("array<string>")), lambda o: reduce(lambda a, b: a | b, [F.lower(o).contains(w) for w in ROLE_WORDS]))
+        out = out.withColumn("_rank", F.coalesce("_rank", F.when(did | F.lit(asked).contains(key), 2)))
+    return out.where("_rank is not null").orderBy("_rank", "label").limit(most).drop("_k", "_rank")
+
+
 def browse(df: DataFrame, order: str, search: str | None = None, offset: int = 0, limit: int = 50) -> tuple[DataFrame, DataFrame]:
     """(a page of the table's rows that hold ``search`` in any string column, how many such rows there are)."""
     if search:

@@ -15,8 +15,20 @@ from ..sources.catalog import PERSON, Catalog, first_wins
 EDGE_ORDER = ("wiki", "teacher_student", "co_publication", "same_place_period", "same_record", "printed_by")
 #: Pairs are only made within a record, a place and decade, or a category of at most so many agents.
 MOST_PER_CATEGORY = 50
-#: Categories that tell nothing about a person, by how they begin or what they hold.
-BROAD_CATEGORY = r"(?i)^(articles|pages|all |wikipedia|webarchive|cs1|use |short description|commons|living people|year of|\d+ (births|deaths)|\d+(st|nd|rd|th)-century)"
+#: How categories begin that tell nothing about a person.
+BROAD_CATEGORY = (
+    r"(?i)^(Articles|All |CS1|Pages|Webarchive|Use |Short description|Living people|AC with|Wikipedia|Wikidata|Commons|"
+    r"Harv and Sfn|Stub|Good articles|Featured articles|Spoken articles)"
+)
+#: Patterns of housekeeping categories, which never name a community.
+HOUSEKEEPING = (
+    r"^\d{3,4} births$", r"^\d{3,4} deaths$", r"^year of (birth|death)", r"^floruit", r"encyclop(a|æ)edia britannica", r"^coordinates on wikidata$", r"\bstubs?$",
+    r"^articles ", r"^all .* articles", r"^wikipedia ", r"^pages ", r"^cs1[ :]", r"webarchive", r"^use (dmy|mdy) dates", r"needing translation", r"^commons category",
+    r"^short description", r"different from wikidata$", r"^open library id", r"^source attribution$", r"with author abbreviations$", r"imslp links$",
+    r"^webarchive template", r"^articles with", r"^biography with", r"^biography articles", r"^people with", r"signature$",
+)
+#: Agents of one place and decade that one task holds against one another.
+CELL = 2000
 
 
 def person(cat: Catalog) -> DataFrame:
@@ -83,19 +95,31 @@ def same_place_period(cat: Catalog, least: int = 10) -> DataFrame:
     """Edges between agents active in one place for ``least`` years together.
 
     An agent is dealt to every decade that it was active in; a pair that overlaps meets in the decade
-    where the overlap begins, so that a place's agents only meet their contemporaries.
+    where the overlap begins, so that a place's agents only meet their contemporaries. The agents of
+    a large place and decade are dealt into cells, which meet in pairs. There is an edge for each pair
+    that overlaps, as many as a place's contemporaries squared: that is the result, not the way to it.
     """
     act = activity(cat).where(F.col("hi") - F.col("lo") >= least)
     dealt = act.withColumn("decade", F.explode(F.sequence(F.floor(F.col("lo") / 10), F.floor(F.col("hi") / 10))))
-    a = dealt.select("place", "decade", F.col("agent_norm").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-    b = dealt.select("place", "decade", F.col("agent_norm").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
+    cells = dealt.groupBy("place", "decade").agg(F.ceil(F.count("*") / CELL).alias("cells"))
+    dealt = dealt.join(cells, ["place", "decade"])
+    own = F.pmod(F.xxhash64("agent_norm"), F.col("cells"))
+    a = dealt.select("place", "decade", own.alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("other"), F.col("agent_norm").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
+    b = dealt.select("place", "decade", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), own.alias("other"), F.col("agent_norm").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
     s, e = F.greatest("la", "lb"), F.least("ha", "hb")
-    pairs = a.join(b, ["place", "decade"]).where((F.col("a") < F.col("b")) & (e - s >= least) & (F.col("decade") == F.floor(s / 10)))
+    pairs = a.join(b, ["place", "decade", "cell", "other"]).where((F.col("a") < F.col("b")) & (e - s >= least) & (F.col("decade") == F.floor(s / 10)))
     # of several places the first by name
     pairs = pairs.groupBy("a", "b").agg(F.min(F.struct("place", s.alias("s"), e.alias("e"))).alias("p")).select("a", "b", "p.*")
     return _edge(pairs, "same_place_period", F.col("a"), F.col("b"), F.lit(0.70), F.concat(F.lit("both active in "), "place"), F.lit(True), F.concat("place", F.lit(": "), F.col("s").cast("string"), F.lit("-"), F.col("e").cast("string")))
 
 
+def lifespan_overlap(people: DataFrame) -> DataFrame:
+    """(a, b): people(agent_norm, birth_place, birth_year, death_year) born in one place who lived at one time."""
+    p = people.where("birth_place is not null").select("agent_norm", F.lower("birth_place").alias("at"), "birth_year", "death_year")
+    x, y = p.toDF("a", "at", "ab", "ad"), p.toDF("b", "at", "bb", "bd")
+    return x.join(y, "at").where((F.col("a") < F.col("b")) & (F.greatest("ab", "bb") <= F.least("ad", "bd"))).select("a", "b")
+
+
 def resolve_names(cat: Catalog, names: DataFrame) -> DataFrame:
     """(name, agent_norm): which agent a name means - its own norm, an alias of its authority, a label."""
     norms = cat.agents.where("agent_norm is not null").select("agent_norm", "authority_uri").distinct()
@@ -111,6 +135,25 @@ def resolve_names(cat: Catalog, names: DataFrame) -> DataFrame:
     return first_wins(reduce(DataFrame.unionByName, ways), ["name"], ["rank", "agent_norm"]).select("name", "agent_norm")
 
 
+def loose_names(cat: Catalog, names: list[str]) -> DataFrame:
+    """(name, agent_norm) of names that no form of an agent equals: all their parts in a norm, or its surname in them.
+
+    The first agent by name. ``names`` are what a question asks for, so they go into the plan.
+    """
+    if len(names) > 50:
+        raise ValueError("at most 50 names")
+    norms = cat.agents.where("agent_norm is not null").select("agent_norm").distinct()
+    surname = F.substring_index("agent_norm", ", ", 1)
+    rungs = []
+    for n in dict.fromkeys(names):
+        parts = reduce(lambda a, b: a & b, [F.col("agent_norm").contains(w) for w in n.lower().split()], F.lit(bool(n.split())))
+        rungs.append(F.struct(F.lit(n).alias("name"), F.when(parts, 1).when((surname != "") & F.lit(n.lower()).contains(surname), 2).alias("rank")))
+    if not rungs:
+        return norms.where("false").select(F.lit("").alias("name"), "agent_norm")
+    found = norms.select("agent_norm", F.explode(F.filter(F.array(*rungs), lambda r: r["rank"].isNotNull())).alias("r"))
+    return first_wins(found.select("r.name", "agent_norm", "r.rank"), ["name"], ["rank", "agent_norm"]).select("name", "agent_norm")
+
+
 def teacher_student(cat: Catalog) -> DataFrame:
     """Edges from teachers to students, from either's list."""
     p = person(cat)
@@ -241,7 +284,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def communities(cat: Catalog, node_table: DataFrame, least: int = 8, most: int = 20) -> DataFrame:
     """(agent_norm, community): the rarest of a node's categories among the ``most`` widest with ``least`` nodes."""
-    of = node_table.select("agent_norm", "wikidata_id").join(cat.wikipedia_cache.select("wikidata_id", F.explode("categories").alias("category")), "wikidata_id").where(~F.col("category").rlike(BROAD_CATEGORY)).select("agent_norm", "category").distinct()
+    of = node_table.select("agent_norm", "wikidata_id").join(cat.wikipedia_cache.select("wikidata_id", F.explode("categories").alias("category")), "wikidata_id").where(~F.col("category").rlike("(?i)" + "|".join(HOUSEKEEPING))).select("agent_norm", "category").distinct()
     palette = of.groupBy("category").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "category").limit(most)
     return of.join(F.broadcast(palette), "category").groupBy("agent_norm").agg(F.min_by("category", F.struct("n", "category")).alias("community"))  # at most ``most`` rows
 
@@ -308,6 +351,7 @@ def neighbourhood(edges: DataFrame, agent: str, hops: int) -> DataFrame:
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+    ways.unpersist()
     return seen
 
 
@@ -322,7 +366,14 @@ def _cut(df: DataFrame) -> DataFrame:
 def path(edges: DataFrame, source: str, target: str, most: int = 12) -> list[tuple[str, str]] | None:
     """The hops of a shortest path, or None where it is longer than ``most``; ties by the least name."""
     ways = _both_ways(edges).persist()
-    spark = edges.sparkSession
+    try:
+        return _shortest(ways, source, target, most)
+    finally:
+        ways.unpersist()
+
+
+def _shortest(ways: DataFrame, source: str, target: str, most: int) -> list[tuple[str, str]] | None:
+    spark = ways.sparkSession
     seen = front = spark.createDataFrame([(source, None)], "agent_norm string, parent string")
     for _ in range(most):
         nxt = ways.join(front.select(F.col("agent_norm").alias("source")), "source").groupBy(F.col("target").alias("agent_norm")).agg(F.min("source").alias("parent"))
@@ -364,16 +415,16 @@ def connections(cat: Catalog, names: list[str], most: int = 20) -> DataFrame:
     asked = spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string")
     if len(set(names)) > 50:
         return spark.createDataFrame([], "a string, b string, relationship string, confidence double")
-    own = F.broadcast(resolve_names(cat, asked).select("agent_norm").distinct().limit(50))  # at most 50 rows
+    known = resolve_names(cat, asked)
+    lost = [r["name"] for r in asked.join(known, "name", "left_anti").collect()]  # of at most 50
+    own = F.broadcast(known.unionByName(loose_names(cat, lost)).select("agent_norm").distinct())  # at most 50 rows
     agents = cat.agents.join(own, "agent_norm", "left_semi")
     rows = record_pairs(agents).where(~F.col("ra").eqNullSafe(F.col("rb"))).groupBy("a", "b").agg(F.count_distinct("record_id").alias("n")).where("n >= 2")
     ways = [rows.select("a", "b", F.lit("co_publication").alias("relationship"), F.lit(0.85).alias("confidence"), F.lit(2).alias("rank"))]
     if cat.authority_enrichment is not None:
         taught = teacher_student(cat).join(own, F.col("source") == F.col("agent_norm"), "left_semi").join(own, F.col("target") == F.col("agent_norm"), "left_semi")
         ways.append(taught.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), F.lit("teacher_of").alias("relationship"), F.lit(0.90).alias("confidence"), F.lit(1).alias("rank")))
-        p = person(cat).join(own, "agent_norm", "left_semi").where("birth_place is not null").select("agent_norm", F.lower("birth_place").alias("at"), "birth_year", "death_year")
-        x, y = p.toDF("a", "at", "ab", "ad"), p.toDF("b", "at", "bb", "bd")
-        near = x.join(y, "at").where((F.col("a") < F.col("b")) & (F.greatest("ab", "bb") <= F.least("ad", "bd")))
+        near = lifespan_overlap(person(cat).join(own, "agent_norm", "left_semi"))
         ways.append(near.select("a", "b", F.lit("same_place_period").alias("relationship"), F.lit(0.70).alias("confidence"), F.lit(3).alias("rank")))
         if cat.wikipedia_cache is not None:
             wiki = wiki_links(cat).where("type != 'category'").join(own, F.col("source") == F.col("agent_norm"), "left_semi").join(own, F.col("target") == F.col("agent_norm"), "left_semi")
@@ -410,3 +461,32 @@ def alternate_script_name(cat: Catalog) -> DataFrame:
     """(authority_id, name): an authority's alias in a script other than its name's."""
     a = cat.agent_aliases.join(cat.agent_authorities.select(F.col("id").alias("authority_id"), text.script(F.col("canonical_name")).alias("own")), "authority_id")
     return a.where(text.script(F.col("alias_form")) != F.col("own")).groupBy("authority_id").agg(F.min_by("alias_form", "id").alias("name"))
+
+
+def agent_detail(cat: Catalog, node_table: DataFrame, edges: DataFrame, agent: str) -> DataFrame:
+    """One row of all that is known of a node: itself, another script's name, summary, links, connections.
+
+    ``connections`` is array<struct<agent_norm, display_name, type, relationship, evidence, confidence>>,
+    without shared categories. No row where there is no such node.
+    """
+    from . import enrichment
+
+    own = node_table.where(F.col("agent_norm") == agent)
+    other = F.when(F.col("source") == agent, F.col("target")).otherwise(F.col("source"))
+    arcs = edges.where(((F.col("source") == agent) | (F.col("target") == agent)) & (F.col("type") != "category")).select(other.alias("agent_norm"), "type", "relationship", "evidence", "confidence")
+    arcs = arcs.join(node_table.select("agent_norm", "display_name"), "agent_norm", "left").withColumn("display_name", F.coalesce("display_name", "agent_norm"))
+    arc = F.struct("agent_norm", "display_name", "type", "relationship", "evidence", "confidence")
+    arcs = arcs.agg(F.array_sort(F.collect_list(arc)).alias("connections"))
+    out = own.join(F.broadcast(arcs))  # one row
+    uri = cat.agents.where(F.col("agent_norm") == agent).agg(F.min("authority_uri").alias("_uri"))
+    out = out.join(F.broadcast(uri))  # one row
+    if cat.authority_enrichment is not None:
+        ae = cat.authority_enrichment.groupBy(F.col("authority_uri").alias("_uri")).agg(F.min_by(F.struct("wikidata_id", "wikipedia_url"), F.struct("wikidata_id", "wikipedia_url")).alias("_e"))
+        out = out.join(ae, "_uri", "left").withColumn("links", enrichment.links(F.col("_e.wikipedia_url"), {"wikidata": F.col("_e.wikidata_id")}))
+        if cat.wikipedia_cache is not None:
+            pages = cat.wikipedia_cache.groupBy(F.col("wikidata_id").alias("_q")).agg(F.max("summary").alias("summary"))
+            out = out.join(pages, F.col("_e.wikidata_id") == F.col("_q"), "left").drop("_q")
+    if cat.has_aliases:
+        alt = alternate_script_name(cat).join(cat.agent_authorities.select(F.col("id").alias("authority_id"), F.col("authority_uri").alias("_uri")), "authority_id").groupBy("_uri").agg(F.min("name").alias("name_alt"))
+        out = out.join(alt, "_uri", "left")
+    return out.drop("_uri", "_e")

@@ -14,7 +14,6 @@ from ..sources.catalog import PERSON, Catalog
 #: The weights of the dimensions.
 WEIGHTS = {"date": 0.20, "place": 0.20, "agent": 0.25, "publisher": 0.15, "role": 0.20}
 EARLIEST, LATEST, WIDEST = 1400, 1950, 100
-SENTINELS = ("[sine loco]", "s.n.", "s. n.", "[s.n.]")
 
 
 def _found(df: DataFrame, check: str, key: str, detail: Column) -> DataFrame:
@@ -63,59 +62,70 @@ def lifespans(cat: Catalog) -> DataFrame:
     return bad.select("check", F.col("mms_id").alias("subject"), F.col("agent_norm").alias("detail"))
 
 
-def place_mismatches(cat: Catalog, countries: dict[str, str]) -> DataFrame:
-    """Imprints whose place is known to lie in a country other than theirs; and countries as places."""
-    table = F.create_map(*[F.lit(x) for kv in countries.items() for x in kv])
-    d = _dated(cat).withColumn("expected", F.try_element_at(table, F.lower("place_norm")))
-    wrong = d.where((F.col("expected") != F.lower("country_name")))
-    as_place = d.where(F.lower("place_norm").isin(sorted(set(countries.values()))))
-    blank = d.where("country_code is not null and country_name is null") if "country_code" in d.columns else d.where("false")
-    return reduce(DataFrame.unionByName, [_found(wrong, "place_country_mismatch", "mms_id", F.col("place_norm")), _found(as_place, "country_as_place", "mms_id", F.col("place_norm")), _found(blank, "country_name_unpopulated", "mms_id", F.col("place_norm"))])
+def place_mismatches(cat: Catalog, expected: dict[str, list[str]], countries: list[str]) -> DataFrame:
+    """Imprints whose place lies in none of the countries of their code; countries as places; names not filled in.
+
+    ``expected`` has the country codes that a place may have. The last check is of the table: one row
+    where imprints have country codes and none has a country's name.
+    """
+    d = _dated(cat).where("place_norm is not null and place_norm != ''").withColumn("_p", F.lower(F.trim("place_norm")))
+    known = F.create_map(*[x for k, v in expected.items() for x in (F.lit(k), F.array(*[F.lit(c) for c in v]))]) if expected else F.lit(None).cast("map<string,array<string>>")
+    wrong = d.where("country_code is not null and country_code != ''").where(~F.array_contains(F.try_element_at(known, F.col("_p")), F.lower(F.trim("country_code"))))
+    as_place = d.where(F.col("_p").isin([c.lower() for c in countries]))
+    filled = cat.imprints.agg(F.count_if(F.coalesce("country_name", F.lit("")) != "").alias("names"), F.count_if(F.coalesce("country_code", F.lit("")) != "").alias("codes"))
+    blank = filled.where("codes > 0 and names = 0").withColumn("mms_id", F.lit("ALL"))
+    return reduce(DataFrame.unionByName, [_found(wrong, "place_country_mismatch", "mms_id", F.col("place_norm")), _found(as_place, "country_name_as_place", "mms_id", F.col("place_norm")), _found(blank, "country_name_unpopulated", "mms_id", F.col("codes"))])
 
 
 def fragmented_agents(cat: Catalog) -> DataFrame:
-    """Authorities whose agents are written in more than one script."""
-    a = cat.agents.where("authority_uri is not null").groupBy("authority_uri").agg(F.count_distinct(text.script(F.col("agent_norm"))).alias("n"))
+    """Authority uris with more than one norm: forms of one agent that nothing brings together."""
+    a = cat.agents.where("authority_uri is not null and authority_uri != ''").groupBy("authority_uri").agg(F.count_distinct("agent_norm").alias("n"))
     return _found(a.where("n > 1"), "multi_script_fragmentation", "authority_uri", F.col("n"))
 
 
-def bare_names(cat: Catalog) -> DataFrame:
-    a = cat.agents.where((F.col("agent_type") == "personal") & ~F.col("agent_norm").contains(" ") & ~F.col("agent_norm").contains(",") & F.col("authority_uri").isNull())
-    return _found(a.select("agent_norm").distinct(), "bare_first_name", "agent_norm", F.lit(None))
+def bare_names(cat: Catalog, most: int = 6) -> DataFrame:
+    """Personal names of less than ``most`` characters without a surname's comma."""
+    a = cat.agents.where((F.col("agent_type") == "personal") & ~F.col("agent_norm").contains(",") & (F.length("agent_norm") < most))
+    return _found(a.groupBy("agent_norm").agg(F.count("*").alias("n")), "bare_first_name", "agent_norm", F.col("n"))
 
 
 def missing_authorities(cat: Catalog) -> DataFrame:
-    a = cat.agents.where("authority_uri is not null").groupBy("authority_uri").agg(F.count_distinct("record_id").alias("n"))
-    return _found(a.join(cat.agent_authorities.select("authority_uri").distinct(), "authority_uri", "left_anti"), "missing_authority", "authority_uri", F.col("n"))
+    """Agents whose norm is no authority's name."""
+    a = cat.agents.groupBy("agent_norm").agg(F.count("*").alias("n")).withColumn("_k", F.lower("agent_norm"))
+    known = cat.agent_authorities.select(F.col("canonical_name_lower").alias("_k")).distinct()
+    return _found(a.join(known, "_k", "left_anti"), "missing_authority_linkage", "agent_norm", F.col("n"))
 
 
 def type_conflicts(cat: Catalog) -> DataFrame:
-    a = cat.agents.where("agent_norm is not null").groupBy("agent_norm").agg(F.count_distinct("agent_type").alias("n"))
-    return _found(a.where("n > 1"), "type_conflict", "agent_norm", F.col("n"))
+    a = cat.agents.groupBy("agent_norm").agg(F.count_distinct("agent_type").alias("n"))
+    return _found(a.where("n > 1"), "agent_type_conflict", "agent_norm", F.col("n"))
 
 
 def publishers_without_authority(cat: Catalog, least: int = 3) -> DataFrame:
-    known = cat.publisher_variants.select(F.col("variant_form_lower").alias("k")).unionByName(cat.publisher_authorities.select(F.col("canonical_name_lower").alias("k"))).distinct()
-    p = cat.imprints.where(F.col("publisher_norm").isNotNull() & ~F.col("publisher_norm").isin(*SENTINELS)).groupBy(F.lower("publisher_norm").alias("k")).agg(F.count_distinct("record_id").alias("n")).where(F.col("n") >= least)
-    return _found(p.join(known, "k", "left_anti"), "publisher_without_authority", "k", F.col("n"))
+    """Publishers of ``least`` records or more that are no authority's variant."""
+    known = cat.publisher_variants.select(F.col("variant_form_lower").alias("_k")).distinct()
+    p = cat.imprints.where("publisher_norm is not null and publisher_norm != ''").groupBy("publisher_norm").agg(F.count_distinct("record_id").alias("n")).where(F.col("n") >= least)
+    return _found(p.withColumn("_k", F.lower("publisher_norm")).join(known, "_k", "left_anti"), "publisher_missing_authority", "publisher_norm", F.col("n"))
 
 
 def unresearched_publishers(cat: Catalog) -> DataFrame:
-    """Authorities not yet looked into (``type`` unresearched) that have records."""
-    from .network import publisher_links
-
-    n = publisher_links(cat).groupBy("publisher").agg(F.count("*").alias("n"))
-    p = cat.publisher_authorities.where("type = 'unresearched'").join(n, F.col("id") == F.col("publisher"))
-    return _found(p, "unresearched_publisher", "canonical_name", F.col("n"))
+    """Authorities not yet looked into (``type`` unresearched) that have records by a variant."""
+    own = cat.publisher_authorities.where("type = 'unresearched'").select("id", "canonical_name")
+    keys = own.join(cat.publisher_variants.select(F.col("authority_id").alias("id"), F.col("variant_form_lower").alias("_k")), "id")
+    rows = cat.imprints.select(F.lower("publisher_norm").alias("_k"), "record_id").join(keys, "_k")
+    return _found(rows.groupBy("id", "canonical_name").agg(F.count_distinct("record_id").alias("n")), "unresearched_authority", "canonical_name", F.col("n"))
 
 
 def role_issues(cat: Catalog) -> DataFrame:
-    a = cat.agents
+    """Roles that the map does not know - with a final stop, in Hebrew, or else - and agents without one."""
+    raw = F.col("role_raw")
+    lost = cat.agents.where("role_method = 'unmapped' and role_raw is not null")
+    hebrew = raw.rlike(f"[{text.HEBREW}]")
     parts = [
-        _found(a.where(F.col("role_raw").endswith(".")), "role_trailing_period", "agent_norm", F.col("role_raw")),
-        _found(a.where(F.col("role_raw").rlike(f"[{text.HEBREW}]")), "role_hebrew", "agent_norm", F.col("role_raw")),
-        _found(a.where("role_method = 'unmapped'"), "role_unmapped", "agent_norm", F.col("role_raw")),
-        _found(a.where("role_norm is null or role_norm = ''"), "role_missing", "agent_norm", F.col("role_raw")),
+        _found(lost.where(raw.endswith(".")), "trailing_period_unmapped", "agent_norm", raw),
+        _found(lost.where(hebrew), "hebrew_role_unmapped", "agent_norm", raw),
+        _found(lost.where(~raw.endswith(".") & ~hebrew), "unmapped_relator_term", "agent_norm", raw),
+        _found(cat.agents.where("role_method = 'missing_role'"), "missing_role", "agent_norm", raw),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -128,7 +138,7 @@ def overall(scores: dict[str, float]) -> float:
     return sum(WEIGHTS[k] * v for k, v in scores.items())
 
 
-def dimensions(cat: Catalog, countries: dict[str, str] | None = None) -> dict[str, float]:
+def dimensions(cat: Catalog, expected: dict[str, list[str]] | None = None, countries: list[str] | None = None) -> dict[str, float]:
     """The score of each dimension and their weighted sum."""
     date = [inversions(cat), out_of_scope(cat), wide_ranges(cat), disagreements(cat), failed_dates(cat)]
     agent = [fragmented_agents(cat), bare_names(cat), type_conflicts(cat)]
@@ -137,13 +147,14 @@ def dimensions(cat: Catalog, countries: dict[str, str] | None = None) -> dict[st
     if cat.agent_authorities is not None:
         agent.append(missing_authorities(cat))
     publisher = [publishers_without_authority(cat), unresearched_publishers(cat)] if cat.publisher_authorities is not None and cat.publisher_variants is not None else []
-    parts = {"date": date, "place": [place_mismatches(cat, countries or {})] if countries else [], "agent": agent, "publisher": publisher, "role": [role_issues(cat)]}
-    totals = {"date": ("imprints", "record_id"), "place": ("imprints", "record_id"), "agent": ("agents", "agent_norm"), "publisher": ("imprints", "publisher_norm"), "role": ("agents", "id")}
+    parts = {"date": date, "place": [place_mismatches(cat, expected or {}, countries or [])] if expected or countries else [], "agent": agent, "publisher": publisher, "role": [role_issues(cat)]}
+    filled = lambda t, c: F.count_if(F.coalesce(c, F.lit("")) != "") if t else F.count_distinct(F.nullif(F.col(c), F.lit("")))
+    totals = {"date": ("imprints", F.count_distinct("record_id")), "place": ("imprints", filled(True, "place_norm")), "agent": ("agents", F.count_distinct("agent_norm")), "publisher": ("imprints", filled(False, "publisher_norm")), "role": ("agents", F.count("*"))}
     out = {}
     for k, dfs in parts.items():
         errors = reduce(DataFrame.unionByName, dfs).count() if dfs else 0
-        table, column = totals[k]
-        out[k] = dimension_score(errors, getattr(cat, table).agg(F.count_distinct(column)).first()[0])
+        table, total = totals[k]
+        out[k] = dimension_score(errors, getattr(cat, table).agg(total).first()[0])
     return out | {"overall": overall(out)}
 
 
@@ -215,25 +226,114 @@ class Invariant:
 
 
 def invariants(cat: Catalog) -> list[Invariant]:
-    """The invariants of a built catalogue."""
-    orphan = lambda t: getattr(cat, t).join(cat.records.select(F.col("id").alias("record_id")), "record_id", "left_anti")
+    """The invariants of a built catalogue, as far as it has the tables and columns that they are about.
+
+    Full text is matched in the tables' own texts, so nothing can be out of step with an index.
+    """
+    ids = cat.records.select(F.col("id").alias("record_id"))
+    has = lambda t, *cs: getattr(cat, t) is not None and all(c in getattr(cat, t).columns for c in cs)
     twice = lambda t, *cs: getattr(cat, t).groupBy(*cs).count().where("count > 1")
-    out = [Invariant(f"orphan_{t}", f"every row of {t} has a record", orphan(t)) for t in ("imprints", "titles", "subjects", "agents", "languages", "notes", "physical_descriptions")]
-    out += [
-        Invariant("mms_id_unique", "a record has its own mms_id", twice("records", "mms_id")),
-        Invariant("date_order", "a span does not end before it begins", cat.imprints.where("date_end < date_start")),
-        Invariant("confidence_range", "confidences lie between 0 and 1", cat.agents.where("agent_confidence < 0 or agent_confidence > 1")),
-        Invariant("place_trimmed", "place keys have no outer blanks", cat.imprints.where("place_norm != trim(place_norm)")),
-        Invariant("publisher_lower", "publisher keys are lower case", cat.imprints.where("publisher_norm != lower(publisher_norm)")),
-        Invariant("agent_type_known", "agent types are known", cat.agents.where("agent_type not in ('personal', 'corporate', 'meeting')")),
-    ]
+    lacks = lambda a, b, on: a.join(b.distinct(), on, "left_anti")
+    plain = lambda c: F.col(c).rlike("^[ -~]*$")
+    out: list[Invariant] = []
+
+    def add(name: str, says: str, found: DataFrame) -> None:
+        out.append(Invariant(name, says, found))
+
+    for t in ("imprints", "titles", "subjects", "agents", "languages", "notes", "physical_descriptions"):
+        add(f"orphan_{t}", f"every row of {t} has a record", lacks(getattr(cat, t), ids, "record_id"))
+    add("mms_id_unique", "a record has its own mms_id", twice("records", "mms_id"))
+    if has("agents", "agent_confidence"):
+        add("confidence_range", "confidences lie between 0 and 1", cat.agents.where("agent_confidence < 0 or agent_confidence > 1"))
+    add("place_trimmed", "place keys have no outer blanks", cat.imprints.where("place_norm != trim(place_norm)"))
+    add("publisher_lower", "publisher keys are lower case", cat.imprints.where("publisher_norm != lower(publisher_norm)"))
+    add("agent_type_known", "agent types are known", cat.agents.where("agent_type not in ('personal', 'corporate', 'meeting')"))
+
     if cat.has_aliases:
-        out.append(Invariant("alias_unique", "an alias has one authority", twice("agent_aliases", "alias_form_lower")))
-    if cat.publisher_variants is not None:
-        out.append(Invariant("variant_unique", "a variant has one authority", twice("publisher_variants", "variant_form_lower")))
+        aliases, own = cat.agent_aliases, cat.agent_authorities
+        form = aliases.select(F.col("alias_form_lower").alias("agent_norm"))
+        linked = cat.agents.join(own.select("authority_uri").distinct(), "authority_uri", "left_semi").select("agent_norm", "authority_uri").distinct()
+        add("I1", "an agent of an authority has its norm among the aliases", lacks(linked.select("agent_norm").distinct(), form, "agent_norm"))
+        if has("agent_aliases", "alias_type"):
+            parts = own.select(F.col("id").alias("authority_id"), "authority_uri").join(linked.where(F.col("agent_norm").contains(",")), "authority_uri")
+            inside = F.concat(F.lit(","), F.replace("agent_norm", F.lit(", "), F.lit(",")), F.lit(",")).contains(F.concat(F.lit(","), "alias_form_lower", F.lit(",")))
+            piece = aliases.where("alias_type = 'primary'").join(parts, "authority_id").where(inside & (F.col("alias_form_lower") != F.col("agent_norm")))
+            whole = linked.select("authority_uri", F.col("agent_norm").alias("alias_form_lower"))
+            add("I2", "no primary alias is a part of its authority's norm between commas", piece.join(whole, ["authority_uri", "alias_form_lower"], "left_anti").select("id").distinct())
+        add("I3", "an alias has an authority", lacks(aliases, own.select(F.col("id").alias("authority_id")), "authority_id"))
+        add("I4", "an ASCII alias is lower-cased as it is", aliases.where(plain("alias_form") & (F.col("alias_form_lower") != F.lower("alias_form"))))
+        add("I5", "an ASCII name is lower-cased as it is", own.where(plain("canonical_name") & (F.col("canonical_name_lower") != F.lower("canonical_name"))))
+        add("A1", "an alias has one authority", twice("agent_aliases", "alias_form_lower"))
+    if cat.publisher_authorities is not None and cat.publisher_variants is not None:
+        pubs, forms = cat.publisher_authorities, cat.publisher_variants
+        add("P1", "a variant has an authority", lacks(forms, pubs.select(F.col("id").alias("authority_id")), "authority_id"))
+        several = cat.imprints.where("publisher_norm is not null").groupBy("publisher_norm").agg(F.count_distinct("record_id").alias("n")).where("n > 1")
+        known = pubs.select(F.col("canonical_name_lower").alias("publisher_norm")).unionByName(forms.select(F.col("variant_form_lower").alias("publisher_norm")))
+        add("P2", "a publisher of several records is an authority's name or variant", lacks(several, known, "publisher_norm"))
+        shadow = forms.join(pubs.select(F.col("canonical_name_lower").alias("variant_form_lower"), "id"), "variant_form_lower").where("id != authority_id")
+        add("P3", "no variant is another authority's name", shadow)
+        if has("publisher_variants", "variant_form"):
+            odd = forms.where(F.col("variant_form_lower") != F.lower("variant_form"))
+            add("P6", "a variant that is not its form in lower case is an imprint's publisher", lacks(odd, cat.imprints.select(F.col("publisher_norm").alias("variant_form_lower")), "variant_form_lower"))
+        add("variant_unique", "a variant has one authority", twice("publisher_variants", "variant_form_lower"))
+    if cat.network_nodes is not None and cat.network_edges is not None:
+        _network_invariants(cat, add, has, lacks)
+    if cat.agent_authorities is not None and cat.authority_enrichment is not None and has("agent_authorities", "wikidata_id"):
+        both = cat.agent_authorities.select("authority_uri", F.col("wikidata_id").alias("x")).join(cat.authority_enrichment.select("authority_uri", F.col("wikidata_id").alias("y")), "authority_uri")
+        add("E1", "an authority and its enrichment are the same item", both.where("x != y"))
+    if has("subjects", "value_he"):
+        add("S3mojibake", "no Hebrew heading holds a replacement character", cat.subjects.where(F.col("value_he").contains("\ufffd")))
+        add("S3empty", "no Hebrew heading is empty", cat.subjects.where("value_he = ''"))
+    if has("imprints", "place_raw", "publisher_raw", "date_raw"):
+        add("M1", "a normalized value has a raw one", cat.imprints.where("(publisher_norm is not null and publisher_raw is null) or (place_norm is not null and place_raw is null) or ((date_start is not null or date_end is not null) and date_raw is null)"))
+    add("M2", "a span does not end before it begins", cat.imprints.where("date_start > date_end"))
+    if has("imprints", "country_code"):
+        add("M3", "a country's name has a code", cat.imprints.where("country_name is not null and country_code is null"))
+    if cat.record_scope_flags is not None:
+        add("R1", "a scope flag has a record", lacks(cat.record_scope_flags, ids, "record_id"))
     return out
 
 
+def _network_invariants(cat: Catalog, add, has, lacks) -> None:
+    nodes, edges = cat.network_nodes, cat.network_edges
+    norm = lambda c: nodes.select(F.col("agent_norm").alias(c))
+    loose = lacks(edges, norm("source"), "source").select("source", "target", "type").unionByName(lacks(edges, norm("target"), "target").select("source", "target", "type"))
+    add("N1", "both ends of an edge are nodes", loose.distinct())
+    people = nodes.where("node_type = 'person'")
+    add("N2", "a person's node is an agent", lacks(people, cat.agents.select("agent_norm"), "agent_norm"))
+    if cat.publisher_authorities is not None:
+        pubs = nodes.where("node_type = 'publisher'").withColumn("_k", F.substring("agent_norm", 5, 10_000))
+        add("N3", "a publisher's node is an authority's name", lacks(pubs, cat.publisher_authorities.select(F.col("canonical_name_lower").alias("_k")), "_k"))
+    if has("network_nodes", "connection_count"):
+        ends = edges.select(F.col("source").alias("agent_norm")).unionByName(edges.where("source != target").select(F.col("target").alias("agent_norm"))).groupBy("agent_norm").agg(F.count("*").alias("n"))
+        add("N4", "a node counts its edges", nodes.join(ends, "agent_norm", "left").where(F.col("connection_count") != F.coalesce("n", F.lit(0))))
+    if has("network_nodes", "record_count"):
+        n = cat.agents.groupBy("agent_norm").agg(F.count_distinct("record_id").alias("n"))
+        add("N5", "a person's node counts its records", people.join(n, "agent_norm", "left").where(F.col("record_count") != F.coalesce("n", F.lit(0))))
+    add("N6self", "no edge is a loop", edges.where("source = target"))
+    add("N6bounds", "confidences of edges lie between 0 and 1", edges.where("confidence < 0 or confidence > 1"))
+    if cat.wikipedia_connections is not None:
+        inside = cat.wikipedia_connections.join(norm("source").distinct(), "source", "left_semi").join(norm("target").distinct(), "target", "left_semi")
+        add("W1", "a connection of an encyclopedia between nodes is an edge", inside.join(edges.select("source", "target", "type").distinct(), ["source", "target", "type"], "left_anti"))
+    if cat.authority_enrichment is not None:
+        told = cat.agents.select("agent_norm", "authority_uri").distinct().join(cat.authority_enrichment.select("authority_uri", "wikidata_id", F.from_json("person_info", PERSON)["birth_year"].alias("birth_year")), "authority_uri")
+        if has("network_nodes", "birth_year"):
+            add("E2", "a person's birth is its enrichment's", people.where("birth_year is not null").join(told.select("agent_norm", "birth_year").distinct(), ["agent_norm", "birth_year"], "left_anti"))
+        if cat.wikipedia_cache is not None:
+            pages = told.join(cat.wikipedia_cache, "wikidata_id")
+            if has("network_nodes", "has_wikipedia"):
+                add("E3", "a node with a page has one in the cache", lacks(nodes.where("has_wikipedia"), pages.select("agent_norm"), "agent_norm"))
+            if has("network_nodes", "community"):
+                add("E4", "a person's community comes from a page's categories", lacks(people.where("community is not null"), pages.where("categories is not null").select("agent_norm"), "agent_norm"))
+
+
+def hebrew_coverage(cat: Catalog) -> DataFrame:
+    """One row: the percentage of subjects, and of distinct headings, that have a Hebrew form."""
+    s = cat.subjects
+    have = F.count_distinct(F.when(F.col("value_he").isNotNull(), F.col("value")))
+    return s.agg(F.round(100 * F.count("value_he") / F.count("*"), 1).alias("rows"), F.round(100 * have / F.count_distinct("value"), 1).alias("headings"))
+
+
 def violations(checks: list[Invariant]) -> DataFrame:
     """(id, violations) of the invariants."""
     parts = [c.violations.agg(F.count("*").alias("violations")).select(F.lit(c.id).alias("id"), "violations") for c in checks]

@@ -8,7 +8,7 @@ from .operators import display, enrichment, facets, resolve
 from .plans import compile as compiler
 from .plans.filters import Filter, QueryPlan
 from .plans.steps import Executor, Step
-from .registry import ORACLES, query
+from .registry import query
 from .sources.driver_tables import catalog, with_sql
 
 PRINTER = "supplier 000000003"
@@ -42,13 +42,38 @@ T = "select distinct mms_id from records left join titles t on t.record_id = rec
 EX = "select distinct mms_id from records where {} (select 1 from {} c where c.record_id = records.id and ({}))"
 _ids("filter_title_eq", [Filter("title", "EQUALS", "Red Widget")], _ti, f"{T} where lower(value) = 'red widget'")
 _ids("filter_title_in", [Filter("title", "IN", ["red widget", "small ring"])], _ti, f"{T} where lower(value) in ('red widget', 'small ring')")
-_ids("filter_title_phrase", [Filter("title", "CONTAINS", "red wid*"), Filter("title", "CONTAINS", "widget")], _ti, "select distinct mms_id from records where exists (select 1 from titles c where c.record_id = records.id and ' ' || lower(value) || ' ' like '% red wid%') and exists (select 1 from titles c where c.record_id = records.id and ' ' || lower(value) || ' ' like '% widget %')")
+#: Titles and headings as catalogues have them: marks in letters, after letters, other scripts and points.
+_MARKED = "case record_id % 4 when 0 then replace(value, 'e', 'e' || chr(769)) when 1 then replace(value, 'e', 'ệ') when 2 then replace(replace(value, 'i', 'ï'), 's', 'ș') else concat(value, ' ΟΔΌΣ שָׁלוֹם') end"
+
+
+def _marked(c):
+    k = F.col("record_id") % 4
+    return F.when(k == 0, F.replace(c, F.lit("e"), F.lit("e\u0301"))).when(k == 1, F.replace(c, F.lit("e"), F.lit("ệ"))).when(k == 2, F.replace(F.replace(c, F.lit("i"), F.lit("ï")), F.lit("s"), F.lit("ș"))).otherwise(F.concat(c, F.lit(" ΟΔΌΣ שָׁלוֹם")))
+
+
+_folded = f"' ' || trim(regexp_replace(strip_accents(lower({_MARKED})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+
+
+def _text(name: str, table: str, filters: list[Filter], *conditions: str) -> None:
+    """A full-text query over the marked texts; each condition is on their folded form."""
+    where = " and ".join(f"{'not ' if c.startswith('not ') else ''}exists (select 1 from {table} c where c.record_id = records.id and {_folded} {c.removeprefix('not ')})" for c in conditions)
+
+    def run(spark, d):
+        cat = catalog(spark, d)
+        setattr(cat, table, getattr(cat, table).withColumn("value", _marked(F.col("value"))))
+        return compiler.ids(cat, QueryPlan(filters))
+
+    query(name, with_sql("records", table) + f"select distinct mms_id from records where {where}")(run)
+
+
+_text("filter_title_phrase", "titles", [Filter("title", "CONTAINS", "Réd wi*"), Filter("title", "CONTAINS", "widget")], "like '% red wi%'", "like '% widget %'")
+_text("filter_title_scripts", "titles", [Filter("title", "CONTAINS", "widget οδος שלום")], "like '% widget οδοσ שלום %'")
+_text("filter_title_marked_word", "titles", [Filter("title", "CONTAINS", "Rệd"), Filter("title", "CONTAINS", "wïdge\u0301t")], "like '% red %'", "like '% widget %'")
 _su = ("records", "subjects")
 S = "select distinct mms_id from records left join subjects s on s.record_id = records.id"
-_norm = "' ' || trim(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g')) || ' '"
 _ids("filter_subject_eq", [Filter("subject", "EQUALS", "ECONOMY -- Brand#2 -- small ring")], _su, f"{S} where lower(value) = 'economy -- brand#2 -- small ring'")
-_ids("filter_subject_phrase", [Filter("subject", "CONTAINS", "economy brand 17")], _su, EX.format("exists", "subjects", f"{_norm} like '% economy brand 17 %'"))
-_ids("filter_subject_not_phrase", [Filter("subject", "CONTAINS", "economy", negate=True)], _su, EX.format("not exists", "subjects", f"{_norm} like '% economy %'"))
+_text("filter_subject_phrase", "subjects", [Filter("subject", "CONTAINS", "ecónomy brand 17")], "like '% economy brand 17 %'")
+_text("filter_subject_not_phrase", "subjects", [Filter("subject", "CONTAINS", "economy", negate=True)], "not like '% economy %'")
 _pd = ("records", "physical_descriptions")
 _ids("filter_physical_contains", [Filter("physical_desc", "CONTAINS", "ill. ; 11 cm")], _pd, EX.format("exists", "physical_descriptions", "lower(value) like '%ill. ; 11 cm%'"))
 _ids("filter_physical_any_of", [Filter("physical_desc", "IN", ["10 cm", "21 cm"])], _pd, EX.format("exists", "physical_descriptions", "lower(value) like '%10 cm%' or lower(value) like '%21 cm%'"))
@@ -69,13 +94,8 @@ _ids("filter_triple_and", [Filter("publisher", "CONTAINS", "supplier 0"), Filter
 @query("rows_with_evidence", with_sql(*_im) + f"""select distinct mms_id, date_start, date_end, publisher_norm, publisher_confidence as confidence, 'date_range' as field,
     concat(cast(date_start as varchar), '-', cast(date_end as varchar)) as value,
     concat('publisher_norm=''', publisher_norm, ''' AND year_range=', cast(date_start as varchar), '-', cast(date_end as varchar), ' overlaps 1597-1598') as rationale
-    from records join imprints i on i.record_id = records.id where publisher_norm like '%supplier%' and date_end >= 1597 and date_start <= 1598 and mms_id < '0000002000'""")
+    from records join imprints i on i.record_id = records.id where publisher_norm like '%supplier%' and date_end >= 1597 and date_start <= 1598""")
 def rows_with_evidence(spark, d):
-    return rows_with_evidence_whole(spark, d).where("mms_id < '0000002000'")
-
-
-@query("rows_with_evidence_whole", ORACLES["rows_with_evidence"].removesuffix(" and mms_id < '0000002000'"))
-def rows_with_evidence_whole(spark, d):
     plan = QueryPlan([Filter("publisher", "CONTAINS", "Supplier"), Filter("year", "RANGE", start=1597, end=1598)])
     df = compiler.rows(catalog(spark, d), plan)
     return df.select("mms_id", "date_start", "date_end", "publisher_norm", F.col("evidence")[0]["confidence"].alias("confidence"), F.col("evidence")[1]["field"].alias("field"), F.col("evidence")[1]["value"].alias("value"), "rationale").distinct()
@@ -196,11 +216,12 @@ query("paged_browse", with_sql("records", "titles") + "select record_id, value f
 query("table_sizes", with_sql("records", "imprints", "titles", "subjects", "agents") + "select 'records' as \"table\", count(*) as rows from records union all select 'imprints', count(*) from imprints union all select 'titles', count(*) from titles union all select 'subjects', count(*) from subjects union all select 'agents', count(*) from agents")(lambda spark, d: display.table_sizes(catalog(spark, d)).where(F.col("table").isin("records", "imprints", "titles", "subjects", "agents")).select("table", "rows"))
 
 
-@query("full_record", with_sql("records", "imprints", "agents") + "select mms_id, (select count(*) from imprints where record_id = id) as n_imprints, (select count(*) from agents where record_id = id) as n_agents from records where mms_id = '0000000005'")
+@query("full_record", with_sql("records", "imprints", "agents", "titles", "languages") + "select mms_id, (select string_agg(publisher_norm, ';' order by publisher_norm) from imprints where record_id = id) as publishers, (select string_agg(agent_norm, ';' order by agent_norm) from agents where record_id = id) as agents, (select string_agg(value, ';' order by value) from titles where record_id = id) as titles, coalesce((select string_agg(code, ';' order by code) from languages where record_id = id), '') as languages from records where mms_id = '0000000005'")
 def full_record(spark, d):
+    """One record by its identifier, with all its rows."""
     r = display.full_record(catalog(spark, d), "0000000005")
-    n = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
-    return r.select("mms_id", n("imprints").alias("n_imprints"), n("agents").alias("n_agents"))
+    of = lambda c, field: F.coalesce(F.array_join(F.array_sort(F.transform(c, lambda x: x[field])), ";"), F.lit("")).alias("publishers" if c == "imprints" else c)
+    return r.select("mms_id", of("imprints", "publisher_norm"), of("agents", "agent_norm"), of("titles", "value"), of("languages", "code"))
 
 
 @query("resolve_agent_ladder", with_sql("agents", "agent_authorities", "agent_aliases") + "select distinct agent_norm, 'alias_exact' as method, cast(0.95 as double) as confidence from agent_aliases al join agent_authorities aa on aa.id = al.authority_id join agents a on a.authority_uri = aa.authority_uri where alias_form_lower = 'press, no 4' union all select distinct agent_norm, 'canonical_exact', 0.90 from agent_authorities aa join agents a on a.authority_uri = aa.authority_uri where canonical_name_lower = 'supplier#000000006' union all select distinct agent_norm, 'alias_parts', 0.70 from agent_aliases al join agent_authorities aa on aa.id = al.authority_id join agents a on a.authority_uri = aa.authority_uri where alias_form_lower like '%house%' and alias_form_lower like '%nation%'")
@@ -215,6 +236,7 @@ def resolve_publisher(spark, d):
     return resolve.publisher(cat, "Officina 4").unionByName(resolve.publisher(cat, "00000006"))
 
 
+_norm = "' ' || trim(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g')) || ' '"
 _relaxed = " union ".join(f"select mms_id from records where exists (select 1 from subjects c where c.record_id = records.id and {_norm} like '% {p} %') and exists (select 1 from imprints i where i.record_id = records.id and place_norm = 'nation_2')" for p in ("economy brand 17", "standard"))
 
 

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from .functions import dates, names, text
 from .operators import authority
 from .registry import query
-from .shared import shared_dir
-from .sources import marc
 
 _RAW = """with raw as (select distinct l_partkey, l_linenumber, cast(year(l_shipdate) - 400 as integer) as y from lineitem),
 dates as (select y, l_linenumber as n, {} as raw from raw)
@@ -63,21 +59,28 @@ def normalize_roman(spark, d):
     return df.select("y", "raw", dates.normalize_date(F.col("raw")).alias("d")).select("y", "raw", F.col("d.start").alias("start"), F.col("d.method").alias("method"))
 
 
-@query("normalize_gematria")
+_HEBREW = [("hundreds", ["", "ק", "ר", "ש", "ת", "תק", "תר", "תש", "תת", "תתק"]), ("tens", ["", "י", "כ", "ל", "מ", "נ", "ס", "ע", "פ", "צ"]), ("ones", ["", "א", "ב", "ג", "ד", "ה", "ו", "ז", "ח", "ט"])]
+_pick = lambda letters, at: "[" + ", ".join(f"'{x}'" for x in letters) + f"][{at} + 1]"
+
+
+@query("normalize_gematria", f"with v as (select distinct cast(200 + p_partkey % 700 as bigint) as v from part), w as (select v, concat({_pick(_HEBREW[0][1], 'v // 100')}, case v % 100 when 15 then 'טו' when 16 then 'טז' else concat({_pick(_HEBREW[1][1], 'v // 10 % 10')}, {_pick(_HEBREW[2][1], 'v % 10')}) end) as letters from v) select concat('[', letters, ']') as raw, cast(v + 1240 as integer) as \"start\", 'hebrew_gematria_bracketed' as method from w where length(letters) > 1")
 def normalize_gematria(spark, d):
-    """Hebrew letters as numbers: its tests hold it against known years."""
-    df = spark.createDataFrame([('תשל"ט',), ("[תס\"ט]",), ("תק\"ח",), ("[תצ\"ו]",)], "raw string")
-    df = df.select("raw", dates.normalize_date(F.col("raw")).alias("d"))
-    return df.select("raw", "d.start", "d.method")
+    """Hebrew letters as years, for all numbers between 200 and 899 that the parts give."""
+    v = F.col("v")
+    at = lambda letters, n: F.get(F.array(*[F.lit(x) for x in letters]), n.cast("int"))
+    low = F.when(v % 100 == 15, "טו").when(v % 100 == 16, "טז").otherwise(F.concat(at(_HEBREW[1][1], F.floor(v / 10) % 10), at(_HEBREW[2][1], v % 10)))
+    df = spark.read.parquet(f"{d}/part.parquet").select((200 + F.col("p_partkey") % 700).alias("v")).distinct().select(F.concat(at(_HEBREW[0][1], F.floor(v / 100)), low).alias("letters")).where(F.length("letters") > 1)
+    df = df.select(F.concat(F.lit("["), "letters", F.lit("]")).alias("raw"))
+    return df.select("raw", dates.normalize_date(F.col("raw")).alias("d")).select("raw", "d.start", "d.method")
 
 
-@query("normalize_place", "with x as (select concat(' [', n_name, '] : ') as raw, lower(n_name) as k, n_nationkey from nation) select raw, case when n_nationkey % 2 = 0 then concat('canon ', k) else k end as value, upper(k) as display, cast(case when n_nationkey % 2 = 0 then 0.95 else 0.8 end as double) as confidence, case when n_nationkey % 2 = 0 then 'place_alias_map' else 'place_casefold_strip' end as method from x union all select '', null, '', 0.0, 'missing' union all select ' : ', null, '', 0.0, 'empty_after_cleaning'")
+@query("normalize_place", "with x as (select concat(' [', n_name, '] : ') as raw, lower(n_name) as k, n_nationkey from nation) select raw, case when n_nationkey % 2 = 0 then concat('canon ', k) else k end as value, upper(k) as display, cast(case when n_nationkey % 2 = 0 then 0.95 else 0.8 end as double) as confidence, case when n_nationkey % 2 = 0 then 'place_alias_map' else 'place_casefold_strip' end as method from x union all select '', null, '', 0.0, 'missing' union all select ' : ', null, '', 0.0, 'empty_after_cleaning' union all select '[Ｖｅｎｅｚｉａ ﬁ] :', 'venezia fi', 'Venezia fi', 0.8, 'place_casefold_strip'")
 def normalize_place(spark, d):
     n = spark.read.parquet(f"{d}/nation.parquet")
-    raw = n.select(F.concat(F.lit(" ["), "n_name", F.lit("] : ")).alias("raw")).unionByName(spark.createDataFrame([("",), (" : ",)], "raw string"))
+    raw = n.select(F.concat(F.lit(" ["), "n_name", F.lit("] : ")).alias("raw")).unionByName(spark.createDataFrame([("",), (" : ",), ("[Ｖｅｎｅｚｉａ ﬁ] :",)], "raw string"))
     alias = n.where("n_nationkey % 2 = 0").select(F.lower("n_name").alias("key"), F.concat(F.lit("canon "), F.lower("n_name")).alias("canonical"))
-    df = raw.join(alias, names.imprint_key(F.col("raw"), False) == F.col("key"), "left")
-    return df.select("raw", names.normalize_imprint_name(F.col("raw"), "place", F.col("canonical"), False).alias("v")).select("raw", "v.*")
+    df = raw.join(alias, names.imprint_key(F.col("raw")) == F.col("key"), "left")
+    return df.select("raw", names.normalize_imprint_name(F.col("raw"), "place", F.col("canonical")).alias("v")).select("raw", "v.*")
 
 
 @query("normalize_publisher", "select concat(s_name, ' ;') as raw, lower(s_name) as value, s_name as display, cast(0.8 as double) as confidence, 'publisher_casefold_strip' as method from supplier")
@@ -91,23 +94,29 @@ def normalize_agent(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet")
     raw = F.concat(F.lit("["), "c_name", F.lit("  Junior., ]"))
     alias = c.where("c_custkey % 3 < 2").select(F.concat(F.lower("c_name"), F.lit(" junior")).alias("key"), F.when(F.col("c_custkey") % 3 == 0, "MAP").otherwise("AMBIGUOUS").alias("decision"))
-    df = c.select(raw.alias("raw")).join(alias, names.agent_key(F.col("raw"), False) == F.col("key"), "left")
-    v = names.normalize_agent(F.col("raw"), F.col("decision"), F.lit("mapped"), F.lit(None).cast("double"), False)
+    df = c.select(raw.alias("raw")).join(alias, names.agent_key(F.col("raw")) == F.col("key"), "left")
+    v = names.normalize_agent(F.col("raw"), F.col("decision"), F.lit("mapped"), F.lit(None).cast("double"))
     return df.select("raw", v.alias("v")).select("raw", "v.value", "v.confidence", "v.method")
 
 
-@query("role_map", "select raw, value, cast(confidence as double) as confidence, method from (values ('prt', 'printer', 0.99, 'relator_code'), (' Printer of plates ', 'printer_of_plates', 0.95, 'relator_term'), ('impr.', 'printer', 0.95, 'relator_term'), ('', 'other', 0.5, 'missing_role'), ('dancer', 'other', 0.6, 'unmapped'), ('AUT', 'author', 0.99, 'relator_code')) x(raw, value, confidence, method)")
+_ROLES = [("prt", "printer", 0.99, "relator_code"), (" Printer of plates ", "printer_of_plates", 0.95, "relator_term"), ("impr.", "printer", 0.95, "relator_term"), ("", "other", 0.5, "missing_role"), ("dancer", "other", 0.6, "unmapped"), ("AUT", "author", 0.99, "relator_code")]
+
+
+@query("role_map", "select c_custkey, value, cast(confidence as double) as confidence, method from customer join (values " + ", ".join(f"({i}, {x[1:]!r})".replace(", (", ", ").replace("))", ")") for i, x in enumerate(_ROLES)) + ") x(i, value, confidence, method) on i = c_custkey % 6")
 def role_map(spark, d):
-    raw = spark.createDataFrame([(x,) for x in ("prt", " Printer of plates ", "impr.", "", "dancer", "AUT")], "raw string")
-    return raw.select("raw", names.normalize_role(F.col("raw")).alias("v")).select("raw", "v.value", "v.confidence", "v.method")
+    raw = F.get(F.array(*[F.lit(x[0]) for x in _ROLES]), (F.col("c_custkey") % 6).cast("int"))
+    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", names.normalize_role(raw).alias("v")).select("c_custkey", "v.value", "v.confidence", "v.method")
 
 
-_letters = "regexp_replace(text, '[^\\p{L}]', '', 'g')"
+_MIXED = "select doc_id, case doc_id % 5 when 0 then text when 1 then concat('שלום עולם ', substr(text, 1, 12)) when 2 then concat('مرحبا بكم ', substr(text, 1, 9)) when 3 then concat('אב בג ', substr(text, 1, 60)) else '12 -- 34' end as t from documents"
+_count = lambda of: f"length(regexp_replace(t, '[^{of}]', '', 'g'))"
 
 
-@query("detect_script", f"select doc_id, case when length({_letters}) = 0 then 'empty' else 'latin' end as script from documents")
+@query("detect_script", f"with m as ({_MIXED}), c as (select doc_id, {_count('\\x{0590}-\\x{05FF}')} as h, {_count('\\x{0600}-\\x{06FF}')} as a, length(regexp_replace(regexp_replace(t, '[\\x{{0590}}-\\x{{06FF}}]', '', 'g'), '[^\\p{{L}}]', '', 'g')) as n from m) select doc_id, case when t_null then 'empty' when h + a + n = 0 then 'empty' when h > a and h > n then 'hebrew' when a > h and a > n then 'arabic' when n > h and n > a then 'latin' when h > 0 and h >= a then 'hebrew' when a > 0 then 'arabic' else 'latin' end as script from (select c.*, m.t is null as t_null from c join m using (doc_id))")
 def detect_script(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.script(F.col("text")).alias("script"))
+    k, t = F.col("doc_id"), F.col("text")
+    mixed = F.when(k % 5 == 0, t).when(k % 5 == 1, F.concat(F.lit("שלום עולם "), F.substring(t, 1, 12))).when(k % 5 == 2, F.concat(F.lit("مرحبا بكم "), F.substring(t, 1, 9))).when(k % 5 == 3, F.concat(F.lit("אב בג "), F.substring(t, 1, 60))).otherwise("12 -- 34")
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.script(mixed).alias("script"))
 
 
 @query("date_pattern_class", "with y as (select distinct cast(year(l_shipdate) - 400 as varchar) as y from lineitem) select concat('ca. ', y) as raw, 'circa' as kind from y union all select concat(y, '-', '07'), 'ambiguous_range' from y union all select concat('[', substr(y, 1, 2), '--?]'), 'partial_century' from y group by 1 union all select concat('Anno ', y), 'latin_convention' from y union all select 'no date', 'other_unparsed' union all select '', 'empty_missing'")
@@ -148,16 +157,3 @@ def name_forms(spark, d):
     k = F.col("c_custkey").cast("string")
     c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.concat(F.lit("Lee"), k, F.lit(", Anna Maria")).alias("n"), dates.active_years(F.concat(F.lit("fl. 1500-"), (1500 + F.col("c_custkey") % 60).cast("string"))).alias("y"))
     return c.select("c_custkey", text.reorder_name(F.col("n")).alias("turned"), text.reorder_name(text.reorder_name(F.col("n"))).alias("back"), "y.start", "y.end")
-
-
-MARC = """<collection xmlns="http://www.loc.gov/MARC21/slim"><record><leader>00000nam a2200000</leader><controlfield tag="001">0099</controlfield><controlfield tag="008">850101s1565    it            000 0 heb d</controlfield><datafield tag="041" ind1=" " ind2=" "><subfield code="a">heb</subfield><subfield code="a">lat</subfield></datafield><datafield tag="100" ind1="1" ind2=" "><subfield code="a">Karo, Joseph,</subfield><subfield code="d">1488-1575</subfield></datafield><datafield tag="245" ind1="1" ind2="0"><subfield code="c">by J. Karo.</subfield><subfield code="a">Shulchan Aruch /</subfield></datafield><datafield tag="260" ind1=" " ind2=" "><subfield code="a">[Venice] :</subfield><subfield code="b">Bragadin,</subfield><subfield code="c">[1565]</subfield></datafield><datafield tag="650" ind1=" " ind2="0"><subfield code="a">Jewish law</subfield><subfield code="x">History</subfield><subfield code="2">lcsh</subfield></datafield><datafield tag="700" ind1="1" ind2=" "><subfield code="a">Bomberg, Daniel</subfield><subfield code="4">prt</subfield></datafield></record><record><leader/><datafield tag="245" ind1="0" ind2="0"><subfield code="a">Without an identifier</subfield></datafield></record></collection>"""
-
-
-@query("marc_ingest")
-def marc_ingest(spark, d):
-    """A MARC file, written to the shared folder, into the catalogue's imprints."""
-    path = f"{shared_dir(spark)}/marc-{uuid.uuid4().hex}"
-    spark.createDataFrame([(MARC,)], "value string").coalesce(1).write.mode("overwrite").text(path)
-    records = marc.canonical(marc.read_xml(spark, path))
-    t = marc.flatten(marc.normalized(records), {"it": "italy"})
-    return t["imprints"].join(t["records"].select(F.col("id").alias("record_id"), "mms_id"), "record_id").select("mms_id", "date_start", "date_method", "place_norm", "publisher_norm", "country_name")

@@ -20,20 +20,12 @@ def edges_same_record(spark, d):
     return network.same_record(catalog(spark, d)).select("source", "target", F.round("confidence", 9).alias("confidence"), "relationship")
 
 
-_ACT = with_sql("agents", "imprints") + ", act as (select agent_norm, place_norm as place, min(date_start) as lo, max(date_start) as hi from agents join imprints using (record_id) where date_start is not null and agent_norm like 'supplier%' group by 1, 2)"
-
-
-@query("edges_same_place_period_whole")
-def edges_same_place_period_whole(spark, d):
-    """All agents: SQL would meet all of a place's pairs; the test holds it against brute force."""
-    return network.same_place_period(catalog(spark, d), 6).select("source", "target", "evidence")
+_ACT = with_sql("agents", "imprints") + ", act as (select agent_norm, place_norm as place, min(date_start) as lo, max(date_start) as hi from agents join imprints using (record_id) where date_start is not null group by 1, 2)"
 
 
 @query("edges_same_place_period", _ACT + " select a.agent_norm as source, b.agent_norm as target, arg_min(concat(a.place, ': ', cast(greatest(a.lo, b.lo) as varchar), '-', cast(least(a.hi, b.hi) as varchar)), a.place) as evidence from act a join act b on a.place = b.place and a.agent_norm < b.agent_norm where least(a.hi, b.hi) - greatest(a.lo, b.lo) >= 6 group by 1, 2")
 def edges_same_place_period(spark, d):
-    cat = catalog(spark, d)
-    cat.agents = cat.agents.where("agent_norm like 'supplier%'")
-    return network.same_place_period(cat, 6).select("source", "target", "evidence")
+    return network.same_place_period(catalog(spark, d), 6).select("source", "target", "evidence")
 
 
 def _edges(spark, d):
@@ -41,23 +33,13 @@ def _edges(spark, d):
 
 
 query("degree", _CO + " select agent_norm, count(*) as degree from (select source as agent_norm from co union all select target from co) group by 1")(lambda spark, d: network.degrees(_edges(spark, d)))
-query("edge_dedup", _CO + " select source, target, type, confidence from co where source like 'supplier%' or target like 'supplier%'")(lambda spark, d: network.merge_edges([e := _edges(spark, d), e.withColumn("confidence", F.lit(0.0))]).where("source like 'supplier%' or target like 'supplier%'").select("source", "target", "type", "confidence"))
-query("orphan_cleanup", _CO + " select source, target from co where source < 'supplier#000000050' and source >= 'supplier' and target < 'supplier#000000050'")(lambda spark, d: network.drop_orphans(_edges(spark, d), catalog(spark, d).agents.where("agent_norm >= 'supplier' and agent_norm < 'supplier#000000050'")).select("source", "target"))
+query("edge_dedup", _CO + " select source, target, type, confidence from co")(lambda spark, d: network.merge_edges([e := _edges(spark, d), e.withColumn("confidence", F.lit(0.0))]).select("source", "target", "type", "confidence"))
+query("orphan_cleanup", _CO + " select source, target from co where right(source, 1) <> '3' and right(target, 1) <> '3'")(lambda spark, d: network.drop_orphans(_edges(spark, d), catalog(spark, d).agents.where("right(agent_norm, 1) <> '3'")).select("source", "target"))
 
 
-@query("node_mode_place", with_sql("agents", "imprints") + "select agent_norm, place from (select agent_norm, place_norm as place, row_number() over (partition by agent_norm order by count(*) desc, min(date_start) asc nulls last, place_norm) as n from (select distinct record_id, agent_norm from agents) a join imprints using (record_id) where agent_norm like 'customer%' group by 1, 2) where n <= 10 and place not in ('nation_0', 'nation_5') qualify row_number() over (partition by agent_norm order by n) = 1")
+@query("node_mode_place", with_sql("agents", "imprints") + "select agent_norm, place from (select agent_norm, place_norm as place, row_number() over (partition by agent_norm order by count(*) desc, min(date_start) asc nulls last, place_norm) as n from (select distinct record_id, agent_norm from agents) a join imprints using (record_id) group by 1, 2) where n <= 10 and place not in ('nation_0', 'nation_5') qualify row_number() over (partition by agent_norm order by n) = 1")
 def node_mode_place(spark, d):
-    return _node_mode_place(spark, d, "agent_norm like 'customer%'")
-
-
-@query("node_mode_place_whole", with_sql("agents", "imprints") + "select agent_norm, place from (select agent_norm, place_norm as place, row_number() over (partition by agent_norm order by count(*) desc, min(date_start) asc nulls last, place_norm) as n from (select distinct record_id, agent_norm from agents) a join imprints using (record_id) group by 1, 2) where n <= 10 and place not in ('nation_0', 'nation_5') qualify row_number() over (partition by agent_norm order by n) = 1")
-def node_mode_place_whole(spark, d):
-    return _node_mode_place(spark, d, "true")
-
-
-def _node_mode_place(spark, d, who):
     cat = catalog(spark, d)
-    cat.agents = cat.agents.where(who)
     geo = spark.read.parquet(f"{d}/nation.parquet").select(F.lower("n_name").alias("place"), F.col("n_nationkey").cast("double").alias("lat"), F.lit(0.0).alias("lon")).where("lat not in (0, 5)")
     return network.place_mode(cat, geo).select("agent_norm", "place")
 
@@ -65,7 +47,7 @@ def _node_mode_place(spark, d, who):
 query("primary_role", with_sql("agents") + "select agent_norm, role_norm as primary_role from (select agent_norm, role_norm, row_number() over (partition by agent_norm order by count(*) desc, role_norm) as n from agents where role_norm is not null group by 1, 2) where n = 1")(lambda spark, d: network.primary_role(catalog(spark, d)))
 query("map_top_nodes", _CO + " select agent_norm, count(*) as degree from (select source as agent_norm from co union all select target from co) group by 1 order by degree desc, agent_norm limit 30")(lambda spark, d: network.map_nodes(catalog(spark, d).agents.select("agent_norm").distinct(), _edges(spark, d), 30)[0].select("agent_norm", "degree"))
 query("ego_one_hop", _BOTH + " select ways.target as neighbour, max(confidence) as confidence from ways join co on (co.source = ways.source and co.target = ways.target) or (co.source = ways.target and co.target = ways.source) where ways.source = 'supplier#000000003' group by 1 order by confidence desc, neighbour limit 40")(lambda spark, d: network.ego(_edges(spark, d), "supplier#000000003", 40).select("neighbour", "confidence"))
-query("induced_edges", _CO + " select source as a, target as b, confidence from co where source like 'supplier#00000000%' and target like 'supplier#00000000%'")(lambda spark, d: network.induced(_edges(spark, d), catalog(spark, d).agents.where("agent_norm like 'supplier#00000000%'")).select("a", "b", "confidence"))
+query("induced_edges", _CO + " select source as a, target as b, confidence from co where right(source, 1) < '5' and right(target, 1) < '5'")(lambda spark, d: network.induced(_edges(spark, d), catalog(spark, d).agents.where("right(agent_norm, 1) < '5'")).select("a", "b", "confidence"))
 _HOPS = ", hop1 as (select target as x from ways where source = 'supplier#000000003'), hop2 as (select w.target as x from ways w join hop1 on w.source = hop1.x)"
 query("k_hop_neighbours", _BOTH + _HOPS + " select x as agent_norm, cast(min(h) as integer) as hop from (select 'supplier#000000003' as x, 0 as h union all select x, 1 from hop1 union all select x, 2 from hop2) group by 1")(lambda spark, d: network.neighbourhood(_edges(spark, d), "supplier#000000003", 2))
 
@@ -107,18 +89,9 @@ def merge_duplicate_nodes(spark, d):
     return kept.select("wikidata_id", "agent_norm")
 
 
-@query("community_facet", with_sql("agents") + ", c as (select distinct agent_norm, concat('cat ', cast(record_id % 40 as varchar)) as category from agents where agent_norm like 'supplier%'), p as (select category, count(*) as n from c group by 1 having count(*) >= 8 order by n desc, category limit 20) select agent_norm, arg_min(category, n * 1000 + cast(substr(category, 5) as integer) * 0 + 0) as community from (select agent_norm, category, n from c join p using (category) qualify row_number() over (partition by agent_norm order by n, category) = 1) group by 1")
+@query("community_facet", with_sql("agents") + ", c as (select distinct agent_norm, concat('cat ', cast(record_id % 40 as varchar)) as category from agents), p as (select category, count(*) as n from c group by 1 having count(*) >= 8 order by n desc, category limit 20) select agent_norm, category as community from c join p using (category) qualify row_number() over (partition by agent_norm order by n, category) = 1")
 def community_facet(spark, d):
-    return _community_facet(spark, d, "agent_norm like 'supplier%'")
-
-
-@query("community_facet_whole", with_sql("agents") + ", c as (select distinct agent_norm, concat('cat ', cast(record_id % 40 as varchar)) as category from agents), p as (select category, count(*) as n from c group by 1 having count(*) >= 8 order by n desc, category limit 20) select agent_norm, category as community from c join p using (category) qualify row_number() over (partition by agent_norm order by n, category) = 1")
-def community_facet_whole(spark, d):
-    return _community_facet(spark, d, "true")
-
-
-def _community_facet(spark, d, who):
     cat = catalog(spark, d)
-    own = cat.agents.where(who)
+    own = cat.agents
     cat.wikipedia_cache = own.select(F.col("agent_norm").alias("wikidata_id"), F.concat(F.lit("cat "), (F.col("record_id") % 40).cast("string")).alias("c")).distinct().groupBy("wikidata_id").agg(F.collect_list("c").alias("categories"))
     return network.communities(cat, own.select("agent_norm", F.col("agent_norm").alias("wikidata_id")).distinct())

@@ -23,6 +23,10 @@ COLUMNS = {
     "publisher_variants": "id long, authority_id long, variant_form string, variant_form_lower string, script string",
     "authority_enrichment": "authority_uri string, wikidata_id string, label string, description string, person_info string, image_url string, wikipedia_url string, confidence double, fetched_at timestamp, expires_at timestamp",
     "wikipedia_cache": "wikidata_id string, wikipedia_title string, summary string, categories array<string>, see_also_titles array<string>, article_wikilinks array<string>",
+    "wikipedia_connections": "source string, target string, type string",
+    "record_scope_flags": "record_id long, flag string",
+    "network_nodes": "agent_norm string, display_name string, place string, birth_year int, record_count long, connection_count long, has_wikipedia boolean, community string, node_type string",
+    "network_edges": "source string, target string, type string, confidence double, relationship string, bidirectional boolean, evidence string",
 }
 #: Columns that a row may not lack.
 REQUIRED = {"records": ("id", "mms_id"), "imprints": ("record_id",), "titles": ("record_id",), "subjects": ("record_id",), "agents": ("record_id",), "languages": ("record_id",), "notes": ("record_id",), "physical_descriptions": ("record_id",)}
@@ -51,6 +55,10 @@ class Catalog:
     publisher_variants: DataFrame | None = None
     authority_enrichment: DataFrame | None = None
     wikipedia_cache: DataFrame | None = None
+    wikipedia_connections: DataFrame | None = None
+    record_scope_flags: DataFrame | None = None
+    network_nodes: DataFrame | None = None
+    network_edges: DataFrame | None = None
     config: dict = field(default_factory=dict)
 
     def tables(self) -> dict[str, DataFrame]:
@@ -72,6 +80,32 @@ class Catalog:
             t.write.mode(mode).parquet(f"{path}/{name}.parquet")
 
 
+def export(df: DataFrame, path: str, kind: str, mode: str = "error") -> None:
+    """Write a result as ``csv`` with a header (arrays and structs as JSON), ``jsonl`` or ``parquet``, in parts."""
+    from pyspark.sql import functions as F
+
+    if kind == "csv":
+        nested = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType)]
+        df.withColumns({c: F.to_json(c) for c in nested}).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    elif kind == "jsonl":
+        df.write.mode(mode).option("ignoreNullFields", False).json(path)
+    elif kind == "parquet":
+        df.write.mode(mode).parquet(path)
+    else:
+        raise ValueError(f"no such format: {kind}")
+
+
+def load_map(spark: SparkSession, path: str, value: str = "string") -> DataFrame:
+    """(key, value) of files that hold one JSON object each, as alias, country, geocode and concept maps do.
+
+    ``value`` is the type of the object's values, such as ``array<string>`` or ``struct<lat:double,lon:double>``.
+    """
+    from pyspark.sql import functions as F
+
+    whole = spark.read.option("wholetext", True).text(path)
+    return whole.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "value"))
+
+
 def differences(table: str, df: DataFrame) -> list[str]:
     """What a table's schema lacks or has of another type; a report, never an error."""
     have, out = dict(df.dtypes), []
