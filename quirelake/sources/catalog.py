@@ -70,10 +70,10 @@ class Catalog:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Catalog:
-        """The tables written under ``path``; those that are not there are left out where optional."""
+        """The tables written under ``path``, at once or by batches; those that are not there are left out where optional."""
         jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
         there = {s.getPath().getName().removesuffix(".parquet") for s in jvm.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(jvm)}
-        return cls(**{t: spark.read.parquet(f"{path}/{t}.parquet") for t in COLUMNS if t in there})
+        return cls(**{t: spark.read.parquet(f"{path}/{t}.parquet").drop("batch") for t in COLUMNS if t in there})
 
     def save(self, path: str, mode: str = "error") -> None:
         for name, t in self.tables().items():

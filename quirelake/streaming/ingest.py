@@ -1,12 +1,14 @@
 """New record files as a stream: normalized like a batch, and appended to the catalogue's tables.
 
 The catalogue has no event time, so there is nothing to watermark; files are the unit, each is taken
-once, and a batch that is run again replaces what it wrote before.
+once, and a batch that is run again replaces what it wrote before. A record that an earlier batch has
+written is left out, so the first to name an identifier stays.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import marc
@@ -17,13 +19,30 @@ def follow_json(spark: SparkSession, path: str, schema, files_a_batch: int = 100
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).json(path)
 
 
+def _written(spark: SparkSession, target: str, number: int) -> DataFrame | None:
+    """(mms_id) of the records that other batches have written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/records.parquet")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.option("basePath", f"{target}/records.parquet").parquet(f"{target}/records.parquet").where(F.col("batch") != number).select("mms_id")
+
+
 def append_tables(records: DataFrame, target: str, checkpoint: str, countries: dict[str, str] | None = None, available_now: bool = True) -> StreamingQuery:
     """Normalize each batch of records and write its tables under ``target``, by batch."""
 
     def write(batch: DataFrame, number: int) -> None:
         kept = batch.dropDuplicates(["mms_id"])
-        for name, t in marc.flatten(marc.normalized(kept), countries).items():
-            t.write.mode("overwrite").parquet(f"{target}/{name}.parquet/batch={number}")
+        old = _written(batch.sparkSession, target, number)
+        if old is not None:
+            kept = kept.join(old, "mms_id", "left_anti").select(batch.columns)
+        kept = kept.persist()  # of a batch's files, whose number is bounded
+        try:
+            tables = marc.flatten(marc.normalized(kept), countries)
+            # the records come last: while they are not there, none of the batch counts as written
+            for name in sorted(tables, key=lambda t: t == "records"):
+                tables[name].write.mode("overwrite").parquet(f"{target}/{name}.parquet/batch={number}")
+        finally:
+            kept.unpersist()
 
     writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quirelake.sources import marc
+from quirelake.sources.catalog import Catalog
 from quirelake.streaming import ingest
 
 XML = """<collection>
@@ -68,3 +69,10 @@ def test_stream(spark, tmp_path):
     q = ingest.append_tables(ingest.follow_json(spark, str(tmp_path / "in"), records.schema), str(tmp_path / "out"), str(tmp_path / "check"), {"it": "italy"})
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out/imprints.parquet")).count() == 3
+    # the same records once more, in a new file, add nothing
+    again = tmp_path / "in" / "again.json"
+    again.write_text("".join(p.read_text() for p in (tmp_path / "in").glob("part-*.json")))
+    q = ingest.append_tables(ingest.follow_json(spark, str(tmp_path / "in"), records.schema), str(tmp_path / "out"), str(tmp_path / "check"), {"it": "italy"})
+    q.awaitTermination(120)
+    cat = Catalog.load(spark, str(tmp_path / "out"))
+    assert cat.imprints.count() == 3 and cat.records.count() == 2 and "batch" not in cat.records.columns
