@@ -252,8 +252,10 @@ def marc_ingest(spark, d):
     )
     path = f"{shared_dir(spark)}/marc-{uuid.uuid4().hex}"
     files = o.groupBy(F.floor(k / 2000)).agg(say('<collection xmlns="http://www.loc.gov/MARC21/slim">', F.array_join(F.collect_list(xml), ""), "</collection>").alias("value"))
-    files.select("value").write.option("maxRecordsPerFile", 1).text(path)  # a file is one collection of some hundred records
-    t = marc.flatten(marc.normalized(marc.canonical(marc.read_xml(spark, path))), {"it": "italy"})
+    files.select("value").write.option("maxRecordsPerFile", 1).text(f"{path}/xml")  # a file is one collection of some hundred records
+    # the normalized records are written once and flattened into all tables from there
+    marc.normalized(marc.canonical(marc.read_xml(spark, f"{path}/xml"))).write.parquet(f"{path}/records")
+    t = marc.flatten(spark.read.parquet(f"{path}/records"), {"it": "italy"})
     one = lambda name, *cols: t[name].select("record_id", *cols)
     out = t["records"].select(F.col("id").alias("record_id"), "mms_id").join(one("titles", F.col("value").alias("title")), "record_id").join(one("imprints", "date_start", "date_method", "place_norm", "publisher_norm", "country_name"), "record_id")
     return out.join(one("agents", F.col("role_norm").alias("role"), "agent_norm"), "record_id").join(one("subjects", F.col("value").alias("subject")), "record_id").drop("record_id")
