@@ -858,7 +858,7 @@ def test_odd_tables(spark, odd):
         assert op(odd.where("false")).count() == 0, name
     kept = quality_rules.filter_documents(odd)
     assert kept.columns == odd.columns and kept.count() == 0 and quality_rules.filter_documents(odd.where("false")).count() == 0
-    long = spark.createDataFrame([(1, "word and other words " * 50_000, "en", "s", 0), (2, "y" * 500_000, "en", "s", 0)], DOCS)
+    long = spark.createDataFrame([(1, "word and other words " * 50_000, "en", "s", 0), (2, "y" * 500_000, "en", "s", 0)], DOCS).withColumns({c: F.lit("extra") for c in ("class", "label", "row", "n")})
     for name, op in ops.items():
         got = op(long)
         assert got.count() == 2 if name != "packing" else got.select("doc_id").distinct().count() == 2, name
