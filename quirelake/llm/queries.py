@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, lattice, near_dups, packing, pii, quality_classifier, quality_rules, url_reputation, warc
+from . import alignment, bpe, fingerprints, histogram_packing, lattice, near_dups, packing, pii, quality_classifier, quality_rules, url_reputation, warc, whitening
 from .common import staged, table
 
 URL_RULES = [url_reputation.Rule("block", "com", "en/"), url_reputation.Rule("allow", "example.com", "en/7"), url_reputation.Rule("allow", "net", "de/"), url_reputation.Rule("block", "example.net", "de/8"), url_reputation.Rule("block", "org", "es/")]
@@ -66,3 +66,15 @@ def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.group(table(spark, sf_dir, "documents"), k=4)
+
+
+def op11_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
