@@ -42,7 +42,7 @@ def _base(c: str) -> str:
 
 
 #: Every lower-case or caseless letter that is one letter with marks, and that letter, by Unicode.
-_LETTERS = [(chr(i), _base(chr(i))) for i in range(0x80, 0x2000) if unicodedata.category(chr(i)) in ("Ll", "Lo") and not 0xD800 <= i < 0xE000]
+_LETTERS = [(chr(i), _base(chr(i))) for i in (*range(0x80, 0x2000), *range(0xFB1D, 0xFB50)) if unicodedata.category(chr(i)) in ("Ll", "Lo") and not 0xD800 <= i < 0xE000]
 MARKED, PLAIN = ("".join(x) for x in zip(*[(c, b) for c, b in _LETTERS if c != b and len(b) == 1], strict=True))
 
 
@@ -66,16 +66,21 @@ def fold_literal(text: str) -> str:
     return " ".join("".join(c if unicodedata.category(c)[0] in "LN" or c == "*" else " " for c in fold_text(text)).split())
 
 
+def terms(query: str) -> list[str]:
+    """The terms of a query, folded."""
+    return [t for t in fold_literal(query).split() if t.strip("*")]
+
+
 def matches(c: Column, query: str, phrase: bool = True) -> Column:
     """Full-text match of one text: an ordered phrase, or all terms; a last ``*`` matches a prefix."""
-    terms = fold_literal(query).split()
+    sought = terms(query)
     text = tokens(c)
-    if not terms:
+    if not sought:
         return F.lit(False)
-    if phrase or len(terms) == 1:
-        return _run(text, " ".join(terms))
+    if phrase or len(sought) == 1:
+        return _run(text, " ".join(sought))
     found = F.lit(True)
-    for t in terms:
+    for t in sought:
         found = found & _run(text, t)
     return found
 

@@ -77,6 +77,8 @@ def existence(cat: Catalog, f: Filter, values: DataFrame | None = None) -> DataF
         hit = reduce(lambda a, b: a | b, [F.lower("value").contains(v.strip().lower()) for v in f.values])
         return cat.physical_descriptions.where(hit).select("record_id").distinct()
     phrase = clean_phrase(f.value)
+    if (index := cat.config.get("fulltext")) is not None:
+        return index.records(f.field, phrase)
     if f.field == "title":
         return cat.titles.where(text.matches(F.col("value"), phrase)).select("record_id").distinct()
     both = F.concat_ws(" ", "value", "value_he") if "value_he" in cat.subjects.columns else F.col("value")
