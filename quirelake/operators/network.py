@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..shared import shared_dir
+from ..shared import kept, numbered, shared_dir
 from ..sources.catalog import PERSON, Catalog, first_wins
 
 #: Sources of edges in the order in which the first to name a pair and type is kept.
@@ -27,7 +27,7 @@ HOUSEKEEPING = (
     r"^short description", r"different from wikidata$", r"^open library id", r"^source attribution$", r"with author abbreviations$", r"imslp links$",
     r"^webarchive template", r"^articles with", r"^biography with", r"^biography articles", r"^people with", r"signature$",
 )
-#: Agents of one place and decade that one task holds against one another.
+#: Spans of one place and bucket of years that meet as many others at once.
 CELL = 2000
 
 
@@ -91,26 +91,46 @@ def activity(cat: Catalog) -> DataFrame:
     return out.where("lo <= hi")
 
 
+def overlaps(spans: DataFrame, least: int, width: int = 10, cell: int = CELL) -> DataFrame:
+    """(place, a, b, s, e): the pairs of spans(place, agent, lo, hi) that overlap for ``least`` years, a < b.
+
+    All four are numbers. Of two spans the later is the one that begins later (of equal ones that with the
+    greater agent); they overlap for so long if it begins by the earlier's end less ``least``. So the
+    earlier is dealt to every bucket of years in which such a later one can begin, the later to the one
+    in which it does, and a pair meets once. The spans of a crowded place and bucket are dealt into cells,
+    which meet in pairs.
+    """
+    fit = spans.where(F.col("hi") - F.col("lo") >= least)
+    bucket = lambda c: F.floor(F.col(c) / width)
+    later = fit.select("place", bucket("lo").alias("bucket"), F.col("agent").alias("y"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"))
+    earlier = fit.select("place", F.explode(F.sequence(bucket("lo"), F.floor((F.col("hi") - least) / width))).alias("bucket"), F.col("agent").alias("x"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"))
+    crowd = earlier.groupBy("place", "bucket").agg(F.ceil(F.count("*") / cell).alias("cells"))  # every later span is among them
+    own = lambda c: F.pmod(F.xxhash64(c), F.col("cells"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
+    earlier = earlier.join(crowd, ["place", "bucket"]).select("place", "bucket", own("x").alias("cell"), every.alias("other"), "x", "xlo", "xhi")
+    later = later.join(crowd, ["place", "bucket"]).select("place", "bucket", every.alias("cell"), own("y").alias("other"), "y", "ylo", "yhi")
+    after = (F.col("ylo") > F.col("xlo")) | ((F.col("ylo") == F.col("xlo")) & (F.col("y") > F.col("x")))
+    met = earlier.join(later, ["place", "bucket", "cell", "other"]).where((F.col("ylo") <= F.col("xhi") - least) & after)
+    return met.select("place", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("ylo").alias("s"), F.least("xhi", "yhi").alias("e"))
+
+
 def same_place_period(cat: Catalog, least: int = 10) -> DataFrame:
-    """Edges between agents active in one place for ``least`` years together.
+    """Edges between agents active in one place for ``least`` years together; of several places the first.
 
-    An agent is dealt to every decade that it was active in; a pair that overlaps meets in the decade
-    where the overlap begins, so that a place's agents only meet their contemporaries. The agents of
-    a large place and decade are dealt into cells, which meet in pairs. There is an edge for each pair
-    that overlaps, as many as a place's contemporaries squared: that is the result, not the way to it.
+    Agents and places are numbered in the order of their names, so that pairs are sought, compared and
+    brought together as numbers, and a task adds up its own places before anything is moved. There is an
+    edge for each pair that overlaps, as many as a place's contemporaries squared: that is the result, not
+    the way to it.
     """
-    act = activity(cat).where(F.col("hi") - F.col("lo") >= least)
-    dealt = act.withColumn("decade", F.explode(F.sequence(F.floor(F.col("lo") / 10), F.floor(F.col("hi") / 10))))
-    cells = dealt.groupBy("place", "decade").agg(F.ceil(F.count("*") / CELL).alias("cells"))
-    dealt = dealt.join(cells, ["place", "decade"])
-    own = F.pmod(F.xxhash64("agent_norm"), F.col("cells"))
-    a = dealt.select("place", "decade", own.alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("other"), F.col("agent_norm").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-    b = dealt.select("place", "decade", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), own.alias("other"), F.col("agent_norm").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-    s, e = F.greatest("la", "lb"), F.least("ha", "hb")
-    pairs = a.join(b, ["place", "decade", "cell", "other"]).where((F.col("a") < F.col("b")) & (e - s >= least) & (F.col("decade") == F.floor(s / 10)))
-    # of several places the first by name
-    pairs = pairs.groupBy("a", "b").agg(F.min(F.struct("place", s.alias("s"), e.alias("e"))).alias("p")).select("a", "b", "p.*")
-    return _edge(pairs, "same_place_period", F.col("a"), F.col("b"), F.lit(0.70), F.concat(F.lit("both active in "), "place"), F.lit(True), F.concat("place", F.lit(": "), F.col("s").cast("string"), F.lit("-"), F.col("e").cast("string")))
+    act = kept(activity(cat), "activity")
+    agents, places = numbered(act, "agent_norm", "agent"), numbered(act, "place", "place_number")
+    spans = act.join(agents, "agent_norm").join(places, "place").select(F.col("place_number").alias("place"), "agent", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))
+    years = F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(F.col("e").cast("long") + (1 << 31))
+    pairs = overlaps(kept(spans, "spans"), least).groupBy("a", "b").agg(F.min("place").alias("place_number"), F.min_by(years, F.col("place")).alias("years"))
+    name = lambda n: agents.select(F.col("agent").alias(n), F.col("agent_norm").alias(f"name_{n}"))
+    pairs = pairs.join(name("a"), "a").join(name("b"), "b").join(places, "place_number")
+    s, e = F.shiftright("years", 32), F.col("years").bitwiseAND(F.lit(0xFFFFFFFF)) - (1 << 31)
+    return _edge(pairs, "same_place_period", F.col("name_a"), F.col("name_b"), F.lit(0.70), F.concat(F.lit("both active in "), "place"), F.lit(True), F.concat("place", F.lit(": "), s.cast("string"), F.lit("-"), e.cast("string")))
 
 
 def lifespan_overlap(people: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark import SparkContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,3 +36,19 @@ def workers_import() -> None:
     paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         context.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again.
+
+    It is computed once, outlives executors, keeps numbers that its rows were given, and has a true size
+    for the planner. The folder is the session's, to be cleaned with it.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, column: str, number: str) -> DataFrame:
+    """The distinct values of a column with whole numbers in their order, which need not be dense."""
+    return kept(df.select(column).distinct().orderBy(column).withColumn(number, F.monotonically_increasing_id()), number)
