@@ -6,6 +6,9 @@ Tables are values here: what would be an UPDATE returns the table as it is after
 from __future__ import annotations
 
 import difflib
+import hashlib
+import math
+import zlib
 from functools import reduce
 
 import pandas as pd
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import names, text
-from ..shared import workers_import
+from ..shared import kept, workers_import
 from ..sources.catalog import PERSON, Catalog, first_wins
 
 
@@ -141,39 +144,109 @@ def infer_roles(occupations: DataFrame, direct: DataFrame, priority: list[str])
     return first_wins(found.withColumn("_p", F.when(place == 0, 10_000).otherwise(place)), ["agent_norm"], ["_p", "role"]).drop("_p")
 
 
-def fuzzy_links(left: DataFrame, right: DataFrame, least: float = 0.80, common: int = 500) -> DataFrame:
-    """(name, match, ratio): for left(name) the most alike in right(match), over ``least`` by difflib.
+#: Texts with the same two letter pairs that meet as many others at once.
+CELL = 2000
+#: Pairs of letters, by how many names have them, whose order by frequency every task knows.
+KNOWN_PAIRS = 4096
+
+
+def letter_pairs(t: str) -> list[tuple[str, int]]:
+    """The neighbouring letters of a text between two walls, with the how-manieth each is of its kind."""
+    seen: dict[str, int] = {}
+    out = []
+    walled = f"\x02{t}\x03"
+    for i in range(len(walled) - 1):
+        p = walled[i : i + 2]
+        seen[p] = seen.get(p, 0) + 1
+        out.append((p, seen[p]))
+    return out
+
+
+def letter_bits(t: str) -> tuple[int, int]:
+    """128 bits, one set for each letter with the how-manieth it is: what only one of two texts has can't be in both."""
+    seen: dict[str, int] = {}
+    bits = [0, 0]
+    for c in t:
+        seen[c] = seen.get(c, 0) + 1
+        h = zlib.crc32(f"{c}{seen[c]}".encode())
+        bits[h & 1] |= 1 << (h >> 1 & 63)
+    return tuple(b - (1 << 64) if b >> 63 else b for b in bits)
+
+
+def rarest(t: str, least: float, rank: dict[str, int]) -> list[int]:
+    """The rarest letter pairs as numbers, in one order for all texts.
 
-    Names meet over every word of three letters or more that both have, whatever the tables' size;
-    a match is compared in all its forms (``text.name_forms``), and the best ratio counts. A
-    word's names are dealt into cells of about ``common``, and every cell of the left meets every one
-    of the right. Only pairs whose lengths let the ratio reach ``least`` are compared, each once.
+    Of the pairs that two texts of ratio ``least`` have in common, at least two are among these of either.
     """
+    n = len(t)
+    common = math.ceil((1.5 * least - 1) * (n + n * least / (2 - least)) + 1 - 1e-9)  # with the shortest that can be so alike
+    order = sorted((rank.get(p, 0) << 48) | int.from_bytes(hashlib.blake2b(f"{p}{k}".encode(), digest_size=6).digest()) for p, k in letter_pairs(t))
+    return order[: max(2, len(order) - common + 2)]
 
+
+def alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b): the pairs of left(a) and right(b), distinct texts, that can have a ratio of ``least``.
+
+    With texts of m and n letters, a ratio r means that r (m + n) / 2 letters match in order. So (1.5 r - 1)
+    (m + n) + 1 pairs of neighbours are in both, which is over one where r is over two thirds. Texts meet
+    where two of their rarest pairs are the same; then their lengths and letters must allow the ratio. A
+    crowd that shares two pairs is dealt into cells. Python finds a text's rarest pairs; the rest is Spark's.
+    """
+    if not 1.5 * least > 1:
+        raise ValueError("the least ratio must be over two thirds")
     workers_import()
+    spark = left.sparkSession
 
-    @F.pandas_udf(DoubleType())
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+    def pairs(batches):
+        for b in batches:
+            yield pd.DataFrame({"p": [p for t in b["text"] for p in {p for p, _ in letter_pairs(t)}]})
 
-    def blocks(df: DataFrame, c: str, side: str) -> DataFrame:
-        w = F.filter(F.split(F.trim(F.regexp_replace(text.fold(F.col(c)), r"[^\p{L}\p{N}]+", " ")), " "), lambda x: F.length(x) >= 3)
-        df = df.select("*", text.fold(F.col(c)).alias(f"text_{side}"), F.array_sort(F.array_distinct(w)).alias(f"all_{side}"))
-        return df.select("*", F.explode(f"all_{side}").alias("word"))
+    both = left.select(F.col("a").alias("text")).unionByName(right.select(F.col("b").alias("text")))
+    often = both.mapInPandas(pairs, "p string").groupBy("p").count().orderBy(F.desc("count"), "p").limit(KNOWN_PAIRS).collect()
+    sent = left.sparkSession.sparkContext.broadcast({r["p"]: len(often) - i for i, r in enumerate(often)})
 
-    def cells(df: DataFrame, side: str) -> DataFrame:
-        return df.groupBy("word").agg(F.ceil(F.count("*") / common).alias(f"n_{side}"))
+    def signed(batches):
+        for b in batches:
+            yield pd.DataFrame([(t, len(t), *letter_bits(t), rarest(t, least, sent.value)) for t in b["text"]], columns=["text", "n", "low", "high", "rare"])
 
-    def dealt(df: DataFrame, c: str, side: str, other: str) -> DataFrame:
-        met = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{other}") - 1)).alias(f"cell_{other}")
-        return df.join(sizes, "word").withColumn(f"cell_{side}", F.pmod(F.xxhash64(c), f"n_{side}")).select(*df.columns, f"cell_{side}", met)
+    def side(df: DataFrame, c: str) -> DataFrame:
+        out = kept(df.select(F.col(c).alias("text")).mapInPandas(signed, "text string, n int, low long, high long, rare array<long>"), "signatures")
+        keys = F.flatten(F.transform("rare", lambda x, i: F.transform(F.slice("rare", i + 2, F.size("rare")), lambda y: F.xxhash64(x, y))))
+        return out.select(*(F.col(x).alias(f"{c}_{x}") for x in ("text", "n", "low", "high")), F.explode(keys).alias("key"))
+
+    def dealt(df: DataFrame, c: str, other: str) -> DataFrame:
+        cells = F.sequence(F.lit(0).cast("long"), F.coalesce(f"cells_{other}", F.lit(1)) - 1)
+        own = F.pmod(F.xxhash64(f"{c}_text"), F.coalesce(f"cells_{c}", F.lit(1))).alias(f"cell_{c}")
+        return df.join(crowds, "key", "left").select(*df.columns, own, F.explode(cells).alias(f"cell_{other}"))
+
+    a, b = side(left, "a"), side(right, "b")
+    count = lambda df, c: df.groupBy("key").agg(F.ceil(F.count("*") / CELL).alias(f"cells_{c}"))
+    crowds = kept(count(a, "a").join(count(b, "b"), "key").where("cells_a > 1 or cells_b > 1"), "crowds")
+    only = lambda x, y: F.bit_count(F.col(f"{x}_low").bitwiseAND(F.bitwise_not(f"{y}_low"))) + F.bit_count(F.col(f"{x}_high").bitwiseAND(F.bitwise_not(f"{y}_high")))
+    need = F.ceil((F.col("a_n") + F.col("b_n")) * (least / 2) - 1e-9)
+    can = (F.least("a_n", "b_n") >= need) & (F.col("a_n") - only("a", "b") >= need) & (F.col("b_n") - only("b", "a") >= need)
+    met = dealt(a, "a", "b").join(dealt(b, "b", "a"), ["key", "cell_a", "cell_b"]).where(can)
+    return met.select(F.col("a_text").alias("a"), F.col("b_text").alias("b")).distinct()
+
+
+def fuzzy_links(left: DataFrame, right: DataFrame, least: float = 0.80) -> DataFrame:
+    """(name, match, ratio): for left(name) the most alike in right(match), over ``least`` by difflib.
+
+    A match is compared in all its forms (``text.name_forms``), and the best ratio counts; of equal ones
+    the first by name. Only names that share a word of three letters or more are compared, and of these
+    only those that ``alike`` lets through, which loses none, whatever the tables' size.
+    """
+    workers_import()
+
+    @F.pandas_udf(DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
-    # the forms of a match hold the same words, so every form meets every name that the match does
+    words = lambda c: F.filter(F.split(F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")), " "), lambda x: F.length(x) >= 3)
+    names = kept(left.select("name").distinct().withColumn("a", text.fold(F.col("name"))).where(F.size(words("a")) > 0), "names")
     forms = right.select("match").distinct().select("match", F.explode(text.name_forms(F.col("match"))).alias("form"))
-    a, b = blocks(left.select("name").distinct(), "name", "a"), blocks(forms, "form", "b")
-    sizes = cells(a, "a").join(cells(b, "b"), "word")
-    la, lb = F.length("text_a"), F.length("text_b")
-    once = F.col("word") == F.array_min(F.array_intersect("all_a", "all_b"))
-    pairs = dealt(a, "name", "a", "b").join(dealt(b, "form", "b", "a"), ["word", "cell_a", "cell_b"]).where((2.0 * F.least(la, lb) / (la + lb) >= least) & once)
-    scored = pairs.select("name", "match", ratio("text_a", "text_b").alias("ratio")).where(F.col("ratio") >= least)
-    return first_wins(scored.withColumn("_r", -F.col("ratio")), ["name"], ["_r", "match"]).drop("_r")
+    forms = kept(forms.select("match", text.fold(F.col("form")).alias("b")).where(F.size(words("b")) > 0).distinct(), "forms")
+    pairs = kept(alike(names.select("a").distinct(), forms.select("b").distinct(), least).where(F.arrays_overlap(words("a"), words("b"))), "alike")
+    scored = pairs.withColumn("ratio", ratio("a", "b")).where(F.col("ratio") >= least)
+    found = scored.join(names, "a").join(forms, "b")
+    return found.groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "match")).alias("m")).select("name", "m.match", (-F.col("m.r")).alias("ratio"))

@@ -3,6 +3,7 @@
 import decimal
 import difflib
 import itertools
+import random
 from collections import defaultdict
 
 import pytest
@@ -339,9 +340,31 @@ def test_fuzzy_links_are_the_same_at_every_size(spark):
         if alike and min(alike)[0] <= -0.8:
             want[n] = min(alike)[::-1]
     left, right = spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(m,) for m in matches], "match string")
-    for common in (1, 2, 500):
-        got = {r["name"]: (r["match"], -r["ratio"]) for r in authority.fuzzy_links(left, right, common=common).collect()}
-        assert got == want and want["john smith london"][0] == "jon smith london", common
+    got = {r["name"]: (r["match"], -r["ratio"]) for r in authority.fuzzy_links(left, right).collect()}
+    assert got == want and want["john smith london"][0] == "jon smith london"
+
+
+@pytest.mark.parametrize("least", [0.7, 0.8, 0.95])
+def test_no_alike_pair_is_lost(spark, least):
+    rng = random.Random(int(100 * least))
+    word = lambda: "".join(rng.choice("abcdeio") for _ in range(rng.randint(1, 8)))
+    a = list({" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(150)} | {"aaaa", "a", "aaaaaaaaaaaa", "ab ab ab ab"})
+    edit = lambda t: "".join(c for x in t if rng.random() > 0.1 for c in (x, rng.choice("ae"))[: 1 + (rng.random() < 0.1)])
+    b = list({edit(t) for t in a for _ in range(2)} | {" ".join(reversed(t.split())) for t in a} | {"aaaaa", "a", ""})
+    left, right = spark.createDataFrame([(t,) for t in a], "a string"), spark.createDataFrame([(t,) for t in b], "b string")
+    rows = [tuple(r) for r in authority.alike(left, right, least).collect()]
+    want = {(x, y) for x in a for y in b if difflib.SequenceMatcher(None, x, y).ratio() >= least}
+    assert len(rows) == len(set(rows)) and want <= set(rows) and len(want) > 50
+
+
+def test_names_of_one_word_meet_in_few_pairs(spark):
+    rng = random.Random(4)
+    names = lambda n, k: [(f"{''.join(rng.choice('abcdefghijklmnopqrstuvwxyz') for _ in range(12))} smith", k) for _ in range(n)]
+    found = {}
+    for n in (500, 2000):
+        left, right = (spark.createDataFrame(names(n, k), f"{c} string, k int").drop("k") for k, c in ((0, "a"), (1, "b")))
+        found[n] = authority.alike(left, right, 0.8).count()
+    assert found[500] <= 50 and found[2000] <= 800  # of 250,000 and 4,000,000
 
 
 def test_queries_over_the_whole_table(spark):
