@@ -361,17 +361,16 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def neighbourhood(edges: DataFrame, agent: str, hops: int) -> DataFrame:
     """(agent_norm, hop): all agents within ``hops`` edges, by the least number of them."""
     ways = _both_ways(edges).persist()
-    spark = edges.sparkSession
-    seen = spark.createDataFrame([(agent, 0)], "agent_norm string, hop int")
-    front = seen
-    for hop in range(1, hops + 1):
-        nxt = ways.join(front.select(F.col("agent_norm").alias("source")), "source", "left_semi").select(F.col("target").alias("agent_norm")).distinct()
-        front = nxt.join(seen.select("agent_norm"), "agent_norm", "left_anti").withColumn("hop", F.lit(hop))
-        front = _cut(front)
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    ways.unpersist()
+    seen = front = edges.sparkSession.createDataFrame([(agent, 0)], "agent_norm string, hop int")
+    try:
+        for hop in range(1, hops + 1):
+            nxt = ways.join(front.select(F.col("agent_norm").alias("source")), "source", "left_semi").select(F.col("target").alias("agent_norm")).distinct()
+            front = _cut(nxt.join(seen.select("agent_norm"), "agent_norm", "left_anti").withColumn("hop", F.lit(hop)))
+            if front.isEmpty():
+                break
+            seen = seen.unionByName(front)
+    finally:
+        ways.unpersist()
     return seen
 
 
@@ -392,25 +391,47 @@ def path(edges: DataFrame, source: str, target: str, most: int = 12) -> list[tup
         ways.unpersist()
 
 
+def _next(ways: DataFrame, front: DataFrame) -> DataFrame:
+    """(agent_norm, parent): the neighbours of a front, each with its least neighbour there."""
+    return ways.join(front.select(F.col("agent_norm").alias("source")), "source").groupBy(F.col("target").alias("agent_norm")).agg(F.min("source").alias("parent"))
+
+
 def _shortest(ways: DataFrame, source: str, target: str, most: int) -> list[tuple[str, str]] | None:
-    spark = ways.sparkSession
-    seen = front = spark.createDataFrame([(source, None)], "agent_norm string, parent string")
+    """Fronts grow from both ends, the smaller first, a whole step at a time, until they meet.
+
+    What is on a shortest path on the target's side is then found from where they met: the agents of its
+    fronts that follow, step by step, each with its least predecessor. So the hops are those that a search
+    from the source alone would give, and one join of all steps reads them.
+    """
+    if source == target:
+        return []
+    start = lambda a: ways.sparkSession.createDataFrame([(a, None)], "agent_norm string, parent string")
+    sides = ([start(source)], [start(target)])  # the fronts of each end, by step
+    seen, sizes = [s[0].select("agent_norm") for s in sides], [1, 1]
     for _ in range(most):
-        nxt = ways.join(front.select(F.col("agent_norm").alias("source")), "source").groupBy(F.col("target").alias("agent_norm")).agg(F.min("source").alias("parent"))
-        front = _cut(nxt.join(seen.select("agent_norm"), "agent_norm", "left_anti"))
-        if front.isEmpty():
+        k = 0 if sizes[0] <= sizes[1] else 1
+        front = kept(_next(ways, sides[k][-1]).join(seen[k], "agent_norm", "left_anti"), "front")
+        sizes[k] = front.count()
+        if not sizes[k]:
             return None
-        seen = seen.unionByName(front)
-        if not front.where(F.col("agent_norm") == target).isEmpty():
+        sides[k].append(front)
+        seen[k] = seen[k].unionByName(front.select("agent_norm"))
+        met = sides[0][-1].join(sides[1][-1].select("agent_norm"), "agent_norm", "left_semi")
+        if not met.isEmpty():
             break
     else:
         return None
-    hops, at = [], target
-    while at != source:  # at most ``most`` look-ups
-        parent = seen.where(F.col("agent_norm") == at).first()["parent"]
-        hops.append((parent, at))
-        at = parent
-    return hops[::-1]
+    steps = [*sides[0][1:-1], met] if len(sides[0]) > 1 else []
+    at = met
+    for front in sides[1][-2::-1]:
+        at = kept(_next(ways, at).join(front.select("agent_norm"), "agent_norm", "left_semi"), "way")
+        steps.append(at)
+    n = len(steps)
+    trace = steps[-1].where(F.col("agent_norm") == target).select(F.col("agent_norm").alias(f"x{n}"), F.col("parent").alias(f"x{n - 1}"))
+    for i in range(n - 1, 0, -1):
+        trace = trace.join(steps[i - 1].select(F.col("agent_norm").alias(f"x{i}"), F.col("parent").alias(f"x{i - 1}")), f"x{i}")
+    row = trace.first()
+    return [(row[f"x{i}"], row[f"x{i + 1}"]) for i in range(n)]
 
 
 def search(cat: Catalog, q: str, limit: int = 20) -> DataFrame:

@@ -208,6 +208,40 @@ def test_paths_and_ego(spark):
     assert [r["agent_norm"] for r in top.collect()] == ["b", "c"] and inside.count() == 2
 
 
+def test_paths_equal_a_plain_search(spark):
+    """Chains with stars on them, and a ladder with many equal ways."""
+    rng = random.Random(9)
+    pairs = [(f"c{i}", f"c{i + 1}") for i in range(9)] + [(f"c{i}", f"s{i}.{k}") for i in (2, 5, 9) for k in range(40)]
+    pairs += [(f"l{i}{a}", f"l{i + 1}{b}") for i in range(6) for a in "zyx" for b in "xyz" if rng.random() < 0.7] + [("c9", "l0x"), ("q", "r")]
+    e = spark.createDataFrame([(a, b, "x", 0.5, "r", True, "e") if rng.random() < 0.5 else (b, a, "x", 0.5, "r", True, "e") for a, b in pairs], "source string, target string, type string, confidence double, relationship string, bidirectional boolean, evidence string").cache()
+    near = defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+
+    def plain(source, target, most):
+        parent, front = {source: None}, [source]
+        for _ in range(most):
+            nxt = {}
+            for x in sorted(front):
+                for y in near[x]:
+                    if y not in parent:
+                        nxt.setdefault(y, x)
+            parent |= nxt
+            front = list(nxt)
+            if target in nxt:
+                out, at = [], target
+                while at != source:
+                    out.append((parent[at], at))
+                    at = parent[at]
+                return out[::-1]
+        return None
+
+    for source, target, most in (("c0", "c6", 12), ("s2.7", "s5.3", 6), ("l0x", "l6y", 12), ("l6z", "l0z", 12), ("s5.1", "l3x", 12), ("c0", "c6", 5), ("c0", "r", 12), ("c1", "c2", 1)):
+        assert network.path(e, source, target, most) == plain(source, target, most), (source, target)
+    assert network.path(e, "c1", "c1") == []
+
+
 def test_links_between_pages(cat, spark):
     cat = Catalog(**cat.__dict__)
     cat.wikipedia_cache = spark.createDataFrame([("Q1", "Joseph Karo", "long text", ["Kabbalists", "1488 births"], ["Daniel Bomberg"], []), ("Q2", "Daniel Bomberg", "s", ["Kabbalists"], [], ["Joseph Karo"])], "wikidata_id string, wikipedia_title string, summary string, categories array<string>, see_also_titles array<string>, article_wikilinks array<string>")
