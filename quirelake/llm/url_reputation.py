@@ -12,11 +12,13 @@ the method judges the empty host (with no labelled page, by the table's own rate
 labelled page every undecided page is allowed. Where the children of a parent have a page each, or it
 has one child, nothing tells how much they differ and the prior has its least strength. Repeated rows
 count and are judged each, as are rows without an id. Extra columns of the input are ignored, whatever
-their names. An empty table gives an empty result.
+their names. Urls of any length are judged whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -49,19 +51,32 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(rest, r"^[^/?#]*", 0)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def rule_columns(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits, nulls where none does.
+#: Rules that go into a plan, as one constant of some 100 bytes each.
+MOST_RULES = 100_000
 
-    The rules are a curated list that is compiled into the plan, so their number is bounded here.
+
+def longest_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
+    """struct<rule, verdict> of the longest rule that fits (of equal ones the last by text, of one text a
+    block), or null.
+
+    The rules are a constant of the plan: buckets by the hash of the host, so a page looks into one bucket
+    for each of the last labels of its host, as many as the rules have at most, whatever their number.
     """
-    if len(rules) > 2000:
-        raise ValueError("compile at most 2000 rules; load longer lists as labelled outcomes")
-    rule = verdict = F.lit(None).cast("string")
-    # built from the inside out, so that the longest is tested first
-    for r in sorted(rules, key=lambda r: (len(r.text), r.text)):
-        fits = ((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit("/" + r.path))
-        rule, verdict = F.when(fits, r.text).otherwise(rule), F.when(fits, r.verdict).otherwise(verdict)
-    return rule, verdict
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"at most {MOST_RULES} rules; load longer lists as labelled outcomes")
+    if not rules:
+        return F.lit(None).cast("struct<rule:string,verdict:string>")
+    size = 1 << max(0, len(rules).bit_length() - 1)
+    buckets: list[list[dict]] = [[] for _ in range(size)]
+    for r in dict.fromkeys(rules):
+        buckets[zlib.crc32(r.host.encode()) % size].append({"n": len(r.text), "rule": r.text, "verdict": r.verdict, "host": r.host, "path": f"/{r.path}"})
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<n:int,rule:string,verdict:string,host:string,path:string>>>")
+    most = max(r.host.count(".") + 1 for r in rules)
+    labels = F.split(host, r"\.")
+    n = F.least(F.size(labels), F.lit(most))
+    ends = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, -k, k), "."))
+    fits = lambda e: F.filter(F.get(table, (F.crc32(e.cast("binary")) % size).cast("int")), lambda r: (r["host"] == e) & F.startswith(path, r["path"]))
+    return F.array_max(F.flatten(F.transform(ends, fits)))
 
 
 def bare_host(host: Column) -> Column:
@@ -128,8 +143,8 @@ def judge(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None,
     """
     host, path = host_and_path(F.col(url_col))
     parsed = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    parsed = parsed.withColumns({"rule": rule, "ruled": verdict, "bare": bare_host(F.col("host"))})
+    parsed = parsed.withColumns({"_hit": longest_rule(F.col("host"), F.col("path"), rules), "bare": bare_host(F.col("host"))})
+    parsed = parsed.withColumns({"rule": F.col("_hit.rule"), "ruled": F.col("_hit.verdict")})
     if labels is None:
         outcome = parsed.select("bare", F.col("ruled").isNotNull().cast("long").alias("n"), F.coalesce((F.col("ruled") == "block").cast("long"), F.lit(0)).alias("bad"))
     else:

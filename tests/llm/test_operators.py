@@ -604,6 +604,24 @@ def test_plan_places_every_piece_once(seed):
     assert p.sequences <= least * 1.23 + 1
 
 
+def test_many_rules_equal_a_loop(spark):
+    rng = random.Random(20)
+    label = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 3)))
+    host = lambda: ".".join(label() for _ in range(rng.randint(1, 4)))
+    rules = list({r.text: r for r in (url_reputation.Rule(rng.choice(["block", "allow"]), host(), "".join(rng.choice("xy/") for _ in range(rng.randint(0, 3)))) for _ in range(20_000))}.values())
+    urls = [(i, f"http://{host()}/{''.join(rng.choice('xy/') for _ in range(rng.randint(0, 6)))}") for i in range(300)] + [(300, None), (301, "http://"), (302, "http://A.b"), (303, "x"), (304, "http://" + "a." * 5000 + "b/x")]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_reputation.judge(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()}
+    hit = 0
+    for i, u in urls:
+        h, _, p = (u or "").partition("://")[2].lower().partition("/")
+        p = f"/{p}" if "/" in (u or "").partition("://")[2] else ""
+        fit = [r for r in rules if (h == r.host or h.endswith(f".{r.host}")) and p.startswith(f"/{r.path}")]
+        best = max(fit, key=lambda r: (len(r.text), r.text), default=None)
+        assert got[i][0] == (best and best.text) and (best is None or got[i][1] == best.verdict), u
+        hit += best is not None
+    assert hit > 100
+
+
 # op5
 
 
