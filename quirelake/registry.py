@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from . import queries_catalog, queries_fulltext, queries_functions, queries_network, queries_people, queries_quality  # noqa: E402, F401
+from . import queries_bitmaps, queries_catalog, queries_fulltext, queries_functions, queries_network, queries_people, queries_quality  # noqa: E402, F401
