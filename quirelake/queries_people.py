@@ -11,7 +11,8 @@ from .operators import authority, display, enrichment, network, quality
 from .registry import query
 from .shared import shared_dir
 from .sources import marc
-from .sources.driver_tables import SQL, catalog
+from .sources.driver_tables import SQL, catalog, with_sql
+from .sources.versioned import VersionedTable
 
 #: Customers as enriched people with pages: born between 1500 and 1619 in their nation, sixty years old.
 PEOPLE = {
@@ -259,3 +260,16 @@ def marc_ingest(spark, d):
     one = lambda name, *cols: t[name].select("record_id", *cols)
     out = t["records"].select(F.col("id").alias("record_id"), "mms_id").join(one("titles", F.col("value").alias("title")), "record_id").join(one("imprints", "date_start", "date_method", "place_norm", "publisher_norm", "country_name"), "record_id")
     return out.join(one("agents", F.col("role_norm").alias("role"), "agent_norm"), "record_id").join(one("subjects", F.col("value").alias("subject")), "record_id").drop("record_id")
+
+
+@query("authority_versions", with_sql("publisher_authorities") + """select id, case when id % 7 = 0 then 'Renamed ' || canonical_name else canonical_name end as canonical_name, case when type = 'unresearched' then 'private_press' else type end as type from publisher_authorities where id % 5 <> 0
+    union all select -id, canonical_name, 'printing_house' from publisher_authorities where id % 11 = 0""")
+def authority_versions(spark, d):
+    """Authorities written, put, taken out and corrected, and read again from the last version."""
+    rows = catalog(spark, d).publisher_authorities.select("id", "canonical_name", "type")
+    path = f"{shared_dir(spark)}/authorities-{uuid.uuid4().hex}"
+    table = VersionedTable.create(rows, path, ["id"], 16)
+    renamed = rows.where("id % 7 = 0").withColumn("canonical_name", F.concat(F.lit("Renamed "), "canonical_name"))
+    table = table.put(renamed).remove(rows.where("id % 5 = 0")).correct(F.col("type") == "unresearched", {"type": F.lit("private_press")})
+    table.put(rows.where("id % 11 = 0").select((-F.col("id")).alias("id"), "canonical_name", F.lit("printing_house").alias("type")))
+    return VersionedTable(spark, path).read()
