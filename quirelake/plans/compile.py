@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from ..functions import text
 from ..shared import workers_import
@@ -41,9 +41,31 @@ def _child(cat: Catalog, table: str) -> DataFrame:
     t = getattr(cat, table)
     renamed = {"languages": {"code": "language_code", "source": "language_source"}, "titles": {"value": "title_value", "source": "title_source"}, "subjects": {"value": "subject_value", "source": "subject_source"}}
     t = t.withColumnsRenamed(renamed.get(table, {}))
+    if table == "agents" and "provenance" in t.columns:
+        t = t.withColumn("provenance", told_sources(t.schema["provenance"].dataType))
     return t.select("record_id", *[c for c in EVIDENCE[table] if c in t.columns])
 
 
+def told_sources(kind: DataType) -> Column:
+    """An agent's provenance as strings: ``100[0]$a``, or tag and occurrence of entries that have these apart.
+
+    Entries are strings, or structs with a ``source`` that is either.
+    """
+    item = kind.elementType if isinstance(kind, ArrayType) else None
+    if not isinstance(item, StructType):
+        return F.col("provenance")
+    inner = item["source"].dataType if "source" in item.names else item
+    if not isinstance(inner, StructType):
+        return F.transform("provenance", lambda p: p["source"])
+
+    def told(p: Column) -> Column:
+        s = p["source"] if inner is not item else p
+        at = F.coalesce(s["occurrence"].cast("string"), F.lit("0")) if "occurrence" in inner.names else F.lit("0")
+        return F.concat(s["tag"], F.lit("["), at, F.lit("]"))
+
+    return F.transform("provenance", told)
+
+
 def _compare(column: Column, f: Filter) -> Column:
     """A string filter on its column."""
     values = [normal_value(f.field, v) for v in f.values]

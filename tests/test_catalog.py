@@ -97,6 +97,14 @@ def test_rows_have_evidence(cat):
     assert plan.hash == QueryPlan(plan.filters).hash
 
 
+def test_evidence_tells_tag_and_occurrence(cat, spark):
+    for kind, row in (("array<string>", "array('700[1]$a')"), ("array<struct<source:string>>", "array(named_struct('source', '700[1]'))"), ("array<struct<tag:string,occurrence:int>>", "array(named_struct('tag', '700', 'occurrence', 1))"), ("array<struct<source:struct<tag:string,occurrence:int>>>", "array(named_struct('source', named_struct('tag', '700', 'occurrence', 1)))")):
+        own = Catalog(**cat.__dict__)
+        own.agents = cat.agents.withColumn("provenance", F.expr(f"cast({row} as {kind})"))
+        got = compiler.rows(own, QueryPlan([Filter("agent_type", "EQUALS", "personal")])).first()["evidence"][0]["source"]
+        assert got.startswith("db.agents.agent_type (marc:700[1]"), kind
+
+
 def test_coercion_and_validation():
     assert coerce({"field": "year", "op": "EQUALS", "value": "1565"}) == Filter("year", "RANGE", start=1565, end=1565)
     assert coerce({"field": "title", "op": "EQUALS", "value": ["a", " ", 3]}) == Filter("title", "IN", ["a", "3"])

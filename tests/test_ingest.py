@@ -76,3 +76,35 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     cat = Catalog.load(spark, str(tmp_path / "out"))
     assert cat.imprints.count() == 3 and cat.records.count() == 2 and "batch" not in cat.records.columns
+
+
+def test_batches_know_what_came_before(spark, tmp_path):
+    """Files one by one, each with some records of earlier ones; then a restart, and files that come again."""
+    import pytest
+
+    record = marc.canonical(read(spark, tmp_path)).where("mms_id = '0007'").toJSON().first()
+    source, target, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    (tmp_path / "in").mkdir()
+    schema = marc.canonical(read(spark, tmp_path)).schema
+
+    def add(n, ids):
+        (tmp_path / "in" / f"{n:03}.json").write_text("\n".join(record.replace('"0007"', f'"{i}"') for i in ids))
+
+    def run():
+        q = ingest.append_tables(ingest.follow_json(spark, source, schema, 1), target, check)
+        q.awaitTermination(240)
+        return [p for p in q.recentProgress if p["numInputRows"]]
+
+    for n in range(6):
+        add(n, [f"r{k}" for k in range(3 * n, 3 * n + 5)])
+    progress = run()
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in progress] == [5, 8, 11, 14, 17, 20]
+    assert all("RocksDB" in str(p["stateOperators"][0]["customMetrics"]) or "rocksdb" in str(p["stateOperators"][0]["customMetrics"]) for p in progress)
+    add(6, ["r0", "r19", "r20"])
+    assert [p["stateOperators"][0]["numRowsUpdated"] for p in run()] == [1]
+    got = spark.read.parquet(f"{target}/records.parquet")
+    assert sorted(r["mms_id"] for r in got.collect()) == sorted(f"r{k}" for k in range(21))
+    assert {r["batch"]: r["count"] for r in got.groupBy("batch").count().collect()} == {0: 5, 1: 3, 2: 3, 3: 3, 4: 3, 5: 3, 6: 1}
+    assert "Parquet" not in str(spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""))
+    with pytest.raises(ValueError):
+        ingest.append_tables(ingest.follow_json(spark, source, schema), target, str(tmp_path / "other"))
