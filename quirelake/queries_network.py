@@ -61,7 +61,10 @@ def path_bfs(spark, d):
 
 
 query("alias_search", with_sql("agents", "agent_authorities", "agent_aliases") + "select agent_norm, cast(min(via) as boolean) as via_alias, case when min(via) = 0 then null else min(alias_form) end as alias_form from (select distinct agent_norm, 0 as via, null as alias_form from agents where agent_norm like '%no 1%' union all select distinct a.agent_norm, 1, al.alias_form_lower from agent_aliases al join agent_authorities aa on aa.id = al.authority_id join agents a on a.authority_uri = aa.authority_uri where al.alias_form_lower like '%no 1%') group by 1 order by 2, 1 limit 20")(lambda spark, d: network.search(catalog(spark, d), "NO 1", 20))
-query("active_spans", with_sql("agents", "imprints") + 'select agent_norm, min(date_start) as "first", max(coalesce(date_end, date_start)) as "last" from agents join imprints using (record_id) where date_start is not null group by 1')(lambda spark, d: network.spans(catalog(spark, d)).where("agent_norm not like 'pub:%'"))
+_SPANS = """, x as (select id as i, canonical_name_lower as k from publisher_authorities union select authority_id, variant_form_lower from publisher_variants),
+    n as (select agent_norm, record_id from agents union all select 'pub:' || canonical_name, record_id from publisher_authorities p join x on x.i = p.id join imprints on publisher_norm = k)
+    select agent_norm, min(date_start) as "first", max(coalesce(date_end, date_start)) as "last" from n join imprints using (record_id) where date_start is not null group by 1"""
+query("active_spans", with_sql("agents", "imprints", "publisher_authorities", "publisher_variants") + _SPANS)(lambda spark, d: network.spans(catalog(spark, d)))
 query("place_details", with_sql("imprints") + 'select place_norm as place, count(distinct record_id) as records, min(date_start) as "first", max(date_start) as "last", count(distinct publisher_norm) as publishers from imprints group by 1')(lambda spark, d: network.place_details(catalog(spark, d)))
 
 

@@ -78,12 +78,11 @@ def publisher_nodes(spark, d):
     return network.publisher_nodes(catalog(spark, d), geocodes(spark)).select("agent_norm", "place", "record_count")
 
 
-@query("agent_profiles", with_people("agents", "ae") + "select a.agent_norm, any_value(label) as label, any_value(ae.birth_year) as birth_year, any_value(ae.occupation) as occupations, concat('https://www.wikidata.org/wiki/', any_value(wikidata_id)) as link, count(distinct record_id) as records from agents a join ae using (authority_uri) group by 1")
+@query("agent_profiles", with_people("agents", "ae") + "select a.agent_norm, coalesce(any_value(label), any_value(agent_raw)) as label, any_value(ae.birth_year) as birth_year, any_value(ae.occupation) as occupations, 'https://www.wikidata.org/wiki/' || any_value(wikidata_id) as link, count(distinct record_id) as records from agents a left join ae using (authority_uri) group by 1")
 def agent_profiles(spark, d):
     cat = people(spark, d)
-    among = cat.agents.where("authority_uri like 'cus:%'").select("agent_norm").distinct()
-    out = enrichment.profiles(cat, [], among)
-    return out.select("agent_norm", "label", "birth_year", F.array_join("occupations", ",").alias("occupations"), F.col("links")[0]["url"].alias("link"), "records")
+    out = enrichment.profiles(cat, [], cat.agents.select("agent_norm").distinct())
+    return out.select("agent_norm", "label", "birth_year", F.array_join("occupations", ",").alias("occupations"), F.get("links", F.lit(0))["url"].alias("link"), "records")
 
 
 @query("chosen_profiles", with_people("records", "agents", "ae") + ", n as (select label, count(*) as n from (select distinct record_id, label from agents join ae using (authority_uri)) group by 1) select label from n where n >= 3 order by label limit 3")
