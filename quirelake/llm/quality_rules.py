@@ -3,13 +3,15 @@
 Each document's measures are gathered into mergeable quantile sketches per language and source. The
 sketch is a log-linear histogram: a value in ten-thousandths is cut to its seven leading bits, so
 that quantiles have a relative error below 1/64 whatever their size, sketches merge by adding counts,
-and the same rows give the same sketch in any order. A group's upper fence is its ninth decile and
-four times that decile's distance from the median; the mean length of words has a lower fence as
-well. So what a tenth of a source's documents have is usual there, and what few have is not. A
-document is let off one unit of its own resolution: one symbol, one repeated line, or the words of
-one line, of LINE at most, and its repeat. Groups with few documents use their language's merged sketch, and languages
-with few documents the whole table's. The fences are joined to the documents. Everything is
-DataFrame expressions: no Python runs on the executors.
+and the same rows give the same sketch in any order. Where a measure's median tells its scale, the
+upper fence is the ninth decile and twice its distance from the median (in a normal distribution 3.8
+deviations), and the mean length of words has a lower fence likewise. Where the median is zero there is
+no scale, and the fence is the quantile below which all but a hundredth of the group lie, zeros and
+others together; so such a measure rejects the group's most extreme hundredth, and no fixed rate or
+count decides. A group's fences are shrunk towards its language's, and a language's towards the
+whole table's, as if PRIOR documents of the parent were among its own; so small groups lean on larger
+ones without a switch. The fences are joined to the documents. Everything is DataFrame expressions:
+no Python runs on the executors.
 
 Defined results: null text has no words and fails the base rule; null languages and sources are
 groups of their own; repeated rows count and are judged each; values at a fence are within it; a text
@@ -29,10 +31,10 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 #: Sketched values are in so many parts of one, and keep so many leading bits.
 PARTS, BITS = 10_000, 7
-#: Most words of a line that may be repeated once.
-LINE = 24
 #: The fence lies beyond the decile by so many times its distance from the median.
-WIDTH = 4
+WIDTH = 2
+#: A parent's fence counts as much as so many of the group's own documents.
+PRIOR = 20
 MEASURES = ("mean_word", "symbol_rate", "dup_line_rate", "repeat_rate")
 #: Measures whose low side is judged too.
 BOTH_SIDES = ("mean_word",)
@@ -76,15 +78,11 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
     return counted.select(*keep, n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", r.alias("n_repeat_words"), ((n < 20) | (100 * r > 30 * n)).alias("base_failed"), (F.col("_breaks") + 1).alias("n_lines"))
 
 
-def ratios(spared: bool = False) -> dict[str, Column]:
-    """Each measure in sketch units; ``spared`` leaves one unit of the document's resolution out of it."""
+def ratios() -> dict[str, Column]:
+    """Each measure in sketch units."""
     n, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
-    in_line = 2 * F.least(F.call_function("div", F.col("n_words"), lines), F.lit(LINE))
-    told = {
-        "mean_word": (F.col("word_chars"), n, F.lit(0)), "symbol_rate": (F.col("n_symbols"), n, F.lit(1)),
-        "dup_line_rate": (F.col("n_dup_lines"), lines, F.lit(1)), "repeat_rate": (F.col("n_repeat_words"), n, in_line),
-    }
-    return {m: cut(F.call_function("div", PARTS * F.greatest(a - unit if spared else a, F.lit(0)), of)) for m, (a, of, unit) in told.items()}
+    told = {"mean_word": ("word_chars", n), "symbol_rate": ("n_symbols", n), "dup_line_rate": ("n_dup_lines", lines), "repeat_rate": ("n_repeat_words", n)}
+    return {m: cut(F.call_function("div", PARTS * F.col(a), of)) for m, (a, of) in told.items()}
 
 
 def cut(value: Column) -> Column:
@@ -109,33 +107,39 @@ def bounds(sketched: DataFrame, by: list[str]) -> DataFrame:
     group = Window.partitionBy(*by, "m")
     up_to = F.sum("c").over(group.orderBy("value"))
     ranked = sketched.select(*by, "m", "value", up_to.alias("_at"), F.sum("c").over(group).alias("n"))
-    quantile = lambda m, tenths: F.min(F.when((F.col("m") == m) & (10 * F.col("_at") >= tenths * F.col("n")), F.col("value"))).alias(f"q{tenths}_{m}")
-    found = ranked.groupBy(*by).agg(F.max("n").alias("n"), *[quantile(m, t) for m in MEASURES for t in (1, 5, 9)])
-    hi = lambda m: F.col(f"q9_{m}") + WIDTH * (F.col(f"q9_{m}") - F.col(f"q5_{m}"))
-    lo = lambda m: F.col(f"q1_{m}") - WIDTH * (F.col(f"q5_{m}") - F.col(f"q1_{m}")) if m in BOTH_SIDES else F.lit(0).cast("long")
+    quantile = lambda m, cents: F.min(F.when((F.col("m") == m) & (100 * F.col("_at") >= cents * F.col("n")), F.col("value"))).alias(f"q{cents}_{m}")
+    found = ranked.groupBy(*by).agg(F.max("n").alias("n"), *[quantile(m, c) for m in MEASURES for c in (10, 50, 90, 99)])
+    q = lambda m, cents: F.col(f"q{cents}_{m}")
+    hi = lambda m: F.when(q(m, 50) == 0, q(m, 99)).otherwise(q(m, 90) + WIDTH * (q(m, 90) - q(m, 50)))
+    lo = lambda m: F.greatest(q(m, 10) - WIDTH * (q(m, 50) - q(m, 10)), F.lit(0)) if m in BOTH_SIDES else F.lit(0).cast("long")
     return found.select(*by, "n", *[x for m in MEASURES for x in (lo(m).alias(f"lo_{m}"), hi(m).alias(f"hi_{m}"))])
 
 
-def fences(measured: DataFrame, least_group: int = 100) -> DataFrame:
+def shrunk(own: Column, n: Column, parent: Column, prior: int = PRIOR) -> Column:
+    """A fence drawn towards its parent's; the parent's where the group has none. Whole numbers, so exact."""
+    return F.coalesce(F.call_function("div", n * own + prior * parent, n + prior), parent)
+
+
+def fences(measured: DataFrame, prior: int = PRIOR) -> DataFrame:
     """(lang, source, lo_m, hi_m for each measure m), a row per group; nulls where nothing is sketched.
 
     Documents that fail the base rule are left out of the sketches.
     """
     own = staged(sketches(measured), "sketches")
     ends = [f"{side}_{m}" for m in MEASURES for side in ("lo", "hi")]
-    level = lambda by, tag: bounds(merge(own, by), by).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("n").alias(f"n_{tag}"), F.struct(*ends).alias(tag))
+    level = lambda by, tag: bounds(merge(own, by), by).select(*[F.col(c).alias(f"_{c}") for c in by], F.struct("n", *ends).alias(tag))
     found = measured.select("lang", "source").distinct()
-    found = found.join(level(["lang", "source"], "group"), F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
+    found = found.join(level(["lang", "source"], "own"), F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
     found = found.join(level(["lang"], "of_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
     found = found.join(F.broadcast(level([], "whole")))  # one row
-    chosen = F.when(F.col("n_group") >= least_group, F.col("group")).when(F.col("n_of_lang") >= least_group, F.col("of_lang")).otherwise(F.col("whole"))
-    return found.select("lang", "source", chosen.alias("_f")).select("lang", "source", "_f.*")
+    of_lang = lambda e: shrunk(F.col(f"of_lang.{e}"), F.col("of_lang.n"), F.col(f"whole.{e}"), prior)
+    return found.select("lang", "source", *[shrunk(F.col(f"own.{e}"), F.col("own.n"), of_lang(e), prior).alias(e) for e in ends])
 
 
-def judge(measured: DataFrame, least_group: int = 100) -> DataFrame:
+def judge(measured: DataFrame, prior: int = PRIOR) -> DataFrame:
     """``measured`` (with lang, source and the measures) with ``kept``, joined to its group's fences."""
-    told = staged(fences(measured, least_group), "fences")
-    within = fold([x.between(F.col(f"lo_{m}"), F.col(f"hi_{m}")) for m, x in ratios(spared=True).items()], lambda a, b: a & b)
+    told = staged(fences(measured, prior), "fences")
+    within = fold([x.between(F.col(f"lo_{m}"), F.col(f"hi_{m}")) for m, x in ratios().items()], lambda a, b: a & b)
     joined = measured.alias("d").join(told.alias("f"), F.col("d.lang").eqNullSafe(F.col("f.lang")) & F.col("d.source").eqNullSafe(F.col("f.source")), "left")
     return joined.select("d.*", (~F.col("base_failed") & F.coalesce(within, F.lit(True))).alias("kept"))
 
@@ -143,8 +147,12 @@ def judge(measured: DataFrame, least_group: int = 100) -> DataFrame:
 def filter_documents(docs: DataFrame, **settings) -> DataFrame:
     """The documents that the rules keep, with the columns they came with.
 
-    The verdicts meet the documents again by ``doc_id``; rows that share one are kept if any is.
+    The verdicts meet the documents again by ``doc_id`` and a hash of what they rest on, so that rows that
+    share an id, or have none, are judged each.
     """
-    measured = staged(measures(docs, ["doc_id", "lang", "source"]), "measures")
-    gone = staged(judge(measured, **settings).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).select(F.col("doc_id").alias("_ql_id")), "gone")
-    return docs.join(sized(gone), F.col("doc_id").eqNullSafe(F.col("_ql_id")), "left_anti")
+    row = F.xxhash64("doc_id", "lang", "source", "text")
+    told = docs.select("doc_id", "lang", "source", "text", row.alias("_ql_row"))
+    measured = staged(measures(told, ["doc_id", "lang", "source", "_ql_row"]), "measures")
+    gone = judge(measured, **settings).where(~F.col("kept")).select(F.col("doc_id").alias("_ql_id"), "_ql_row").distinct()
+    gone = sized(staged(gone, "gone"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_ql_id")) & (row == F.col("_ql_row")), "left_anti")

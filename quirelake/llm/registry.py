@@ -22,17 +22,15 @@ def _cut(value: str) -> str:
 
 def _quality() -> str:
     """The measures, the sketches' quantiles by group, language and whole, and the verdicts."""
-    ratio = {"mean_word": ("word_chars", "0", "greatest(n_words, 1)"), "symbol_rate": ("n_symbols", "1", "greatest(n_words, 1)"), "dup_line_rate": ("n_dup_lines", "1", "n_lines"), "repeat_rate": ("n_repeat_words", "2 * least(n_words // n_lines, 24)", "greatest(n_words, 1)")}
-    each = " union all ".join(f"select lang, source, '{m}' as m, {_cut(f'10000 * {a} // {of}')} as v from base where not base_failed" for m, (a, _, of) in ratio.items())
-    quantiles = ", ".join(f"min(case when m = '{m}' and 10 * upto >= {t} * n then v end) as q{t}_{m}" for m in ratio for t in (1, 5, 9))
-    level = lambda name, by: f"""{name} as (select {by} max(n) as n, {quantiles} from (select {by} m, v, sum(c) over (partition by {by} m order by v) as upto, sum(c) over (partition by {by} m) as n
-        from (select {by} m, v, count(*) as c from vals group by {by} m, v)) {"group by " + by.rstrip(", ") if by else ""})"""
-    pick = lambda q: f"case when g.n >= 100 then g.{q} when l.n >= 100 then l.{q} else w.{q} end"
-    within = []
-    for m, (a, unit, of) in ratio.items():
-        v, hi = _cut(f"10000 * greatest({a} - {unit}, 0) // {of}"), f"5 * {pick(f'q9_{m}')} - 4 * {pick(f'q5_{m}')}"
-        lo = f"5 * {pick(f'q1_{m}')} - 4 * {pick(f'q5_{m}')}" if m == "mean_word" else "0"
-        within.append(f"({v} between {lo} and {hi})")
+    ratio = {"mean_word": ("word_chars", "greatest(n_words, 1)"), "symbol_rate": ("n_symbols", "greatest(n_words, 1)"), "dup_line_rate": ("n_dup_lines", "n_lines"), "repeat_rate": ("n_repeat_words", "greatest(n_words, 1)")}
+    value = {m: _cut(f"10000 * {a} // {of}") for m, (a, of) in ratio.items()}
+    each = " union all ".join(f"select lang, source, '{m}' as m, {v} as v from base where not base_failed" for m, v in value.items())
+    quantiles = ", ".join(f"min(case when m = '{m}' and 100 * upto >= {c} * n then v end) as q{c}_{m}" for m in ratio for c in (10, 50, 90, 99))
+    ends = ", ".join(f"case when q50_{m} = 0 then q99_{m} else 3 * q90_{m} - 2 * q50_{m} end as hi_{m}, {f'greatest(3 * q10_{m} - 2 * q50_{m}, 0)' if m == 'mean_word' else '0'} as lo_{m}" for m in ratio)
+    level = lambda name, by: f"""{name} as (select {by} n, {ends} from (select {by} max(n) as n, {quantiles} from (select {by} m, v, sum(c) over (partition by {by} m order by v) as upto, sum(c) over (partition by {by} m) as n
+        from (select {by} m, v, count(*) as c from vals group by {by} m, v)) {"group by " + by.rstrip(", ") if by else ""}))"""
+    shrunk = lambda e: (of_lang := f"coalesce((l.n * l.{e} + 20 * w.{e}) // (l.n + 20), w.{e})", f"coalesce((g.n * g.{e} + 20 * {of_lang}) // (g.n + 20), {of_lang})")[1]
+    within = [f"({v} between {shrunk(f'lo_{m}')} and {shrunk(f'hi_{m}')})" for m, v in value.items()]
     return rf"""with t as (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
         wins as (select rid, i, list_aggregate(w[i : i + 7], 'string_agg', ' ') as x from t, unnest(range(1, len(w) - 6)) as u(i) where len(w) >= 8),
         again as (select rid, i from wins qualify count(*) over (partition by rid, x) > 1),

@@ -136,8 +136,33 @@ def test_merged_sketches_are_those_of_all_rows(spark):
     whole = quality_rules.sketches(df.withColumn("source", F.lit("x")))
     assert key(quality_rules.merge(quality_rules.sketches(df), [])) == key(whole)
     q = quality_rules.bounds(quality_rules.merge(whole, []), []).first()
-    exact = sorted(r[4] / r[3] for r in rows)[449]
-    assert abs((q["hi_mean_word"] / 10_000) - (5 * exact - 4 * sorted(r[4] / r[3] for r in rows)[249])) < 9 * exact / 64
+    exact, symbols = sorted(r[4] / r[3] for r in rows), sorted(r[5] / r[3] for r in rows)
+    assert abs((q["hi_mean_word"] / 10_000) - (3 * exact[449] - 2 * exact[249])) < 5 * exact[449] / 64
+    assert symbols[249] > 0 or abs(q["hi_symbol_rate"] / 10_000 - symbols[494]) < symbols[494] / 64 + 1e-4
+
+
+def test_fences_shrink_and_rare_measures_reject_a_hundredth(spark):
+    """Where most documents have no repeated line, a fence by the mixture's quantile, drawn towards the language's."""
+    rate = lambda k, n: (k, "en", "large" if n else "small", 100, 500, 0, k, 0, False, 100)
+    rows = [rate(max(0, i - 960), True) for i in range(1000)] + [rate(max(0, i - 8), False) for i in range(10)]
+    df = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lines long")
+    hi = {r["source"]: r["hi_dup_line_rate"] for r in quality_rules.fences(df).collect()}
+    cut = lambda v: v >> max(v.bit_length() - 7, 0) << max(v.bit_length() - 7, 0)
+    q99 = lambda ks: sorted(cut(100 * k) for k in ks)[-(-99 * len(ks) // 100) - 1]
+    large, small, both = (q99([r[6] for r in rows if r[2] in which]) for which in (["large"], ["small"], ["large", "small"]))
+    of_lang = (1010 * both + 20 * both) // 1030
+    assert hi == {"large": (1000 * large + 20 * of_lang) // 1020, "small": (10 * small + 20 * of_lang) // 30}
+    gone = [r for r in quality_rules.judge(df).collect() if not r["kept"]]
+    assert 5 <= len(gone) <= 11 and all(r["n_dup_lines"] > 0 for r in gone)
+
+
+def test_rows_that_share_an_id_are_judged_each(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 60), "en", "a", 0) for i in range(40)]
+    bad = "word " * 100
+    df = spark.createDataFrame([*rows, (None, bad, "en", "a", 0), (None, prose(rng, 60), "en", "a", 0), (7, bad, "en", "a", 0)], DOCS)
+    kept = [(r["doc_id"], r["text"]) for r in quality_rules.filter_documents(df).collect()]
+    assert bad not in [t for _, t in kept] and [i for i, _ in kept].count(None) == 1 and [i for i, _ in kept].count(7) == 1
 
 
 # op9
