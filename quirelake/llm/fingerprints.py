@@ -1,11 +1,13 @@
 """Threshold-scaled document fingerprints.
 
 A fingerprint keeps every hash of a word shingle that falls below a fixed fraction of the hash
-space, so that it grows with its document, and the containment of a short text in a very long one can
-be told from both. A set of few shingles is kept whole and marked so, as the fraction would leave next
-to nothing of it; held against a larger set's fingerprint, only its hashes below the fraction count.
-The fingerprint of a union of sets follows from theirs, whatever their sizes (``merge``). Everything
-is DataFrame expressions.
+space, at every size, so that it grows with its document, and the containment of a short text in a very
+long one can be told from both. Hashes have 40 bits: two texts of 5,000 shingles share one by chance
+once in 45,000 times. A string of them is the base64 of five bytes each, ascending. Of a set of few
+shingles the fraction leaves next to nothing, so what it left out is kept beside the fingerprint (the
+columns ``short_rest``): two such sets are then compared exactly; against a larger set only hashes
+below the fraction count. The fingerprint of a union of sets follows from theirs, whatever their sizes
+(``merge``). Everything is DataFrame expressions.
 
 Defined results: shingles are of five words, lower-cased in A-Z; a text of fewer words is one shingle
 and a text without words has an empty fingerprint. The likeness of two fingerprints is the share of
@@ -25,9 +27,11 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, bind, words
 
 SHINGLE = 5
+#: Bits of a shingle's hash.
+BITS = 40
 #: One shingle hash in so many is kept.
-SCALE = 2
-#: Sets of at most so many shingles are kept whole.
+SCALE = 4
+#: Sets of at most so many shingles keep the rest of theirs beside the fingerprint.
 WHOLE = 64
 
 
@@ -39,17 +43,20 @@ def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
         short = F.transform(F.filter(F.array(h), lambda x: F.size(x) > 0), lambda x: F.xxhash64(F.size(x), *[F.get(x, F.lit(j)) for j in range(k - 1)]))
         return F.when(F.size(h) >= k, wins).otherwise(short)
 
-    return bind(hashes, windows)
+    return F.transform(bind(hashes, windows), lambda x: F.shiftrightunsigned(x, 64 - BITS))
 
 
 def sketch(text: Column, k: int = SHINGLE, scale: int = SCALE) -> Column:
-    """whole: whether all hashes are kept; hashes: the sorted distinct ones that are."""
+    """whole: whether all hashes are at hand; hashes: the sorted distinct ones that are.
+
+    The fingerprint is those below the fraction, in both cases.
+    """
     return bind(F.array_distinct(shingle_hashes(text, k)), lambda s: _sketch(s, F.size(s) <= WHOLE, scale))
 
 
 def _below(hashes: Column, scale: int) -> Column:
-    """The hashes in the lowest ``1/scale`` of the signed 64-bit range."""
-    return F.filter(hashes, lambda x: x < -(2**63) + 2**64 // scale)
+    """The hashes in the lowest ``1/scale`` of their range."""
+    return F.filter(hashes, lambda x: x < 2**BITS // scale)
 
 
 def _sketch(distinct: Column, whole: Column, scale: int) -> Column:
@@ -83,9 +90,19 @@ def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
     return bind(F.array_union(a["hashes"], b["hashes"]), lambda u: _sketch(u, a["whole"] & b["whole"] & (F.size(u) <= WHOLE), scale))
 
 
-def as_string(sk: Column) -> Column:
-    """``=`` before a whole set, ``<`` before what lies below the fraction, then the hashes."""
-    return F.concat(F.when(sk["whole"], "=").otherwise("<"), F.array_join(F.transform(sk["hashes"], lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+def as_string(hashes: Column) -> Column:
+    """Sorted hashes as base64 of their bytes."""
+    return F.base64(F.unhex(F.array_join(F.transform(hashes, lambda x: F.lpad(F.hex(x), BITS // 4, "0")), "")))
+
+
+def fingerprint(sk: Column, scale: int = SCALE) -> Column:
+    """What lies below the fraction."""
+    return as_string(_below(sk["hashes"], scale))
+
+
+def short_rest(sk: Column, scale: int = SCALE) -> Column:
+    """What lies above it of a set of few shingles; null for others."""
+    return F.when(sk["whole"], as_string(F.filter(sk["hashes"], lambda x: x >= 2**BITS // scale)))
 
 
 def literal(values: list[int]) -> Column:
@@ -156,6 +173,6 @@ def fingerprints(docs: DataFrame, buckets: int = 64) -> DataFrame:
     led = led.select("doc_id", "n_chars", "sk", edited.alias("edited"), F.coalesce(likeness(sk, sk_n), F.lit(0.0)).alias("near_next"), support(sk, sk_n).alias("next_support"))
     led = led.select("doc_id", "n_chars", "sk", "near_next", "next_support", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("edited")).alias("sk_e"))
     return led.select(
-        "doc_id", "n_chars", "edited_sha256", as_string(sk).alias("fingerprint"), as_string(sk_e).alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint(sk).alias("fingerprint"), fingerprint(sk_e).alias("edited_fingerprint"), short_rest(sk).alias("short_rest"), short_rest(sk_e).alias("edited_short_rest"),
         F.coalesce(likeness(sk, sk_e), F.lit(0.0)).alias("near_edited"), "near_next", support(sk, sk_e).alias("edited_support"), "next_support",
     )

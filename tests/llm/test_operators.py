@@ -192,7 +192,7 @@ def test_fingerprint_keeps_hashes_below_the_fraction(spark):
     df = spark.createDataFrame([(1, long), (2, long + " " + short), (3, short), (4, ""), (5, "just four words here")], "doc_id long, text string")
     all_ = {r[0]: set(r[1]) for r in df.select("doc_id", fingerprints.shingle_hashes(F.col("text"))).collect()}
     kept = {r[0]: r[1] for r in df.select("doc_id", fingerprints.sketch(F.col("text"))).collect()}
-    most = -(2**63) + 2**64 // fingerprints.SCALE
+    most = 2**40 // fingerprints.SCALE
     assert kept[1]["hashes"] == sorted(h for h in all_[1] if h < most) and not kept[1]["whole"]
     assert kept[4]["whole"] and kept[4]["hashes"] == [] and kept[5]["whole"] and len(kept[5]["hashes"]) == 1
 
@@ -218,7 +218,7 @@ def test_fingerprints_of_unequal_lengths(spark):
         x, y = set(r["x"]), set(r["y"])
         true = len(x & y) / min(len(x), len(y))
         if r["got"] is None:
-            assert len(x) < 16
+            assert len(x) < 40
             unknown += 1
         elif len(x) <= fingerprints.WHOLE and len(y) <= fingerprints.WHOLE:
             assert r["got"] == true
@@ -227,13 +227,30 @@ def test_fingerprints_of_unequal_lengths(spark):
             assert abs(r["got"] - true) <= 3.5 * (max(true * (1 - true), 0.01) / r["on"]) ** 0.5 + 1 / r["on"]
             if true == 1:
                 assert r["got"] == 1
-    assert unknown < 40
+    assert unknown < 60
+
+
+def test_fingerprints_are_small_and_read_back(spark, docs, texts):
+    """Fingerprints take less than a third of long texts, and follow one rule at every size."""
+    import base64
+
+    hashes = {r[0]: set(r[1]) for r in docs.select("doc_id", fingerprints.shingle_hashes(F.coalesce("text", F.lit("")))).collect()}
+    size = room = 0
+    for i, r in by_id(fingerprints.fingerprints(docs)).items():
+        read = lambda t: [int.from_bytes(b[k : k + 5]) for b in [base64.b64decode(t)] for k in range(0, len(b), 5)]
+        below = read(r["fingerprint"])
+        assert below == sorted(h for h in hashes[i] if h < 2**40 // fingerprints.SCALE)
+        assert (r["short_rest"] is None) == (len(hashes[i]) > fingerprints.WHOLE)
+        assert r["short_rest"] is None or {*below, *read(r["short_rest"])} == hashes[i]
+        if len(hashes[i]) > 100:
+            size, room = size + len(r["fingerprint"]), room + len(texts[i].encode())
+    assert 0 < 3 * size < room
 
 
 def test_merged_fingerprints_are_those_of_the_union(spark):
     rng = random.Random(8)
     sizes = [0, 1, 2, 31, 32, 33, 63, 64, 65, 200]
-    pool = [rng.randrange(-(2**63), 2**63) for _ in range(260)]
+    pool = [rng.randrange(2**40) for _ in range(260)]
     rows = [(rng.sample(pool, a), rng.sample(pool, b)) for a in sizes for b in sizes]
     df = spark.createDataFrame(rows, "a array<long>, b array<long>")
     own = lambda c: fingerprints._sketch(c, F.size(c) <= fingerprints.WHOLE, 4)
