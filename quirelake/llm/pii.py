@@ -2,8 +2,9 @@
 
 Personal data and secrets are detected in whole texts, and every distinct entity of the corpus gets a
 surrogate of its own: drawn by a keyed hash (HMAC-SHA256) from its type and canonical form, in the
-layout of what it replaces - digits for digits of the same script, letter case for letter case, given
-names of the gender that the form of address tells, in the script of the name. Phone numbers keep
+layout of what it replaces - digits for digits of the same script, letter case for letter case, hyphens
+where the name has them, in the script of the name. A given name has one surrogate, of the gender that
+most of the corpus's forms of address tell with it. Phone numbers keep
 their country code, IBANs their country, and check digits of IBANs, and of cards that had valid ones,
 are computed. Surrogates are checked against all real entities of the corpus and against one another;
 of those that clash all but one are drawn again, a little longer each time, until none is left. So
@@ -14,8 +15,11 @@ The entity table is distributed: it is drawn, checked and joined back as DataFra
 that hold a detectable entity pass through Python or a shuffle.
 
 Defined results: null text stays null and texts without an entity stay byte for byte as they are.
-Names are mapped by part, so that a surname alone and a full name keep their coreference, and mail
-addresses by mailbox and domain, so that addresses of one domain keep one. Repeated rows are rewritten
+Names are mapped by part, so that a surname alone and a full name keep their coreference. A name found
+after a form of address is replaced wherever its document has it as a capitalized word, but for parts that the
+document also has in lower case, which may be words. Thirteen to
+nineteen digits are a card if they are sixteen, written in groups, or end in a valid check digit. Very long texts are scanned whole, in time linear in their length. Mail
+addresses are mapped by mailbox and domain, so that addresses of one domain keep one. Repeated rows are rewritten
 each, as are rows with a null or a repeated ``doc_id``. An empty table gives an empty result. Other
 columns are kept; one named ``n_replaced`` is replaced.
 """
@@ -24,13 +28,14 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
@@ -62,19 +67,22 @@ SHORT_CODES = (
     "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
 ).split()
 
-_CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_CAP = r"(?:[^\W\d_a-zß-öø-ÿ]['’](?=[^\W\d_a-zß-öø-ÿ]))?[^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_HEX = "[0-9A-Fa-f]{1,4}"
 #: Every type's pattern; earlier ones win where they overlap.
 PATTERNS = [
     ("mail", r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}"),
     ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?\w)"),
-    ("card", r"(?<![\w.,-])\d(?:[ -]?\d){12,18}(?![\w-])"),
+    ("ip6", rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|{_HEX}(?::{_HEX}){{0,6}}::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\w:])"),
+    ("card", r"(?<![\w.,-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5}|(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]\d))(?![\w-])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    ("phone", r"(?<![\w(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])"),
+    ("phone", r"(?<![\w(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[.-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{2,4}[ /-]\d{5,8})(?![\w-])"),
     ("name", r"(?<!\w)(?P<address>" + "|".join(sorted((a for names in ADDRESS.values() for a in names), key=len, reverse=True)) + rf")\.? (?P<parts>{_CAP}(?: {_CAP}){{0,2}})"),
 ]
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
+_NAME, _WORD = re.compile(rf"(?<![\w'’-]){_CAP}"), re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
 #: What a text must hold for any of the patterns to match: all but names hold an @ or a decimal digit
 #: (the ranges are digits that the JVM's tables need not know yet). It is scanned for in every
 #: text, so each alternative fails at its first character nearly everywhere.
@@ -90,14 +98,34 @@ def canonical(kind: str, text: str) -> str:
     if kind in ("phone", "card", "ssn"):
         digits = "".join(str(unicodedata.decimal(c)) for c in text if c.isdecimal())
         return f"+{digits}" if kind == "phone" and text[0] == "+" else digits
-    return re.sub(r"\s", "", text).lower()
+    if kind == "ip6":
+        return ipaddress.ip_address(text).exploded
+    return re.sub(r"\s", "", text).lower().replace("’", "'")
 
 
-def find(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(begin, end, type, canonical form) of the entities of a text; names and addresses part by part."""
+def _is_ip6(text: str) -> bool:
+    """Whether this is an address, and not a name of a program's parts such as ``ab::cd``."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return any(c.isdigit() for c in text) and text.count(":") > 2
+
+
+def _is_card(text: str) -> bool:
+    digits = canonical("card", text)
+    return not text.isdecimal() or len(digits) == 16 or luhn(digits[:-1]) == int(digits[-1])
+
+
+def is_name(kind: str) -> bool:
+    return kind == "surname" or kind.startswith("given")
+
+
+def _addressed(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """The entities that their own form, or a form of address before them, tells."""
     for m in FINDER.finditer(text):
         kind = m.lastgroup if m.lastgroup not in ("address", "parts") else "name"
-        if kind == "secret" and not (re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0])):
+        if kind == "secret" and not (re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0])) or kind == "ip6" and not _is_ip6(m[0]) or kind == "card" and not _is_card(m[0]):
             continue
         if kind == "mail":
             at = m.start() + m[0].index("@")
@@ -106,13 +134,47 @@ def find(text: str) -> Iterator[tuple[int, int, str, str]]:
         elif kind == "name":
             gender, parts = GENDER[m["address"].lower()], list(re.finditer(r"\S+", m["parts"]))
             for i, p in enumerate(parts):
-                begin = m.start("parts") + p.start()
+                begin, part = m.start("parts") + p.start(), _owner(p[0])
                 role = "surname" if i == len(parts) - 1 else f"given-{gender}"
-                yield begin, begin + len(p[0]), role, p[0].lower()
+                yield begin, begin + len(part), role, canonical("name", part)
         else:
             yield m.start(), m.end(), kind, canonical(kind, m[0])
 
 
+def _owner(name: str) -> str:
+    """A name without the ending of the possessive."""
+    return name[:-2] if len(name) > 3 and name[-2] in "'’" and name[-1] in "sS" else name
+
+
+def find(text: str) -> list[tuple[int, int, str, str]]:
+    """(begin, end, type, canonical form) of the entities of a text, in order; names and addresses part by part."""
+    told = list(_addressed(text))
+    names = {canon: kind for _, _, kind, canon in reversed(told) if is_name(kind)}
+    if not names:
+        return told
+    for m in _WORD.finditer(text):
+        if m[0] in names:  # in lower case too
+            del names[m[0]]
+    held = iter([*told, (len(text), len(text), "", "")])
+    begin, end, *_ = next(held)
+    more = []
+    for m in _NAME.finditer(text):
+        part = _owner(m[0])
+        canon = canonical("name", part)
+        if canon not in names:
+            continue
+        at, upto = m.start(), m.start() + len(part)
+        while end <= at and begin < len(text):
+            begin, end, *_ = next(held)
+        if upto <= begin:
+            more.append((at, upto, names[canon], canon))
+    return sorted(told + more)
+
+
+#: What joins the parts of one name.
+_JOIN = r"([-'’])"
+
+
 def _stream(key: bytes, *parts: str) -> Iterator[int]:
     k = 0
     while True:
@@ -141,6 +203,8 @@ def draw(key: bytes, kind: str, canon: str, attempt: int) -> str:
     longer = "0" * max(0, attempt - ROUNDS + 1)
     if kind == "ip":
         return ".".join(str(1 + below(254)) for _ in range(4))
+    if kind == "ip6":
+        return ":".join(f"{below(65536):04x}" for _ in range(8))
     if kind == "card":
         body = canon[0] + digits(canon[1:-1] + longer)
         return body + (str(luhn(body)) if luhn(canon[:-1]) == int(canon[-1]) else digits(" "))
@@ -166,7 +230,11 @@ def draw(key: bytes, kind: str, canon: str, attempt: int) -> str:
         labels[-1] = max(labels[-1], 6) + attempt
         return ".".join("".join(letters[below(26)] for _ in range(n)) for n in labels) + ".invalid"
     syllables, ends = SYLLABLES[script_of(canon)]
-    return "".join(syllables[below(len(syllables))] for _ in range(2 + below(2) + attempt)) + ends[kind.removeprefix("given-") if kind.startswith("given-") else "s"]
+    ending = ends[kind.removeprefix("given-") if kind.startswith("given-") else "s"]
+    parts = re.split(_JOIN, canon)
+    name = lambda grow: "".join(syllables[below(len(syllables))] for _ in range(2 + below(2) + grow)) + ending
+    drawn = [x if i % 2 else syllables[below(len(syllables))][0] if len(x) == 1 and i < len(parts) - 1 else name(attempt if i == len(parts) - 1 else 0) for i, x in enumerate(parts)]
+    return "".join(drawn)
 
 
 def render(kind: str, mention: str, surrogate: str) -> str:
@@ -189,7 +257,24 @@ def render(kind: str, mention: str, surrogate: str) -> str:
         return "".join(x.upper() if c.isupper() else x for c, x in zip(mention, surrogate, strict=True))
     if kind == "ip":
         return surrogate
-    return surrogate.upper() if mention.isupper() and len(mention) > 1 else surrogate[:1].upper() + surrogate[1:]
+    if kind == "ip6":
+        return surrogate.upper() if any(c.isupper() for c in mention) else surrogate
+    cased = lambda like, x: x.upper() if len(mention) > 1 and mention.isupper() else x[:1].upper() + x[1:] if like[:1].isupper() or not like[:1].islower() else x
+    return "".join(like if i % 2 else cased(like, x) for i, (like, x) in enumerate(zip(re.split(_JOIN, mention), re.split(_JOIN, surrogate), strict=True)))
+
+
+def one_name(kind: Column) -> Column:
+    """The type under which mentions meet their surrogates: given names of any gender are one."""
+    return F.when(kind.startswith("given-"), "given").otherwise(kind)
+
+
+def resolved(found: DataFrame) -> DataFrame:
+    """The entities of found(kind, canon), each given name once, with the gender that most mentions tell."""
+    given = F.col("kind").startswith("given-")
+    told = lambda g: F.sum(F.when(F.col("kind") == f"given-{g}", 1).otherwise(0))
+    people = found.where(given).groupBy("canon").agg(told("m").alias("m"), told("f").alias("f"))
+    gender = F.when(F.col("m") + F.col("f") == 0, "n").when(F.col("m") > F.col("f"), "m").otherwise("f")
+    return found.where(~given).select("kind", "canon").unionByName(people.select(F.concat(F.lit("given-"), gender).alias("kind"), "canon"))
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -240,7 +325,7 @@ def assign(found: DataFrame, key: bytes, drawer: Callable[[bytes, str, str, int]
 def rewrite(text: str, surrogates: dict[tuple[str, str], str]) -> tuple[str, int]:
     out, at, n = [], 0, 0
     for begin, end, kind, canon in find(text):
-        out += [text[at:begin], render(kind, text[begin:end], surrogates[kind, canon])]
+        out += [text[at:begin], render(kind, text[begin:end], surrogates["given" if kind.startswith("given-") else kind, canon])]
         at, n = end, n + 1
     return "".join([*out, text[at:]]), n
 
@@ -254,8 +339,8 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
     # rows that agree in this hash share their surrogates, which is all the same to each
     row = F.xxhash64("doc_id", "text")
     found = staged(entities(docs.where(held).select(row.alias("row"), "text")), "mentions")
-    table = assign(found, key)
-    told = found.join(table, ["kind", "canon"]).groupBy("row").agg(F.collect_set(F.struct("kind", "canon", "surrogate")).alias("_ql_told")).withColumnRenamed("row", "_ql_row")
+    table = assign(resolved(found), key).withColumn("kind", one_name(F.col("kind")))
+    told = found.withColumn("kind", one_name(F.col("kind"))).distinct().join(table, ["kind", "canon"]).groupBy("row").agg(F.collect_set(F.struct("kind", "canon", "surrogate")).alias("_ql_told")).withColumnRenamed("row", "_ql_row")
     names = docs.columns
 
     def rewritten(batches):
