@@ -189,12 +189,17 @@ def methods(df: DataFrame, method: str) -> DataFrame:
 BANDS = [("0.00-0.50", 0.0, 0.5), ("0.50-0.80", 0.5, 0.8), ("0.80-0.95", 0.8, 0.95), ("0.95-0.99", 0.95, 0.99), ("0.99-1.00", 0.99, 1.0)]
 
 
-def bands(df: DataFrame, confidence: str) -> DataFrame:
-    """(band, count) of all bands; a missing confidence is in the first."""
+def band(confidence: str) -> Column:
+    """The band of a confidence; a missing one is in the first."""
     c, label = F.coalesce(F.col(confidence), F.lit(0.0)), F.lit(BANDS[-1][0])
     for name, _, high in reversed(BANDS[:-1]):
         label = F.when(c < high, name).otherwise(label)
-    counts = df.groupBy(label.alias("band")).agg(F.count("*").alias("count"))
+    return label
+
+
+def bands(df: DataFrame, confidence: str) -> DataFrame:
+    """(band, count) of all bands."""
+    counts = df.groupBy(band(confidence).alias("band")).agg(F.count("*").alias("count"))
     every = df.sparkSession.createDataFrame([(b[0],) for b in BANDS], "band string")
     return every.join(counts, "band", "left").select("band", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 

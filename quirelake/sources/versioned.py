@@ -28,7 +28,7 @@ class VersionedTable:
             raise ValueError(f"no version {self.version}")
         told = json.loads(spark.read.text(f"{self.path}/manifest/v{self.version}").first()[0])
         self.key, self.buckets, self.folders = told["key"], told["buckets"], {int(b): f for b, f in told["folders"].items()}
-        self.schema = T.StructType.fromJson(told["schema"])
+        self.schema, self.note = T.StructType.fromJson(told["schema"]), told.get("note", {})
 
     def versions(self) -> list[int]:
         """The versions whose manifest is whole."""
@@ -39,11 +39,11 @@ class VersionedTable:
         return sorted(int(m[1]) for n in whole if (m := re.fullmatch(r"v(\d+)", n)))
 
     @classmethod
-    def create(cls, rows: DataFrame, path: str, key: list[str], buckets: int = 64) -> VersionedTable:
-        """A new table; ``rows`` has each key once."""
+    def create(cls, rows: DataFrame, path: str, key: list[str], buckets: int = 64, note: dict | None = None) -> VersionedTable:
+        """A new table; ``rows`` has each key once. A note is what the manifest says of the version besides."""
         new = cls.__new__(cls)
-        new.spark, new.path, new.version, new.key, new.buckets, new.folders, new.schema = rows.sparkSession, path.rstrip("/"), 0, key, buckets, {}, rows.schema
-        return new._commit(rows, range(buckets))
+        new.spark, new.path, new.version, new.key, new.buckets, new.folders, new.schema, new.note = rows.sparkSession, path.rstrip("/"), 0, key, buckets, {}, rows.schema, {}
+        return new._commit(rows, range(buckets), note)
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
@@ -63,7 +63,7 @@ class VersionedTable:
     def _touched(self, rows: DataFrame) -> list[int]:
         return sorted(r[0] for r in rows.select(self._bucket()).distinct().collect())  # the number of buckets at most
 
-    def _commit(self, rows: DataFrame, touched) -> VersionedTable:
+    def _commit(self, rows: DataFrame | None, touched, note: dict | None = None) -> VersionedTable:
         name, folders = uuid.uuid4().hex, dict(self.folders)
         touched = list(touched)
         if touched:
@@ -74,7 +74,7 @@ class VersionedTable:
                 folders.pop(b, None)
                 if b in filled:
                     folders[b] = f"{name}/_bucket={b}"
-        told = json.dumps({"key": self.key, "buckets": self.buckets, "folders": folders, "schema": json.loads(self.schema.json())})
+        told = json.dumps({"key": self.key, "buckets": self.buckets, "folders": folders, "schema": json.loads(self.schema.json()), "note": self.note if note is None else note})
         self.spark.createDataFrame([(told,)], "value string").coalesce(1).write.text(f"{self.path}/manifest/v{self.version + 1}")
         return VersionedTable(self.spark, self.path, self.version + 1)
 
@@ -82,16 +82,24 @@ class VersionedTable:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return any(s.isDirectory() and s.getPath().getName().startswith("_bucket=") for s in folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder))
 
-    def put(self, rows: DataFrame) -> VersionedTable:
+    def annotate(self, note: dict) -> VersionedTable:
+        """The same rows as a version with another note."""
+        return self._commit(None, [], note)
+
+    def held(self, keys: DataFrame) -> DataFrame:
+        """The rows of these keys, from their buckets alone."""
+        return self.read(self._touched(keys)).join(keys.select(*self.key), self.key, "left_semi")
+
+    def put(self, rows: DataFrame, note: dict | None = None) -> VersionedTable:
         """The table with rows (each key once) added, or in the place of those with their key."""
         touched = self._touched(rows)
         kept = self.read(touched).join(rows.select(*self.key), self.key, "left_anti")
-        return self._commit(kept.select(*self.schema.names).unionByName(rows.select(*self.schema.names)), touched)
+        return self._commit(kept.select(*self.schema.names).unionByName(rows.select(*self.schema.names)), touched, note)
 
-    def remove(self, keys: DataFrame) -> VersionedTable:
+    def remove(self, keys: DataFrame, note: dict | None = None) -> VersionedTable:
         """The table without the rows of these keys."""
         touched = self._touched(keys)
-        return self._commit(self.read(touched).join(keys.select(*self.key), self.key, "left_anti"), touched)
+        return self._commit(self.read(touched).join(keys.select(*self.key), self.key, "left_anti"), touched, note)
 
     def correct(self, hit: Column, values: dict[str, Column]) -> VersionedTable:
         """The table with columns other than the key set anew where ``hit`` holds; only buckets with such rows change."""
