@@ -83,3 +83,31 @@ def test_overlaps_equal_all_against_all(spark, width, cell):
     got = [tuple(r) for r in network.overlaps(spark.createDataFrame(spans, "place long, agent long, lo int, hi int"), 5, width, cell).collect()]
     want = {(p, a, b, max(s, t), min(e, f)) for p, a, s, e in spans for q, b, t, f in spans if p == q and a < b and min(e, f) - max(s, t) >= 5}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+
+@pytest.mark.parametrize("cell", [8000, 3])
+def test_contemporaries_of_a_crowded_place(spark, cell):
+    """Cells meet each pair once, and a missing year is left to the other's."""
+    rng = random.Random(cell)
+    people = [(f"p{i:03}", rng.choice(["Rome", "rome", "Ulm", None]), rng.choice([None, rng.randrange(1500, 1600)]), rng.choice([None, rng.randrange(1560, 1650)])) for i in range(90)]
+    got = [tuple(r) for r in network.lifespan_overlap(spark.createDataFrame(people, "agent_norm string, birth_place string, birth_year int, death_year int"), cell).collect()]
+    of = lambda f, *ys: f([y for y in ys if y is not None], default=None)
+    want = {(a, b) for a, p, ab, ad in people for b, q, bb, bd in people if a < b and p and q and p.lower() == q.lower() and (s := of(max, ab, bb)) is not None and (e := of(min, ad, bd)) is not None and s <= e}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("cell", [2000, 3])
+def test_pairs_of_an_earlier_place_are_left_out(spark, cell):
+    """What is told of other places takes the place of bringing pairs together, which would move them all."""
+    rng = random.Random(cell)
+    spans = {(p, i): (lo := rng.randint(1500, 1560), lo + rng.choice([3, 10, 30])) for p in range(4) for i in range(40) if rng.random() < 0.7}
+    rows = [(p, i, lo, hi, [(q, *spans[q, i]) for q in range(p) if (q, i) in spans]) for (p, i), (lo, hi) in spans.items()]
+    found = network.overlaps(spark.createDataFrame(rows, "place long, agent long, lo int, hi int, before array<struct<place: long, lo: int, hi: int>>"), 5, 10, cell)
+    want = {}
+    for (p, a), (s, e) in sorted(spans.items()):
+        for b in range(a + 1, 40):
+            if (p, b) in spans and min(e, spans[p, b][1]) - max(s, spans[p, b][0]) >= 5:
+                want.setdefault((a, b), (p, max(s, spans[p, b][0]), min(e, spans[p, b][1])))
+    got = {(r["a"], r["b"]): (r["place"], r["s"], r["e"]) for r in found.collect()}
+    assert found.count() == len(got) and got == want
