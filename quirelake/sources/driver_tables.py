@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import tasks
 from .catalog import Catalog
 
 #: Tables in plain SQL, each over the raw tables only.
@@ -57,12 +58,13 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         F.when(p % 31 == 0, null).otherwise(F.col("l_discount") * 10).alias("publisher_confidence"), F.array(F.lit("260")).alias("source_tags"), null.cast("string").alias("date_label"), F.col("n_name").alias("place_display"), F.col("s_name").alias("publisher_display"), null.cast("string").alias("date_raw"),
     )
     uri = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string")).alias("authority_uri")
-    makers = line.select("l_orderkey", "l_suppkey").distinct().join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("record_id"), F.lower("s_name").alias("agent_norm"), F.col("s_name").alias("agent_raw"), F.lit("printer").alias("role_norm"), F.lit("corporate").alias("agent_type"), uri("sup", "s_suppkey"), F.col("s_suppkey").alias("id"))
+    n = tasks(raw["orders"])  # what a record has once is found where its rows are
+    makers = line.select("l_orderkey", "l_suppkey").repartition(n, "l_orderkey").distinct().join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("record_id"), F.lower("s_name").alias("agent_norm"), F.col("s_name").alias("agent_raw"), F.lit("printer").alias("role_norm"), F.lit("corporate").alias("agent_type"), uri("sup", "s_suppkey"), F.col("s_suppkey").alias("id"))
     o = F.col("o_orderkey")
     writers = raw["orders"].join(raw["customer"], F.col("o_custkey") == F.col("c_custkey")).select(o.alias("record_id"), F.lower("c_name").alias("agent_norm"), F.col("c_name").alias("agent_raw"), F.when(o % 13 != 0, "author").alias("role_norm"), F.when(o % 500 == 0, "meeting").otherwise("personal").alias("agent_type"), uri("cus", "c_custkey"), (-F.col("c_custkey")).alias("id"))
-    parts = line.select("l_orderkey", "l_partkey").distinct().join(raw["part"], F.col("l_partkey") == F.col("p_partkey"))
+    parts = line.select("l_orderkey", "l_partkey").join(raw["part"], F.col("l_partkey") == F.col("p_partkey"))
     rid = F.col("l_orderkey").alias("record_id")
-    numbered = lambda df: df.withColumn("id", F.xxhash64("record_id", "value"))
+    numbered = lambda df: df.repartition(n, "record_id").distinct().withColumn("id", F.xxhash64("record_id", "value"))
     code = F.when(o % 5 == 0, "heb").when(o % 5 == 1, "lat").when(o % 5 == 2, "ita").otherwise("eng")
     languages = raw["orders"].where(o % 11 != 0).select(o.alias("record_id"), code.alias("code"), F.lit(0).alias("id")).unionByName(raw["orders"].where(o % 7 == 0).select(o.alias("record_id"), F.lit("ger").alias("code"), F.lit(1).alias("id")))
     notes = raw["orders"].where(o % 3 != 0).select(o.alias("record_id"), F.lit("500").alias("tag"), F.col("o_orderpriority").alias("value"), F.lit(0).alias("id")).unionByName(raw["orders"].where(o % 2 == 0).select(o.alias("record_id"), F.lit("520").alias("tag"), F.col("o_orderstatus").alias("value"), F.lit(1).alias("id")))
@@ -73,10 +75,10 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     return Catalog(
         records=raw["orders"].select(o.alias("id"), F.lpad(o.cast("string"), 10, "0").alias("mms_id"), F.col("o_orderdate").alias("created_at")),
         imprints=imprints,
-        titles=numbered(parts.select(rid, F.col("p_name").alias("value")).distinct()).withColumns({"title_type": F.lit("main"), "source": F.array(F.lit("245$a"))}),
-        subjects=numbered(parts.select(rid, F.concat_ws(" -- ", "p_type", "p_brand", "p_name").alias("value")).distinct()),
+        titles=numbered(parts.select(rid, F.col("p_name").alias("value"))).withColumns({"title_type": F.lit("main"), "source": F.array(F.lit("245$a"))}),
+        subjects=numbered(parts.select(rid, F.concat_ws(" -- ", "p_type", "p_brand", "p_name").alias("value"))),
         agents=makers.unionByName(writers), languages=languages, notes=notes,
-        physical_descriptions=numbered(parts.where(F.col("p_partkey") % 5 == 0).select(rid, F.concat(F.col("p_name"), F.lit(" : ill. ; "), F.col("p_size").cast("string"), F.lit(" cm")).alias("value")).distinct()),
+        physical_descriptions=numbered(parts.where(F.col("p_partkey") % 5 == 0).select(rid, F.concat(F.col("p_name"), F.lit(" : ill. ; "), F.col("p_size").cast("string"), F.lit(" cm")).alias("value"))),
         agent_authorities=known.select(k.alias("id"), F.col("s_name").alias("canonical_name"), F.lower("s_name").alias("canonical_name_lower"), uri("sup", "s_suppkey")),
         agent_aliases=aliases.withColumn("alias_form", F.col("alias_form_lower")),
         publisher_authorities=publishers.select(k.alias("id"), F.col("s_name").alias("canonical_name"), F.replace(F.lower("s_name"), F.lit("#"), F.lit(" ")).alias("canonical_name_lower"), F.when(k % 4 == 0, "unresearched").otherwise("printing_house").alias("type"), F.col("n_name").alias("location")),
