@@ -19,10 +19,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import kept
+from ..shared import kept, tasks
 from ..sources.catalog import Catalog
 from ..sources.versioned import VersionedTable
-from .facets import ALIASES, FACETS, LATEST, band, facet_rows
+from .facets import ALIASES, FACETS, LATEST, band, facet_value
 
 #: What every catalogue has besides its facets: its records, the years that its imprints begin and end in.
 EVERY, FIRST, LAST, BANDS = "record", "first_year", "last_year", "publisher_confidence_band"
@@ -31,13 +31,17 @@ _DELTA = "value string, n long, facet string"
 
 def members(cat: Catalog, facets: tuple[str, ...] = tuple(FACETS)) -> DataFrame:
     """(record_id, counts): each record once, with the facets' values that it counts for."""
-    put = lambda df, name, value: df.select("record_id", F.lit(name).alias("facet"), value.cast("string").alias("value"))
-    parts = [put(facet_rows(cat, f), f, F.col("value")) for f in facets]
-    parts += [put(cat.imprints, FIRST, F.col("date_start")), put(cat.imprints, LAST, F.col("date_end"))]
+    told: dict[str, list] = {"imprints": [(FIRST, F.col("date_start"), None), (LAST, F.col("date_end"), None)]}
     if "publisher_confidence" in cat.imprints.columns:
-        parts.append(put(cat.imprints, BANDS, band("publisher_confidence")))
+        told["imprints"].append((BANDS, band("publisher_confidence"), None))
+    for f in facets:
+        told.setdefault(FACETS[ALIASES.get(f, f)], []).append((f, *facet_value(ALIASES.get(f, f))))
+    parts = []
+    for table, values in told.items():  # one pass over each table
+        each = [F.struct(F.lit(f).alias("facet"), (v if keep is None else F.when(keep, v)).cast("string").alias("value")) for f, v, keep in values]
+        parts.append(getattr(cat, table).select("record_id", F.explode(F.array(*each)).alias("f")).select("record_id", "f.facet", "f.value"))
     parts.append(cat.records.select(F.col("id").alias("record_id"), F.lit(EVERY).alias("facet"), F.lit("").alias("value")))
-    rows = reduce(DataFrame.unionByName, parts).where("value is not null and record_id is not null").repartition("record_id")
+    rows = reduce(DataFrame.unionByName, parts).where("value is not null and record_id is not null").repartition(tasks(cat.records), "record_id")
     n = F.when(F.col("facet") == BANDS, F.count("*")).otherwise(F.lit(1)).cast("long")
     one = rows.groupBy("record_id", "facet", "value").agg(n.alias("n"))
     return one.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("facet", "value", "n"))).alias("counts")).where(F.exists("counts", lambda c: c["facet"] == EVERY))

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import MOST_RECORDS
+
 
 class VersionedTable:
     """The table under ``path``, as a version (the last one by default) has it."""
@@ -43,7 +45,7 @@ class VersionedTable:
         """A new table; ``rows`` has each key once. A note is what the manifest says of the version besides."""
         new = cls.__new__(cls)
         new.spark, new.path, new.version, new.key, new.buckets, new.folders, new.schema, new.note = rows.sparkSession, path.rstrip("/"), 0, key, buckets, {}, rows.schema, {}
-        return new._commit(rows, range(buckets), note)
+        return new._commit(rows, dict.fromkeys(range(buckets), -(-rows.count() // buckets)), note)
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
@@ -60,15 +62,18 @@ class VersionedTable:
         one = self.spark.createDataFrame([key], T.StructType([self.schema[k] for k in self.key]))
         return self.read(self._touched(one)).join(one, self.key, "left_semi")
 
-    def _touched(self, rows: DataFrame) -> list[int]:
-        return sorted(r[0] for r in rows.select(self._bucket()).distinct().collect())  # the number of buckets at most
+    def _touched(self, rows: DataFrame) -> dict[int, int]:
+        """The buckets of some rows, with how many fall into each."""
+        return dict(sorted(tuple(r) for r in rows.groupBy(self._bucket()).count().collect()))  # the number of buckets at most
 
-    def _commit(self, rows: DataFrame | None, touched, note: dict | None = None) -> VersionedTable:
+    def _commit(self, rows: DataFrame | None, touched: dict[int, int], note: dict | None = None) -> VersionedTable:
+        """A version with the rows of some buckets written anew; the large ones by several tasks, a file each."""
         name, folders = uuid.uuid4().hex, dict(self.folders)
-        touched = list(touched)
         if touched:
+            n = sum(touched.values()) + (self.read(list(touched)).count() if self.folders else 0)
+            shares = max(1, -(-n // (len(touched) * MOST_RECORDS)))
             dealt = rows.select(*self.schema.names).withColumn("_bucket", self._bucket())
-            dealt.repartition(len(touched), "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{name}")
+            dealt.repartition(len(touched) * shares, "_bucket", F.pmod(F.xxhash64(F.lit(0), *self.key), F.lit(shares))).write.partitionBy("_bucket").parquet(f"{self.path}/{name}")
             filled = {r[0] for r in self.spark.read.parquet(f"{self.path}/{name}").select("_bucket").distinct().collect()} if self._any(name) else set()
             for b in touched:
                 folders.pop(b, None)
@@ -84,7 +89,7 @@ class VersionedTable:
 
     def annotate(self, note: dict) -> VersionedTable:
         """The same rows as a version with another note."""
-        return self._commit(None, [], note)
+        return self._commit(None, {}, note)
 
     def held(self, keys: DataFrame) -> DataFrame:
         """The rows of these keys, from their buckets alone."""
