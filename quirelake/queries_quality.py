@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import authority, facets, quality
 from .registry import query
+from .shared import kept
 from .sources.driver_tables import catalog, with_sql
 
 _D = with_sql("records", "imprints") + ", d as (select mms_id, i.* from imprints i join records r on r.id = i.record_id) "
@@ -91,8 +92,9 @@ def _broken(spark, d):
 
     cat = catalog(spark, d)
     ends, n = F.col("agent_norm"), F.count_distinct("record_id")
-    cat.network_edges = network.co_publication(cat)
+    cat.network_edges = kept(network.co_publication(cat), "edges")  # a built network is read by its invariants, not derived for each
     cat.network_nodes = cat.agents.where(~ends.endswith("9")).groupBy("agent_norm").agg((n + F.when(F.max(ends).endswith("7"), 1).otherwise(0)).alias("record_count"), F.when(F.max(ends).endswith("3"), 0).otherwise(n).alias("connection_count")).withColumn("node_type", F.lit("person"))
+    cat.network_nodes = kept(cat.network_nodes, "nodes")
     return cat
 
 
