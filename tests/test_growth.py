@@ -64,3 +64,9 @@ def test_a_histogram_counts_what_is_distinct(spark):
 def test_a_network_is_stored_before_its_invariants(spark):
     cat = queries_quality._broken(spark, D)
     assert all("edges-" in f for f in cat.network_edges.inputFiles()) and cat.network_edges.inputFiles() and cat.network_nodes.inputFiles()
+
+
+def test_degrees_read_the_edges_once(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "b"), ("c", "b")], "source string, target string")
+    got = network.degrees(e)
+    assert {r["agent_norm"]: r["degree"] for r in got.collect()} == {"a": 1, "b": 3, "c": 1} and "Union" not in plan(got)
