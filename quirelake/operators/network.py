@@ -389,17 +389,18 @@ def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
     return best.join(have, F.col("a") == F.col("agent_norm"), "left_semi").join(have, F.col("b") == F.col("agent_norm"), "left_semi")
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    pair = edges.where("source != target").select("source", "target").distinct()
-    return pair.unionByName(pair.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+def _pairs(edges: DataFrame, stored: bool) -> DataFrame:
+    """(source, target) of the edges that are no loops, written once for the steps of a search unless they are ``stored``."""
+    pairs = edges.where("source != target").select("source", "target")
+    return pairs if stored else kept(pairs, "pairs")
 
 
-def neighbourhood(edges: DataFrame, agent: str, hops: int) -> DataFrame:
+def neighbourhood(edges: DataFrame, agent: str, hops: int, stored: bool = False) -> DataFrame:
     """(agent_norm, hop): all agents within ``hops`` edges, by the least number of them.
 
     A step reads the edges, written once, for those that have an end in its front.
     """
-    pairs = kept(edges.where("source != target").select("source", "target"), "pairs")
+    pairs = _pairs(edges, stored)
     seen = front = edges.sparkSession.createDataFrame([(agent, 0)], "agent_norm string, hop int")
     for hop in range(1, hops + 1):
         at = front.select("agent_norm")
@@ -411,21 +412,21 @@ def neighbourhood(edges: DataFrame, agent: str, hops: int) -> DataFrame:
     return seen
 
 
-def path(edges: DataFrame, source: str, target: str, most: int = 12) -> list[tuple[str, str]] | None:
+def path(edges: DataFrame, source: str, target: str, most: int = 12, stored: bool = False) -> list[tuple[str, str]] | None:
     """The hops of a shortest path, or None where it is longer than ``most``; ties by the least name."""
-    ways = _both_ways(edges).persist()
-    try:
-        return _shortest(ways, source, target, most)
-    finally:
-        ways.unpersist()
+    return _shortest(_pairs(edges, stored), source, target, most)
 
 
-def _next(ways: DataFrame, front: DataFrame) -> DataFrame:
-    """(agent_norm, parent): the neighbours of a front, each with its least neighbour there."""
-    return ways.join(front.select(F.col("agent_norm").alias("source")), "source").groupBy(F.col("target").alias("agent_norm")).agg(F.min("source").alias("parent"))
+def _next(pairs: DataFrame, front: DataFrame) -> DataFrame:
+    """(agent_norm, parent): the neighbours of a front, each with its least neighbour there.
+
+    Edges are read as they lie, from either end, so that a step moves only those that its front touches.
+    """
+    at = lambda x, y: pairs.join(front.select(F.col("agent_norm").alias(x)), x).select(F.col(y).alias("agent_norm"), F.col(x).alias("parent"))
+    return at("source", "target").unionByName(at("target", "source")).groupBy("agent_norm").agg(F.min("parent").alias("parent"))
 
 
-def _shortest(ways: DataFrame, source: str, target: str, most: int) -> list[tuple[str, str]] | None:
+def _shortest(pairs: DataFrame, source: str, target: str, most: int) -> list[tuple[str, str]] | None:
     """Fronts grow from both ends, the smaller first, a whole step at a time, until they meet.
 
     What is on a shortest path on the target's side is then found from where they met: the agents of its
@@ -434,12 +435,12 @@ def _shortest(ways: DataFrame, source: str, target: str, most: int) -> list[tupl
     """
     if source == target:
         return []
-    start = lambda a: ways.sparkSession.createDataFrame([(a, None)], "agent_norm string, parent string")
+    start = lambda a: pairs.sparkSession.createDataFrame([(a, None)], "agent_norm string, parent string")
     sides = ([start(source)], [start(target)])  # the fronts of each end, by step
     seen, sizes = [s[0].select("agent_norm") for s in sides], [1, 1]
     for _ in range(most):
         k = 0 if sizes[0] <= sizes[1] else 1
-        front = kept(_next(ways, sides[k][-1]).join(seen[k], "agent_norm", "left_anti"), "front")
+        front = kept(_next(pairs, sides[k][-1]).join(seen[k], "agent_norm", "left_anti"), "front")
         sizes[k] = front.count()
         if not sizes[k]:
             return None
@@ -453,7 +454,7 @@ def _shortest(ways: DataFrame, source: str, target: str, most: int) -> list[tupl
     steps = [*sides[0][1:-1], met] if len(sides[0]) > 1 else []
     at = met
     for front in sides[1][-2::-1]:
-        at = kept(_next(ways, at).join(front.select("agent_norm"), "agent_norm", "left_semi"), "way")
+        at = kept(_next(pairs, at).join(front.select("agent_norm"), "agent_norm", "left_semi"), "way")
         steps.append(at)
     n = len(steps)
     trace = steps[-1].where(F.col("agent_norm") == target).select(F.col("agent_norm").alias(f"x{n}"), F.col("parent").alias(f"x{n - 1}"))

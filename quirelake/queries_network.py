@@ -55,10 +55,10 @@ query("k_hop_neighbours", _BOTH + _HOPS + " select x as agent_norm, cast(min(h)
 
 @query("path_bfs", _BOTH + _HOPS + ", far as (select max(x) as x from (select x from hop2 except select x from hop1 except select 'supplier#000000003')) select case when x is null then 1 else 2 end as hops from far")
 def path_bfs(spark, d):
-    e = kept(_edges(spark, d).select("source", "target"), "edges")  # three searches read them
-    far = network.neighbourhood(e, "supplier#000000003", 2).where("hop = 2").agg(F.max("agent_norm").alias("x")).first()["x"]
-    near = network.neighbourhood(e, "supplier#000000003", 1).where("hop = 1").agg(F.max("agent_norm").alias("x")).first()["x"]
-    return spark.createDataFrame([(len(network.path(e, "supplier#000000003", far or near)),)], "hops int")
+    e = kept(_edges(spark, d).select("source", "target"), "edges")  # both searches read them
+    last = lambda hop: F.max(F.when(F.col("hop") == hop, F.col("agent_norm")))
+    far, near = network.neighbourhood(e, "supplier#000000003", 2, stored=True).agg(last(2), last(1)).first()
+    return spark.createDataFrame([(len(network.path(e, "supplier#000000003", far or near, stored=True)),)], "hops int")
 
 
 query("alias_search", with_sql("agents", "agent_authorities", "agent_aliases") + "select agent_norm, cast(min(via) as boolean) as via_alias, case when min(via) = 0 then null else min(alias_form) end as alias_form from (select distinct agent_norm, 0 as via, null as alias_form from agents where agent_norm like '%no 1%' union all select distinct a.agent_norm, 1, al.alias_form_lower from agent_aliases al join agent_authorities aa on aa.id = al.authority_id join agents a on a.authority_uri = aa.authority_uri where al.alias_form_lower like '%no 1%') group by 1 order by 2, 1 limit 20")(lambda spark, d: network.search(catalog(spark, d), "NO 1", 20))

@@ -70,3 +70,10 @@ def test_degrees_read_the_edges_once(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "b"), ("c", "b")], "source string, target string")
     got = network.degrees(e)
     assert {r["agent_norm"]: r["degree"] for r in got.collect()} == {"a": 1, "b": 3, "c": 1} and "Union" not in plan(got)
+
+
+def test_a_path_does_not_shuffle_all_edges(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "a"), ("c", "c")], "source string, target string")
+    step = network._next(network._pairs(e, False), spark.createDataFrame([("b",)], "agent_norm string"))
+    assert {tuple(r) for r in step.collect()} == {("a", "b"), ("c", "b")} and "Distinct" not in plan(step) and plan(step).count("Aggregate") == 1
+    assert network.path(e, "a", "c", stored=True) == network.path(e, "a", "c") == [("a", "b"), ("b", "c")]
