@@ -326,9 +326,17 @@ def merge_duplicates(node_table: DataFrame, edges: DataFrame) -> tuple[DataFrame
 
 
 def drop_orphans(edges: DataFrame, node_table: DataFrame) -> DataFrame:
-    """The edges both of whose ends are nodes."""
-    have = node_table.select("agent_norm").distinct()
-    return edges.join(have, F.col("source") == F.col("agent_norm"), "left_semi").join(have, F.col("target") == F.col("agent_norm"), "left_semi")
+    """The edges both of whose ends are nodes.
+
+    Both are stored, so that they are derived once and counted. Edges are dealt by either end to as many tasks as
+    they ask for; a task holds its nodes, and its edges pass by without being sorted.
+    """
+    edges, have = kept(edges, "edges"), kept(node_table.select("agent_norm").distinct(), "nodes")
+    n = tasks(edges)
+    for end in ("source", "target"):
+        # nodes are distinct, so this is a semi join, but one that the optimizer does not move below the dealing
+        edges = edges.repartition(n, end).join(have.repartition(n, "agent_norm").hint("shuffle_hash"), F.col(end) == F.col("agent_norm")).drop("agent_norm")
+    return edges
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -361,11 +369,11 @@ def select_edges(edges: DataFrame, types: list[str] | None = None, least: float
 
 def map_nodes(node_table: DataFrame, edges: DataFrame, limit: int, types: list[str] | None = None, least: float = 0.0, among: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The ``limit`` nodes of most edges, and the edges between them; ``among``(agent_norm) narrows first."""
-    kept = select_edges(edges, types, least)
     table = node_table if among is None else node_table.join(among, "agent_norm", "left_semi")
-    kept = drop_orphans(kept, table)
-    top = table.join(degrees(kept), "agent_norm").orderBy(F.desc("degree"), "agent_norm").limit(limit)
-    return top, drop_orphans(kept, top)
+    inside = drop_orphans(select_edges(edges, types, least), table)
+    top = table.join(degrees(inside), "agent_norm").orderBy(F.desc("degree"), "agent_norm").limit(limit)
+    few = F.broadcast(top.select("agent_norm"))  # at most ``limit`` rows
+    return top, inside.join(few, F.col("source") == F.col("agent_norm"), "left_semi").join(few, F.col("target") == F.col("agent_norm"), "left_semi")
 
 
 def best_edges(edges: DataFrame) -> DataFrame:

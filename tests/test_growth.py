@@ -77,3 +77,11 @@ def test_a_path_does_not_shuffle_all_edges(spark):
     step = network._next(network._pairs(e, False), spark.createDataFrame([("b",)], "agent_norm string"))
     assert {tuple(r) for r in step.collect()} == {("a", "b"), ("c", "b")} and "Distinct" not in plan(step) and plan(step).count("Aggregate") == 1
     assert network.path(e, "a", "c", stored=True) == network.path(e, "a", "c") == [("a", "b"), ("b", "c")]
+
+
+def test_orphans_are_dropped_in_tasks_by_the_edges(spark, monkeypatch):
+    monkeypatch.setattr(shared, "MOST_RECORDS", 10)
+    e = spark.range(95).selectExpr("concat('n', id) as source", "concat('n', id + 1) as target")
+    got = network.drop_orphans(e, spark.range(2, 60).selectExpr("concat('n', id) as agent_norm"))
+    assert plan(got).count("RepartitionByExpression [source") == 1 and plan(got).count("], 10") == 4
+    assert {int(r["source"][1:]) for r in got.collect()} == set(range(2, 59))
