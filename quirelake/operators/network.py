@@ -244,9 +244,13 @@ def wiki_links(cat: Catalog) -> DataFrame:
 
 
 def merge_edges(parts: list[DataFrame]) -> DataFrame:
-    """The parts together; of equal (source, target, type) the first part's, by least evidence."""
-    ranked = [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]
-    return first_wins(reduce(DataFrame.unionByName, ranked), ["source", "target", "type"], ["_part", "evidence"]).drop("_part")
+    """The parts together; of equal (source, target, type) the first part's, by least evidence.
+
+    They are stored, so that they are derived once and counted, and dealt to as many tasks as they ask for.
+    """
+    keys, ranked = ["source", "target", "type"], [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]
+    rows = kept(reduce(DataFrame.unionByName, ranked), "parts")
+    return first_wins(rows.repartition(tasks(rows), *keys), keys, ["_part", "evidence"]).drop("_part")
 
 
 def display_names(cat: Catalog) -> DataFrame:

@@ -34,7 +34,7 @@ def _edges(spark, d):
 
 
 query("degree", _CO + " select agent_norm, count(*) as degree from (select source as agent_norm from co union all select target from co) group by 1")(lambda spark, d: network.degrees(_edges(spark, d)))
-query("edge_dedup", _CO + " select source, target, type, confidence from co")(lambda spark, d: network.merge_edges([e := _edges(spark, d), e.withColumn("confidence", F.lit(0.0))]).select("source", "target", "type", "confidence"))
+query("edge_dedup", _CO + " select source, target, type, confidence from co")(lambda spark, d: network.merge_edges([e := kept(_edges(spark, d), "edges"), e.withColumn("confidence", F.lit(0.0))]).select("source", "target", "type", "confidence"))
 query("orphan_cleanup", _CO + " select source, target from co where right(source, 1) <> '3' and right(target, 1) <> '3'")(lambda spark, d: network.drop_orphans(_edges(spark, d), catalog(spark, d).agents.where("right(agent_norm, 1) <> '3'")).select("source", "target"))
 
 

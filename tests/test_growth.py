@@ -85,3 +85,11 @@ def test_orphans_are_dropped_in_tasks_by_the_edges(spark, monkeypatch):
     got = network.drop_orphans(e, spark.range(2, 60).selectExpr("concat('n', id) as agent_norm"))
     assert plan(got).count("RepartitionByExpression [source") == 1 and plan(got).count("], 10") == 4
     assert {int(r["source"][1:]) for r in got.collect()} == set(range(2, 59))
+
+
+def test_edges_are_merged_in_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(shared, "MOST_RECORDS", 10)
+    e = spark.range(40).selectExpr("concat('n', id % 20) as source", "'x' as target", "'k' as type", "cast(id as string) as evidence", "1.0D as confidence")
+    got = network.merge_edges([e, e.withColumn("confidence", F.lit(0.0))])
+    assert plan(got).count("RepartitionByExpression") == 1 and plan(got).count("], 8") == 1
+    assert {r["source"]: (r["evidence"], r["confidence"]) for r in got.collect()} == {f"n{i}": (min(str(i), str(i + 20)), 1.0) for i in range(20)}
