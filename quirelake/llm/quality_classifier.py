@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from . import textnum as tn
-from .common import arrow_map, staged
+from .common import arrow_map, give_back, staged
 
 BITS, DIM = 18, 16
 ORDERS = (3, 4, 5)
@@ -89,6 +89,11 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(slots), np.concatenate(owners)
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """The counts in the smallest type that holds them, which for most texts is a byte each."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))) if len(counts) else counts
+
+
 def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, rate: float = 8.0, seed: int = 11) -> Model:
     """SGD over (slots, counts, label)."""
     labels = np.array([y for *_, y in examples])
@@ -96,7 +101,9 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, ra
         share = float(labels[0]) if len(labels) else 0.5
         return Model(np.zeros(1 << BITS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     rng = np.random.default_rng(seed)
-    vectors = ((rng.random((1 << BITS, DIM), np.float32) - 0.5) / DIM).astype(np.float32)
+    vectors = rng.random((1 << BITS, DIM), np.float32)
+    vectors -= 0.5  # in place, as each copy takes as much again of the driver's memory
+    vectors /= DIM
     out, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
     steps, done = epochs * len(examples), 0
     for _ in range(epochs):
@@ -155,8 +162,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", learn:
     chosen = sizes.withColumn("up_to", up_to).where(F.col("up_to") <= 4 * most_features).select("doc_id", "mark")
     examples: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
     for r in rows.join(F.broadcast(chosen), ["doc_id", "mark"]).toLocalIterator():  # a partition at a time
-        examples[r["doc_id"]] = (np.frombuffer(r["u"], "<u4").view(np.int32), np.frombuffer(r["c"], "<u4"), r["y"])
-    return fit([examples[i] for i in sorted(examples)])
+        examples[r["doc_id"]] = (np.frombuffer(r["u"], "<u4").view(np.int32), narrow(np.frombuffer(r["c"], "<u4")), r["y"])
+    model = fit([examples.pop(i) for i in sorted(examples)])
+    give_back()  # what training took, before the driver plans what follows
+    return model
 
 
 def score(docs: DataFrame, model: Model, out_col: str = "score") -> DataFrame:

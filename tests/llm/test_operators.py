@@ -391,6 +391,12 @@ def brute_groups(texts, k, percent=80):
     return want | {i: i for i in by.get((), [])}, {i: len(sets[a]) for a, w in enumerate(seqs) for i in by[w]}
 
 
+def test_training_keeps_counts_small():
+    for counts, kind in (([1, 255], "u1"), ([1, 256], "u2"), ([70_000], "u4"), ([], "u4")):
+        c = quality_classifier.narrow(np.array(counts, "<u4"))
+        assert c.dtype == np.dtype(kind) and c.tolist() == counts and int(c.sum()) == sum(counts)
+
+
 def test_near_duplicate_groups(docs, texts):
     for k in (4, 5):
         want, sizes = brute_groups([(i * 3, t) for i, t in enumerate(texts)], k)
