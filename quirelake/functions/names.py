@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import UNICODE, collapse, nfkc, strip, unbracket
+from .text import UNICODE, bound, collapse, nfkc, strip, unbracket
 
 #: Relator codes with their terms.
 RELATORS = {
@@ -31,9 +31,14 @@ def _result(value: Column, display: Column, confidence: Column, method: Column)
     return F.struct(value.alias("value"), display.alias("display"), confidence.cast("double").alias("confidence"), method.alias("method"))
 
 
+def bare_name(raw: Column) -> Column:
+    """Without outer blanks, final ``:,;/`` and brackets around the whole."""
+    return unbracket(strip(F.regexp_replace(strip(raw), "[:,;/]+$", "")))
+
+
 def clean_name(raw: Column, exact: bool = True) -> Column:
-    """Without outer blanks, final ``:,;/`` and brackets around the whole, composed by NFKC."""
-    return nfkc(unbracket(strip(F.regexp_replace(strip(raw), "[:,;/]+$", ""))), exact)
+    """``bare_name`` composed by NFKC."""
+    return nfkc(bare_name(raw), exact)
 
 
 def normalize_imprint_name(raw: Column, kind: str, alias: Column | None = None, exact: bool = True) -> Column:
@@ -42,32 +47,55 @@ def normalize_imprint_name(raw: Column, kind: str, alias: Column | None = None,
     ``alias`` is the canonical key that an alias map has for the folded name, joined beforehand (see
     ``imprint_key``), or null.
     """
-    clean = clean_name(raw, exact)
-    key = F.lower(clean)
+    return imprint_value(raw, clean_name(raw, exact), kind, alias)
+
+
+def imprint_value(raw: Column, clean: Column, kind: str, alias: Column | None = None) -> Column:
+    """``normalize_imprint_name`` of a name whose ``clean_name`` is known."""
     none, blank = F.lit(None).cast("string"), F.lit("")
-    out = F.when(raw.isNull() | (raw == ""), _result(none, blank, F.lit(0.0), F.lit("missing"))).when(clean == "", _result(none, blank, F.lit(0.0), F.lit("empty_after_cleaning")))
-    if alias is not None:
-        out = out.when(alias.isNotNull(), _result(alias, clean, F.lit(0.95), F.lit(f"{kind}_alias_map")))
-    return out.otherwise(_result(key, clean, F.lit(0.80), F.lit(f"{kind}_casefold_strip")))
+
+    def value(clean: Column) -> Column:
+        out = F.when(raw.isNull() | (raw == ""), _result(none, blank, F.lit(0.0), F.lit("missing"))).when(clean == "", _result(none, blank, F.lit(0.0), F.lit("empty_after_cleaning")))
+        if alias is not None:
+            out = out.when(alias.isNotNull(), _result(alias, clean, F.lit(0.95), F.lit(f"{kind}_alias_map")))
+        return out.otherwise(_result(F.lower(clean), clean, F.lit(0.80), F.lit(f"{kind}_casefold_strip")))
+
+    return bound(clean, value)
 
 
 def imprint_key(raw: Column, exact: bool = True) -> Column:
     return F.lower(clean_name(raw, exact))
 
 
+def bare_agent(raw: Column) -> Column:
+    return unbracket(strip(raw))
+
+
+def agent_form(composed: Column) -> Column:
+    """The key of an agent's ``bare_agent`` composed by NFKC."""
+    return collapse(F.regexp_replace(F.lower(composed), "[.,;:]+$", ""))
+
+
 def agent_key(raw: Column, exact: bool = True) -> Column:
-    bare = F.regexp_replace(F.lower(nfkc(unbracket(strip(raw)), exact)), "[.,;:]+$", "")
-    return collapse(bare)
+    return agent_form(nfkc(bare_agent(raw), exact))
 
 
 def normalize_agent(raw: Column, decision: Column | None = None, canonical: Column | None = None, confidence: Column | None = None, exact: bool = True) -> Column:
     """struct<value, display, confidence, method> of a raw agent; decision is an alias map's, joined by ``agent_key``."""
-    key = agent_key(raw, exact)
-    out = F.when(raw.isNull() | (key == ""), _result(F.lit(""), F.coalesce(raw, F.lit("")), F.lit(0.0), F.lit("empty_after_cleaning")))
-    if decision is not None:
-        out = out.when(decision == "MAP", _result(canonical, raw, F.coalesce(confidence, F.lit(0.95)), F.lit("alias_map")))
-        out = out.when(decision == "AMBIGUOUS", _result(F.lit("ambiguous"), raw, F.coalesce(confidence, F.lit(0.5)), F.lit("ambiguous")))
-    return out.otherwise(_result(key, raw, F.lit(0.80), F.lit("base_clean")))
+    return agent_value(raw, agent_key(raw, exact), decision, canonical, confidence)
+
+
+def agent_value(raw: Column, key: Column, decision: Column | None = None, canonical: Column | None = None, confidence: Column | None = None) -> Column:
+    """``normalize_agent`` of a name whose ``agent_key`` is known."""
+
+    def value(key: Column) -> Column:
+        out = F.when(raw.isNull() | (key == ""), _result(F.lit(""), F.coalesce(raw, F.lit("")), F.lit(0.0), F.lit("empty_after_cleaning")))
+        if decision is not None:
+            out = out.when(decision == "MAP", _result(canonical, raw, F.coalesce(confidence, F.lit(0.95)), F.lit("alias_map")))
+            out = out.when(decision == "AMBIGUOUS", _result(F.lit("ambiguous"), raw, F.coalesce(confidence, F.lit(0.5)), F.lit("ambiguous")))
+        return out.otherwise(_result(key, raw, F.lit(0.80), F.lit("base_clean")))
+
+    return bound(key, value)
 
 
 def normalize_role(raw: Column) -> Column:

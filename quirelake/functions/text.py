@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from ..shared import workers_import
 
@@ -20,6 +20,16 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _nfkc_all(s: pd.Series) -> pd.Series:
+    return s.map(lambda xs: [x if x is None else unicodedata.normalize("NFKC", x) for x in xs], na_action="ignore")
+
+
+def bound(c: Column, body) -> Column:
+    """``body`` of a value that is computed once for a row, however often the body names it."""
+    return F.transform(F.array(c), body)[0]
+
+
 def is_ascii(c: Column) -> Column:
     return F.octet_length(c) == F.length(c)
 
@@ -35,6 +45,20 @@ def nfkc(c: Column, exact: bool = True) -> Column:
     return F.when(is_ascii(c), c).otherwise(_nfkc(F.when(~is_ascii(c), c)))
 
 
+#: Latin, Greek, Cyrillic and Hebrew letters and punctuation that compatibility composition leaves as they are, alone and side by side.
+SETTLED = [chr(i) for a, b in ((0, 0x300), (0x370, 0x483), (0x48A, 0x530), (0x5D0, 0x5F5), (0x2010, 0x2028)) for i in range(a, b) if unicodedata.category(chr(i)) != "Cn" and unicodedata.normalize("NFKC", chr(i)) == chr(i)]
+_ENDS = [(a, b) for a, b in zip(["", *SETTLED], [*SETTLED, ""]) if not a or not b or ord(b) - ord(a) > 1]
+_UNSETTLED = "[^" + "".join(rf"\x{{{ord(b):x}}}-\x{{{ord(a):x}}}" for (_, b), (a, _) in zip(_ENDS, _ENDS[1:])) + "]"
+
+
+def nfkc_all(c: Column, exact: bool = True) -> Column:
+    """``nfkc`` of every string of an array; Python sees nulls for arrays whose characters are all settled."""
+    if not exact:
+        return c
+    workers_import()
+    return F.coalesce(_nfkc_all(F.when(F.exists(c, lambda x: ~is_ascii(x) & x.rlike(_UNSETTLED)), c)), c)
+
+
 def _base(c: str) -> str:
     """The letter that is left of a character without its marks; a final sigma is a sigma."""
     plain = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
@@ -99,7 +123,7 @@ def strip(c: Column) -> Column:
 
 def unbracket(c: Column) -> Column:
     """Without brackets that wrap the whole value."""
-    return F.when(c.startswith("[") & c.endswith("]") & (F.length(c) >= 2), strip(F.substring(c, F.lit(2), F.length(c) - 2))).otherwise(c)
+    return bound(c, lambda v: F.when(v.startswith("[") & v.endswith("]") & (F.length(v) >= 2), strip(F.substring(v, F.lit(2), F.length(v) - 2))).otherwise(v))
 
 
 def shorten(c: Column, most: int) -> Column:

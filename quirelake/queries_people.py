@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .functions import scores, text
 from .operators import authority, display, enrichment, network, quality
 from .registry import query
-from .shared import shared_dir
+from .shared import shared_dir, tasks
 from .sources import marc
 from .sources.driver_tables import SQL, catalog, with_sql
 from .sources.versioned import VersionedTable
@@ -241,18 +241,20 @@ def marc_ingest(spark, d):
     """
     o = spark.read.parquet(f"{d}/orders.parquet").join(spark.read.parquet(f"{d}/customer.parquet"), F.col("c_custkey") == F.col("o_custkey"))
     k = F.col("o_orderkey")
+    o = o.repartition(tasks(spark.read.parquet(f"{d}/orders.parquet")), k)
     say = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
-    field = lambda tag, *subs: say(f'<datafield tag="{tag}" ind1=" " ind2=" ">', *[x for code, v in subs for x in (f'<subfield code="{code}">', v, "</subfield>")], "</datafield>")
-    xml = say(
-        "<record><leader>00000nam a2200000</leader>", F.when(k % 7 != 0, say('<controlfield tag="001">', F.lpad(k.cast("string"), 10, "0"), "</controlfield>")).otherwise(""),
-        '<controlfield tag="008">850101s1565    ', F.when(k % 2 == 0, "it").otherwise("gw"), "            000 0 heb d</controlfield>",
-        field("100", ("a", say("Surname ", F.col("c_custkey"), ", Anna,"))), field("245", ("c", F.lit("by the press")), ("a", say("Title ", k))),
+    control = lambda tag, v: F.struct(F.lit(tag).alias("_tag"), v.alias("_VALUE"))
+    field = lambda tag, *subs: F.struct(F.lit(tag).alias("_tag"), F.lit(" ").alias("_ind1"), F.lit(" ").alias("_ind2"), F.array(*[F.struct(F.lit(code).alias("_code"), say(v).alias("_VALUE")) for code, v in subs]).alias("subfield"))
+    number, fixed = control("001", F.lpad(k.cast("string"), 10, "0")), control("008", say("850101s1565    ", F.when(k % 2 == 0, "it").otherwise("gw"), "            000 0 heb d"))
+    fields = F.array(
+        field("100", ("a", say("Surname ", F.col("c_custkey"), ", Anna,"))), field("245", ("c", "by the press"), ("a", say("Title ", k))),
         field("260", ("a", say("[", F.when(k % 3 == 0, "Köln").otherwise("Venice"), "] :")), ("b", say(F.col("c_name"), ",")), ("c", say("[", 1500 + k % 200, "]"))),
-        field("650", ("a", F.lit("Law")), ("x", say("History ", k % 9)), ("2", F.lit("lcsh"))), "</record>",
+        field("650", ("a", "Law"), ("x", say("History ", k % 9)), ("2", "lcsh")),
     )
+    xml = o.select(F.lit("00000nam a2200000").alias("leader"), F.when(k % 7 != 0, F.array(number, fixed)).otherwise(F.array(fixed)).alias("controlfield"), fields.alias("datafield"))
     path = f"{shared_dir(spark)}/marc-{uuid.uuid4().hex}"
-    files = o.groupBy(F.floor(k / 2000)).agg(say('<collection xmlns="http://www.loc.gov/MARC21/slim">', F.array_join(F.collect_list(xml), ""), "</collection>").alias("value"))
-    files.select("value").write.option("maxRecordsPerFile", 1).text(f"{path}/xml")  # a file is one collection of some hundred records
+    # a file is one collection of ten thousand records at most
+    xml.write.option("rootTag", 'collection xmlns="http://www.loc.gov/MARC21/slim"').option("rowTag", "record").option("indent", "").option("maxRecordsPerFile", 10_000).xml(f"{path}/xml")
     # the normalized records are written once and flattened into all tables from there
     marc.normalized(marc.canonical(marc.read_xml(spark, f"{path}/xml"))).write.parquet(f"{path}/records")
     t = marc.flatten(spark.read.parquet(f"{path}/records"), {"it": "italy"})

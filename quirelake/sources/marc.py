@@ -1,7 +1,8 @@
 """MARC XML into nested records whose every value names the fields it came from.
 
 The schema is given, all strings: inferred types would change identifiers and drop fields. Each part
-of a record is an expression over its arrays of fields, so a record is read in one pass.
+of a record, and its normal forms, are expressions over its arrays of fields, so a record is read in one
+pass and no row is shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.dates import normalize_date
+from ..functions.text import bound, nfkc_all
+from ..shared import kept
 
 RAW = "leader string, controlfield array<struct<_tag:string,_VALUE:string>>, datafield array<struct<_tag:string,_ind1:string,_ind2:string,subfield:array<struct<_code:string,_VALUE:string>>>>, _corrupt string"
 SUBJECT_TAGS = ("600", "610", "630", "650", "651")
@@ -39,7 +42,7 @@ def _in_order(*tags: str) -> Column:
     """The record's fields of the tags as they stand in it, each with ``occ``."""
     own = F.filter(_every(), lambda f: f["_tag"].isin(*tags))
     earlier = lambda o, f, i: F.size(F.filter(F.slice(o, F.lit(1), i), lambda g: g["_tag"] == f["_tag"]))
-    return F.transform(F.array(own), lambda o: F.transform(o, lambda f, i: F.struct(f["_tag"].alias("tag"), earlier(o, f, i).alias("occ"), f["subfield"].alias("sub"))))[0]
+    return bound(own, lambda o: F.transform(o, lambda f, i: F.struct(f["_tag"].alias("tag"), earlier(o, f, i).alias("occ"), f["subfield"].alias("sub"))))
 
 
 def _fields(*tags: str) -> Column:
@@ -52,6 +55,11 @@ def _fields(*tags: str) -> Column:
     return F.concat(*[own(t) for t in tags]) if len(tags) > 1 else own(tags[0])
 
 
+def _any_of(tags: tuple[str, ...], values: Column, kind: str = "value:string,source:array<string>") -> Column:
+    """``values``, which a record without fields of the tags has none of; functions on its arrays are not called then."""
+    return F.when(F.arrays_overlap("datafield._tag", F.array(*[F.lit(t) for t in tags])), values).otherwise(F.array().cast(f"array<struct<{kind}>>"))
+
+
 def _first(f: Column, code: str) -> Column:
     return F.get(F.filter(f["sub"], lambda s: s["_code"] == code), F.lit(0))["_VALUE"]
 
@@ -67,14 +75,12 @@ def _ref(f: Column, code) -> Column:
 
 def _sourced(f: Column, code: str) -> Column:
     """struct<value, source> of a field's first subfield, null where there is none."""
-    v = _first(f, code)
-    return F.when(v.isNotNull(), F.struct(v.alias("value"), F.array(_ref(f, code)).alias("source")))
+    return bound(_first(f, code), lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), F.array(_ref(f, code)).alias("source"))))
 
 
 def _joined(f: Column, keep, by: str = " ") -> Column:
     """struct<value, source> of the subfields that ``keep`` holds for, in their order."""
-    subs = F.filter(f["sub"], keep)
-    return F.struct(F.array_join(F.transform(subs, lambda s: s["_VALUE"]), by).alias("value"), F.transform(subs, lambda s: _ref(f, s["_code"])).alias("source"))
+    return bound(F.filter(f["sub"], keep), lambda subs: F.struct(F.array_join(F.transform(subs, lambda s: s["_VALUE"]), by).alias("value"), F.transform(subs, lambda s: _ref(f, s["_code"])).alias("source")))
 
 
 def _present(values: Column) -> Column:
@@ -83,39 +89,41 @@ def _present(values: Column) -> Column:
 
 def _title(f: Column) -> Column:
     """Subfields a, then b, then c, whatever their order in the field."""
-    of = lambda code: F.filter(f["sub"], lambda s: s["_code"] == code)
-    parts = F.concat(of("a"), of("b"), of("c"))
-    text = F.trim(F.array_join(F.transform(parts, lambda s: s["_VALUE"]), " "))
-    return F.when(F.size(parts) > 0, F.struct(text.alias("value"), F.array_distinct(F.transform(parts, lambda s: F.concat(f["tag"], F.lit("$"), s["_code"]))).alias("source")))
+
+    def joined(f: Column, parts: Column) -> Column:
+        text = F.trim(F.array_join(F.transform(parts, lambda s: s["_VALUE"]), " "))
+        return F.when(F.size(parts) > 0, F.struct(text.alias("value"), F.array_distinct(F.transform(parts, lambda s: F.concat(f["tag"], F.lit("$"), s["_code"]))).alias("source")))
+
+    of = lambda f, code: F.filter(f["sub"], lambda s: s["_code"] == code)
+    return bound(f, lambda f: bound(F.concat(of(f, "a"), of(f, "b"), of(f, "c")), lambda parts: joined(f, parts)))
 
 
 def _subject(f: Column) -> Column:
-    shown = F.filter(f["sub"], lambda s: ~s["_code"].isin("2", "9", "0", "6", "8"))
-    codes = F.array_distinct(F.transform(shown, lambda s: s["_code"]))
-    parts = F.map_from_entries(F.transform(codes, lambda c: F.struct(c, F.transform(F.filter(shown, lambda s: s["_code"] == c), lambda s: s["_VALUE"]))))
-    return F.struct(
-        F.array_join(F.transform(shown, lambda s: s["_VALUE"]), " -- ").alias("value"), F.transform(shown, lambda s: _ref(f, s["_code"])).alias("source"),
-        f["tag"].alias("source_tag"), _last(f, "2").alias("scheme"), _last(f, "9").alias("heading_lang"), _last(f, "0").alias("authority_uri"), parts.alias("parts"),
-    )
+    def heading(shown: Column) -> Column:
+        codes = F.array_distinct(F.transform(shown, lambda s: s["_code"]))
+        parts = F.map_from_entries(F.transform(codes, lambda c: F.struct(c, F.transform(F.filter(shown, lambda s: s["_code"] == c), lambda s: s["_VALUE"]))))
+        return F.struct(
+            F.array_join(F.transform(shown, lambda s: s["_VALUE"]), " -- ").alias("value"), F.transform(shown, lambda s: _ref(f, s["_code"])).alias("source"),
+            f["tag"].alias("source_tag"), _last(f, "2").alias("scheme"), _last(f, "9").alias("heading_lang"), _last(f, "0").alias("authority_uri"), parts.alias("parts"),
+        )
+
+    return bound(F.filter(f["sub"], lambda s: ~s["_code"].isin("2", "9", "0", "6", "8")), heading)
 
 
 def _agent(f: Column) -> Column:
-    kind, name, ok = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False)
-    used = F.array().cast("array<string>")
+    kind, values, used = F.lit(None).cast("string"), F.array().cast("array<string>"), F.array().cast("array<string>")
     for ending, (label, codes) in AGENTS.items():
         own = f["tag"].endswith(ending)
-        values = _present(F.array(*[_first(f, c) for c in codes]))
-        kind, name = F.when(own, label).otherwise(kind), F.when(own, F.array_join(values, " ")).otherwise(name)
-        ok = F.when(own, F.size(values) > 0).otherwise(ok)
+        kind, values = F.when(own, label).otherwise(kind), F.when(own, _present(F.array(*[_first(f, c) for c in codes]))).otherwise(values)
         refs = _present(F.array(*[F.when(_first(f, c).isNotNull(), _ref(f, c)) for c in codes]))
         used = F.when(own, refs).otherwise(used)
     code, term = _first(f, "4"), _first(f, "e")
     inferred = F.try_element_at(F.create_map(*[F.lit(x) for kv in INFERRED.items() for x in kv]), f["tag"])
     source = F.when(code.isNotNull(), "relator_code").when(term.isNotNull(), "relator_term").when(inferred.isNotNull(), "inferred_from_tag").otherwise("unknown")
-    return F.when(ok, F.struct(
-        name.alias("name"), used.alias("source"), F.when(f["tag"].startswith("1"), "main").otherwise("added").alias("entry_role"),
+    return bound(values, lambda v: F.when(F.size(v) > 0, F.struct(
+        F.array_join(v, " ").alias("name"), used.alias("source"), F.when(f["tag"].startswith("1"), "main").otherwise("added").alias("entry_role"),
         F.when(kind != "corporate", _first(f, "d")).alias("dates"), F.coalesce(code, term, inferred).alias("function"), source.alias("role_source"), kind.alias("agent_type"), _first(f, "0").alias("authority_uri"),
-    ))
+    )))
 
 
 def _indexed(values: Column, name: str) -> Column:
@@ -134,16 +142,16 @@ def canonical(raw: DataFrame, source_file: str | None = None) -> DataFrame:
     return raw.select(
         F.trim(_control("001")).alias("mms_id"), F.lit(source_file).alias("source_file"),
         _title(F.get(tags("245"), F.lit(0))).alias("title"),
-        F.transform(F.slice(tags("240"), 1, 1), lambda f: _joined(f, drop("0", "6", "8", "9"))).alias("uniform_titles"),
-        F.filter(F.transform(tags("246"), lambda f: _joined(f, drop("6", "8"))), some).alias("variant_titles"),
-        imprints.alias("imprints"), F.coalesce(languages, F.array().cast("array<struct<value:string,source:array<string>>>")).alias("languages"),
+        _any_of(("240",), F.transform(F.slice(tags("240"), 1, 1), lambda f: _joined(f, drop("0", "6", "8", "9")))).alias("uniform_titles"),
+        _any_of(("246",), F.filter(F.transform(tags("246"), lambda f: _joined(f, drop("6", "8"))), some)).alias("variant_titles"),
+        imprints.alias("imprints"), F.coalesce(_any_of(("041",), languages), F.array().cast("array<struct<value:string,source:array<string>>>")).alias("languages"),
         F.when(F.length(fixed) >= 38, F.nullif(F.trim(F.substring(fixed, 36, 3)), F.lit(""))).alias("language_fixed"),
         F.when(F.length(fixed) >= 18, F.nullif(F.trim(F.substring(fixed, 16, 3)), F.lit(""))).alias("country_code_fixed"),
         F.filter(F.transform(_in_order(*SUBJECT_TAGS), _subject), some).alias("subjects"),
         _indexed(_present(F.transform(tags("100", "110", "111", "700", "710", "711"), _agent)), "agent_index").alias("agents"),
-        F.filter(F.transform(_in_order(*NOTE_TAGS), lambda f: _joined(f, drop("2", "6", "8", "9")).withField("tag", f["tag"])), some).alias("notes"),
-        F.filter(F.transform(tags("300"), lambda f: _joined(f, drop("6", "8"))), some).alias("physical_description"),
-        F.filter(F.transform(tags("541"), lambda f: _joined(f, drop("6", "8"))), some).alias("acquisition"),
+        _any_of(NOTE_TAGS, F.filter(F.transform(_in_order(*NOTE_TAGS), lambda f: _joined(f, drop("2", "6", "8", "9")).withField("tag", f["tag"])), some), "value:string,source:array<string>,tag:string").alias("notes"),
+        _any_of(("300",), F.filter(F.transform(tags("300"), lambda f: _joined(f, drop("6", "8"))), some)).alias("physical_description"),
+        _any_of(("541",), F.filter(F.transform(tags("541"), lambda f: _joined(f, drop("6", "8"))), some)).alias("acquisition"),
     ).where("mms_id is not null and mms_id != ''")
 
 
@@ -171,29 +179,42 @@ def normalized(records: DataFrame, places: DataFrame | None = None, publishers:
     """``records`` with ``m2``: imprints_norm by position and agents_norm by agent_index.
 
     Alias maps are (key, canonical), of agents (key, decision, canonical, confidence); a name that its
-    map knows takes the map's value. What was read is not changed.
+    map knows takes the map's value. What was read is not changed. Records are read once and stay where
+    they are; only with alias maps are they stored first, and the names that a map knows brought to them.
     """
-    im = records.select("mms_id", F.posexplode("imprints").alias("i", "x"))
-    for part, aliases in (("place", places), ("publisher", publishers)):
-        raw = F.col(f"x.{part}.value")
-        if aliases is not None:
-            known = aliases.select(F.col("key").alias("_k"), F.col("canonical").alias(f"_{part}"))
-            im = im.join(known, names.imprint_key(raw, exact) == F.col("_k"), "left").drop("_k")
-        else:
-            im = im.withColumn(f"_{part}", F.lit(None).cast("string"))
-    im = im.select("mms_id", F.struct("i", normalize_date(F.col("x.date.value")).alias("date"), names.normalize_imprint_name(F.col("x.place.value"), "place", F.col("_place"), exact).alias("place"), names.normalize_imprint_name(F.col("x.publisher.value"), "publisher", F.col("_publisher"), exact).alias("publisher")).alias("n"))
-    im = im.groupBy("mms_id").agg(F.array_sort(F.collect_list("n")).alias("imprints_norm"))
-    ag = records.select("mms_id", F.explode("agents").alias("x"))
-    if agents is not None:
-        known = agents.select(F.col("key").alias("_k"), "decision", "canonical", "confidence")
-        ag = ag.join(known, names.agent_key(F.col("x.name"), exact) == F.col("_k"), "left")
-        value = names.normalize_agent(F.col("x.name"), F.col("decision"), F.col("canonical"), F.col("confidence"), exact)
-    else:
-        value = names.normalize_agent(F.col("x.name"), exact=exact)
-    ag = ag.select("mms_id", F.struct(F.col("x.agent_index").alias("agent_index"), value.alias("agent"), names.normalize_role(F.col("x.function")).alias("role")).alias("n"))
-    ag = ag.groupBy("mms_id").agg(F.array_sort(F.collect_list("n")).alias("agents_norm"))
-    out = records.join(im, "mms_id", "left").join(ag, "mms_id", "left")
-    return out.withColumn("m2", F.struct("imprints_norm", "agents_norm")).drop("imprints_norm", "agents_norm")
+    maps = {k: v for k, v in {"place": places, "publisher": publishers, "agent": agents}.items() if v is not None}
+    out = kept(records, "marc") if maps else records
+    imprinted = lambda part: F.transform("imprints", lambda x: names.bare_name(x[part]["value"]))
+    bare = {"_place": imprinted("place"), "_publisher": imprinted("publisher"), "_agent": F.transform("agents", lambda x: names.bare_agent(x["name"]))}
+    out = out.withColumns(bare).withColumns({c: nfkc_all(F.col(c), exact) for c in bare})
+    key = {"place": F.lower, "publisher": F.lower, "agent": names.agent_form}
+    tagged = lambda part, k: F.concat(F.lit(f"{part} "), k)
+    if maps:
+        empty = {c: F.lit(None).cast(t) for c, t in (("decision", "string"), ("confidence", "double"))}
+        known = reduce(DataFrame.unionByName, [
+            m.withColumns({c: v for c, v in empty.items() if c not in m.columns}).select(tagged(part, F.col("key")).alias("_k"), F.struct("decision", "canonical", F.col("confidence").cast("double").alias("confidence")).alias("v")) for part, m in maps.items()
+        ]).groupBy("_k").agg(F.min("v").alias("v"))
+        keys = lambda part: F.coalesce(F.transform(f"_{part}", lambda x: tagged(part, key[part](x))), F.array().cast("array<string>"))
+        sought = F.concat(*[keys(part) for part in maps])
+        hits = out.select("mms_id", F.explode(sought).alias("_k")).join(known, "_k").groupBy("mms_id").agg(F.map_from_entries(F.collect_set(F.struct("_k", "v"))).alias("_known"))
+        out = out.join(hits, "mms_id", "left")
+    found = lambda part, x: F.try_element_at("_known", tagged(part, key[part](x))) if part in maps else None
+
+    def imprint(z: Column, i: Column) -> Column:
+        def value(part: str) -> Column:
+            hit = found(part, z[f"_{part}"])
+            return names.imprint_value(z["imprints"][part]["value"], z[f"_{part}"], part, None if hit is None else hit["canonical"])
+
+        return F.struct(i.alias("i"), normalize_date(z["imprints"]["date"]["value"]).alias("date"), value("place").alias("place"), value("publisher").alias("publisher"))
+
+    def agent(z: Column) -> Column:
+        hit = found("agent", z["_agent"])
+        value = names.agent_value(z["agents"]["name"], names.agent_form(z["_agent"]), *(() if hit is None else (hit["decision"], hit["canonical"], hit["confidence"])))
+        return F.struct(z["agents"]["agent_index"].alias("agent_index"), value.alias("agent"), names.normalize_role(z["agents"]["function"]).alias("role"))
+
+    # the names are arguments of the zip: inside of its function they would be computed for each element
+    parts = (F.when(F.size("imprints") > 0, F.transform(F.arrays_zip("imprints", "_place", "_publisher"), imprint)).alias("imprints_norm"), F.when(F.size("agents") > 0, F.transform(F.arrays_zip("agents", "_agent"), agent)).alias("agents_norm"))
+    return out.select(*records.columns, F.struct(*parts).alias("m2"))
 
 
 def flatten(records: DataFrame, countries: dict[str, str] | None = None) -> dict[str, DataFrame]:

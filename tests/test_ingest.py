@@ -108,3 +108,42 @@ def test_batches_know_what_came_before(spark, tmp_path):
     assert "Parquet" not in str(spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""))
     with pytest.raises(ValueError):
         ingest.append_tables(ingest.follow_json(spark, source, schema), target, str(tmp_path / "other"))
+
+
+def test_records_are_read_once_and_stay_in_place(spark, tmp_path):
+    """XML is parsed once for all parts and their normal forms; two records of one identifier keep their own."""
+    raw = read(spark, tmp_path)
+    records = marc.normalized(marc.canonical(raw))
+    text = records._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Relation [") == 1 and not any(x in text for x in ("Join", "Aggregate", "Repartition"))
+    once = records.where("mms_id = '0007'").first()["m2"]
+    assert [x["i"] for x in once["imprints_norm"]] == [0, 1, 2] and [x["agent_index"] for x in once["agents_norm"]] == [0, 1, 2]
+    twice = marc.normalized(marc.canonical(raw.unionAll(raw))).where("mms_id = '0007'").collect()
+    assert [r["m2"] for r in twice] == [once, once]
+    assert records.where("mms_id = '8'").first()["m2"].asDict() == {"imprints_norm": None, "agents_norm": None}
+
+
+def test_alias_maps_of_all_parts(spark, tmp_path):
+    """Names meet their maps after NFKC, a map for each part; what no map knows is as without maps."""
+    (tmp_path / "r.xml").write_text(XML.replace("Bragadin,", "\uff22ragadin,"), encoding="utf-8")
+    records = marc.canonical(marc.read_xml(spark, str(tmp_path / "r.xml")))
+    one = lambda key, to: spark.createDataFrame([(key, to)], "key string, canonical string")
+    agents = spark.createDataFrame([("karo, joseph", "MAP", "karo", 0.9), ("oxford press", "AMBIGUOUS", None, None)], "key string, decision string, canonical string, confidence double")
+    m2 = marc.normalized(records, one("venice", "venezia"), one("bragadin", "bragadini"), agents).where("mms_id = '0007'").first()["m2"]
+    assert [(x["place"]["value"], x["publisher"]["value"], x["publisher"]["method"]) for x in m2["imprints_norm"]] == [("venezia", "bragadini", "publisher_alias_map"), (None, None, "missing"), ("rome", None, "missing")]
+    assert [(x["agent"]["value"], x["agent"]["confidence"], x["agent"]["method"]) for x in m2["agents_norm"]] == [("karo", 0.9, "alias_map"), ("bomberg, daniel", 0.8, "base_clean"), ("ambiguous", 0.5, "ambiguous")]
+    plain = marc.normalized(records).where("mms_id = '0007'").first()["m2"]["imprints_norm"][0]["publisher"]
+    assert (plain["value"], plain["display"]) == ("bragadin", "Bragadin")
+
+
+def test_settled_characters():
+    """NFKC changes no text of them, since it changes no two side by side."""
+    import re
+    import unicodedata
+
+    from quirelake.functions import text
+
+    assert all(unicodedata.normalize("NFKC", t) == t for t in ("".join(a + b for b in text.SETTLED) for a in text.SETTLED))
+    pattern = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), text._UNSETTLED))
+    settled = set(text.SETTLED)
+    assert all((pattern.search(chr(i)) is None) == (chr(i) in settled) for i in range(0x3000) if not 0xD800 <= i < 0xE000)
