@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 from ..shared import workers_import
 
@@ -20,9 +21,9 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _nfkc_all(s: pd.Series) -> pd.Series:
-    return s.map(lambda xs: [x if x is None else unicodedata.normalize("NFKC", x) for x in xs], na_action="ignore")
+@F.pandas_udf(StringType())
+def _nfkc_json(s: pd.Series) -> pd.Series:
+    return s.map(lambda xs: json.dumps([x if x is None else unicodedata.normalize("NFKC", x) for x in json.loads(xs)], ensure_ascii=False), na_action="ignore")
 
 
 def bound(c: Column, body) -> Column:
@@ -52,11 +53,14 @@ _UNSETTLED = "[^" + "".join(rf"\x{{{ord(b):x}}}-\x{{{ord(a):x}}}" for (_, b), (a
 
 
 def nfkc_all(c: Column, exact: bool = True) -> Column:
-    """``nfkc`` of every string of an array; Python sees nulls for arrays whose characters are all settled."""
+    """``nfkc`` of every string of an array; Python sees nulls for arrays whose characters are all settled.
+
+    Arrays go there as JSON: the size of a batch with list columns is counted anew for every row of it.
+    """
     if not exact:
         return c
     workers_import()
-    return F.coalesce(_nfkc_all(F.when(F.exists(c, lambda x: ~is_ascii(x) & x.rlike(_UNSETTLED)), c)), c)
+    return F.coalesce(F.from_json(_nfkc_json(F.when(F.exists(c, lambda x: ~is_ascii(x) & x.rlike(_UNSETTLED)), F.to_json(c))), "array<string>"), c)
 
 
 def _base(c: str) -> str:
