@@ -93,3 +93,21 @@ def test_edges_are_merged_in_tasks_by_their_number(spark, monkeypatch):
     got = network.merge_edges([e, e.withColumn("confidence", F.lit(0.0))])
     assert plan(got).count("RepartitionByExpression") == 1 and plan(got).count("], 8") == 1
     assert {r["source"]: (r["evidence"], r["confidence"]) for r in got.collect()} == {f"n{i}": (min(str(i), str(i + 20)), 1.0) for i in range(20)}
+
+
+def test_alike_spans_meet_as_arrays(spark, monkeypatch):
+    """What is decided of spans is decided for those that are alike at once, and they are moved together."""
+    spans = spark.range(600).selectExpr("'rome' as place", "concat('n', id) as agent", "1500 as lo", "1600 as hi", "if(id % 2 = 0, array(named_struct('place', 'acre', 'lo', 1500, 'hi', 1600)), array()) as before")
+    met = network._overlapping(spans, 10)
+    assert met.count() == 12  # two arrays of each kind; those of even agents met before
+    got = network.overlaps(spans, 10)
+    assert got.count() == got.select("a", "b").distinct().count() == 600 * 599 // 2 - 300 * 299 // 2
+    monkeypatch.setattr(network, "BLOCK", 7)
+    assert network.overlaps(spans, 10, cell=40).exceptAll(got).isEmpty() and network.overlaps(spans, 10, cell=40).count() == got.count()
+
+
+def test_contemporaries_meet_as_arrays(spark):
+    people = spark.range(400).selectExpr("concat('p', id) as agent_norm", "'Rome' as birth_place", "1500 as birth_year", "1560 as death_year")
+    pairs = network.lifespan_overlap(people)
+    assert pairs.count() == 400 * 399 // 2 and pairs.where("a >= b").isEmpty()
+    assert plan(pairs).count("Generate explode(xs") == plan(pairs).count("Generate explode(ys") == 1
