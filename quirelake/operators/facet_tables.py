@@ -36,12 +36,15 @@ def members(cat: Catalog, facets: tuple[str, ...] = tuple(FACETS)) -> DataFrame:
         told["imprints"].append((BANDS, band("publisher_confidence"), None))
     for f in facets:
         told.setdefault(FACETS[ALIASES.get(f, f)], []).append((f, *facet_value(ALIASES.get(f, f))))
-    parts = []
-    for table, values in told.items():  # one pass over each table
-        each = [F.struct(F.lit(f).alias("facet"), (v if keep is None else F.when(keep, v)).cast("string").alias("value")) for f, v, keep in values]
-        parts.append(getattr(cat, table).select("record_id", F.explode(F.array(*each)).alias("f")).select("record_id", "f.facet", "f.value"))
-    parts.append(cat.records.select(F.col("id").alias("record_id"), F.lit(EVERY).alias("facet"), F.lit("").alias("value")))
-    rows = reduce(DataFrame.unionByName, parts).where("value is not null and record_id is not null").repartition(tasks(cat.records), "record_id")
+    parts, names = [], [EVERY]
+    for table, values in told.items():  # one pass over each table, whose rows are moved whole
+        each = [(v if keep is None else F.when(keep, v)).cast("string") for _, v, keep in values]
+        parts.append(getattr(cat, table).select("record_id", F.lit(len(names)).alias("first"), F.array(*each).alias("values")))
+        names += [f for f, _, _ in values]
+    parts.append(cat.records.select(F.col("id").alias("record_id"), F.lit(0).alias("first"), F.array(F.lit("")).alias("values")))
+    moved = reduce(DataFrame.unionByName, parts).where("record_id is not null").repartition(tasks(cat.records), "record_id")
+    facet = F.array(*map(F.lit, names))[F.col("first") + F.col("at")].alias("facet")
+    rows = moved.select("record_id", "first", F.posexplode("values").alias("at", "value")).where("value is not null").select("record_id", facet, "value")
     n = F.when(F.col("facet") == BANDS, F.count("*")).otherwise(F.lit(1)).cast("long")
     one = rows.groupBy("record_id", "facet", "value").agg(n.alias("n"))
     return one.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("facet", "value", "n"))).alias("counts")).where(F.exists("counts", lambda c: c["facet"] == EVERY))
@@ -68,7 +71,7 @@ class FacetTables:
         """Counts of a first batch of records."""
         spark, path, new = cat.records.sparkSession, path.rstrip("/"), kept(members(cat, facets), "members")
         delta = cls._write(_merged(_signed(new, 1)), path)
-        VersionedTable.create(new, f"{path}/members", ["record_id"], buckets, {"deltas": [delta], "facets": list(facets)})
+        VersionedTable.create(new, f"{path}/members", ["record_id"], buckets, {"deltas": [delta], "facets": list(facets)}, wide=True)
         return cls(spark, path)
 
     @staticmethod
@@ -84,14 +87,14 @@ class FacetTables:
         """The counts with the records of ``cat``, whole, added or in the place of those with their id."""
         new = kept(members(cat, self.facets), "members")
         delta = self._write(_merged(_signed(self.table.held(new), -1).unionByName(_signed(new, 1))), self.path)
-        self.table.put(new, self._note(delta))
+        self.table.put(new, self._note(delta), wide=True)
         return FacetTables(self.spark, self.path)
 
     def remove(self, ids: DataFrame) -> FacetTables:
         """The counts without the records of ids(record_id); ids that are not there change nothing."""
         gone = kept(ids.select(F.col("record_id").cast(self.table.schema["record_id"].dataType).alias("record_id")).distinct(), "gone")
         delta = self._write(_merged(_signed(self.table.held(gone), -1)), self.path)
-        self.table.remove(gone, self._note(delta))
+        self.table.remove(gone, self._note(delta), wide=True)
         return FacetTables(self.spark, self.path)
 
     def compact(self) -> FacetTables:

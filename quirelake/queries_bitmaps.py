@@ -48,7 +48,10 @@ def _incremental(spark, d):
         of = {t: facets.within(getattr(cat, t), ids) for t in ("imprints", "agents", "languages", "titles", "subjects", "notes", "physical_descriptions") if getattr(cat, t) is not None}
         return Catalog(**cat.__dict__ | of | {"records": facets.within(cat.records, ids, "id")})
 
-    batch = lambda i: part(cat.records.where(F.pmod(F.xxhash64("id"), F.lit(4)) == i).select(F.col("id").alias("record_id")))
+    def batch(i):  # records are dealt by their number, so their rows in other tables are told by it, without a join
+        of = lambda t, key="record_id": t.where(F.pmod(F.xxhash64(key), F.lit(4)) == i)
+        return Catalog(**cat.__dict__ | {t: of(getattr(cat, t)) for t in ("imprints", "agents", "languages")} | {"records": of(cat.records, "id")})
+
     has = lambda code: cat.languages.where(F.col("code") == code).select("record_id").distinct()
     tables = FacetTables.create(batch(0), f"{shared_dir(spark)}/facets-{uuid.uuid4().hex}", tuple(_VALUES), 16)
     for i in (1, 2, 3):

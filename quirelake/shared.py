@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark import SparkContext
@@ -51,6 +52,17 @@ def tasks(records: DataFrame, rows: int = 1) -> int:
     return max(-(-n // MOST_RECORDS), min(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // FEW_RECORDS)), 1)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: object):
+    """The session with a setting, which afterwards is what it was."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def kept(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again.
 

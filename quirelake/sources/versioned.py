@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shared import MOST_RECORDS
+from ..shared import MOST_RECORDS, setting
 
 
 class VersionedTable:
@@ -41,11 +41,11 @@ class VersionedTable:
         return sorted(int(m[1]) for n in whole if (m := re.fullmatch(r"v(\d+)", n)))
 
     @classmethod
-    def create(cls, rows: DataFrame, path: str, key: list[str], buckets: int = 64, note: dict | None = None) -> VersionedTable:
+    def create(cls, rows: DataFrame, path: str, key: list[str], buckets: int = 64, note: dict | None = None, wide: bool = False) -> VersionedTable:
         """A new table; ``rows`` has each key once. A note is what the manifest says of the version besides."""
         new = cls.__new__(cls)
         new.spark, new.path, new.version, new.key, new.buckets, new.folders, new.schema, new.note = rows.sparkSession, path.rstrip("/"), 0, key, buckets, {}, rows.schema, {}
-        return new._commit(rows, dict.fromkeys(range(buckets), -(-rows.count() // buckets)), note)
+        return new._commit(rows, dict.fromkeys(range(buckets), -(-rows.count() // buckets)), note, wide)
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
@@ -66,14 +66,22 @@ class VersionedTable:
         """The buckets of some rows, with how many fall into each."""
         return dict(sorted(tuple(r) for r in rows.groupBy(self._bucket()).count().collect()))  # the number of buckets at most
 
-    def _commit(self, rows: DataFrame | None, touched: dict[int, int], note: dict | None = None) -> VersionedTable:
-        """A version with the rows of some buckets written anew; the large ones by several tasks, a file each."""
+    def _commit(self, rows: DataFrame | None, touched: dict[int, int], note: dict | None = None, wide: bool = False) -> VersionedTable:
+        """A version with the rows of some buckets written anew; the large ones by several tasks, a file each.
+
+        ``wide`` rows are written as they come, without a shuffle or sort: each task has a file open for each of
+        its buckets.
+        """
         name, folders = uuid.uuid4().hex, dict(self.folders)
         if touched:
-            n = sum(touched.values()) + (self.read(list(touched)).count() if self.folders else 0)
-            shares = max(1, -(-n // (len(touched) * MOST_RECORDS)))
             dealt = rows.select(*self.schema.names).withColumn("_bucket", self._bucket())
-            dealt.repartition(len(touched) * shares, "_bucket", F.pmod(F.xxhash64(F.lit(0), *self.key), F.lit(shares))).write.partitionBy("_bucket").parquet(f"{self.path}/{name}")
+            if wide:
+                with setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", len(touched)):
+                    dealt.write.partitionBy("_bucket").option("compression", "zstd").parquet(f"{self.path}/{name}")
+            else:
+                n = sum(touched.values()) + (self.read(list(touched)).count() if self.folders else 0)
+                shares = max(1, -(-n // (len(touched) * MOST_RECORDS)))
+                dealt.repartition(len(touched) * shares, "_bucket", F.pmod(F.xxhash64(F.lit(0), *self.key), F.lit(shares))).write.partitionBy("_bucket").parquet(f"{self.path}/{name}")
             filled = {r[0] for r in self.spark.read.parquet(f"{self.path}/{name}").select("_bucket").distinct().collect()} if self._any(name) else set()
             for b in touched:
                 folders.pop(b, None)
@@ -95,16 +103,16 @@ class VersionedTable:
         """The rows of these keys, from their buckets alone."""
         return self.read(self._touched(keys)).join(keys.select(*self.key), self.key, "left_semi")
 
-    def put(self, rows: DataFrame, note: dict | None = None) -> VersionedTable:
+    def put(self, rows: DataFrame, note: dict | None = None, wide: bool = False) -> VersionedTable:
         """The table with rows (each key once) added, or in the place of those with their key."""
         touched = self._touched(rows)
         kept = self.read(touched).join(rows.select(*self.key), self.key, "left_anti")
-        return self._commit(kept.select(*self.schema.names).unionByName(rows.select(*self.schema.names)), touched, note)
+        return self._commit(kept.select(*self.schema.names).unionByName(rows.select(*self.schema.names)), touched, note, wide)
 
-    def remove(self, keys: DataFrame, note: dict | None = None) -> VersionedTable:
+    def remove(self, keys: DataFrame, note: dict | None = None, wide: bool = False) -> VersionedTable:
         """The table without the rows of these keys."""
         touched = self._touched(keys)
-        return self._commit(self.read(touched).join(keys.select(*self.key), self.key, "left_anti"), touched, note)
+        return self._commit(self.read(touched).join(keys.select(*self.key), self.key, "left_anti"), touched, note, wide)
 
     def correct(self, hit: Column, values: dict[str, Column]) -> VersionedTable:
         """The table with columns other than the key set anew where ``hit`` holds; only buckets with such rows change."""

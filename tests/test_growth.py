@@ -111,3 +111,20 @@ def test_contemporaries_meet_as_arrays(spark):
     pairs = network.lifespan_overlap(people)
     assert pairs.count() == 400 * 399 // 2 and pairs.where("a >= b").isEmpty()
     assert plan(pairs).count("Generate explode(xs") == plan(pairs).count("Generate explode(ys") == 1
+
+
+def test_members_are_moved_as_rows_of_their_tables(spark):
+    """A row's values are told apart after the shuffle, not one row each before it."""
+    got = plan(facet_tables.members(catalog(spark, D)))
+    assert got.index("Generate posexplode(values") < got.index("RepartitionByExpression [record_id")
+
+
+def test_wide_rows_are_written_as_they_come(spark, tmp_path):
+    rows = spark.range(400).select("id", (F.col("id") * 2).alias("v"))
+    table = VersionedTable.create(rows, str(tmp_path / "t"), ["id"], 3, wide=True)
+    was = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    table = table.put(rows.where("id < 50").withColumn("v", F.lit(-1).cast("long")), wide=True).remove(rows.where("id >= 390"), wide=True)
+    assert {r["id"]: r["v"] for r in table.read().collect()} == {i: -1 if i < 50 else 2 * i for i in range(390)}
+    with shared.setting(spark, "spark.sql.maxConcurrentOutputFileWriters", 3):
+        assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "3"
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == was
