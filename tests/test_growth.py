@@ -7,7 +7,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from quirelake import queries_quality, shared
+from quirelake import queries_fulltext, queries_quality, shared
 from quirelake.operators import facet_tables, facets, fulltext, network
 from quirelake.sources import versioned
 from quirelake.sources.driver_tables import catalog
@@ -128,3 +128,18 @@ def test_wide_rows_are_written_as_they_come(spark, tmp_path):
     with shared.setting(spark, "spark.sql.maxConcurrentOutputFileWriters", 3):
         assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "3"
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == was
+
+
+def test_rows_of_a_record_have_ids_side_by_side(spark):
+    """An index of texts holds an id for each token, so ids that are hashes would be most of it."""
+    for t in ("titles", "subjects", "physical_descriptions"):
+        rows = getattr(catalog(spark, D), t)
+        n, ids, most, wrong = rows.agg(F.count("*"), F.count_distinct("id"), F.max(F.col("id") - F.col("record_id") * 65536), F.count_if(F.shiftright("id", 16) != F.col("record_id"))).first()
+        assert n == ids == rows.select("record_id", "value").distinct().count() > 0 and most < 20 and wrong == 0
+
+
+def test_parity_reads_the_texts_that_the_index_is_made_of(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(fulltext.FullText, "parity", lambda self, rows: seen.append(rows) or rows)
+    queries_fulltext.index_parity(spark, D)
+    assert all("/texts-" in f for f in seen[0].inputFiles()) and seen[0].inputFiles()
