@@ -98,6 +98,7 @@ def test_edges_are_merged_in_tasks_by_their_number(spark, monkeypatch):
 def test_alike_spans_meet_as_arrays(spark, monkeypatch):
     """What is decided of spans is decided for those that are alike at once, and they are moved together."""
     spans = spark.range(600).selectExpr("'rome' as place", "concat('n', id) as agent", "1500 as lo", "1600 as hi", "if(id % 2 = 0, array(named_struct('place', 'acre', 'lo', 1500, 'hi', 1600)), array()) as before")
+    monkeypatch.setattr(network, "BLOCK", 256)
     met = network._overlapping(spans, 10)
     assert met.count() == 12  # two arrays of each kind; those of even agents met before
     got = network.overlaps(spans, 10)
