@@ -86,15 +86,17 @@ class FacetTables:
     def put(self, cat: Catalog) -> FacetTables:
         """The counts with the records of ``cat``, whole, added or in the place of those with their id."""
         new = kept(members(cat, self.facets), "members")
-        delta = self._write(_merged(_signed(self.table.held(new), -1).unionByName(_signed(new, 1))), self.path)
-        self.table.put(new, self._note(delta), wide=True)
+        held, rest = self.table.split(new)
+        delta = self._write(_merged(_signed(held, -1).unionByName(_signed(new, 1))), self.path)
+        self.table.put(new, self._note(delta), wide=True, rest=rest)
         return FacetTables(self.spark, self.path)
 
     def remove(self, ids: DataFrame) -> FacetTables:
         """The counts without the records of ids(record_id); ids that are not there change nothing."""
         gone = kept(ids.select(F.col("record_id").cast(self.table.schema["record_id"].dataType).alias("record_id")).distinct(), "gone")
-        delta = self._write(_merged(_signed(self.table.held(gone), -1)), self.path)
-        self.table.remove(gone, self._note(delta), wide=True)
+        held, rest = self.table.split(gone)
+        delta = self._write(_merged(_signed(held, -1)), self.path)
+        self.table.remove(gone, self._note(delta), wide=True, rest=rest)
         return FacetTables(self.spark, self.path)
 
     def compact(self) -> FacetTables:

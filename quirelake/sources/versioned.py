@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shared import MOST_RECORDS, setting
+from ..shared import MOST_RECORDS, kept, setting
 
 
 class VersionedTable:
@@ -103,16 +103,27 @@ class VersionedTable:
         """The rows of these keys, from their buckets alone."""
         return self.read(self._touched(keys)).join(keys.select(*self.key), self.key, "left_semi")
 
-    def put(self, rows: DataFrame, note: dict | None = None, wide: bool = False) -> VersionedTable:
+    def split(self, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows of these keys (each once), and the other rows of their buckets, from one join that is stored.
+
+        ``put`` and ``remove`` take the others as ``rest``, so that wide rows meet their keys once.
+        """
+        both = kept(self.read(self._touched(keys)).join(keys.select(*self.key, F.lit(True).alias("_hit")), self.key, "left"), "split")
+        return both.where("_hit").select(*self.schema.names), both.where("_hit is null").select(*self.schema.names)
+
+    def put(self, rows: DataFrame, note: dict | None = None, wide: bool = False, rest: DataFrame | None = None) -> VersionedTable:
         """The table with rows (each key once) added, or in the place of those with their key."""
         touched = self._touched(rows)
-        kept = self.read(touched).join(rows.select(*self.key), self.key, "left_anti")
-        return self._commit(kept.select(*self.schema.names).unionByName(rows.select(*self.schema.names)), touched, note, wide)
+        if rest is None:
+            rest = self.read(touched).join(rows.select(*self.key), self.key, "left_anti")
+        return self._commit(rest.select(*self.schema.names).unionByName(rows.select(*self.schema.names)), touched, note, wide)
 
-    def remove(self, keys: DataFrame, note: dict | None = None, wide: bool = False) -> VersionedTable:
+    def remove(self, keys: DataFrame, note: dict | None = None, wide: bool = False, rest: DataFrame | None = None) -> VersionedTable:
         """The table without the rows of these keys."""
         touched = self._touched(keys)
-        return self._commit(self.read(touched).join(keys.select(*self.key), self.key, "left_anti"), touched, note, wide)
+        if rest is None:
+            rest = self.read(touched).join(keys.select(*self.key), self.key, "left_anti")
+        return self._commit(rest, touched, note, wide)
 
     def correct(self, hit: Column, values: dict[str, Column]) -> VersionedTable:
         """The table with columns other than the key set anew where ``hit`` holds; only buckets with such rows change."""

@@ -144,3 +144,12 @@ def test_parity_reads_the_texts_that_the_index_is_made_of(spark, monkeypatch):
     monkeypatch.setattr(fulltext.FullText, "parity", lambda self, rows: seen.append(rows) or rows)
     queries_fulltext.index_parity(spark, D)
     assert all("/texts-" in f for f in seen[0].inputFiles()) and seen[0].inputFiles()
+
+
+def test_wide_rows_meet_their_keys_once(spark, tmp_path):
+    rows = spark.range(60).select("id", F.col("id").alias("v"))
+    table = VersionedTable.create(rows, str(tmp_path / "t"), ["id"], 2, wide=True)
+    held, rest = table.split(spark.createDataFrame([(3,), (7,), (99,), (None,)], "id long"))
+    assert all("/split-" in f for d in (held, rest) for f in d.inputFiles()) and rest.inputFiles()
+    assert sorted(r["id"] for r in held.collect()) == [3, 7] and rest.count() == 58
+    assert table.remove(held, wide=True, rest=rest).read().count() == 58 and table.read().count() == 60
